@@ -72,7 +72,7 @@ def _cut_at_first_listed(s: Column, seps) -> Column:
 
 def clean_fiber_phrase(c) -> Column:
     """Trim marketing and garment text off a fibre phrase."""
-    s = F.split(strip(col(c)), DASH_SPLIT, 2).getItem(0)
+    s = F.get(F.split(strip(col(c)), DASH_SPLIT, 2), 0)
     s = _cut_at_first_listed(s, JOINERS)
     s = _cut_at_first_listed(s, [" " + g for g in GARMENT_WORDS])
     return strip(F.regexp_replace(s, TRAILING_WORDS, ""))
@@ -137,7 +137,7 @@ def _per_family(items: Column, agg: str) -> Column:
         pcts = F.transform(mine, lambda x: x["pct"])
         total = F.array_max(pcts) if agg == "max" else F.aggregate(pcts, F.lit(0), lambda a, b: a + b)
         return let(total, lambda p: F.struct((-p).alias("neg"), i.alias("idx"), f.alias("family"),
-                                             p.alias("pct"), mine.getItem(0)["label"].alias("label")))
+                                             p.alias("pct"), F.get(mine, 0)["label"].alias("label")))
     return F.array_sort(F.transform(fams, entry))
 
 
@@ -222,7 +222,7 @@ def fiber_split_literal(breakdown) -> Column:
 def fabric_tags(breakdown, fiber_families, is_100pct) -> Column:
     """Marketing tag from the fibre list: 100% X / PREMIUM WOOL / PURE SILK / A + B BLEND."""
     fams = col(fiber_families)
-    f0 = fams.getItem(0)
+    f0 = F.get(fams, 0)
     primary = F.upper(f0)
     single = (F.when(F.instr(f0, "cotton") > 0, F.lit("100% COTTON"))
               .when(F.instr(f0, "linen") > 0, F.lit("100% LINEN"))
@@ -233,7 +233,7 @@ def fabric_tags(breakdown, fiber_families, is_100pct) -> Column:
             .when(F.coalesce(F.size(fams), F.lit(0)) < 1, F.lit(""))
             .when(F.coalesce(f0, F.lit("")) == "", F.lit(""))
             .when(col(is_100pct) & (F.size(fams) == 1), single)
-            .when(F.size(fams) >= 2, F.concat(primary, F.lit(" + "), F.upper(fams.getItem(1)), F.lit(" BLEND")))
+            .when(F.size(fams) >= 2, F.concat(primary, F.lit(" + "), F.upper(F.get(fams, 1)), F.lit(" BLEND")))
             .otherwise(primary))
 
 

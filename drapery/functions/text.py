@@ -21,7 +21,7 @@ def let(value, fn) -> Column:
     so long first-match chains that reuse an intermediate string would
     otherwise copy it into every branch.
     """
-    return F.transform(F.array(col(value)), fn).getItem(0)
+    return F.get(F.transform(F.array(col(value)), fn), 0)
 
 
 def strip(c) -> Column:
@@ -122,13 +122,13 @@ def materials_snippet_v1(c) -> Column:
     good = F.filter(lines, lambda x: (F.length(x) >= 5) & F.lower(x).rlike(fibre)
                     & ((F.instr(x, "%") > 0) | (F.instr(F.lower(x), "organic") > 0)))
     return F.when(col(c).isNull() | (col(c) == ""), F.lit("")).otherwise(
-        F.coalesce(strip(F.substring(good.getItem(0), 1, 300)), strip(F.substring(col(c), 1, 180))))
+        F.coalesce(strip(F.substring(F.get(good, 0), 1, 300)), strip(F.substring(col(c), 1, 180))))
 
 
 def generate_description(title, snippet, category) -> Column:
     """"{title}." + first sentence of a >20-char snippet + category sentence, max 500."""
     t, s, cat = col(title), col(snippet), col(category)
-    first = strip(F.split(s, r"\.", 2).getItem(0))
+    first = strip(F.get(F.split(s, r"\.", 2), 0))
     body = F.concat(
         t, F.lit("."),
         F.when(F.length(s) > 20, F.concat(F.lit(" "), first, F.lit("."))).otherwise(F.lit("")),

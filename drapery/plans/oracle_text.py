@@ -1,0 +1,257 @@
+"""DuckDB oracles for the ``pt`` text / rule / key / colour queries."""
+
+from __future__ import annotations
+
+from .oracle import FIBER_SPLIT_CTES, WS, oracle, sql_list, strip
+
+
+def has_any(t: str, words) -> str:
+    """OR of ``contains`` tests (substring semantics)."""
+    return "(" + " OR ".join(f"contains({t}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+def has_word(t: str, words) -> str:
+    alt = "|".join(w.replace("'", "''").replace("-", "\\-") for w in words)
+    return f"regexp_matches({t}, '(^|[^\\pL])({alt})([^\\pL]|$)')"
+
+
+def title_case_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\pL+|[^\\pL]+)', 1), "
+            f"lambda w: upper(left(w, 1)) || substr(w, 2)), '')")
+
+
+CAT = """CASE WHEN contains(lower(title), 'journal') OR contains(lower(title), 'notebook') OR contains(lower(title), 'notes')
+      OR contains(lower(title), 'sticker') OR contains(lower(title), 'paper') OR contains(lower(title), 'bag')
+      OR contains(lower(title), 'purse') OR contains(lower(title), 'fanny') OR contains(lower(title), 'clutch')
+      OR contains(lower(title), 'pouch') OR contains(lower(title), 'scarf') OR contains(lower(title), 'lanyard')
+      OR contains(lower(title), 'keychain') THEN 'Accessories'
+    WHEN product_type <> '' THEN product_type ELSE 'Apparel' END"""
+
+TITLE_ACC = """(contains(lower(title), 'journal') OR contains(lower(title), 'notebook') OR contains(lower(title), 'notes')
+      OR contains(lower(title), 'sticker') OR contains(lower(title), 'paper') OR contains(lower(title), 'bag')
+      OR contains(lower(title), 'purse') OR contains(lower(title), 'fanny') OR contains(lower(title), 'clutch')
+      OR contains(lower(title), 'pouch') OR contains(lower(title), 'scarf') OR contains(lower(title), 'lanyard')
+      OR contains(lower(title), 'keychain'))"""
+
+SUBCAT = """CASE WHEN {acc} THEN 'Accessories' WHEN {bot} THEN 'Bottoms' WHEN {top} THEN 'Tops' WHEN {dr} THEN 'Dresses'
+  WHEN {sw} THEN 'Sweaters' WHEN {ow} THEN 'Outerwear' WHEN {ow2} THEN 'Outerwear' WHEN {sl} THEN 'Sleepwear'
+  WHEN {ho} THEN 'Tops' ELSE 'Tops' END""".format(
+    acc=has_any("st", ["journal", "notebook", "notes", "sticker", "accessory", "scarf", "hat", "bag", "belt", "purse",
+                       "fanny", "clutch", "lanyard"]),
+    bot=has_any("st", ["pant", "trouser", "jean", "short", "legging", "jogger", "harem"]),
+    top=has_any("st", ["top", "shirt", "blouse", "tee", "tank", "tunic"]),
+    dr=has_any("st", ["dress", "gown", "frock"]),
+    sw=has_any("st", ["sweater", "cardigan", "pullover", "knit"]),
+    ow=has_any("st", ["jacket", "coat", "blazer", "parka", "vest"]),
+    ow2=has_any("st", ["jumpsuit", "romper", "overall"]),
+    sl=has_any("st", ["pajama", "sleepwear", "nightgown", "loungewear"]),
+    ho=has_any("st", ["hoodie"]))
+
+PT_CAT = f"(SELECT *, {CAT} AS category FROM pt)"
+PT_SUB = f"(SELECT *, {SUBCAT} AS subcategory FROM (SELECT *, lower(category || ' ' || title) AS st FROM {PT_CAT}))"
+
+AUD_WORD = f"""CASE WHEN {has_word('aud_t', ["women's", "women", "female", "ladies"])} THEN 'Women'
+  WHEN {has_word('aud_t', ["men's", "men", "male"])} THEN 'Men'
+  WHEN {has_word('aud_t', ["kids", "children", "child"])} THEN 'Kids'
+  WHEN {has_word('aud_t', ["girls", "girl's"])} THEN 'Girls'
+  WHEN {has_word('aud_t', ["boys", "boy's"])} THEN 'Boys'
+  WHEN {has_word('aud_t', ["baby", "infant", "toddler"])} THEN 'Baby'
+  WHEN {has_word('aud_t', ["unisex", "gender neutral"])} THEN 'Unisex' ELSE 'Women' END"""
+AUD_SUB = f"""CASE WHEN {has_any('aud_t', ["men's", "men", "male"])} THEN 'Men'
+  WHEN {has_any('aud_t', ["women's", "women", "female", "ladies"])} THEN 'Women'
+  WHEN {has_any('aud_t', ["kids", "children", "child"])} THEN 'Kids'
+  WHEN {has_any('aud_t', ["girls", "girl's"])} THEN 'Girls'
+  WHEN {has_any('aud_t', ["boys", "boy's"])} THEN 'Boys'
+  WHEN {has_any('aud_t', ["baby", "infant", "toddler"])} THEN 'Baby'
+  WHEN {has_any('aud_t', ["unisex", "gender neutral"])} THEN 'Unisex' ELSE 'Women' END"""
+
+oracle("audience", f"""
+SELECT product_id, {AUD_WORD} AS audience, {AUD_SUB} AS audience_literal
+FROM (SELECT product_id, lower(title || ' ' || product_type) AS aud_t FROM pt)""", "pt")
+
+oracle("subcategory", f"SELECT product_id, subcategory FROM {PT_SUB}", "pt")
+
+OCC = f"""CASE WHEN {has_any('ot', ["journal", "notebook", "notes", "sticker"])} THEN 'Work & Meetings'
+  WHEN {has_any('ot', ["bag", "purse", "fanny", "clutch"])} THEN 'Off-Duty & Travel'
+  WHEN {has_any('ot', ["yoga", "lounge", "jogger", "casual", "relax", "comfort", "harem"])} THEN 'Off-Duty & Travel'
+  WHEN {has_any('ot', ["formal", "office", "professional", "work", "business", "blazer"])} THEN 'Work & Meetings'
+  WHEN {has_any('ot', ["party", "evening", "gown", "cocktail", "special", "elegant"])} THEN 'Parties & Events'
+  WHEN {has_any('ot', ["beach", "vacation", "resort", "summer", "swim", "romper"])} THEN 'Vacation & Leisure'
+  WHEN {has_any('ot', ["active", "sport", "athletic", "gym", "workout", "hoodie"])} THEN 'Active & Fitness'
+  ELSE 'Off-Duty & Travel' END"""
+oracle("occasion", f"""SELECT product_id, {OCC} AS occasion_tag
+FROM (SELECT *, lower(title || ' ' || category || ' ' || subcategory) AS ot FROM {PT_SUB})""", "pt")
+
+
+def _score(words):
+    return "(" + " + ".join(f"CAST(contains(ot, '{w}') AS INTEGER)" for w in words) + ")"
+
+
+oracle("occasion_scored", f"""
+SELECT product_id, CASE WHEN sw >= se AND sw >= so AND sw > 0 THEN 'Work & Meetings'
+  WHEN se >= sw AND se >= so AND se > 0 THEN 'Events & Dinners' ELSE 'Off-Duty & Travel' END AS occasion_tag
+FROM (SELECT product_id, {_score(["work", "office", "blazer", "trouser", "meeting", "suit"])} AS sw,
+        {_score(["party", "event", "evening", "wedding", "gala", "cocktail"])} AS se,
+        {_score(["weekend", "relaxed", "lounge", "travel", "vacation", "casual", "yoga"])} AS so
+      FROM (SELECT product_id, lower(title || ' ' || product_type) AS ot FROM pt))""", "pt")
+
+FIT = f"""CASE WHEN {has_any('ft', ["slim fit", "slim-fit", "fitted"])} THEN 'Slim'
+  WHEN {has_any('ft', ["regular fit", "classic fit", "standard fit"])} THEN 'Regular'
+  WHEN {has_any('ft', ["relaxed fit", "loose fit", "easy fit"])} THEN 'Relaxed'
+  WHEN {has_any('ft', ["oversized", "loose", "boyfriend"])} THEN 'Oversized'
+  WHEN {has_any('ft', ["tailored", "structured"])} THEN 'Tailored'
+  WHEN {has_any('ft', ["athletic fit", "performance fit"])} THEN 'Athletic' ELSE 'Regular' END"""
+oracle("fit_type", f"""SELECT product_id, {FIT} AS fit_type
+FROM (SELECT product_id, lower(title || ' ' || materials || ' ' || category) AS ft FROM {PT_CAT})""", "pt")
+
+SEASON = f"""CASE WHEN {has_any('se', ["spring", "summer", "ss"])} THEN 'Spring/Summer'
+  WHEN {has_any('se', ["fall", "autumn", "winter", "fw"])} THEN 'Fall/Winter'
+  WHEN contains(se, 'resort') THEN 'Resort' WHEN contains(se, 'holiday') THEN 'Holiday' ELSE 'All Season' END"""
+oracle("season", f"""SELECT product_id, {SEASON} AS season
+FROM (SELECT product_id, lower(title || ' ' || category || ' ' || materials) AS se FROM {PT_CAT})""", "pt")
+
+oracle("length_option", """SELECT product_id, CASE WHEN contains(lt, 'petite') THEN 'Petite' WHEN contains(lt, 'tall') THEN 'Tall'
+  ELSE 'Standard' END AS length FROM (SELECT product_id, lower(title || ' ' || materials) AS lt FROM pt)""", "pt")
+
+PATTERN = f"""CASE WHEN {has_any('pt_', ["stripe", "striped", "pinstripe"])} THEN 'Stripe'
+  WHEN {has_any('pt_', ["floral", "flower", "botanical", "bloom"])} THEN 'Floral'
+  WHEN {has_any('pt_', ["geometric", "chevron", "diamond", "grid"])} THEN 'Geometric'
+  WHEN {has_any('pt_', ["abstract", "marble", "swirl", "tie-dye", "tie dye"])} THEN 'Abstract'
+  WHEN {has_any('pt_', ["leopard", "zebra", "snake", "cheetah"])} THEN 'Animal'
+  WHEN {has_any('pt_', ["plaid", "check", "checkered", "gingham"])} THEN 'Plaid'
+  WHEN {has_any('pt_', ["polka", "dot", "dotted"])} THEN 'Polka Dot' ELSE 'Solid' END"""
+oracle("pattern_type", f"""SELECT product_id, {PATTERN} AS pattern_type
+FROM (SELECT product_id, lower(color_name || ' ' || title) AS pt_ FROM pt)""", "pt")
+
+oracle("care_level", f"""{FIBER_SPLIT_CTES}
+SELECT product_id, CASE WHEN {has_any('fiber_families', ['cashmere', 'silk'])} THEN 'Delicate'
+  WHEN {has_any('fiber_families', ['wool', 'alpaca', 'mohair'])} THEN 'Gentle' ELSE 'Easy Care' END AS care_level
+FROM f_split_all""", "pt")
+
+oracle("title_category", f"SELECT product_id, category FROM {PT_CAT}", "pt")
+
+V1CAT = f"""CASE WHEN {has_any('ct', ["jumpsuit", "jumper", "romper", "onesie", "catsuit"])} THEN 'jumpsuits'
+  WHEN {has_any('ct', ["dress", "gown"])} THEN 'dresses'
+  WHEN {has_any('ct', ["bag", "purse", "fanny", "clutch", "scarf", "sticker", "journal", "notes", "hat", "lanyard"])} THEN 'accessories'
+  WHEN {has_any('ct', ["top", "shirt", "blouse", "tee", "tank", "hoodie", "sweater"])} THEN 'tops'
+  WHEN {has_any('ct', ["short", "capri"])} THEN 'shorts'
+  WHEN {has_any('ct', ["pant", "harem", "yoga-pant", "trouser", "jogger"])} THEN 'pants'
+  WHEN contains(ct, 'skirt') THEN 'skirts' ELSE '' END"""
+V1CAT_STORE = f"""CASE WHEN contains(u, '/women/sweaters') OR contains(u, 'cid=5032') THEN 'sweaters'
+  WHEN {has_any('tt', ["jumpsuit", "romper"])} THEN 'jumpsuits'
+  WHEN {has_any('tt', ["dress", "gown"])} THEN 'dresses'
+  WHEN {has_any('tt', ["bag", "purse", "scarf", "hat", "shoe", "belt", "glove", "sock"])} THEN 'accessories'
+  WHEN {has_any('tt', ["top", "shirt", "blouse", "tee", "tank", "sweater", "cardigan", "jacket", "blazer"])} THEN 'tops'
+  WHEN {has_any('tt', ["short", "capri"])} THEN 'shorts'
+  WHEN {has_any('tt', ["pant", "trouser", "jean", "jogger", "legging", "chino"])} THEN 'pants'
+  WHEN contains(tt, 'skirt') THEN 'skirts' ELSE 'sweaters' END"""
+
+SLUG = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({strip('lower({x})')}, '[^a-z0-9{WS[1:-1]}-]', '', 'g'),
+  '{WS}+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"""
+
+
+def slug_sql(x: str) -> str:
+    return SLUG.replace("{x}", x)
+
+
+PT_URL = f"(SELECT *, base_url || '/products/' || {slug_sql('title')} AS url FROM pt)"
+oracle("detect_category", f"""SELECT product_id, {V1CAT} AS category, {V1CAT_STORE} AS category_url_first
+FROM (SELECT product_id, lower(url || ' ' || title) AS ct, lower(url) AS u, lower(title) AS tt FROM {PT_URL})""", "pt")
+
+oracle("normalize_category", f"""SELECT product_id, CASE c WHEN 'sweaters' THEN 'sweaters' WHEN 'pants' THEN 'pants'
+  WHEN 'jumpsuits' THEN 'jumpsuit' WHEN 'tops' THEN 'top' WHEN 'dresses' THEN 'dress' WHEN 'shorts' THEN 'short'
+  WHEN 'skirts' THEN 'skirt' WHEN 'accessories' THEN 'accessory' ELSE 'unknown' END AS category
+FROM (SELECT product_id, {V1CAT} AS c FROM (SELECT product_id, lower(url || ' ' || title) AS ct FROM {PT_URL}))""", "pt")
+
+oracle("is_apparel", f"""SELECT product_id, lower(category) NOT IN ('accessories', 'bags', 'jewelry') AND NOT {TITLE_ACC} AS is_apparel,
+  {V1CAT} IN ('sweaters', 'tops', 'dresses', 'pants', 'skirts', 'shorts', 'jumpsuits', 'top', 'dress', 'short', 'skirt', 'jumpsuit') AS is_apparel_v1
+FROM (SELECT *, lower(base_url || ' ' || title) AS ct FROM {PT_CAT})""", "pt")
+
+_MARKERS = ["organic", "gots certified", "fair trade", "sustainable", "eco-friendly", "recycled", "carbon neutral",
+            "b corp", "oeko-tex", "bluesign"]
+oracle("sustainability_tags", f"""SELECT product_id,
+  array_to_string(list_filter({sql_list(_MARKERS)}, lambda m: contains(lower(title || ' ' || materials), m)), '|') AS sustainability_tags
+FROM pt""", "pt")
+
+oracle("slugify", f"""SELECT product_id, {slug_sql('title')} AS slug,
+  left(regexp_replace(regexp_replace({strip('lower(title)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 30) AS slug_short FROM pt""", "pt")
+
+oracle("color_id", f"""SELECT product_id, sid AS style_id, sid || '-' || left(md5(color_name), 12) AS color_id,
+  CASE WHEN color_name = '' OR lower(color_name) = 'default' THEN sid ELSE sid || '-' || {slug_sql('color_name')} END AS color_id_v1
+FROM (SELECT *, left(md5({slug_sql('title')}), 12) AS sid FROM pt)""", "pt")
+
+_V1F = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp", "bamboo", "viscose", "spandex", "nylon",
+        "acrylic", "elastane", "lycra", "cashmere"]
+oracle("materials_snippet", f"""SELECT product_id, left(materials, 200) AS materials_snippet,
+  CASE WHEN materials = '' THEN '' ELSE coalesce(
+    {strip(f"left(list_filter(list_transform(string_split_regex(materials, '[.\\n]'), lambda x: {strip('x')}), lambda x: length(x) >= 5 AND regexp_matches(lower(x), '{'|'.join(_V1F)}') AND (contains(x, '%') OR contains(lower(x), 'organic')))[1], 300)")},
+    {strip('left(materials, 180)')}) END AS materials_snippet_v1
+FROM pt""", "pt")
+
+_W = "([A-Za-z][A-Za-z]+(?:\\s[A-Za-z][A-Za-z]+)?)"
+oracle("country_of_origin", f"""SELECT product_id, coalesce(
+  nullif({title_case_sql(f"regexp_extract(materials, '(?i)made in {_W}', 1)")}, ''),
+  nullif({title_case_sql(f"regexp_extract(materials, '(?i)manufactured in {_W}', 1)")}, ''),
+  nullif({title_case_sql(f"regexp_extract(materials, '(?i)country of origin[:\\s]+{_W}', 1)")}, ''), '') AS country_of_origin
+FROM pt""", "pt")
+
+oracle("generate_description", f"""SELECT product_id, CASE WHEN title = '' THEN '' ELSE left(title || '.' ||
+  CASE WHEN length(left(materials, 200)) > 20 THEN ' ' || {strip("split_part(left(materials, 200), '.', 1)")} || '.' ELSE '' END ||
+  CASE WHEN category <> '' THEN ' Perfect addition to your ' || lower(category) || ' collection.' ELSE '' END, 500) END AS description
+FROM {PT_CAT}""", "pt")
+
+oracle("title_case", f"""SELECT product_id, {title_case_sql('color_name')} AS color_title, {title_case_sql('title')} AS title_title,
+  array_to_string(list_transform(list_filter(string_split_regex({strip('color_name')}, '{WS}+'), lambda w: w <> ''),
+    lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS color_capitalized FROM pt""", "pt")
+
+oracle("format_price", "SELECT product_id, CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw FROM pt", "pt")
+
+PRICE_TEXT = """(SELECT *, CASE product_id % 4 WHEN 0 THEN '$' WHEN 1 THEN '€' WHEN 2 THEN 'CAD ' ELSE '' END || printf('%.2f', price) AS price_text FROM pt)"""
+oracle("price_currency", f"""SELECT product_id, price_text,
+  CASE WHEN contains(price_text, '$') OR contains(price_text, 'USD') THEN 'USD' WHEN contains(price_text, '£') THEN 'GBP'
+       WHEN contains(price_text, '€') THEN 'EUR' WHEN contains(price_text, 'CAD') THEN 'CAD' WHEN contains(price_text, 'AUD') THEN 'AUD'
+       ELSE '' END AS currency,
+  regexp_extract(price_text, '[0-9.]+', 0) AS price_numeric FROM {PRICE_TEXT}""", "pt")
+
+oracle("looks_like_price", f"""SELECT product_id, contains(price_text, '$') OR regexp_matches(price_text, '[0-9]+\\.[0-9]{{2}}') AS price_like,
+  contains(color_name, '$') OR regexp_matches(color_name, '[0-9]+\\.[0-9]{{2}}') AS color_like FROM {PRICE_TEXT}""", "pt")
+
+_SLUG_COLORS = ["black", "white", "red", "blue", "green", "navy", "olive", "pink", "grey", "gray", "brown", "beige",
+                "tan", "orange", "yellow", "purple", "maroon", "burgundy", "cream", "ivory", "charcoal", "teal",
+                "coral", "mint", "sage", "lavender", "plum", "indigo", "khaki", "mustard", "rust", "wine", "blush",
+                "nude", "taupe", "slate", "mauve", "turquoise", "fuchsia", "magenta", "silver", "gold", "rose",
+                "sand", "camel", "mocha", "espresso", "chocolate", "midnight", "pewter"]
+oracle("infer_color_from_slug", f"""SELECT product_id, slug,
+  (SELECT upper(left(w, 1)) || substr(w, 2) FROM (SELECT list_filter({sql_list(_SLUG_COLORS)}, lambda w: starts_with(lower(slug), w || '-'))[1] AS w)) AS inferred_color
+FROM (SELECT product_id, {slug_sql("concat_ws(' ', color_name, title)")} AS slug FROM pt)""", "pt")
+
+_FAM = [("Black", ["black", "noir", "onyx", "midnight"]), ("White", ["white", "ivory", "cream", "off-white", "bone"]),
+        ("Red", ["red", "crimson", "ruby", "burgundy", "wine", "maroon"]),
+        ("Blue", ["blue", "navy", "indigo", "cobalt", "sapphire", "denim"]),
+        ("Green", ["green", "olive", "forest", "emerald", "sage", "mint"]),
+        ("Yellow", ["yellow", "gold", "mustard", "lemon"]), ("Orange", ["orange", "coral", "peach", "tangerine"]),
+        ("Pink", ["pink", "rose", "blush", "fuchsia", "magenta"]),
+        ("Purple", ["purple", "violet", "plum", "lavender", "lilac"]),
+        ("Brown", ["brown", "tan", "beige", "khaki", "camel", "chocolate"]),
+        ("Gray", ["gray", "grey", "silver", "charcoal", "slate"]),
+        ("Multicolor", ["multi", "rainbow", "tie-dye", "tie dye", "colorful"])]
+NORM_COLOR = ("CASE WHEN " + has_any("ct", ["stripe", "striped"]) + " THEN 'Striped' WHEN "
+              + has_any("ct", ["floral", "flower", "botanical"]) + " THEN 'Floral' WHEN "
+              + has_any("ct", ["print", "pattern", "geometric", "abstract"]) + " THEN 'Patterned' "
+              + " ".join(f"WHEN {has_any('ct', ws)} THEN '{lab}'" for lab, ws in _FAM)
+              + f" WHEN color_name <> '' THEN {title_case_sql('color_name')} ELSE 'Neutral' END")
+oracle("normalize_color", f"""SELECT product_id, {NORM_COLOR} AS color_name_normalized
+FROM (SELECT *, lower(color_name || ' ' || title || ' ' || materials) AS ct FROM pt)""", "pt")
+
+oracle("color_family_of_hex", """SELECT product_id, hex, CASE WHEN r IS NULL THEN 'Neutral'
+  WHEN greatest(r, g, b) - least(r, g, b) < 30 THEN CASE WHEN (r + g + b) / 3.0 < 50 THEN 'Black' WHEN (r + g + b) / 3.0 > 200 THEN 'White' ELSE 'Gray' END
+  WHEN r > g AND r > b THEN CASE WHEN g > 100 THEN CASE WHEN b < 100 THEN 'Orange' ELSE 'Pink' END ELSE 'Red' END
+  WHEN g > r AND g > b THEN 'Green'
+  WHEN b > r AND b > g THEN CASE WHEN r > 100 THEN 'Purple' ELSE 'Blue' END ELSE 'Neutral' END AS color_family
+FROM (SELECT product_id, hex,
+        CASE WHEN regexp_matches(h, '^[0-9A-Fa-f]{6}') THEN CAST(('0x' || substr(h, 1, 2)) AS INTEGER) END AS r,
+        CASE WHEN regexp_matches(h, '^[0-9A-Fa-f]{6}') THEN CAST(('0x' || substr(h, 3, 2)) AS INTEGER) END AS g,
+        CASE WHEN regexp_matches(h, '^[0-9A-Fa-f]{6}') THEN CAST(('0x' || substr(h, 5, 2)) AS INTEGER) END AS b
+      FROM (SELECT product_id, hex, ltrim(hex, '#') AS h FROM pt))""", "pt")
+
+oracle("clean_text", f"SELECT doc_id, {strip(f"regexp_replace(text, '{WS}+', ' ', 'g')")} AS clean FROM documents")
