@@ -116,8 +116,7 @@ def fabric_components(c, word_boundary: bool = True) -> Column:
 
 def fiber_items(c, word_boundary: bool = True, rules=FAMILY_RULES) -> Column:
     """Components whose cleaned phrase is a fibre: ``(pos, pct, label, family)``."""
-    comps = fabric_components(c, word_boundary)
-    cleaned = F.transform(comps, lambda x: let(clean_fiber_phrase(x["raw"]), lambda lab: F.struct(
+    cleaned = F.transform(fabric_components(c, word_boundary), lambda x: let(clean_fiber_phrase(x["raw"]), lambda lab: F.struct(
         x["pos"].alias("pos"), x["pct"].alias("pct"), lab.alias("label"))))
     kept = F.filter(cleaned, lambda x: (x["label"] != "") & is_fiber_phrase(x["label"]))
     return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), x["pct"].alias("pct"),
@@ -152,13 +151,11 @@ def fabric_summary(c, mode: str = "max") -> Column:
     """
     if mode == "list":
         list_rules = [r for r in FAMILY_RULES if r[0] != "ACRYLIC"]
-        items = fiber_items(c, word_boundary=False, rules=list_rules)
-        parts = F.array_sort(F.transform(items, lambda x: F.struct(
+        parts = F.array_sort(F.transform(fiber_items(c, word_boundary=False, rules=list_rules), lambda x: F.struct(
             (-x["pct"]).alias("neg"), x["pos"].alias("idx"), x["family"].alias("family"),
             x["pct"].alias("pct"), x["label"].alias("label"))))
     else:
-        items = fiber_items(c, word_boundary=(mode == "max"))
-        parts = _per_family(items, mode)
+        parts = let(fiber_items(c, word_boundary=(mode == "max")), lambda items: _per_family(items, mode))
 
     def build(p):
         text = F.array_join(F.transform(p, lambda x: F.concat(x["pct"].cast("string"), F.lit("% "), x["label"])), ", ")

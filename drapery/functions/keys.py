@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, nullif_empty, slugify, strip
+from .text import col, let, nullif_empty, slugify, strip
 
 
 def md5_12(c) -> Column:
@@ -16,7 +16,10 @@ def resolve_url(href, base) -> Column:
     """``urljoin(base, href)`` for the forms found in pages:
     ``//host/x`` -> scheme of base, absolute http(s) as is, ``/x`` -> base host
     root, ``''`` -> base, else relative to the base directory."""
-    h, b = strip(col(href)), col(base)
+    return let(strip(col(href)), lambda h: _resolve(h, col(base)))
+
+
+def _resolve(h: Column, b: Column) -> Column:
     scheme = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     base_dir = F.regexp_replace(F.regexp_replace(b, "[?#].*$", ""), "/[^/]*$", "/")
@@ -33,12 +36,13 @@ def resolve_url(href, base) -> Column:
 
 def normalize_image_url(url, base, keep_query: bool = False) -> Column:
     """Drop the query (current path), ``//`` -> https, relative -> absolute, '' -> ''."""
-    u = col(url) if keep_query else F.substring_index(col(url), "?", 1)
-    u = strip(u) if keep_query else u
-    return (F.when(F.coalesce(col(url), F.lit("")) == "", F.lit(""))
-            .when(u.startswith("//"), F.concat(F.lit("https:"), u))
-            .when(u.startswith("http"), u)
-            .otherwise(resolve_url(u, base)))
+    def body(raw):
+        u = strip(raw) if keep_query else F.substring_index(raw, "?", 1)
+        return let(u, lambda v: F.when(F.coalesce(raw, F.lit("")) == "", F.lit(""))
+                   .when(v.startswith("//"), F.concat(F.lit("https:"), v))
+                   .when(v.startswith("http"), v)
+                   .otherwise(resolve_url(v, base)))
+    return let(col(url), body)
 
 
 def parse_srcset(srcset, limit: int = 5, distinct: bool = False) -> Column:
