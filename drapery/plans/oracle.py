@@ -120,6 +120,28 @@ SELECT k AS product_id, pos, {family_case('label')} AS family FROM f_c4""", "pt"
 NATURAL = ["COTTON", "LINEN", "MERINO_WOOL", "WOOL", "CASHMERE", "ALPACA", "SILK", "HEMP", "BAMBOO"]
 SYNTHETIC = ["REGENERATED_CELLULOSE", "POLYESTER", "NYLON", "ELASTANE", "ACRYLIC"]
 
+def fiber_split_ctes(src: str = "pt", key: str = "product_id", text: str = "materials") -> str:
+    """CTEs ending in f_split_all(key, shares, families, breakdown fb, tags ft, n_fam) for every src row."""
+    return f""", {fabric_ctes(src, key, text)},
+{fabric_agg_ctes('max')},
+f_split AS (
+  SELECT k,
+    least(100, greatest(0, coalesce(sum(pct) FILTER (WHERE family IN {tuple(NATURAL)}), 0))) AS nat,
+    least(100, greatest(0, coalesce(sum(pct) FILTER (WHERE family IN {tuple(SYNTHETIC)}), 0))) AS syn,
+    string_agg(lower(family), '|' ORDER BY pct DESC, first_pos) FILTER (WHERE family IN {tuple(NATURAL)}) AS fams,
+    string_agg(lower(family), '|' ORDER BY pct DESC, first_pos) FILTER (WHERE family IN {tuple(SYNTHETIC)}) AS syns,
+    string_agg(CAST(pct AS VARCHAR) || '% ' || label, ', ' ORDER BY pct DESC, first_pos) AS fb,
+    count(*) AS n_fam
+  FROM f_fam GROUP BY k),
+f_split_all AS (
+  SELECT s.{key} AS {key}, CAST(coalesce(nat, 0) AS DOUBLE) AS natural_fiber_percent,
+    CAST(coalesce(syn, 0) AS DOUBLE) AS synthetic_fiber_percent,
+    coalesce(nat, 0) >= 100 AS is_100pct_natural, coalesce(nat, 0) >= 90 AS is_natural_approved,
+    coalesce(fams, '') AS fiber_families, coalesce(syns, '') AS synthetic_fibers_present, coalesce(n_fam, 0) AS n_fam,
+    coalesce(fb, '') AS fabric_breakdown_pretty
+  FROM {src} s LEFT JOIN f_split ON f_split.k = s.{key})"""
+
+
 FIBER_SPLIT_CTES = f""", {fabric_ctes()},
 {fabric_agg_ctes('max')},
 f_split AS (
