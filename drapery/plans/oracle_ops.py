@@ -1,0 +1,210 @@
+"""DuckDB oracles for sources/sinks, reports, change detection, crawl,
+elements, colour tables and validation."""
+
+from __future__ import annotations
+
+from .oracle import WS, oracle, strip
+from .oracle_pages import CATALOG_SELECT, SHOP_PIPELINE, norm_img, unescape
+
+SHOP_BASE = "https://shop.example.com"
+CATALOG = f"""{SHOP_PIPELINE},
+cat AS ({CATALOG_SELECT.strip().replace('FROM (SELECT *, ', 'FROM (SELECT *, color_name AS rec_color, ', 1)}
+  QUALIFY row_number() OVER (PARTITION BY style_id, rec_color ORDER BY page_id, pos) = 1)"""
+
+# ---- sources / sinks ----------------------------------------------------------------
+oracle("read_pages", "SELECT page_id, url, CAST(length(html) AS INTEGER) AS html_chars, md5(html) AS checksum FROM pages")
+
+oracle("site_dim", """SELECT url, CASE host WHEN 'shop.example.com' THEN 'shop' ELSE 'store' END AS key,
+  CASE host WHEN 'shop.example.com' THEN 'Example Shop' ELSE 'Example Store' END AS brand_name, host AS source_site
+FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM (SELECT url FROM pp UNION ALL SELECT url FROM sp))
+WHERE host IN ('shop.example.com', 'store.example.org')""", "pt", "pp", "sp")
+
+oracle("write_catalog", f"""{CATALOG}
+SELECT style_id, color_name, price_raw, fabric_breakdown_pretty, CASE WHEN is_apparel THEN 'True' ELSE 'False' END AS is_apparel FROM cat""",
+       "pt", "pp")
+
+oracle("read_catalog", f"""{CATALOG}
+SELECT * REPLACE (CAST(schema_version AS INTEGER) AS schema_version) FROM cat""", "pt", "pp")
+
+oracle("write_sorted_dedup", f"""{SHOP_PIPELINE}
+SELECT 'Example Shop' AS brand_name, style_slug,
+  CASE WHEN color_name <> '' THEN {__import__('drapery.plans.oracle_text', fromlist=['x']).title_case_sql('color_name')} ELSE '' END AS color_name,
+  color_id, CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw
+FROM rec QUALIFY row_number() OVER (PARTITION BY style_id, color_name ORDER BY page_id, pos) = 1""", "pt", "pp")
+
+# ---- reports ------------------------------------------------------------------------
+oracle("category_counts", f"""{CATALOG}
+SELECT coalesce(nullif(category, ''), 'unknown') AS category, count(*) AS n FROM cat GROUP BY 1""", "pt", "pp")
+oracle("status_counts", f"""{CATALOG}
+SELECT coalesce(nullif(scrape_status, ''), 'unknown') AS scrape_status, count(*) AS n FROM cat GROUP BY 1""", "pt", "pp")
+oracle("report_counts", f"""{CATALOG}
+SELECT 'category' AS dimension, coalesce(nullif(category, ''), 'unknown') AS value, count(*) AS n FROM cat GROUP BY 2
+UNION ALL
+SELECT 'scrape_status', coalesce(nullif(scrape_status, ''), 'unknown'), count(*) FROM cat GROUP BY 2""", "pt", "pp")
+oracle("failed_pages", f"""{CATALOG}
+SELECT page_id, url FROM pp WHERE url NOT IN (SELECT product_url FROM cat)""", "pt", "pp")
+oracle("run_summary", f"""{CATALOG}
+SELECT (SELECT count(*) FROM cat) AS total_variants, (SELECT count(DISTINCT product_url) FROM cat) AS unique_products,
+  (SELECT count(*) FROM pp WHERE url NOT IN (SELECT product_url FROM cat)) AS failed_products,
+  (SELECT count(*) FROM pp WHERE url IN (SELECT url FROM st)) AS skipped""", "pt", "pp", "st")
+
+oracle("image_reuse_audit", f"""SELECT image_url, count(DISTINCT product_url) AS n_products FROM (
+  SELECT url AS product_url, {norm_img('src', SHOP_BASE)} AS image_url
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<img [a-z-]*src="([^"]*)"', 1)) AS src FROM pp))
+WHERE image_url <> '' GROUP BY image_url HAVING count(DISTINCT product_url) > 1""", "pt", "pp")
+
+# ---- incremental --------------------------------------------------------------------
+oracle("page_checksum", "SELECT page_id, md5(html) AS checksum FROM pages")
+oracle("changed_pages", """SELECT p.url,
+  CASE WHEN s.checksum IS NULL THEN 'new' WHEN s.checksum <> md5(p.html) THEN 'changed' ELSE 'same' END AS status,
+  s.checksum IS NULL OR s.checksum <> md5(p.html) AS is_changed, md5(p.html) AS checksum,
+  CASE WHEN s.checksum IS NULL OR s.checksum <> md5(p.html) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE s.last_scraped END AS last_scraped
+FROM pages p LEFT JOIN st s ON s.url = p.url""", "st")
+oracle("stale_pages", """SELECT p.url, s.last_scraped IS NULL OR s.last_scraped < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AS is_stale
+FROM pages p LEFT JOIN st s ON s.url = p.url""", "st")
+oracle("skip_existing", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM st)", "st")
+
+# ---- crawl ---------------------------------------------------------------------------
+COLLS = """colls AS (
+  SELECT coll_idx, CASE WHEN coll_idx % 3 = 0 THEN 'https://shop.example.com/collections/c' || coll_idx || '?sort=new'
+    WHEN coll_idx % 6 = 1 THEN 'https://other.example.net/collections/c' || coll_idx || '?sort=new'
+    WHEN coll_idx % 6 = 4 THEN 'https://other.example.net/collections/c' || coll_idx || '?sort=new&page=1'
+    ELSE 'https://other.example.net/c/' || coll_idx || '/' END AS u
+  FROM (SELECT DISTINCT coll_idx FROM cl))"""
+oracle("expand_collection", f""", {COLLS}
+SELECT coll_idx, CAST(n AS INTEGER) AS page_no,
+  CASE WHEN contains(u, 'shop.example.com') THEN split_part(u, '?', 1) || '?page=' || n
+       WHEN coll_idx % 6 = 4 THEN split_part(u, '?', 1) || '?sort=new&page=' || n
+       WHEN contains(u, '?') THEN split_part(u, '?', 1) || '?sort=new&page=' || n
+       ELSE rtrim(u, '/') || '/page/' || n END AS page_url
+FROM colls, range(2, 11) t(n)""", "cl")
+
+oracle("pagination_prefix", """SELECT coll_idx, page_no FROM (
+  SELECT coll_idx, page_no, min(CASE WHEN page_no >= 2 THEN ok ELSE 1 END) OVER (PARTITION BY coll_idx ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS all_ok
+  FROM (SELECT coll_idx, page_no, max(CASE WHEN status = 200 AND body_len > 500 AND contains(product_url, '/products/') THEN 1 ELSE 0 END) AS ok
+        FROM cl GROUP BY 1, 2))
+WHERE page_no = 1 OR all_ok = 1""", "cl")
+
+oracle("pagination_two_empty", """SELECT coll_idx, page_no, n_new FROM (
+  SELECT *, min(CASE WHEN two_empty THEN page_no END) OVER (PARTITION BY coll_idx) AS stop_at,
+            min(CASE WHEN ok = 0 THEN page_no END) OVER (PARTITION BY coll_idx) AS fail_at
+  FROM (SELECT *, n_new = 0 AND lag(n_new) OVER (PARTITION BY coll_idx ORDER BY page_no) = 0 AS two_empty
+    FROM (SELECT p.coll_idx, p.page_no, p.ok, coalesce(f.n_new, 0) AS n_new
+      FROM (SELECT coll_idx, page_no, max(CASE WHEN status = 200 THEN 1 ELSE 0 END) AS ok FROM cl GROUP BY 1, 2) p
+      LEFT JOIN (SELECT coll_idx, first_page AS page_no, count(*) AS n_new
+                 FROM (SELECT coll_idx, product_url, min(page_no) AS first_page FROM cl GROUP BY 1, 2) GROUP BY 1, 2) f
+      USING (coll_idx, page_no))))
+WHERE (fail_at IS NULL OR page_no < fail_at) AND (stop_at IS NULL OR page_no <= stop_at) AND page_no <= 20""", "cl")
+
+oracle("frontier_limit", """SELECT product_url, coll_idx FROM (SELECT product_url, min(coll_idx) AS coll_idx FROM cl GROUP BY 1)
+WHERE coll_idx IN (
+  SELECT coll_idx FROM (
+    SELECT c.coll_idx, coalesce(sum(coalesce(n.n_new, 0)) OVER (ORDER BY c.coll_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM (SELECT DISTINCT coll_idx FROM cl) c
+    LEFT JOIN (SELECT coll_idx, count(*) AS n_new FROM (SELECT product_url, min(coll_idx) AS coll_idx FROM cl GROUP BY 1) GROUP BY 1) n
+    USING (coll_idx))
+  WHERE before < 100)""", "cl")
+
+oracle("url_union", "SELECT DISTINCT product_url FROM cl", "cl")
+oracle("sorted_urls", """SELECT product_url, row_number() OVER (ORDER BY product_url) AS i, count(*) OVER () AS total
+FROM (SELECT DISTINCT product_url FROM cl)""", "cl")
+
+oracle("is_product_url", """SELECT url, CASE WHEN host = 'shop.example.com' THEN contains(url, '/products/')
+  WHEN host = 'store.example.org' THEN contains(url, '/browse/product') OR contains(url, 'pid=') ELSE false END AS is_product
+FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host
+      FROM (SELECT product_url AS url FROM cl UNION ALL SELECT url FROM sp UNION ALL SELECT url FROM pages))""", "pt", "sp", "cl")
+
+oracle("first_nonempty_source", """SELECT coll_idx, page_no, product_url, CAST(coll_idx % 2 AS INTEGER) AS strategy FROM cl
+WHERE status = 200 AND body_len > 500
+  AND coll_idx % 2 = (SELECT min(coll_idx % 2) FROM cl WHERE status = 200 AND body_len > 500)""", "cl")
+
+oracle("robots_filter", """SELECT url, host, CASE
+    WHEN length(host) % 3 = 1 THEN NOT starts_with(path, '/fr/')
+    WHEN length(host) % 3 = 2 THEN starts_with(path, '/en/')
+    ELSE true END AS allowed
+FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
+        coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages)""")
+
+# ---- pages --------------------------------------------------------------------------------
+HREFS = "regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1)"
+oracle("extract_links", f"""SELECT DISTINCT CASE WHEN starts_with(h, '/') THEN '{SHOP_BASE}' || h ELSE h END AS product_url
+FROM (SELECT unnest({HREFS}) AS h FROM pp) WHERE contains(h, '/products/')""", "pt", "pp")
+
+
+def resolve(h: str, b: str) -> str:
+    root = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+    bdir = f"regexp_replace(regexp_replace({b}, '[?#].*$', ''), '/[^/]*$', '/')"
+    bdir = f"CASE WHEN regexp_matches({bdir}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$') THEN {bdir} || '/' ELSE {bdir} END"
+    return (f"CASE WHEN {h} = '' THEN {b} WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} "
+            f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || {h} "
+            f"WHEN starts_with({h}, '/') THEN {root} || {h} "
+            f"WHEN starts_with({h}, '?') THEN regexp_replace({b}, '[?#].*$', '') || {h} "
+            f"WHEN starts_with({h}, '#') THEN regexp_replace({b}, '#.*$', '') || {h} ELSE {bdir} || {h} END")
+
+
+oracle("resolve_url", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href, {resolve(strip('href'), 'url')} AS abs_url FROM (
+  SELECT page_id, url, i, {unescape('hs[i]')} AS href FROM (
+    SELECT page_id, url, hs, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT page_id, url, {HREFS} AS hs FROM pages)))""")
+
+oracle("source_site", "SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS source_site FROM pages")
+
+oracle("select_elements", """SELECT page_id,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a\\b', 0)) AS INTEGER) AS nav_links,
+  CAST(len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p\\b', 0)) AS INTEGER) AS article_paragraphs,
+  CAST(len(regexp_extract_all(html, '<div class="ad"|<footer\\b', 0)) AS INTEGER) AS boilerplate_blocks,
+  CAST(len(list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: contains(h, 'the'))) AS INTEGER) AS href_the
+FROM pages""")
+
+
+def _text_of(inner: str) -> str:
+    parts = f"string_split_regex({inner}, '<[/!?]?[A-Za-z][^>]*>')"
+    return (f"nullif(array_to_string(list_filter(list_transform({parts}, lambda p: {strip(unescape('p'))}), "
+            f"lambda p: p <> ''), ' '), '')")
+
+
+oracle("element_text", f"""SELECT page_id, coalesce({_text_of("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, '') AS h1_text,
+  coalesce({_text_of("regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1)")}, '') AS ad_text FROM pages""")
+
+# ---- colour ---------------------------------------------------------------------------
+oracle("rgb_to_hex", """SELECT DISTINCT image_id, r, g, b, '#' || upper(printf('%02x%02x%02x', r, g, b)) AS hex FROM px""", "px")
+oracle("dominant_color", """SELECT image_id, n AS n_pixels,
+  '#' || upper(printf('%02x%02x%02x', CAST(round(ar) AS INTEGER), CAST(round(ag) AS INTEGER), CAST(round(ab) AS INTEGER))) AS dominant_hex
+FROM (SELECT image_id, n, ar, ag, ab, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, rq, gq, bq) AS rk
+  FROM (SELECT image_id, r // 32 AS rq, g // 32 AS gq, b // 32 AS bq, count(*) AS n, avg(r) AS ar, avg(g) AS ag, avg(b) AS ab
+        FROM px GROUP BY 1, 2, 3, 4))
+WHERE rk = 1""", "px")
+
+_CSS = __import__("drapery.functions.color", fromlist=["CSS3_COLORS"]).CSS3_COLORS
+_CSS_VALUES = ", ".join(f"('{h}', '{n}')" for n, h in _CSS)
+oracle("css_color_name", f"""SELECT hex, coalesce((SELECT last(name ORDER BY ord) FROM (SELECT *, row_number() OVER () AS ord FROM (VALUES {_CSS_VALUES}) v(h, name)) WHERE h = '#' || six), 'Default') AS css_name
+FROM (SELECT hex, CASE WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN h
+    WHEN regexp_matches(h, '^[0-9a-f]{{3}}$') THEN repeat(h[1], 2) || repeat(h[2], 2) || repeat(h[3], 2) END AS six
+  FROM (SELECT hex, lower(regexp_replace(trim(coalesce(hex, '')), '^#', '')) AS h FROM (
+    SELECT DISTINCT hex FROM (SELECT '#' || upper(printf('%02x%02x%02x', r - r % 64, g - g % 64, b - b % 64)) AS hex FROM px
+                              UNION ALL SELECT hex FROM pt))))""", "pt", "px")
+_ = WS
+
+# ---- validation ---------------------------------------------------------------------------
+from .oracle import fabric_ctes  # noqa: E402
+
+VALID_IN = f""", {fabric_ctes()},
+f_tot AS (SELECT k, CAST(sum(pct) AS DOUBLE) AS tot FROM f_item GROUP BY k),
+vin AS (
+  SELECT pt.product_id, pt.product_type AS audience, pt.color_name AS subcategory,
+    coalesce(f_tot.tot, 0.0) AS natural_fiber_percent, 0.0 AS synthetic_fiber_percent
+  FROM pt LEFT JOIN f_tot ON f_tot.k = pt.product_id),
+verr AS (
+  SELECT product_id, list_filter([
+      CASE WHEN CAST(trunc(natural_fiber_percent) AS BIGINT) + CAST(trunc(synthetic_fiber_percent) AS BIGINT) > 105
+           THEN 'Invalid fiber total: ' || (CAST(trunc(natural_fiber_percent) AS BIGINT) + CAST(trunc(synthetic_fiber_percent) AS BIGINT)) || '%' END,
+      CASE WHEN coalesce(audience, '') = '' THEN 'Missing audience' END,
+      CASE WHEN coalesce(subcategory, '') = '' THEN 'Missing subcategory' END], lambda e: e IS NOT NULL) AS errs
+  FROM vin)"""
+
+oracle("validate", f"""{VALID_IN}
+SELECT product_id, array_to_string(errs, ', ') AS errors FROM verr""", "pt")
+
+oracle("validation_report", f"""{VALID_IN}
+SELECT product_id AS row_key, 'Row ' || product_id || ': ' || array_to_string(errs, ', ') AS message,
+  (SELECT count(*) FROM verr WHERE len(errs) > 0) AS n_invalid
+FROM verr WHERE len(errs) > 0 ORDER BY product_id LIMIT 10""", "pt")
