@@ -357,3 +357,83 @@ oracle("breadcrumb_category", """SELECT page_id, coalesce(nullif(regexp_extract(
 oracle("gallery_attr_images", """SELECT page_id, array_to_string(list_transform(regexp_extract_all(html,
   '<div class="pdp-photo-single-column-image" data-imageurl="([^"]*)"', 1), lambda u: CASE WHEN starts_with(u, '/') THEN 'https://store.example.org' || u ELSE u END), '|') AS gallery_image_urls
 FROM sp""", "pt", "sp")
+
+
+# --- style-map catalog ---------------------------------------------------------------
+STYLES_RE = "(?s)window\\.gap\\.properties\\.styles\\s*=\\s*(\\{.+?\\});"
+SP_PAGES = f"""
+pg0 AS (
+  SELECT page_id, url, html, regexp_extract(html, '{STYLES_RE}', 1) AS js,
+    list_filter(regexp_extract_all(html, '{LD}', 1),
+      lambda s: CASE WHEN {obj_ok('s')} THEN coalesce(json_extract_string(s, '$."@type"') = 'Product', false) ELSE false END)[1] AS ld
+  FROM sp),
+pg1 AS (
+  SELECT page_id, url, html, js, json_keys(js) AS keys,
+    coalesce(TRY_CAST(json_extract_string(ld, '$.offers.price') AS DOUBLE), 0.0) AS price,
+    coalesce(json_extract_string(ld, '$.offers.priceCurrency'), 'USD') AS currency,
+    coalesce(nullif(regexp_extract(html, '<h1 class="product-name">([^<]*)</h1>', 1), ''), 'Unknown Product') AS title,
+    {html2text("regexp_extract(html, '(?s)<div class=\"product-details__description\">(.*?)</div>', 1)")} AS materials_text,
+    coalesce(nullif(regexp_extract(html, '<a class="breadcrumbs__crumb" href="[^"]*/browse/womens-clothing[^"]*">([^<]*)</a>', 1), ''), 'Sweaters') AS category
+  FROM pg0 WHERE js <> '' AND json_valid(js) AND len(json_keys(js)) > 0),
+pgf AS (
+  SELECT *, left(materials_text, 200) AS materials_snippet,
+    regexp_extract_all(html, '(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1) AS tokens
+  FROM pg1)"""
+
+_SP_SEL_IMGS = ("list_transform(regexp_extract_all(regexp_extract(html, '(?s)<div class=\"pdp-photo-single-column-image\"[^>]*>(.*?)</div>', 1), "
+                "'<img\\b[^>]*>', 0), lambda tag: coalesce(" + img_attr("tag", "src") + ", " + img_attr("tag", "data-src")
+                + ", ''))")
+
+SP_VARIANTS = f"""
+vr AS (
+  SELECT pr4.*, i - 1 AS pos, keys[i] AS style_key,
+    coalesce(json_extract_string(js, '$."' || keys[i] || '".displayName'), 'Default') AS color_name,
+    coalesce(json_extract_string(json_extract(js, '$."' || keys[i] || '".images'), '$[*].url'), []) AS style_imgs
+  FROM pr4, range(1, CAST(len(keys) + 1 AS BIGINT)) t(i)),
+rec AS (
+  SELECT *, CASE WHEN len(page_gal) > 0 THEN page_gal ELSE {ordered_distinct(f"list_filter(list_transform(style_imgs, lambda u: {norm_img('u', STORE_BASE)}), lambda u: u <> '')")} END AS gallery
+  FROM (SELECT *, {ordered_distinct(f"list_filter(list_transform({_SP_SEL_IMGS} || {_GENERIC_IMGS}, lambda u: {norm_img('u', STORE_BASE)}), lambda u: u <> '' AND {is_prod_img('u', 'style_key')})")}[1:10] AS page_gal FROM vr)),
+rec2 AS (
+  SELECT *, left(md5(style_key), 12) AS style_id, left(md5(style_key), 12) || '-' || left(md5(color_name), 12) AS color_id,
+    coalesce(gallery[1], '') AS image_url,
+    CASE WHEN price = 0 THEN 'missing_price' WHEN materials_text = '' THEN 'missing_materials' ELSE 'ok' END AS scrape_status,
+    lower(color_name || ' ' || title || ' ' || materials_text) AS ct, lower(color_name || ' ' || title) AS pt_
+  FROM rec)"""
+
+SP_SELECT = f"""
+SELECT 3 AS schema_version, style_id, style_key AS style_slug, color_id,
+  CASE WHEN color_name <> '' THEN {title_case_sql('color_name')} ELSE '' END AS color_name,
+  color_name_normalized, '' AS dominant_hex, pattern_type, color_name_normalized AS color_family, image_url,
+  array_to_string(gallery, '|') AS gallery_image_urls, url AS product_url, 'Example Store' AS brand_name,
+  'store.example.org' AS source_site, title AS product_title,
+  CASE WHEN category <> '' THEN {title_case_sql('category')} ELSE '' END AS category, is_apparel,
+  CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw, price, currency,
+  materials_text AS materials_raw_or_page_text, materials_snippet, scrape_status, audience, subcategory,
+  array_to_string(sizes_l, '|') AS sizes_available, array_to_string(waist_l, '|') AS waist_sizes, length,
+  natural_fiber_percent, synthetic_fiber_percent, is_100pct_natural, is_natural_approved, fiber_families,
+  synthetic_fibers_present, care_level, description, fabric_breakdown_pretty, fabric_tags, occasion_tag, '' AS sku,
+  '' AS color_code, '' AS fit_type, '' AS care_instructions, '' AS product_weight, '' AS country_of_origin,
+  '' AS sustainability_tags, '' AS season, '' AS collection_name
+FROM (SELECT *, color_name AS rec_color, {NORM_COLOR} AS color_name_normalized, {PATTERN} AS pattern_type FROM rec2)
+QUALIFY row_number() OVER (PARTITION BY style_id, rec_color ORDER BY page_id, pos) = 1"""
+
+SP_PIPELINE = f", {SP_PAGES.strip()}{fiber_split_ctes('pgf', 'page_id', 'materials_text')},{PAGE_FIELDS},{SP_VARIANTS}"
+oracle("catalog_styles", f"{SP_PIPELINE}\n{SP_SELECT}", "pt", "sp")
+
+_CTE_NAMES = ["pg0", "pg1", "pg2", "pgf", "f_norm", "f_start", "f_lists", "f_comp", "f_c1", "f_c2", "f_c3", "f_c4",
+              "f_item", "f_fam", "f_split", "f_split_all", "pr", "pr2", "pr3", "pr4", "px", "vr0", "vr", "rec", "rec2"]
+
+
+def _rename(sql: str, prefix: str) -> str:
+    import re
+    for n in sorted(_CTE_NAMES, key=len, reverse=True):
+        sql = re.sub(rf"\b{n}\b(?=\s+AS\s*\(|\s*\.|\s*,|\s*\)|\s+USING|\s+ON|\s+WHERE|\s+JOIN|\s+pr|\s*$|\s+t\(|\s+px|\s+f\b|\s+s\b|\s+LEFT)", prefix + n, sql, flags=re.M)
+        sql = re.sub(rf"(FROM|JOIN)\s+{n}\b", rf"\1 {prefix}{n}", sql)
+    return sql
+
+
+oracle("union_sites", f"""{SHOP_PIPELINE}, shop_cat AS ({CATALOG_SELECT.strip().replace('FROM (SELECT *, ', 'FROM (SELECT *, color_name AS rec_color, ', 1)}
+  QUALIFY row_number() OVER (PARTITION BY style_id, rec_color ORDER BY page_id, pos) = 1)
+{_rename(SP_PIPELINE, 's_')}, style_cat AS ({_rename(SP_SELECT, 's_')})
+SELECT brand_name, style_id, color_name, product_url, sku, season FROM shop_cat
+UNION ALL SELECT brand_name, style_id, color_name, product_url, NULL, NULL FROM style_cat""", "pt", "pp", "sp")
