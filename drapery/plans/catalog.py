@@ -22,6 +22,7 @@ from ..operators import elements as E
 from ..operators.extract import explode_styles, explode_variants, ldjson_objects, ldjson_offer_price, product_json
 from ..operators.fabric import with_fabric
 from ..operators.records import CATALOG_COLUMNS, dedup_first, scrape_status, standardize
+from ..session import spread
 from ..sources.sites import Site
 
 GENERIC_GALLERY = '[class*="product"] img, [class*="gallery"] img, [class*="media"] img'
@@ -76,7 +77,7 @@ def _describe():
 
 def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of embedded-JSON product pages (failed pages dropped)."""
-    p = pages.withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
+    p = spread(pages).withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
     p = E.html_elements(p)
     p = (p.withColumn("title", F.col("product.title"))
          .withColumn("style_slug", K.style_slug("url"))
@@ -145,7 +146,7 @@ def _catalog_inputs(df: DataFrame):
 def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of style-map product pages."""
     from ..operators.extract import json_assign_extract, STYLE_SCHEMA
-    p = pages.withColumn("styles", json_assign_extract("html", H.STYLES_ASSIGN, STYLE_SCHEMA))
+    p = spread(pages).withColumn("styles", json_assign_extract("html", H.STYLES_ASSIGN, STYLE_SCHEMA))
     p = p.filter(F.col("styles").isNotNull() & (F.size("styles") > 0))
     p = E.html_elements(p)
     title_el = F.get(E.select("elements", site.selectors.get("product_title", "h1.product-name")), 0)

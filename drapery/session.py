@@ -45,3 +45,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a small input over the cluster before heavy per-row work.
+
+    Inputs that already have at least ``min_partitions`` partitions (any
+    real page table) are returned unchanged, so large jobs add no shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
