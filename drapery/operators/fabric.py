@@ -13,16 +13,16 @@ def with_fabric(df: DataFrame, materials: str = "materials", mode: str = "max",
 
     ``mode``: max | sum | list (see ``fabric_summary``); ``split``:
     intended | literal (see ``fiber_split`` / ``fiber_split_literal``).
+    Three projections in total, so the plan is analysed three times, not
+    once per column.
     """
-    s = fb.fabric_summary(materials, mode)
-    out = df.withColumn("_fab", s)
-    out = out.withColumn("fabric_breakdown_pretty", F.coalesce(F.col("_fab.breakdown"), F.lit("")))
-    out = out.withColumn("fabric_tag_list", F.col("_fab.tags"))
-    fs = fb.fiber_split(F.col("_fab")) if split == "intended" else fb.fiber_split_literal("fabric_breakdown_pretty")
-    out = out.withColumn("_fs", fs)
-    out = out.select("*", *[F.col(f"_fs.{c}").alias(c) for c in (
-        "natural_fiber_percent", "synthetic_fiber_percent", "is_100pct_natural", "is_natural_approved",
-        "fiber_families", "synthetic_fibers_present")])
+    out = df.withColumn("_fab", fb.fabric_summary(materials, mode))
+    bd = F.coalesce(F.col("_fab.breakdown"), F.lit(""))
+    fs = fb.fiber_split(F.col("_fab")) if split == "intended" else fb.fiber_split_literal(bd)
+    out = out.withColumns({"fabric_breakdown_pretty": bd, "fabric_tag_list": F.col("_fab.tags"), "_fs": fs})
+    cols = ("natural_fiber_percent", "synthetic_fiber_percent", "is_100pct_natural", "is_natural_approved",
+            "fiber_families", "synthetic_fibers_present")
+    out = out.withColumns({c: F.col(f"_fs.{c}") for c in cols})
     out = out.withColumn("fabric_tags", fb.fabric_tags("fabric_breakdown_pretty", "fiber_families", "is_100pct_natural"))
     return out.drop("_fab", "_fs")
 

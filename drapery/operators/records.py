@@ -49,7 +49,7 @@ def _bool_of(c: Column, dtype: str) -> Column:
     return F.coalesce(c.cast("double") != 0, F.lit(False))
 
 
-def standardize(df: DataFrame, columns=CATALOG_COLUMNS) -> DataFrame:
+def standardize(df: DataFrame, columns=CATALOG_COLUMNS, passthrough=()) -> DataFrame:
     """Project to the fixed column list with coercion and defaults.
 
     Numbers: ``try_cast`` to double, 0 on failure; booleans parsed; lists kept
@@ -79,7 +79,7 @@ def standardize(df: DataFrame, columns=CATALOG_COLUMNS) -> DataFrame:
         else:
             e = F.coalesce(v.cast("string"), F.lit("")) if present else F.lit("")
         out.append(e.alias(c))
-    res = df.select(*out)
+    res = df.select(*out, *[F.col(c) for c in passthrough])
     if "color_name" in columns:
         res = res.withColumn("color_name", F.when(F.col("color_name") != "", title_case("color_name"))
                              .otherwise(F.lit("")))

@@ -57,86 +57,102 @@ def title_materials_fallback(title):
 
 def _rule_columns(df: DataFrame, html: str = "html") -> DataFrame:
     """Columns derived from title / category / materials (page level)."""
-    df = with_fabric(df, "materials_text")
-    return (df
-            .withColumn("audience", R.audience("title", "category"))
-            .withColumn("subcategory", R.subcategory("category", "title"))
-            .withColumn("size_tokens", H.size_tokens(html))
-            .withColumn("sizes_available", H.sizes("size_tokens"))
-            .withColumn("waist_sizes", H.waist_sizes("size_tokens", "subcategory"))
-            .withColumn("length", R.length_option("title", html))
-            .withColumn("care_level", R.care_level(F.array_join("fiber_families", "|")))
-            .withColumn("occasion_tag", R.occasion("title", "category", "subcategory"))
-            .withColumn("description", _describe()))
-
-
-def _describe():
     from ..functions.text import generate_description
-    return generate_description("title", "materials_snippet", "category")
+    df = with_fabric(df, "materials_text")
+    df = df.withColumns({
+        "audience": R.audience("title", "category"),
+        "subcategory": R.subcategory("category", "title"),
+        "size_tokens": H.size_tokens(html),
+        "length": R.length_option("title", html),
+        "care_level": R.care_level(F.array_join("fiber_families", "|")),
+        "description": generate_description("title", "materials_snippet", "category"),
+    })
+    return df.withColumns({
+        "sizes_available": H.sizes("size_tokens"),
+        "waist_sizes": H.waist_sizes("size_tokens", "subcategory"),
+        "occasion_tag": R.occasion("title", "category", "subcategory"),
+    })
 
 
 def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of embedded-JSON product pages (failed pages dropped)."""
+    from ..functions.text import country_of_origin
     p = spread(pages).withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
     p = E.html_elements(p)
-    p = (p.withColumn("title", F.col("product.title"))
-         .withColumn("style_slug", K.style_slug("url"))
-         .withColumn("style_id", K.style_id("style_slug"))
-         .withColumn("category", R.title_category("title", "product.ptype"))
-         .withColumn("is_apparel", R.is_apparel("category"))
-         .withColumn("materials_raw", H.html_to_text("product.description"))
-         .withColumn("materials_snippet", materials_snippet("materials_raw"))
-         .withColumn("materials_text", F.when(F.col("materials_raw") != "", F.col("materials_raw"))
-                     .otherwise(title_materials_fallback(F.col("title")))))
+    p = p.withColumns({
+        "title": F.col("product.title"),
+        "style_slug": K.style_slug("url"),
+        "category": R.title_category(F.col("product.title"), "product.ptype"),
+        "materials_raw": H.html_to_text("product.description"),
+    })
+    p = p.withColumns({
+        "style_id": K.style_id("style_slug"),
+        "is_apparel": R.is_apparel("category"),
+        "materials_snippet": materials_snippet("materials_raw"),
+        "materials_text": F.when(F.col("materials_raw") != "", F.col("materials_raw"))
+        .otherwise(title_materials_fallback(F.col("title"))),
+    })
     p = _rule_columns(p)
     care_texts = F.transform(E.class_contains("elements", "care", ["div", "p", "span"]), lambda e: e["text"])
-    return (p
-            .withColumn("gallery", gallery_images("elements", site.selectors.get("gallery_images", ""),
-                                                  "style_slug", F.lit(site.base_url)))
-            .withColumn("sku", H.sku("html", F.transform(ldjson_objects("html"), lambda o: o["sku"])))
-            .withColumn("fit_type", R.fit_type("title", "materials_text", "category"))
-            .withColumn("care_instructions", H.care_instructions(care_texts, "materials_text"))
-            .withColumn("sustainability_tags", R.sustainability_tags("html"))
-            .withColumn("country_of_origin", _country())
-            .withColumn("season", R.season("title", "category", "html"))
-            .drop("elements"))
-
-
-def _country():
-    from ..functions.text import country_of_origin
-    return country_of_origin("html")
+    return p.withColumns({
+        "gallery": gallery_images("elements", site.selectors.get("gallery_images", ""), "style_slug",
+                                  F.lit(site.base_url)),
+        "sku": H.sku("html", F.transform(ldjson_objects("html"), lambda o: o["sku"])),
+        "fit_type": R.fit_type("title", "materials_text", "category"),
+        "care_instructions": H.care_instructions(care_texts, "materials_text"),
+        "sustainability_tags": R.sustainability_tags("html"),
+        "country_of_origin": country_of_origin("html"),
+        "season": R.season("title", "category", "html"),
+    }).drop("elements")
 
 
 def shopify_variants(pages: DataFrame, site: Site) -> DataFrame:
     """Variant rows of embedded-JSON pages, before de-duplication."""
     v = explode_variants(shopify_pages(pages, site))
-    image = F.when(F.col("v.fi_truthy"), F.when(F.col("v.fi_src") != "", K.normalize_image_url("v.fi_src", F.lit(site.base_url)))
+    base = F.lit(site.base_url)
+    image = F.when(F.col("v.fi_truthy"), F.when(F.col("v.fi_src") != "", K.normalize_image_url("v.fi_src", base))
                    .otherwise(F.lit(""))).otherwise(F.coalesce(F.get("gallery", 0), F.lit("")))
-    return (v
-            .withColumn("color_id", K.color_id("style_id", "color_name"))
-            .withColumn("price", F.col("variant_price"))
-            .withColumn("currency", F.col("product.currency"))
-            .withColumn("image_url", image)
-            .withColumn("scrape_status", scrape_status("price", "materials_text"))
-            .withColumn("color_name_normalized", normalize_color("color_name", "title", "materials_text"))
-            .withColumn("pattern_type", R.pattern_type("color_name", "title"))
-            .withColumn("color_family", F.col("color_name_normalized"))
-            .withColumn("color_code", F.col("variant_id"))
-            .withColumn("gallery_image_urls", F.col("gallery"))
-            .withColumn("product_url", F.col("url"))
-            .withColumn("brand_name", F.lit(site.brand))
-            .withColumn("source_site", F.lit(site.host))
-            .withColumn("product_title", F.col("title"))
-            .withColumn("price_raw", format_price("price"))
-            .withColumn("materials_raw_or_page_text", F.col("materials_text")))
-
-
-def catalog_shopify(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFrame:
-    """Embedded-JSON product pages -> standardised catalog rows."""
+    v = v.withColumns({
+        "color_id": K.color_id("style_id", "color_name"),
+        "price": F.col("variant_price"),
+        "currency": F.col("product.currency"),
+        "image_url": image,
+        "scrape_status": scrape_status("variant_price", "materials_text"),
+        "color_name_normalized": normalize_color("color_name", "title", "materials_text"),
+        "pattern_type": R.pattern_type("color_name", "title"),
+        "color_code": F.col("variant_id"),
+        "gallery_image_urls": F.col("gallery"),
+        "product_url": F.col("url"),
+        "brand_name": F.lit(site.brand),
+        "source_site": F.lit(site.host),
+        "product_title": F.col("title"),
+        "price_raw": format_price("variant_price"),
+        "materials_raw_or_page_text": F.col("materials_text"),
+    })
+    return v.withColumn("color_family", F.col("color_name_normalized"))
+
+
+def catalog_rows(pages: DataFrame, site: Site) -> DataFrame:
+    """Variant rows with only the catalog inputs and ``(page_id, pos)``
+    (narrow; works on streaming frames too)."""
     v = shopify_variants(pages, site)
+    return v.select(*_catalog_inputs(v), "page_id", "pos")
+
+
+def finish_catalog(rows: DataFrame, dedupe: bool = True, keep_order: bool = False) -> DataFrame:
+    """First row per (style_id, color_name) in page order, then standardise.
+
+    ``keep_order`` keeps ``page_id`` and ``pos`` so that later merges (e.g.
+    across stream micro-batches) can still pick the first row per key.
+    """
     if dedupe:
-        v = dedup_first(v.select(*_catalog_inputs(v), "page_id", "pos"), ["style_id", "color_name"], ["page_id", "pos"])
-    return standardize(v)
+        rows = dedup_first(rows, ["style_id", "color_name"], ["page_id", "pos"])
+    return standardize(rows, passthrough=("page_id", "pos") if keep_order else ())
+
+
+def catalog_shopify(pages: DataFrame, site: Site, dedupe: bool = True, keep_order: bool = False) -> DataFrame:
+    """Embedded-JSON product pages -> standardised catalog rows."""
+    return finish_catalog(catalog_rows(pages, site), dedupe, keep_order)
 
 
 def _catalog_inputs(df: DataFrame):
@@ -155,18 +171,24 @@ def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
                            lambda e: F.coalesce(F.instr(E.attr(e, "href"), "/browse/womens-clothing") > 0,
                                                 F.lit(False))), 0)
     offer = ldjson_offer_price("html")
-    p = (p.withColumn("title", F.coalesce(title_el["text"], F.lit("Unknown Product")))
-         .withColumn("materials_text", F.coalesce(desc_el["text"], F.lit("")))
-         .withColumn("materials_snippet", materials_snippet("materials_text"))
-         .withColumn("category", F.coalesce(crumb["text"], F.lit("Sweaters")))
-         .withColumn("is_apparel", R.is_apparel("category"))
-         .withColumn("price", offer["price"])
-         .withColumn("currency", offer["currency"]))
+    p = p.withColumns({
+        "title": F.coalesce(title_el["text"], F.lit("Unknown Product")),
+        "materials_text": F.coalesce(desc_el["text"], F.lit("")),
+        "category": F.coalesce(crumb["text"], F.lit("Sweaters")),
+        "_offer": offer,
+    })
+    p = p.withColumns({
+        "materials_snippet": materials_snippet("materials_text"),
+        "is_apparel": R.is_apparel("category"),
+        "price": F.col("_offer.price"),
+        "currency": F.col("_offer.currency"),
+    }).drop("_offer")
     p = _rule_columns(p)
     sel = site.selectors.get("gallery_images", "")
-    return p.withColumn("sel_images", F.transform(E.select("elements", sel), _img_src) if sel else F.array()) \
-            .withColumn("generic_images", F.transform(E.select("elements", GENERIC_GALLERY), _img_src)) \
-            .drop("elements")
+    return p.withColumns({
+        "sel_images": F.transform(E.select("elements", sel), _img_src) if sel else F.array().cast("array<string>"),
+        "generic_images": F.transform(E.select("elements", GENERIC_GALLERY), _img_src),
+    }).drop("elements")
 
 
 def catalog_styles(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFrame:
@@ -178,21 +200,25 @@ def catalog_styles(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFra
     style_imgs = F.array_distinct(F.filter(F.transform(F.coalesce(F.col("style.images"), F.array()),
                                                        lambda i: K.normalize_image_url(i["url"], base)),
                                            lambda u: u != ""))
-    s = (s.withColumn("style_slug", F.col("style_key"))
-         .withColumn("style_id", K.style_id("style_key"))
-         .withColumn("color_id", K.color_id("style_id", "color_name"))
-         .withColumn("gallery_image_urls", F.when(F.size(page_gallery) > 0, page_gallery).otherwise(style_imgs))
-         .withColumn("image_url", F.coalesce(F.get("gallery_image_urls", 0), F.lit("")))
-         .withColumn("scrape_status", scrape_status("price", "materials_text"))
-         .withColumn("color_name_normalized", normalize_color("color_name", "title", "materials_text"))
-         .withColumn("pattern_type", R.pattern_type("color_name", "title"))
-         .withColumn("color_family", F.col("color_name_normalized"))
-         .withColumn("product_url", F.col("url"))
-         .withColumn("brand_name", F.lit(site.brand))
-         .withColumn("source_site", F.lit(site.host))
-         .withColumn("product_title", F.col("title"))
-         .withColumn("price_raw", format_price("price"))
-         .withColumn("materials_raw_or_page_text", F.col("materials_text")))
+    s = s.withColumns({
+        "style_slug": F.col("style_key"),
+        "style_id": K.style_id("style_key"),
+        "gallery_image_urls": F.when(F.size(page_gallery) > 0, page_gallery).otherwise(style_imgs),
+        "scrape_status": scrape_status("price", "materials_text"),
+        "color_name_normalized": normalize_color("color_name", "title", "materials_text"),
+        "pattern_type": R.pattern_type("color_name", "title"),
+        "product_url": F.col("url"),
+        "brand_name": F.lit(site.brand),
+        "source_site": F.lit(site.host),
+        "product_title": F.col("title"),
+        "price_raw": format_price("price"),
+        "materials_raw_or_page_text": F.col("materials_text"),
+    })
+    s = s.withColumns({
+        "color_id": K.color_id("style_id", "color_name"),
+        "image_url": F.coalesce(F.get("gallery_image_urls", 0), F.lit("")),
+        "color_family": F.col("color_name_normalized"),
+    })
     keep = [c for c in CATALOG_COLUMNS if c in s.columns and c not in (
         "sku", "fit_type", "care_instructions", "country_of_origin", "sustainability_tags", "season", "color_code")]
     s = s.select(*keep, "page_id", "pos")

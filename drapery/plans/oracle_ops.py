@@ -208,3 +208,6 @@ oracle("validation_report", f"""{VALID_IN}
 SELECT product_id AS row_key, 'Row ' || product_id || ': ' || array_to_string(errs, ', ') AS message,
   (SELECT count(*) FROM verr WHERE len(errs) > 0) AS n_invalid
 FROM verr WHERE len(errs) > 0 ORDER BY product_id LIMIT 10""", "pt")
+
+oracle("stream_catalog", ORACLE_CATALOG := __import__("drapery.plans.oracle", fromlist=["ORACLE"]).ORACLE["catalog_shopify"])
+ORACLE_CHECKPOINT = oracle("checkpoint_append", ORACLE_CATALOG)

@@ -53,6 +53,8 @@ def spread(df, min_partitions: int | None = None):
     Inputs that already have at least ``min_partitions`` partitions (any
     real page table) are returned unchanged, so large jobs add no shuffle.
     """
+    if df.isStreaming:
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df

@@ -1,10 +1,14 @@
 """The catalog plan as a Structured Streaming job.
 
-Pages land as files in a folder; each micro-batch is turned into catalog
-rows, rows whose URL is already in the sink are skipped (anti join on the
-URL only), and the rest are appended. The checkpoint folder makes the sink
-exactly-once across restarts: a re-run batch overwrites its own
-``batch_id=`` partition instead of appending twice.
+Pages land as files in a folder. The stream applies the stateless catalog
+transforms once (JSON, elements, rules - all narrow), drops URLs it has
+already seen (``dropDuplicates`` on the URL, state kept in the checkpoint),
+and hands each micro-batch to ``foreachBatch``, which skips URLs already in
+the sink from earlier runs (URL-only anti join), keeps the first row per
+(style_id, color_name), and writes the batch to its own ``batch_id=``
+partition. A replayed batch overwrites its partition, so the sink is
+exactly-once; reading it merges batches with the batch plan's rule, so
+stream output equals batch output.
 """
 
 from __future__ import annotations
@@ -12,48 +16,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import CATALOG_COLUMNS
-from ..plans.catalog import catalog_shopify
+from ..operators.records import CATALOG_COLUMNS, dedup_first
+from ..plans.catalog import catalog_rows, finish_catalog
 from ..sources.sites import Site
 
+PAGES_SCHEMA = "page_id bigint, url string, html string"
 
-def _existing_urls(spark: SparkSession, sink: str) -> DataFrame | None:
+
+def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(sink)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    return spark.read.parquet(sink).select(F.col("product_url").alias("url")).distinct()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def land_pages(pages: DataFrame, landing: str, pages_per_file: int = 25) -> None:
+    """Write pages as files of at most ``pages_per_file`` rows (what a fetcher
+    would drop into the landing folder)."""
+    pages.select("page_id", "url", "html").write.mode("append").option("maxRecordsPerFile", pages_per_file).parquet(landing)
 
 
 def stream_catalog(spark: SparkSession, landing: str, sink: str, checkpoint: str, site: Site,
-                   pages_schema: str = "page_id bigint, url string, html string", max_files_per_trigger: int = 1,
-                   skip_done: bool = True):
-    """Start the stream; returns the ``StreamingQuery``."""
-    pages = (spark.readStream.schema(pages_schema).option("maxFilesPerTrigger", max_files_per_trigger)
-             .parquet(landing))
+                   files_per_trigger: int = 1, skip_done: bool = True):
+    """Start the stream (``availableNow``: drain what has landed, then stop)."""
+    pages = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    rows = catalog_rows(pages.dropDuplicates(["url"]), site)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         todo = batch
-        if skip_done:
-            done = _existing_urls(batch.sparkSession, sink)
-            if done is not None:
-                todo = todo.join(done, "url", "left_anti")
-        rows = catalog_shopify(todo, site).withColumn("batch_id", F.lit(batch_id))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if skip_done and _exists(batch.sparkSession, sink):
+            done = batch.sparkSession.read.parquet(sink).select("product_url").distinct()
+            todo = todo.join(done, "product_url", "left_anti")
+        out = finish_catalog(todo, keep_order=True).withColumn("batch_id", F.lit(batch_id))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink))
 
-    return (pages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    """The appended catalog, de-duplicated across batches by (style_id, color_name)."""
-    from ..operators.records import dedup_first
+    """All appended rows merged: first row per (style_id, color_name) in page order."""
     df = spark.read.parquet(sink)
-    return dedup_first(df, ["style_id", "color_name"], ["batch_id", "product_url"]).select(*CATALOG_COLUMNS)
+    return dedup_first(df, ["style_id", "color_name"], ["page_id", "pos"]).select(*CATALOG_COLUMNS)
 
 
-def land_pages(pages: DataFrame, landing: str, files: int) -> None:
-    """Write pages as ``files`` parquet files (a stand-in for a fetcher's output)."""
-    pages.repartition(files, "page_id").write.mode("overwrite").parquet(landing)
+def batch_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """Rows saved per micro-batch (the incremental-save log)."""
+    return spark.read.parquet(sink).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"),
+                                                            F.count_distinct("page_id").alias("pages"))
