@@ -22,8 +22,9 @@ def resolve_url(href, base) -> Column:
 def _resolve(h: Column, b: Column) -> Column:
     scheme = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    base_dir = F.regexp_replace(F.regexp_replace(b, "[?#].*$", ""), "/[^/]*$", "/")
-    base_dir = F.when(base_dir.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"), F.concat(base_dir, F.lit("/"))).otherwise(base_dir)
+    path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    base_dir = F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder))
     return (F.when(h.isNull(), F.lit(None))
             .when(h == "", b)
             .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)

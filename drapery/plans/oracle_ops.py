@@ -133,8 +133,8 @@ FROM (SELECT unnest({HREFS}) AS h FROM pp) WHERE contains(h, '/products/')""", "
 
 def resolve(h: str, b: str) -> str:
     root = f"regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-    bdir = f"regexp_replace(regexp_replace({b}, '[?#].*$', ''), '/[^/]*$', '/')"
-    bdir = f"CASE WHEN regexp_matches({bdir}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$') THEN {bdir} || '/' ELSE {bdir} END"
+    folder = f"regexp_replace(regexp_extract({b}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+    bdir = f"{root} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END"
     return (f"CASE WHEN {h} = '' THEN {b} WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} "
             f"WHEN starts_with({h}, '//') THEN regexp_extract({b}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) || ':' || {h} "
             f"WHEN starts_with({h}, '/') THEN {root} || {h} "
