@@ -60,6 +60,7 @@ class _Tree(HTMLParser):
         self.nodes = []        # dicts, index = node_id
         self.stack = []        # open node ids
         self.texts = []        # stripped non-empty text nodes, document order
+        self.raw = []          # unstripped text nodes (``get_text()`` with no separator)
         self.raw_depth = 0
 
     def handle_starttag(self, tag, attrs):
@@ -100,6 +101,7 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         if self.raw_depth > 0 or not self.stack:
             return
+        self.raw.append(data)
         s = _WS.sub("", data)
         if s:
             self.texts.append(s)
@@ -119,34 +121,56 @@ class _Tree(HTMLParser):
         return out
 
 
-def parse_elements(html: str | None) -> list:
-    """Element dicts of one page (empty list for null / unparsable input)."""
+def parse_page(html: str | None):
+    """``(elements, page_text)`` of one page; empty for null input."""
     if not html:
-        return []
+        return [], ""
     tree = _Tree()
     try:
         tree.feed(html)
-        return tree.finish()
     except Exception:  # noqa: BLE001 - malformed markup yields what was parsed
-        return tree.finish() if tree.nodes else []
+        pass
+    return tree.finish(), "".join(tree.raw)
+
+
+def parse_elements(html: str | None) -> list:
+    """Element dicts of one page (empty list for null / unparsable input)."""
+    return parse_page(html)[0]
 
 
 def html_elements(pages: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:
-    """Attach ``elements: array<element>`` to every page row (one Arrow pass)."""
-    out_schema = T.StructType(list(pages.schema.fields) + [T.StructField("elements", T.ArrayType(ELEMENT_TYPE))])
+    """Attach ``elements: array<element>`` and ``page_text`` (all text, no
+    separator, scripts excluded) to every page row (one Arrow pass)."""
+    out_schema = T.StructType(list(pages.schema.fields) + [T.StructField("elements", T.ArrayType(ELEMENT_TYPE)),
+                                                           T.StructField("page_text", T.StringType())])
     names = pages.columns
     idx = names.index(html_col)
 
     def run(batches):
         for rb in batches:
-            htmls = rb.column(idx).to_pylist()
-            elems = pa.array([parse_elements(h) for h in htmls], type=pa.list_(_PA_ELEMENT))
-            yield pa.RecordBatch.from_arrays(list(rb.columns) + [elems], names=names + ["elements"])
+            parsed = [parse_page(h) for h in rb.column(idx).to_pylist()]
+            elems = pa.array([p[0] for p in parsed], type=pa.list_(_PA_ELEMENT))
+            text = pa.array([p[1] for p in parsed], type=pa.string())
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [elems, text], names=names + ["elements", "page_text"])
 
     out = pages.mapInArrow(run, out_schema)
     return out if keep_html else out.drop(html_col)
 
 
+def select_one(elements, selector: str) -> Column:
+    """First match of ``selector`` (null when none)."""
+    return F.get(select(elements, selector), 0)
+
+
+def first_of_selectors(elements, selectors: str, value, keep=None) -> Column:
+    """The reference's loop over ``selectors.split(", ")``: per selector the
+    first element, first non-empty ``value(e)`` wins."""
+    vals = [value(select_one(elements, s)) for s in selectors.split(", ")]
+    if keep is None:
+        return F.coalesce(*[F.when(F.coalesce(v, F.lit("")) != "", v) for v in vals])
+    return F.coalesce(*[F.when(keep(v), v) for v in vals])
+
+
 def explode_elements(df: DataFrame, key: str = "page_id") -> DataFrame:
     """Row form: one row per element."""
     return df.select(key, F.explode("elements").alias("e")).select(key, "e.*")
@@ -155,8 +179,8 @@ def explode_elements(df: DataFrame, key: str = "page_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 # CSS subset -> element predicates
 # ---------------------------------------------------------------------------
-_SIMPLE = re.compile(r"""^(?P<tag>[a-zA-Z][a-zA-Z0-9-]*|\*)?(?P<rest>(?:\.[\w-]+|\[[^\]]+\])*)$""")
-_PART = re.compile(r"""\.([\w-]+)|\[\s*([\w-]+)\s*(?:(\*=|=|\^=|\$=)\s*['"]?([^'"\]]*)['"]?)?\s*\]""")
+_SIMPLE = re.compile(r"""^(?P<tag>[a-zA-Z][a-zA-Z0-9-]*|\*)?(?P<rest>(?:\.[\w-]+|\[[^\]]+\]|#[\w-]+)*)$""")
+_PART = re.compile(r"""\.([\w-]+)|\[\s*([\w-]+)\s*(?:(\*=|=|\^=|\$=)\s*['"]?([^'"\]]*)['"]?)?\s*\]|#([\w-]+)""")
 
 
 def _simple_pred(sel: str, e: Column) -> Column:
@@ -166,8 +190,10 @@ def _simple_pred(sel: str, e: Column) -> Column:
     conds = []
     if m.group("tag") and m.group("tag") != "*":
         conds.append(e["tag"] == m.group("tag").lower())
-    for cls, attr, op, val in _PART.findall(m.group("rest") or ""):
-        if cls:
+    for cls, attr, op, val, ident in _PART.findall(m.group("rest") or ""):
+        if ident:
+            conds.append(F.coalesce(e["id"] == ident, F.lit(False)))
+        elif cls:
             conds.append(F.array_contains(e["classes"], cls))
         elif not op:
             conds.append(F.map_contains_key(e["attrs"], attr))

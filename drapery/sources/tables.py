@@ -92,3 +92,25 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with ``WITH`` clauses for the named fixture views."""
     ctes = ",\n".join(f"{n} AS ({duckdb_view_sql(n)})" for n in names)
     return f"WITH {ctes}\n{sql}" if names else sql
+
+
+PV_SQL = """SELECT product_id AS page_id,
+  CASE WHEN product_id % 2 = 0 THEN concat('https://shop.example.com/products/', slug)
+       ELSE concat('https://store.example.org/browse/product.do?pid=', CAST(600000 + product_id AS STRING), '&cid=', CASE WHEN product_id % 4 = 1 THEN '5032' ELSE '77' END) END AS url,
+  concat('<html><head><title>', title, '</title>',
+    CASE WHEN product_id % 4 <> 3 THEN concat('<meta property="product:price:amount" content="', CAST(price AS STRING), '"><meta property="product:price:currency" content="', CASE WHEN product_id % 2 = 0 THEN 'USD' ELSE 'EUR' END, '">') ELSE '' END,
+    '<meta property="og:image" content="//cdn.example.com/products/', slug, '-og.jpg?v=2">',
+    CASE WHEN product_id % 3 = 0 THEN concat('<script type="application/json">{"variants":[{"title":"', color_name, ' / S","featured_image":{"src":"//cdn.example.com/products/', slug, '-a.jpg?v=1"}},{"title":"', color_name, ' / M"},{"title":"Navy / S","featured_image":{"src":"/assets/logo.png"}},{"title":"Default"}]}</script>')
+         WHEN product_id % 3 = 1 THEN '<script type="application/json">{"variants":[{"title":"Default Title"}]}</script>' ELSE '' END,
+    '</head><body><h1 class="product__title">', title, '</h1><span class="price">',
+    CASE product_id % 4 WHEN 0 THEN concat('$', CAST(price AS STRING)) WHEN 1 THEN concat(CAST(price AS STRING), ' EUR') WHEN 2 THEN 'Sold out' ELSE concat('£', CAST(product_id AS STRING), '.50') END, '</span>',
+    CASE product_id % 5 WHEN 0 THEN concat('<div data-colorname="', color_name, '">swatch</div>') WHEN 1 THEN '<span class="colorName">$19.99</span>'
+         WHEN 2 THEN '<button data-colorname="Olive">o</button><button data-colorname="Rust Red">r</button><button data-colorname="Olive">o</button>' ELSE '' END,
+    '<div class="product__media"><img srcset="/products/', slug, '-s1.jpg 1x, /products/', slug, '-s2.jpg 2x"><img src="/assets/logo.png"></div>',
+    '<div class="pdp-photo-single-column-image" data-imageurl="/img/', CAST(product_id AS STRING), '-1.jpg"><img src="/img/x.jpg"></div><div class="pdp-photo-single-column-image"><img src="/img/', CAST(product_id AS STRING), '-2.jpg"></div>',
+    CASE WHEN product_id % 2 = 1 THEN concat('<ul class="product-information-item__list"><li>', materials, '</li><li>ab</li><li>Imported</li></ul>') ELSE '' END,
+    '<div class="product__description">', materials, '</div></body></html>') AS html
+FROM (SELECT *, concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt2) s"""
+
+VIEW_SQL["pv"] = PV_SQL
+VIEW_DEPS["pv"] = ["pt"]
