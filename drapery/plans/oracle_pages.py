@@ -322,10 +322,11 @@ FROM (SELECT *, list_filter(filt, lambda u: contains(lower(replace(u, '-', '')),
           FROM pp)))""", "pt", "pp")
 
 oracle("find_by_class_contains", f"""SELECT page_id,
-  array_to_string(list_transform(list_filter(regexp_extract_all(html, '<(select|div)\\b[^>]*\\bclass="[^"]*"', 1),
-     lambda x: true), lambda x: x), '|') AS size_tags_all,
-  '' AS care_texts FROM pp""", "pt", "pp")
-del __import__("drapery.plans.oracle", fromlist=["ORACLE"]).ORACLE["find_by_class_contains"]
+  coalesce(array_to_string(list_transform(list_filter(regexp_extract_all(html, '<(?:select|div)\\b[^>]*\\bclass="[^"]*"', 0),
+     lambda t: contains(lower(regexp_extract(t, 'class="([^"]*)"', 1)), 'size')), lambda t: regexp_extract(t, '^<([a-z]+)', 1)), '|'), '') AS size_tags,
+  coalesce(array_to_string(list_transform(list_filter(regexp_extract_all(html, '<(?:div|p|span)\\b[^>]*\\bclass="[^"]*"[^>]*>[^<]*', 0),
+     lambda t: contains(lower(regexp_extract(t, 'class="([^"]*)"', 1)), 'care')), lambda t: {strip("regexp_extract(t, '>([^<]*)$', 1)")}), '|'), '') AS care_texts
+FROM pp""", "pt", "pp")
 
 oracle("first_selector_wins", f"""SELECT page_id, array_to_string(list_transform(
   list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: contains(h, '/products/')),
