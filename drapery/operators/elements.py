@@ -165,10 +165,10 @@ def select_one(elements, selector: str) -> Column:
 def first_of_selectors(elements, selectors: str, value, keep=None) -> Column:
     """The reference's loop over ``selectors.split(", ")``: per selector the
     first element, first non-empty ``value(e)`` wins."""
-    vals = [value(select_one(elements, s)) for s in selectors.split(", ")]
-    if keep is None:
-        return F.coalesce(*[F.when(F.coalesce(v, F.lit("")) != "", v) for v in vals])
-    return F.coalesce(*[F.when(keep(v), v) for v in vals])
+    from ..functions.text import let
+    test = keep if keep is not None else (lambda v: F.coalesce(v, F.lit("")) != "")
+    vals = F.array(*[let(select_one(elements, s), value) for s in selectors.split(", ")])
+    return F.get(F.filter(vals, test), 0)
 
 
 def explode_elements(df: DataFrame, key: str = "page_id") -> DataFrame:

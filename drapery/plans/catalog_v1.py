@@ -74,8 +74,8 @@ def page_color_name(elements) -> Column:
     """``[data-colorname]`` else ``.colorName``; attribute or text; rejected if it
     looks like a price; else 'Default'."""
     el = F.coalesce(E.select_one(elements, "[data-colorname]"), E.select_one(elements, ".colorName"))
-    cand = T.strip(F.coalesce(nullif_empty(E.attr(el, "data-colorname")), el["text"], F.lit("")))
-    return F.when((cand != "") & ~T.looks_like_price(cand), cand).otherwise(F.lit("Default"))
+    return let(el, lambda e: let(T.strip(F.coalesce(nullif_empty(E.attr(e, "data-colorname")), e["text"], F.lit(""))),
+                                 lambda c: F.when((c != "") & ~T.looks_like_price(c), c).otherwise(F.lit("Default"))))
 
 
 def swatch_colors(elements) -> Column:
@@ -92,11 +92,13 @@ def swatch_colors(elements) -> Column:
 def price_from_elements(elements) -> Column:
     """First ``span[class*=price], [data-price]``: ``$n`` from its digits, else its text."""
     el = E.select_one(elements, "span[class*='price'], [data-price]")
-    txt = clean_text(F.coalesce(el["text"], F.lit("")))
-    num = F.regexp_extract(F.regexp_replace(txt, r"[$,]", ""), r"[\d,]+\.?\d*", 0)
-    raw = F.when(num != "", F.concat(F.lit("$"), num)).otherwise(txt)
-    return F.struct(raw.alias("price_raw"),
-                    F.regexp_extract(F.regexp_replace(raw, r"[$,]", ""), r"[\d,]+\.?\d*", 0).alias("price_numeric"))
+
+    def build(txt):
+        num = F.regexp_extract(F.regexp_replace(txt, r"[$,]", ""), r"[\d,]+\.?\d*", 0)
+        return let(F.when(num != "", F.concat(F.lit("$"), num)).otherwise(txt), lambda raw: F.struct(
+            raw.alias("price_raw"),
+            F.regexp_extract(F.regexp_replace(raw, r"[$,]", ""), r"[\d,]+\.?\d*", 0).alias("price_numeric")))
+    return let(clean_text(F.coalesce(el["text"], F.lit(""))), build)
 
 
 def info_list_materials(elements) -> Column:
@@ -129,30 +131,35 @@ def main_image_v1(elements, html, slug, base, selectors: str) -> Column:
     srcset entry) that is a product image; else og:image."""
     from ..functions.html import meta_content
 
-    def cand(e):
+    def raw(e):
         src = F.coalesce(nullif_empty(E.attr(e, "src")), nullif_empty(E.attr(e, "data-src")), F.lit(""))
         srcset = F.coalesce(E.attr(e, "srcset"), F.lit(""))
-        u = F.when((srcset != "") & (src == ""), F.get(K.parse_srcset(srcset, 1), 0)).when(src != "", src)
-        n = K.normalize_image_url(u, base, keep_query=True)
-        return F.when(u.isNotNull() & I.is_product_image_v1(n, slug), n)
-    picks = [cand(E.select_one(elements, s)) for s in selectors.split(", ")]
-    og = meta_content(html, "og:image")
-    return F.coalesce(*picks, F.when(og.isNotNull(), K.normalize_image_url(og, base, keep_query=True)), F.lit(""))
+        return F.when((srcset != "") & (src == ""), F.get(K.parse_srcset(srcset, 1), 0)).when(src != "", src)
+    # one candidate per selector (first element each); normalise and test them in one lambda
+    cands = F.array(*[let(E.select_one(elements, s), raw) for s in selectors.split(", ")])
+    checked = F.transform(F.filter(cands, lambda u: u.isNotNull()),
+                          lambda u: K.normalize_image_url(u, base, keep_query=True))
+    pick = F.get(F.filter(checked, lambda n: I.is_product_image_v1(n, slug)), 0)
+    og = let(meta_content(html, "og:image"), lambda o: F.when(o.isNotNull(), K.normalize_image_url(o, base, keep_query=True)))
+    return F.coalesce(pick, og, F.lit(""))
 
 
 def _v1_price(elements, html, selectors: str) -> Column:
     """Meta price (with currency) or the first price element's text."""
     from ..functions.html import meta_content
-    amount = meta_content(html, "product:price:amount")
     has_cur = F.coalesce(F.col(html).rlike(r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']product:price:currency["']"""),
                          F.lit(False))
-    cur = F.when(has_cur, F.coalesce(meta_content(html, "product:price:currency"), F.lit(""))).otherwise(F.lit("USD"))
-    text = F.coalesce(E.first_of_selectors(elements, selectors, lambda e: _text(e)), F.lit(""))
-    meta_raw = F.when(cur == "USD", F.concat(F.lit("$"), amount)).otherwise(F.concat(amount, F.lit(" "), cur))
-    return F.when(amount.isNotNull(), F.struct(meta_raw.alias("price_raw"), amount.alias("price_numeric"),
-                                               F.when(cur != "", cur).otherwise(F.lit("USD")).alias("currency"))) \
-        .otherwise(F.struct(T.strip(text).alias("price_raw"), T.price_number(text).alias("price_numeric"),
-                            T.price_currency(text).alias("currency")))
+    cur_expr = F.when(has_cur, F.coalesce(meta_content(html, "product:price:currency"), F.lit(""))).otherwise(F.lit("USD"))
+    text_expr = F.coalesce(E.first_of_selectors(elements, selectors, lambda e: _text(e)), F.lit(""))
+
+    def build(amount, cur, text):
+        meta_raw = F.when(cur == "USD", F.concat(F.lit("$"), amount)).otherwise(F.concat(amount, F.lit(" "), cur))
+        return F.when(amount.isNotNull(), F.struct(meta_raw.alias("price_raw"), amount.alias("price_numeric"),
+                                                   F.when(cur != "", cur).otherwise(F.lit("USD")).alias("currency"))) \
+            .otherwise(F.struct(T.strip(text).alias("price_raw"), T.price_number(text).alias("price_numeric"),
+                                T.price_currency(text).alias("currency")))
+    return let(meta_content(html, "product:price:amount"), lambda a: let(cur_expr, lambda c: let(
+        text_expr, lambda t: build(a, c, t))))
 
 
 def _fabric_v1(snippet, materials) -> dict:
