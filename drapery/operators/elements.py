@@ -35,14 +35,15 @@ ELEMENT_TYPE = T.StructType([
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("own_text", T.StringType()),
-    T.StructField("text", T.StringType()),
+    T.StructField("t0", T.IntegerType()),
+    T.StructField("t1", T.IntegerType()),
     T.StructField("ancestors", T.ArrayType(T.IntegerType())),
 ])
 
 _PA_ELEMENT = pa.struct([
     ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
     ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("own_text", pa.string()), ("text", pa.string()), ("ancestors", pa.list_(pa.int32())),
+    ("own_text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()), ("ancestors", pa.list_(pa.int32())),
 ])
 
 # Fixed value: HTML void elements (never hold children).
@@ -116,21 +117,21 @@ class _Tree(HTMLParser):
             out.append({
                 "node_id": n["node_id"], "parent_id": n["parent_id"], "depth": n["depth"], "tag": n["tag"],
                 "id": n["id"], "classes": n["classes"], "attrs": n["attrs"], "own_text": " ".join(n["own"]),
-                "text": " ".join(self.texts[n["t0"]:t1]), "ancestors": n["ancestors"],
+                "t0": n["t0"], "t1": t1, "ancestors": n["ancestors"],
             })
         return out
 
 
 def parse_page(html: str | None):
-    """``(elements, page_text)`` of one page; empty for null input."""
+    """``(elements, text_nodes, page_text)`` of one page; empty for null input."""
     if not html:
-        return [], ""
+        return [], [], ""
     tree = _Tree()
     try:
         tree.feed(html)
     except Exception:  # noqa: BLE001 - malformed markup yields what was parsed
         pass
-    return tree.finish(), "".join(tree.raw)
+    return tree.finish(), tree.texts, "".join(tree.raw)
 
 
 def parse_elements(html: str | None) -> list:
@@ -139,9 +140,16 @@ def parse_elements(html: str | None) -> list:
 
 
 def html_elements(pages: DataFrame, html_col: str = "html", keep_html: bool = True) -> DataFrame:
-    """Attach ``elements: array<element>`` and ``page_text`` (all text, no
-    separator, scripts excluded) to every page row (one Arrow pass)."""
+    """Attach ``elements: array<element>``, ``text_nodes`` (the page's
+    stripped text nodes, in order) and ``page_text`` (all text, no separator,
+    scripts excluded) to every page row (one Arrow pass).
+
+    Elements carry ``[t0, t1)`` ranges into ``text_nodes`` instead of their
+    own copy of the descendant text, so the output stays linear in the page
+    size whatever the nesting depth; ``text_of`` rebuilds an element's text.
+    """
     out_schema = T.StructType(list(pages.schema.fields) + [T.StructField("elements", T.ArrayType(ELEMENT_TYPE)),
+                                                           T.StructField("text_nodes", T.ArrayType(T.StringType())),
                                                            T.StructField("page_text", T.StringType())])
     names = pages.columns
     idx = names.index(html_col)
@@ -150,8 +158,10 @@ def html_elements(pages: DataFrame, html_col: str = "html", keep_html: bool = Tr
         for rb in batches:
             parsed = [parse_page(h) for h in rb.column(idx).to_pylist()]
             elems = pa.array([p[0] for p in parsed], type=pa.list_(_PA_ELEMENT))
-            text = pa.array([p[1] for p in parsed], type=pa.string())
-            yield pa.RecordBatch.from_arrays(list(rb.columns) + [elems, text], names=names + ["elements", "page_text"])
+            nodes = pa.array([p[1] for p in parsed], type=pa.list_(pa.string()))
+            text = pa.array([p[2] for p in parsed], type=pa.string())
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [elems, nodes, text],
+                                             names=names + ["elements", "text_nodes", "page_text"])
 
     out = pages.mapInArrow(run, out_schema)
     return out if keep_html else out.drop(html_col)
@@ -171,9 +181,15 @@ def first_of_selectors(elements, selectors: str, value, keep=None) -> Column:
     return F.get(F.filter(vals, test), 0)
 
 
+def text_of(e: Column, nodes: str = "text_nodes") -> Column:
+    """``get_text(separator=' ', strip=True)`` of an element (null element -> null)."""
+    return F.when(e.isNotNull(), F.array_join(F.slice(F.col(nodes), e["t0"] + 1, e["t1"] - e["t0"]), " "))
+
+
 def explode_elements(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """Row form: one row per element."""
-    return df.select(key, F.explode("elements").alias("e")).select(key, "e.*")
+    """Row form: one row per element (with its text)."""
+    return (df.select(key, "text_nodes", F.explode("elements").alias("e"))
+            .select(key, "e.*", text_of(F.col("e")).alias("text")))
 
 
 # ---------------------------------------------------------------------------

@@ -93,7 +93,7 @@ def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
         .otherwise(title_materials_fallback(F.col("title"))),
     })
     p = _rule_columns(p)
-    care_texts = F.transform(E.class_contains("elements", "care", ["div", "p", "span"]), lambda e: e["text"])
+    care_texts = F.transform(E.class_contains("elements", "care", ["div", "p", "span"]), lambda e: E.text_of(e))
     return p.withColumns({
         "gallery": gallery_images("elements", site.selectors.get("gallery_images", ""), "style_slug",
                                   F.lit(site.base_url)),
@@ -103,7 +103,7 @@ def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
         "sustainability_tags": R.sustainability_tags("html"),
         "country_of_origin": country_of_origin("html"),
         "season": R.season("title", "category", "html"),
-    }).drop("elements")
+    }).drop("elements", "text_nodes", "page_text")
 
 
 def shopify_variants(pages: DataFrame, site: Site) -> DataFrame:
@@ -172,9 +172,9 @@ def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
                                                 F.lit(False))), 0)
     offer = ldjson_offer_price("html")
     p = p.withColumns({
-        "title": F.coalesce(title_el["text"], F.lit("Unknown Product")),
-        "materials_text": F.coalesce(desc_el["text"], F.lit("")),
-        "category": F.coalesce(crumb["text"], F.lit("Sweaters")),
+        "title": F.coalesce(E.text_of(title_el), F.lit("Unknown Product")),
+        "materials_text": F.coalesce(E.text_of(desc_el), F.lit("")),
+        "category": F.coalesce(E.text_of(crumb), F.lit("Sweaters")),
         "_offer": offer,
     })
     p = p.withColumns({
@@ -188,7 +188,7 @@ def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
     return p.withColumns({
         "sel_images": F.transform(E.select("elements", sel), _img_src) if sel else F.array().cast("array<string>"),
         "generic_images": F.transform(E.select("elements", GENERIC_GALLERY), _img_src),
-    }).drop("elements")
+    }).drop("elements", "text_nodes", "page_text")
 
 
 def catalog_styles(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFrame:

@@ -44,7 +44,7 @@ JSON_SCRIPT = r"""(?s)<(?i:script)\b[^>]*\b(?i:type)\s*=\s*["']application/json[
 
 def _text(e: Column) -> Column:
     """``clean_text(el.get_text())``."""
-    return clean_text(e["text"])
+    return clean_text(E.text_of(e))
 
 
 def variants_from_title(html, base) -> Column:
@@ -74,7 +74,7 @@ def page_color_name(elements) -> Column:
     """``[data-colorname]`` else ``.colorName``; attribute or text; rejected if it
     looks like a price; else 'Default'."""
     el = F.coalesce(E.select_one(elements, "[data-colorname]"), E.select_one(elements, ".colorName"))
-    return let(el, lambda e: let(T.strip(F.coalesce(nullif_empty(E.attr(e, "data-colorname")), e["text"], F.lit(""))),
+    return let(el, lambda e: let(T.strip(F.coalesce(nullif_empty(E.attr(e, "data-colorname")), E.text_of(e), F.lit(""))),
                                  lambda c: F.when((c != "") & ~T.looks_like_price(c), c).otherwise(F.lit("Default"))))
 
 
@@ -82,7 +82,7 @@ def swatch_colors(elements) -> Column:
     """One ``(color_id, color_name)`` per distinct swatch name (document order);
     a single ('default', 'Default') when the page has none."""
     names = F.transform(E.select(elements, SWATCHES),
-                        lambda e: T.strip(F.coalesce(nullif_empty(E.attr(e, "data-colorname")), e["text"], F.lit(""))))
+                        lambda e: T.strip(F.coalesce(nullif_empty(E.attr(e, "data-colorname")), E.text_of(e), F.lit(""))))
     names = F.array_distinct(F.filter(names, lambda n: (n != "") & ~T.looks_like_price(n)))
     rows = F.transform(names, lambda n: F.struct(T.slugify(n).alias("color_id"), n.alias("color_name")))
     default = F.array(F.struct(F.lit("default").alias("color_id"), F.lit("Default").alias("color_name")))
@@ -98,7 +98,7 @@ def price_from_elements(elements) -> Column:
         return let(F.when(num != "", F.concat(F.lit("$"), num)).otherwise(txt), lambda raw: F.struct(
             raw.alias("price_raw"),
             F.regexp_extract(F.regexp_replace(raw, r"[$,]", ""), r"[\d,]+\.?\d*", 0).alias("price_numeric")))
-    return let(clean_text(F.coalesce(el["text"], F.lit(""))), build)
+    return let(clean_text(F.coalesce(E.text_of(el), F.lit(""))), build)
 
 
 def info_list_materials(elements) -> Column:
@@ -205,7 +205,7 @@ def catalog_v1(pages: DataFrame, site: Site = V1_SHOP) -> DataFrame:
     variants = F.when(F.size("variants") > 0, F.col("variants")).otherwise(F.array(F.struct(
         fallback_color.alias("color_name"),
         F.when(F.col("main_image") != "", F.array("main_image")).otherwise(F.array().cast("array<string>")).alias("images"))))
-    v = p.drop("elements").select("*", F.posexplode(variants).alias("pos", "vv"))
+    v = p.drop("elements", "text_nodes", "page_text").select("*", F.posexplode(variants).alias("pos", "vv"))
     imgs = F.when(F.size("vv.images") > 0, F.col("vv.images")).when(F.col("main_image") != "", F.array("main_image")) \
         .otherwise(F.array().cast("array<string>"))
     gal = I.clean_gallery(imgs, "style_slug", 5)

@@ -249,8 +249,8 @@ def q_select_elements(spark, sf):
 @query("element_text")
 def q_element_text(spark, sf):
     el = E.html_elements(table(spark, sf, "pages"), keep_html=False)
-    return el.select("page_id", F.get(E.select("elements", "h1"), 0)["text"].alias("h1_text"),
-                     F.get(E.select("elements", "div.ad"), 0)["text"].alias("ad_text"))
+    return el.select("page_id", E.text_of(F.get(E.select("elements", "h1"), 0)).alias("h1_text"),
+                     E.text_of(F.get(E.select("elements", "div.ad"), 0)).alias("ad_text"))
 
 
 # ---- 2.7 colour -------------------------------------------------------------------

@@ -128,7 +128,7 @@ def q_find_by_class_contains(spark, sf):
                      F.array_join(F.transform(E.class_contains("elements", "size", ["select", "div"]),
                                               lambda e: e["tag"]), "|").alias("size_tags"),
                      F.array_join(F.transform(E.class_contains("elements", "care", ["div", "p", "span"]),
-                                              lambda e: e["text"]), "|").alias("care_texts"))
+                                              lambda e: E.text_of(e)), "|").alias("care_texts"))
 
 
 @query("first_selector_wins")

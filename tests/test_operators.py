@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from drapery.operators import crawl as CR
 from drapery.operators import incremental as INC
-from drapery.operators.elements import html_elements, select
+from drapery.operators.elements import html_elements, select, text_of
 from drapery.operators.records import dedup_first, standardize, CATALOG_COLUMNS
 
 
@@ -58,5 +58,5 @@ def test_elements_and_selectors(spark):
     df = html_elements(spark.createDataFrame([(1, html)], "page_id int, html string"))
     r = df.select(F.size(select("elements", "div.product__media img")).alias("imgs"),
                   F.size(select("elements", "nav a, p")).alias("n"),
-                  F.get(select("elements", "p"), 0)["text"].alias("pt")).first()
+                  text_of(F.get(select("elements", "p"), 0)).alias("pt")).first()
     assert (r.imgs, r.n, r.pt) == (2, 2, "one two")
