@@ -48,9 +48,8 @@ def normalize_color(color_name, title, description) -> Column:
 
 def infer_color_from_slug(slug) -> Column:
     """First listed colour word that the slug starts with (``word-``), capitalised."""
-    s = F.lower(col(slug))
-    hit = F.filter(F.array(*[F.lit(w) for w in SLUG_COLOR_WORDS]), lambda w: s.startswith(F.concat(w, F.lit("-"))))
-    return F.initcap(F.get(hit, 0))
+    words = F.array(*[F.lit(w) for w in SLUG_COLOR_WORDS])
+    return let(F.lower(col(slug)), lambda s: F.initcap(F.get(F.filter(words, lambda w: s.startswith(F.concat(w, F.lit("-")))), 0)))
 
 
 def hex_rgb(hex_code) -> Column:

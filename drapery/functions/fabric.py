@@ -200,7 +200,10 @@ def fiber_split_literal(breakdown) -> Column:
     Word order is the lists' order (the code iterates a set, so its order is
     not reproducible); shares are natural and 100 - natural.
     """
-    t = F.lower(F.coalesce(col(breakdown), F.lit("")))
+    return let(F.lower(F.coalesce(col(breakdown), F.lit(""))), _split_literal)
+
+
+def _split_literal(t: Column) -> Column:
     found_nat = F.filter(F.array(*[F.lit(w) for w in LITERAL_NATURAL]), lambda w: F.instr(t, w) > 0)
     found_syn = F.filter(F.array(*[F.lit(w) for w in LITERAL_SYNTHETIC]), lambda w: F.instr(t, w) > 0)
     nat = sum(F.coalesce(F.regexp_extract(t, rf"{w}\s*(?:%|percent)?\s*(\d+)", 1).try_cast("int"), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PY_WS, col, nullif_empty, strip
+from .text import PY_WS, col, let, nullif_empty, strip
 
 SCRIPT_ID_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:id)\s*=\s*["']?[^"'>]*ProductJson[^>]*>(.*?)</(?i:script)\s*>"""
 LD_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:type)\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</(?i:script)\s*>"""
@@ -85,11 +85,11 @@ def size_tokens(html) -> Column:
 
 def sizes(tokens) -> Column:
     """Known letter sizes (display order), then even sizes 0-18 (numeric order)."""
-    t = col(tokens)
-    up = F.transform(t, lambda x: F.upper(strip(x)))
-    letters = F.filter(F.array(*[F.lit(s) for s in LETTER_SIZES]), lambda s: F.array_contains(up, s))
-    nums = F.filter(F.array(*[F.lit(s) for s in NUMERIC_SIZES]), lambda s: F.array_contains(t, s))
-    return F.concat(letters, nums)
+    def body(t):
+        return let(F.transform(t, lambda x: F.upper(strip(x))), lambda up: F.concat(
+            F.filter(F.array(*[F.lit(s) for s in LETTER_SIZES]), lambda s: F.array_contains(up, s)),
+            F.filter(F.array(*[F.lit(s) for s in NUMERIC_SIZES]), lambda s: F.array_contains(t, s))))
+    return let(col(tokens), body)
 
 
 def waist_sizes(tokens, subcategory) -> Column:

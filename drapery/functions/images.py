@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .keys import normalize_image_url
-from .text import col
+from .text import col, let
 
 # URL fragments that mark non-product images.
 IMAGE_EXCLUDES = ["logo", "icon", "swatch", "cart", "payment", "badge", "social"]
@@ -54,10 +54,12 @@ def clean_gallery(urls, slug, limit: int = 5) -> Column:
 def rank_images_by_handle(candidates, url) -> Column:
     """v1: drop generic images (keep all if that empties the list); prefer
     URLs holding the dash-less handle; else the first remaining one."""
-    handle = F.lower(F.regexp_replace(F.element_at(F.split(F.regexp_replace(col(url), "/+$", ""), "/"), -1), "-", ""))
-    cand = col(candidates)
-    filt = F.filter(cand, lambda u: ~_has_any(F.lower(u), GENERIC_IMAGES_V1))
-    filt = F.when(F.size(filt) > 0, filt).otherwise(cand)
-    pref = F.filter(filt, lambda u: F.instr(F.lower(F.regexp_replace(u, "-", "")), handle) > 0)
-    return F.when(F.size(pref) > 0, pref).when(F.size(filt) > 0, F.slice(filt, 1, 1)).otherwise(
-        F.array().cast("array<string>"))
+    handle_expr = F.lower(F.regexp_replace(F.element_at(F.split(F.regexp_replace(col(url), "/+$", ""), "/"), -1), "-", ""))
+
+    def body(cand, handle):
+        filt0 = F.filter(cand, lambda u: ~_has_any(F.lower(u), GENERIC_IMAGES_V1))
+        return let(F.when(F.size(filt0) > 0, filt0).otherwise(cand), lambda filt: let(
+            F.filter(filt, lambda u: F.instr(F.lower(F.regexp_replace(u, "-", "")), handle) > 0), lambda pref:
+            F.when(F.size(pref) > 0, pref).when(F.size(filt) > 0, F.slice(filt, 1, 1)).otherwise(
+                F.array().cast("array<string>"))))
+    return let(col(candidates), lambda c: let(handle_expr, lambda h: body(c, h)))

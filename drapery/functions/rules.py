@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 
 def _alternation(keywords, match: str) -> str:
@@ -265,6 +265,5 @@ def normalize_category(category) -> Column:
 
 def sustainability_tags(text) -> Column:
     """Every marker present in ``lower(text)``, in list order."""
-    t = F.lower(F.coalesce(col(text), F.lit("")))
     markers = F.array(*[F.lit(m) for m in SUSTAINABILITY_MARKERS])
-    return F.filter(markers, lambda m: F.instr(t, m) > 0)
+    return let(F.lower(F.coalesce(col(text), F.lit(""))), lambda t: F.filter(markers, lambda m: F.instr(t, m) > 0))

@@ -78,9 +78,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived fixture view read straight from the parquet files."""
+    """A derived fixture view read straight from the parquet files.
+
+    The driver tables are single small files (one input partition); the
+    view is spread over the cluster's parallelism so that it behaves like
+    the multi-file page tables the plans are written for.
+    """
+    from ..session import spread
     base = sf_dir.rstrip("/")
-    return spark.sql(_render(name, lambda t: f"parquet.`{base}/{t}.parquet`"))
+    return spread(spark.sql(_render(name, lambda t: f"parquet.`{base}/{t}.parquet`")))
 
 
 def duckdb_view_sql(name: str) -> str:
