@@ -60,3 +60,12 @@ def test_elements_and_selectors(spark):
                   F.size(select("elements", "nav a, p")).alias("n"),
                   text_of(F.get(select("elements", "p"), 0)).alias("pt")).first()
     assert (r.imgs, r.n, r.pt) == (2, 2, "one two")
+
+
+def test_registry_runs_sites(spark, sf):
+    from drapery.registry import register_site, run_sites, site_transform
+    from drapery.sources.tables import view
+    out = run_sites({"shop": view(spark, sf, "pp"), "store": view(spark, sf, "sp")})
+    assert set(r.brand_name for r in out.select("brand_name").distinct().collect()) == {"Example Shop", "Example Store"}
+    register_site("noop", lambda df: df.limit(0))
+    assert site_transform("noop")(view(spark, sf, "pp")).count() == 0
