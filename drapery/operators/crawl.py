@@ -45,18 +45,25 @@ def frontier_limit(links: DataFrame, limit: int = 100, url: str = "product_url",
 
 def with_global_index(df: DataFrame, order: str, partitions: int | None = None) -> DataFrame:
     """Dense 1-based position in ``order`` plus the total, without a
-    single-partition window: range-partition, number rows inside each
-    partition, then add the partition's offset (one row per partition)."""
+    single-partition window.
+
+    Range-partition and sort inside each partition; the row's rank inside its
+    partition comes from ``monotonically_increasing_id`` (partition id in the
+    upper bits, running row number in the lower bits, assigned in sorted
+    order); each partition's offset comes from one count per partition, a
+    table bounded by the partition count and therefore broadcast.
+    """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid").orderBy(order)
-    ranged = ranged.withColumn("_rn", F.row_number().over(w))
+    ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.shiftright("_mid", 33)))
+    ranged = ranged.withColumn("_rn", F.col("_mid") - F.shiftleft("_pid", 33) + 1)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
                             F.sum("_n").over(Window.partitionBy()).alias("total"))
     out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn("i", (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_pid", "_rn", "_off")
+    return out.withColumn("i", (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_pid", "_rn", "_off", "_mid")
 
 
 def sorted_urls(urls: DataFrame, url: str = "product_url") -> DataFrame:
@@ -93,12 +100,17 @@ def expand_collection(collections: DataFrame, url: str = "collection_url", max_p
             .withColumn("page_url", expanded))
 
 
-def pagination_prefix(pages: DataFrame, coll: str = "coll_idx") -> DataFrame:
-    """Pages 2.. kept until the first one that fails (status 200, body > 500
-    chars, holds a product link); page 1 is the collection itself."""
+def pagination_prefix(pages: DataFrame, coll: str = "coll_idx", max_pages: int = 10) -> DataFrame:
+    """Pages 2..max_pages kept until the first one that fails (status 200,
+    body > 500 chars, holds a product link); page 1 is the collection itself.
+
+    Pages beyond ``max_pages`` can never be kept, so they are dropped before
+    the window: each window partition holds at most ``max_pages`` rows, even
+    for a collection with a huge share of the links.
+    """
     ok = ((F.col("status") == 200) & (F.col("body_len") > 500)
           & F.coalesce(F.instr("product_url", "/products/") > 0, F.lit(False))).cast("int")
-    per_page = pages.groupBy(coll, "page_no").agg(F.max(ok).alias("ok"))
+    per_page = pages.filter(F.col("page_no") <= max_pages).groupBy(coll, "page_no").agg(F.max(ok).alias("ok"))
     w = Window.partitionBy(coll).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     per_page = per_page.withColumn("all_ok", F.min(F.when(F.col("page_no") >= 2, F.col("ok")).otherwise(F.lit(1))).over(w))
     return per_page.filter((F.col("page_no") == 1) | (F.col("all_ok") == 1)).select(coll, "page_no")
@@ -106,7 +118,13 @@ def pagination_prefix(pages: DataFrame, coll: str = "coll_idx") -> DataFrame:
 
 def pagination_two_empty(pages: DataFrame, coll: str = "coll_idx", max_pages: int = 20) -> DataFrame:
     """v1 pagination: stop at a failed fetch, or after two consecutive pages
-    adding no new product URL; at most ``max_pages`` pages."""
+    adding no new product URL; at most ``max_pages`` pages.
+
+    Later pages cannot change which of the first ``max_pages`` are kept, so
+    they are dropped first; windows then see at most ``max_pages`` rows per
+    collection.
+    """
+    pages = pages.filter(F.col("page_no") <= max_pages)
     fs = pages.groupBy(coll, "product_url").agg(F.min("page_no").alias("first_page"))
     new_per_page = fs.groupBy(coll, F.col("first_page").alias("page_no")).agg(F.count(F.lit(1)).alias("n_new"))
     per_page = (pages.groupBy(coll, "page_no").agg(F.max((F.col("status") == 200).cast("int")).alias("ok"))

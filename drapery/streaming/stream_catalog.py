@@ -36,10 +36,23 @@ def land_pages(pages: DataFrame, landing: str, pages_per_file: int = 25) -> None
 
 
 def stream_catalog(spark: SparkSession, landing: str, sink: str, checkpoint: str, site: Site,
-                   files_per_trigger: int = 1, skip_done: bool = True):
-    """Start the stream (``availableNow``: drain what has landed, then stop)."""
-    pages = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
-    rows = catalog_rows(pages.dropDuplicates(["url"]), site)
+                   files_per_trigger: int = 1, skip_done: bool = True, dedupe: str = "state",
+                   schema: str = PAGES_SCHEMA, event_time: str | None = None, delay: str = "7 days"):
+    """Start the stream (``availableNow``: drain what has landed, then stop).
+
+    ``dedupe``: ``"state"`` keeps every URL seen in the checkpointed state
+    (exact; use the RocksDB state store for large URL sets), ``"watermark"``
+    drops repeats within ``delay`` of ``event_time`` (bounded state), ``"none"``
+    relies on the sink anti join only.
+    """
+    pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
+    if dedupe == "state":
+        pages = pages.dropDuplicates(["url"])
+    elif dedupe == "watermark":
+        if not event_time:
+            raise ValueError("dedupe='watermark' needs event_time")
+        pages = pages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
+    rows = catalog_rows(pages, site)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         todo = batch
