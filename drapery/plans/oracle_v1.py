@@ -218,3 +218,12 @@ SELECT 1 AS schema_version,
   CASE WHEN price_raw = '' THEN 'missing_price' WHEN materials = '' THEN 'missing_materials' ELSE 'ok' END AS scrape_status,
   coalesce(fb_out.b, '') AS fabric_breakdown_pretty, coalesce(fb_out.tg, '') AS fabric_tags, {occ_scored('product_title', 'category')} AS occasion_tag
 FROM d1 LEFT JOIN fb_out ON fb_out.k = d1.page_id""", "pt", "pv")
+
+from .oracle_pages import STYLES_RE as _STYLES  # noqa: E402
+oracle("fabric_header_bullets", f"""SELECT page_id, keys[i] AS style_key,
+  coalesce(array_to_string(list_filter(
+    from_json(json_extract(js, '$."' || keys[i] || '".copy_headers'), '[{{"id":"VARCHAR","label":"VARCHAR","bullets":["VARCHAR"]}}]'),
+    lambda h: h.id = 'fabric' OR h.label = 'Fabric & care')[1].bullets, ' '), '') AS fabric_text
+FROM (SELECT page_id, js, keys, unnest(range(1, len(keys) + 1)) AS i
+      FROM (SELECT page_id, js, json_keys(js) AS keys
+            FROM (SELECT page_id, regexp_extract(html, '{_STYLES}', 1) AS js FROM pv) WHERE js <> ''))""", "pt", "pv")

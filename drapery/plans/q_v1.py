@@ -72,3 +72,10 @@ def q_catalog_v1(spark, sf):
 @query("catalog_dom")
 def q_catalog_dom(spark, sf):
     return V.catalog_dom(pv(spark, sf))
+
+
+@query("fabric_header_bullets")
+def q_fabric_header_bullets(spark, sf):
+    from ..operators import extract as X
+    styles = X.explode_styles(pv(spark, sf))
+    return styles.select("page_id", "style_key", X.fabric_header_bullets(F.col("style.copy_headers")).alias("fabric_text"))

@@ -108,6 +108,8 @@ PV_SQL = """SELECT product_id AS page_id,
     '<meta property="og:image" content="//cdn.example.com/products/', slug, '-og.jpg?v=2">',
     CASE WHEN product_id % 3 = 0 THEN concat('<script type="application/json">{"variants":[{"title":"', color_name, ' / S","featured_image":{"src":"//cdn.example.com/products/', slug, '-a.jpg?v=1"}},{"title":"', color_name, ' / M"},{"title":"Navy / S","featured_image":{"src":"/assets/logo.png"}},{"title":"Default"}]}</script>')
          WHEN product_id % 3 = 1 THEN '<script type="application/json">{"variants":[{"title":"Default Title"}]}</script>' ELSE '' END,
+    CASE WHEN product_id % 3 = 1 THEN concat('<script>window.gap.properties.styles = {"', CAST(product_id AS STRING), '":{"displayName":"', color_name, '","copy_headers":[{"id":"overview","label":"Overview","bullets":["Relaxed fit"]},{"id":"fabric","label":"Fabric","bullets":["', materials, '","Imported"]}]}};</script>')
+         WHEN product_id % 3 = 2 THEN concat('<script>window.gap.properties.styles = {"', CAST(product_id AS STRING), '":{"displayName":"', color_name, '","copy_headers":[{"id":"care","label":"Fabric & care","bullets":["Machine wash cold","', materials, '"]}]},"z8":{"displayName":"sand"}};</script>') ELSE '' END,
     '</head><body><h1 class="product__title">', title, '</h1><span class="price">',
     CASE product_id % 4 WHEN 0 THEN concat('$', CAST(price AS STRING)) WHEN 1 THEN concat(CAST(price AS STRING), ' EUR') WHEN 2 THEN 'Sold out' ELSE concat('£', CAST(product_id AS STRING), '.50') END, '</span>',
     CASE product_id % 5 WHEN 0 THEN concat('<div data-colorname="', color_name, '">swatch</div>') WHEN 1 THEN '<span class="colorName">$19.99</span>'
