@@ -64,14 +64,18 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, mode: str = "overwrite",
-                  fmt: str = "csv") -> DataFrame:
+                  fmt: str = "csv", skip_empty: bool = True) -> DataFrame:
     """Standardise -> validate -> write in fixed column order.
 
-    Returns the validation report rows (invalid rows only) so callers can
-    log counts without collecting the catalog. Writing an empty frame still
-    produces a readable (header-only / empty) output.
+    Returns the invalid rows (lazily) so callers can report them without
+    collecting the catalog. With ``skip_empty`` an empty input writes nothing
+    and logs a warning (a one-row probe, not a count).
     """
     std = validate(standardize(df, columns))
+    if skip_empty and std.isEmpty():
+        import logging
+        logging.getLogger(__name__).warning("No records to save: %s not written", path)
+        return std
     out = to_csv_frame(std, columns)
     w = out.write.mode(mode)
     if fmt == "csv":

@@ -69,3 +69,11 @@ def test_registry_runs_sites(spark, sf):
     assert set(r.brand_name for r in out.select("brand_name").distinct().collect()) == {"Example Shop", "Example Store"}
     register_site("noop", lambda df: df.limit(0))
     assert site_transform("noop")(view(spark, sf, "pp")).count() == 0
+
+
+def test_write_catalog_skips_empty(spark):
+    from drapery.sources import catalog_io as IO
+    path = IO.scratch_path(spark, "empty")
+    empty = spark.createDataFrame([], "style_id string, color_name string")
+    IO.write_catalog(empty, path)
+    assert IO.read_catalog(spark, path).count() == 0   # missing file -> empty frame
