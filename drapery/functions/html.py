@@ -92,9 +92,13 @@ def sizes(tokens) -> Column:
     return let(col(tokens), body)
 
 
-def waist_sizes(tokens, subcategory) -> Column:
-    """For Bottoms: raw numeric tokens 24-50, first-seen order (intended rule)."""
-    t = col(tokens)
+def waist_sizes(tokens, subcategory, mode: str = "intended") -> Column:
+    """For Bottoms: raw numeric tokens 24-50, first-seen order (intended rule).
+
+    ``mode='literal'`` filters the kept sizes instead (even 0-18 only), which
+    is what the coded rule does: it can never yield a waist size.
+    """
+    t = sizes(tokens) if mode == "literal" else col(tokens)
     keep = F.filter(t, lambda x: x.rlike(r"^\d{1,6}$") & (x.try_cast("int") >= 24) & (x.try_cast("int") <= 50))
     return F.when(col(subcategory) == "Bottoms", F.array_distinct(keep)).otherwise(F.array().cast("array<string>"))
 

@@ -35,11 +35,12 @@ def frontier_limit(links: DataFrame, limit: int = 100, url: str = "product_url",
     """
     keys = [site] if site else []
     fs = links.groupBy(*keys, url).agg(F.min(coll).alias(coll))
+    # collections without a new URL add nothing to the total and contribute no
+    # URL, so the running sum only needs collections that appear in ``fs``
     per_coll = fs.groupBy(*keys, coll).agg(F.count(F.lit(1)).alias("n_new"))
-    colls = links.select(*keys, coll).distinct().join(per_coll, keys + [coll], "left").fillna(0, ["n_new"])
     w = Window.partitionBy(*keys).orderBy(coll).rowsBetween(Window.unboundedPreceding, -1)
-    colls = colls.withColumn("before", F.coalesce(F.sum("n_new").over(w), F.lit(0)))
-    taken = colls.filter(F.col("before") < limit).select(*keys, coll)
+    per_coll = per_coll.withColumn("before", F.coalesce(F.sum("n_new").over(w), F.lit(0)))
+    taken = per_coll.filter(F.col("before") < limit).select(*keys, coll)
     return fs.join(taken, keys + [coll], "left_semi")
 
 

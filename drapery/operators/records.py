@@ -41,15 +41,17 @@ def scrape_status(price, materials) -> Column:
             .otherwise(F.lit("ok")))
 
 
-def _bool_of(c: Column, dtype: str) -> Column:
+def _bool_of(c: Column, dtype: str, literal: bool = False) -> Column:
     if dtype == "boolean":
         return F.coalesce(c, F.lit(False))
-    if dtype == "string":  # intended: parse the text ("False" stays False)
+    if dtype == "string":
+        if literal:  # bool(text): any non-empty string, "False" included, is True
+            return F.coalesce(c != "", F.lit(False))
         return F.coalesce(F.lower(F.trim(c)).isin("true", "1", "yes", "t"), F.lit(False))
     return F.coalesce(c.cast("double") != 0, F.lit(False))
 
 
-def standardize(df: DataFrame, columns=CATALOG_COLUMNS, passthrough=()) -> DataFrame:
+def standardize(df: DataFrame, columns=CATALOG_COLUMNS, passthrough=(), literal_bools: bool = False) -> DataFrame:
     """Project to the fixed column list with coercion and defaults.
 
     Numbers: ``try_cast`` to double, 0 on failure; booleans parsed; lists kept
@@ -68,7 +70,7 @@ def standardize(df: DataFrame, columns=CATALOG_COLUMNS, passthrough=()) -> DataF
         elif c in DOUBLE_COLS:
             e = F.coalesce(v.try_cast("double"), F.lit(0.0)) if present else F.lit(0.0)
         elif c in BOOL_COLS:
-            e = _bool_of(v, types.get(c, "void")) if present else F.lit(False)
+            e = _bool_of(v, types.get(c, "void"), literal_bools) if present else F.lit(False)
         elif c in LIST_COLS:
             if not present:
                 e = F.array().cast("array<string>")

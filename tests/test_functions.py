@@ -65,3 +65,14 @@ def test_slugify(spark):
 def test_looks_like_price(spark):
     df = spark.createDataFrame([("$12",), ("12.00",), ("Navy",)], "x string")
     assert [r.r for r in df.select(T.looks_like_price("x").alias("r")).collect()] == [True, True, False]
+
+
+def test_literal_modes(spark):
+    from drapery.operators.records import standardize
+    df = spark.createDataFrame([(["30", "2", "S"],)], "t array<string>")
+    r = df.select(F.array_join(H.waist_sizes("t", F.lit("Bottoms")), "|").alias("i"),
+                  F.array_join(H.waist_sizes("t", F.lit("Bottoms"), mode="literal"), "|").alias("l")).first()
+    assert (r.i, r.l) == ("30", "")        # Q6: the coded rule never yields a waist size
+    b = spark.createDataFrame([("False",)], "is_apparel string")
+    assert standardize(b).first().is_apparel is False
+    assert standardize(b, literal_bools=True).first().is_apparel is True   # Q16

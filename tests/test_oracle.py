@@ -15,7 +15,7 @@ FAST = ["fabric_breakdown", "fiber_split", "audience", "subcategory", "occasion"
         "color_family_of_hex", "title_case", "country_of_origin", "sizes", "sku", "style_slug", "product_json",
         "explode_variants", "gallery_images", "catalog_styles", "changed_pages", "stale_pages", "frontier_limit",
         "pagination_two_empty", "robots_filter", "resolve_url", "select_elements", "dominant_color", "css_color_name",
-        "validation_report"]
+        "validation_report", "swatch_colors", "catalog_dom", "sorted_urls", "fabric_header_bullets"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("DRAPERY_ALL_ORACLE") else FAST
 
 
