@@ -97,8 +97,11 @@ def expand_collection(collections: DataFrame, url: str = "collection_url", max_p
                 .when(F.instr(u, "?") > 0, F.concat(base, F.lit("?"), new_query))
                 .otherwise(F.concat(F.regexp_replace(u, "/+$", ""), F.lit("/page/"), n)))
     _ = host
+    # v1 rule: replace an existing ``?page=N``, else append ``?page=n`` to the URL
+    v1 = F.when(u.rlike(r"\?page=\d+"), F.regexp_replace(u, r"\?page=\d+", F.concat(F.lit("?page="), n))) \
+        .otherwise(F.concat(u, F.lit("?page="), n))
     return (collections.withColumn("page_no", F.explode(F.sequence(F.lit(2), F.lit(max_pages))))
-            .withColumn("page_url", expanded))
+            .withColumns({"page_url": expanded, "page_url_v1": v1}))
 
 
 def pagination_prefix(pages: DataFrame, coll: str = "coll_idx", max_pages: int = 10) -> DataFrame:

@@ -76,7 +76,8 @@ SELECT coll_idx, CAST(n AS INTEGER) AS page_no,
   CASE WHEN contains(u, 'shop.example.com') THEN split_part(u, '?', 1) || '?page=' || n
        WHEN coll_idx % 6 = 4 THEN split_part(u, '?', 1) || '?sort=new&page=' || n
        WHEN contains(u, '?') THEN split_part(u, '?', 1) || '?sort=new&page=' || n
-       ELSE rtrim(u, '/') || '/page/' || n END AS page_url
+       ELSE rtrim(u, '/') || '/page/' || n END AS page_url,
+  CASE WHEN regexp_matches(u, '\\?page=[0-9]+') THEN regexp_replace(u, '\\?page=[0-9]+', '?page=' || n) ELSE u || '?page=' || n END AS page_url_v1
 FROM colls, range(2, 11) t(n)""", "cl")
 
 oracle("pagination_prefix", """SELECT coll_idx, page_no FROM (

@@ -152,7 +152,7 @@ def _collections(spark, sf):
 
 @query("expand_collection")
 def q_expand_collection(spark, sf):
-    return CR.expand_collection(_collections(spark, sf)).select("coll_idx", "page_no", "page_url")
+    return CR.expand_collection(_collections(spark, sf)).select("coll_idx", "page_no", "page_url", "page_url_v1")
 
 
 @query("pagination_prefix")
