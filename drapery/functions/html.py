@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import PY_WS, col, let, nullif_empty, strip
+from .text import col, let, nullif_empty, strip
 
 SCRIPT_ID_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:id)\s*=\s*["']?[^"'>]*ProductJson[^>]*>(.*?)</(?i:script)\s*>"""
 LD_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:type)\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</(?i:script)\s*>"""
@@ -117,5 +117,3 @@ def first_pct_or_fibre_text(texts, fibre_regex: str) -> Column:
     """First text holding a fibre word or a '%'."""
     return F.get(F.filter(col(texts), lambda t: F.lower(t).rlike(fibre_regex) | (F.instr(t, "%") > 0)), 0)
 
-
-_ = PY_WS

@@ -81,7 +81,6 @@ def expand_collection(collections: DataFrame, url: str = "collection_url", max_p
     ``/page/n`` path suffix.
     """
     u = F.col(url)
-    host = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     on_host = F.lit(False)
     for h in query_page_hosts:
         on_host = on_host | (F.instr(u, h) > 0)
@@ -96,7 +95,6 @@ def expand_collection(collections: DataFrame, url: str = "collection_url", max_p
     expanded = (F.when(on_host, F.concat(base, F.lit("?page="), n))
                 .when(F.instr(u, "?") > 0, F.concat(base, F.lit("?"), new_query))
                 .otherwise(F.concat(F.regexp_replace(u, "/+$", ""), F.lit("/page/"), n)))
-    _ = host
     # v1 rule: replace an existing ``?page=N``, else append ``?page=n`` to the URL
     v1 = F.when(u.rlike(r"\?page=\d+"), F.regexp_replace(u, r"\?page=\d+", F.concat(F.lit("?page="), n))) \
         .otherwise(F.concat(u, F.lit("?page="), n))

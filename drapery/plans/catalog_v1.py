@@ -105,7 +105,7 @@ def info_list_materials(elements) -> Column:
     """Information-list items longer than 3 characters, joined; else the first
     p/div/li whose text holds a fibre word or '%'."""
     items = F.filter(F.transform(E.select(elements, INFO_LIST), _text), lambda t: F.length(t) > 3)
-    words = "|".join(w.replace("%", "%") for w in DOM_MATERIAL_WORDS)
+    words = "|".join(DOM_MATERIAL_WORDS)
     fallback = F.get(F.filter(F.transform(F.filter(elements if not isinstance(elements, str) else F.col(elements),
                                                    lambda e: e["tag"].isin("p", "div", "li")), _text),
                               lambda t: F.lower(t).rlike(words)), 0)

@@ -3,7 +3,7 @@ elements, colour tables and validation."""
 
 from __future__ import annotations
 
-from .oracle import WS, oracle, strip
+from .oracle import oracle, strip
 from .oracle_pages import CATALOG_SELECT, SHOP_PIPELINE, norm_img, unescape
 
 SHOP_BASE = "https://shop.example.com"
@@ -183,7 +183,6 @@ FROM (SELECT hex, CASE WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN h
   FROM (SELECT hex, lower(regexp_replace(trim(coalesce(hex, '')), '^#', '')) AS h FROM (
     SELECT DISTINCT hex FROM (SELECT '#' || upper(printf('%02x%02x%02x', r - r % 64, g - g % 64, b - b % 64)) AS hex FROM px
                               UNION ALL SELECT hex FROM pt))))""", "pt", "px")
-_ = WS
 
 # ---- validation ---------------------------------------------------------------------------
 from .oracle import fabric_ctes  # noqa: E402

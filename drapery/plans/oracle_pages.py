@@ -6,7 +6,7 @@ markup, no nested containers); the JSON side uses DuckDB's JSON functions.
 
 from __future__ import annotations
 
-from .oracle import FABRIC_TAG_SQL, WS, fiber_split_ctes, oracle, sql_list, strip
+from .oracle import FABRIC_TAG_SQL, fiber_split_ctes, oracle, sql_list, strip
 from .oracle_text import (AUD_WORD, CAT, FIT, NORM_COLOR, OCC, PATTERN, SEASON, SUBCAT, title_case_sql)
 
 M1 = r"""(?s)<(?i:script)\b[^>]*\b(?i:id)\s*=\s*["'']?[^"''>]*ProductJson[^>]*>(.*?)</(?i:script)\s*>"""

@@ -11,13 +11,12 @@ from ..functions import color as C
 from ..functions import fabric as fb
 from ..functions import html as H
 from ..functions import keys as K
-from ..functions.text import clean_text
 from ..operators import crawl as CR
 from ..operators import elements as E
 from ..operators import incremental as INC
 from ..operators import reports as REP
-from ..operators.records import CATALOG_COLUMNS, validate, validation_report
-from ..plans.catalog import catalog_output, catalog_shopify, catalog_styles
+from ..operators.records import validate, validation_report
+from ..plans.catalog import catalog_shopify, catalog_styles
 from ..sources import catalog_io as IO
 from ..sources.sites import SITES, site_dim
 from ..sources.tables import table, view
@@ -294,5 +293,3 @@ def q_validate(spark, sf):
 def q_validation_report(spark, sf):
     return validation_report(_validation_input(spark, sf), "product_id")
 
-
-_ = (CATALOG_COLUMNS, catalog_output, clean_text)
