@@ -19,7 +19,7 @@ from ..functions import rules as R
 from ..functions.color import normalize_color
 from ..functions.text import format_price, materials_snippet, nullif_empty
 from ..operators import elements as E
-from ..operators.extract import explode_styles, explode_variants, ldjson_objects, ldjson_offer_price, product_json
+from ..operators.extract import explode_variants, ldjson_objects, ldjson_offer_price, product_json
 from ..operators.fabric import with_fabric
 from ..operators.records import CATALOG_COLUMNS, dedup_first, scrape_status, standardize
 from ..session import spread
@@ -194,7 +194,9 @@ def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
 def catalog_styles(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFrame:
     """Style-map product pages -> standardised catalog rows (one per style)."""
     p = styles_pages(pages, site)
-    s = explode_styles(p.drop("styles").withColumn("html2", F.col("html")), "html2").drop("html2")
+    # the styles map was parsed once in styles_pages; explode it in document order
+    s = (p.select("*", F.posexplode("styles").alias("pos", "style_key", "style")).drop("styles")
+         .withColumn("color_name", F.coalesce(F.col("style.displayName"), F.lit("Default"))))
     base = F.lit(site.base_url)
     page_gallery = I.keep_images(F.concat("sel_images", "generic_images"), "style_key", base, 10)
     style_imgs = F.array_distinct(F.filter(F.transform(F.coalesce(F.col("style.images"), F.array()),
