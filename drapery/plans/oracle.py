@@ -64,7 +64,7 @@ f_start AS (
 f_lists AS (
   SELECT k, regexp_extract_all(t, '{pat}', 1) AS pcts, regexp_extract_all(t, '{pat}', 2) AS raws FROM f_start),
 f_comp AS (
-  SELECT k, i - 1 AS pos, CAST(pcts[i] AS INTEGER) AS pct, {strip('raws[i]')} AS raw
+  SELECT k, CAST(i - 1 AS INTEGER) AS pos, CAST(pcts[i] AS INTEGER) AS pct, {strip('raws[i]')} AS raw
   FROM (SELECT k, pcts, raws, unnest(range(1, len(raws) + 1)) AS i FROM f_lists)),
 f_c1 AS (SELECT *, string_split_regex({strip('raw')}, '\\s[-–—]\\s')[1] AS s1 FROM f_comp),
 f_c2 AS (
@@ -186,7 +186,7 @@ SELECT product_id, pos, CAST(pct_text AS INTEGER) AS pct, {strip('fiber_raw')} A
 FROM (
   SELECT product_id, pos, regexp_extract(part, '^(\\d+)\\s*%\\s*(.+)$', 1) AS pct_text,
     regexp_extract(part, '^(\\d+)\\s*%\\s*(.+)$', 2) AS fiber_raw
-  FROM (SELECT product_id, i - 1 AS pos, {strip('parts[i]')} AS part
+  FROM (SELECT product_id, CAST(i - 1 AS INTEGER) AS pos, {strip('parts[i]')} AS part
         FROM (SELECT product_id, parts, unnest(range(1, len(parts) + 1)) AS i
               FROM (SELECT product_id, string_split_regex(coalesce(materials, ''), '[,/]+') AS parts FROM pt))))
 WHERE pct_text <> ''""", "pt")

@@ -161,7 +161,7 @@ VARIANTS = f"""
 vr0 AS (
   SELECT pg1.page_id, v.pos, v.vid, v.vtitle, v.option1, v.price, v.fi_truthy, v.fi_src FROM pg1,
   LATERAL (
-    SELECT i AS pos, coalesce(json_extract_string(vj, '$.id'), '') AS vid, json_extract_string(vj, '$.title') AS vtitle,
+    SELECT CAST(i AS INTEGER) AS pos, coalesce(json_extract_string(vj, '$.id'), '') AS vid, json_extract_string(vj, '$.title') AS vtitle,
       json_extract_string(vj, '$.option1') AS option1, coalesce(TRY_CAST(json_extract_string(vj, '$.price') AS DOUBLE), 0) / 100.0 AS price,
       fi IS NOT NULL AND replace(CAST(fi AS VARCHAR), ' ', '') NOT IN ('{{}}', '[]', '""', 'null', 'false', '0', '') AS fi_truthy,
       CASE WHEN starts_with(ltrim(coalesce(json_extract_string(fi, '$.src'), '')), '{{')
@@ -172,7 +172,7 @@ vr0 AS (
           FROM range(CAST(coalesce(json_array_length(pg1.m1, '$.variants'), 0) AS BIGINT)) t(i))
   ) v WHERE pg1.m1 IS NOT NULL
   UNION ALL
-  SELECT page_id, 0 AS pos, left(md5(url), 12) AS vid, coalesce(json_extract_string(ld, '$.name'), '') AS vtitle,
+  SELECT page_id, CAST(0 AS INTEGER) AS pos, left(md5(url), 12) AS vid, coalesce(json_extract_string(ld, '$.name'), '') AS vtitle,
     NULL AS option1, trunc(coalesce(TRY_CAST(json_extract_string(ld, '$.offers.price') AS DOUBLE), 0) * 100) / 100.0 AS price,
     true AS fi_truthy,
     CASE WHEN starts_with(coalesce(json_extract_string(ld, '$.image'), ''), '[') THEN coalesce(json_extract_string(ld, '$.image[0]'), '')
