@@ -77,3 +77,21 @@ def test_write_catalog_skips_empty(spark):
     empty = spark.createDataFrame([], "style_id string, color_name string")
     IO.write_catalog(empty, path)
     assert IO.read_catalog(spark, path).count() == 0   # missing file -> empty frame
+
+
+def test_v1_element_operators_on_literal_html(spark):
+    from drapery.plans import catalog_v1 as V
+    pages = spark.createDataFrame([
+        (1, '<div data-colorname="">swatch</div><span class="product-price">$1,299.00</span>'
+            '<ul class="product-information-item__list"><li>ab</li><li>70% wool, 30% silk</li></ul>'),
+        (2, '<span class="colorName">$19.99</span><span class="price">Sold out</span><p>Soft wool blend</p>'),
+        (3, '<button data-colorname="Olive">o</button><button data-colorname="Olive">o</button>'),
+    ], "page_id int, html string")
+    el = html_elements(pages)
+    r = {x.page_id: x for x in el.select(
+        "page_id", V.page_color_name("elements").alias("color"), V.price_from_elements("elements").alias("p"),
+        V.info_list_materials("elements").alias("m"),
+        F.transform(V.swatch_colors("elements"), lambda s: s["color_name"]).alias("sw")).collect()}
+    assert r[1].color == "swatch" and r[1].p.price_raw == "$1299.00" and r[1].m == "70% wool, 30% silk"
+    assert r[2].color == "Default" and r[2].p.price_raw == "Sold out" and r[2].m == "Soft wool blend"
+    assert r[3].sw == ["Olive"] and r[2].sw == ["Default"]
