@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, token_counts, token_store
+from . import decontam, langid, mixing, substring_dedup, token_counts, token_store, topk
 from .common import read
 
 
@@ -14,11 +15,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return mixing.mix(docs, weights=(1, 2, 3), max_copies=3, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), is_query=lambda i: i % 50 == 0, k=5, scale=256)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), langid.is_held_out("doc_id")
+    model = langid.train(docs, held_out=held_out)
+    out = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.store(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_store.digests(token_store.read_tokens(spark, path))
@@ -28,5 +49,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_token_store, op10_token_counts)}
-ORACLE = {"op2_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op2_mixing, op3_topk, op5_decontamination, op7_langid, op9_token_store, op10_token_counts)}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE}
