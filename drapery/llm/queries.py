@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, substring_dedup, token_counts, token_store, topk
+from . import decontam, langid, mixing, substring_dedup, token_counts, token_store, topk, url_lists, warc
 from .common import read
 
 
@@ -33,6 +33,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(read(spark, sf_dir, "pages"), revisit_bytes=100)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = read(spark, sf_dir, "documents"), langid.is_held_out("doc_id")
     model = langid.train(docs, held_out=held_out)
@@ -40,6 +45,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    out = url_lists.filter_captures(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+    return out.select("page_id", "host", "n_active", "lists", "rejected")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.store(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return token_store.digests(token_store.read_tokens(spark, path))
@@ -50,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_mixing, op3_topk, op5_decontamination, op7_langid, op9_token_store, op10_token_counts)}
-ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE}
+    op1_substring_dedup, op2_mixing, op3_topk, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts)}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_lists": url_lists.ORACLE}
