@@ -49,3 +49,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes too, as texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df.mapInArrow(function, schema)
+
+
+def up_to(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcasting if a count finds at most ``rows`` rows; otherwise the planner decides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

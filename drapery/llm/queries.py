@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, substring_dedup, token_counts, token_store, topk, url_lists, warc
+from . import decontam, langid, minhash, mixing, substring_dedup, token_counts, token_store, topk, url_lists, warc
 from .common import read
 
 
@@ -29,6 +29,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), is_query=lambda i: i % 50 == 0, k=5, scale=256)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_groups(read(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), carry=["doc_id"])
 
@@ -61,5 +66,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_mixing, op3_topk, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts)}
+    op1_substring_dedup, op2_mixing, op3_topk, op4_minhash, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts)}
 ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_lists": url_lists.ORACLE}
