@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import map_batches, words
 
 CHAIN = 64
 MEMO = 400_000
@@ -271,12 +271,14 @@ def _marginals_only(scores: np.ndarray, trans: np.ndarray, live: np.ndarray) ->
     return alpha.transpose(1, 0, 2)
 
 
-def _tag_batches(shared):
+def _tag_batches(shared, text_field: str | None):
+    """Predictions for batches of ``row`` and ``text``; the text may be a field of the row."""
     def run(batches):
         model = shared.value
         tagger = Tagger(model) if model.labels else None
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            column = batch.column(1) if text_field is None else batch.column(0).field(text_field)
+            texts = [x or "" for x in column.to_pylist()]
             lang, score, spread = [], [], []
             for lo in range(0, len(texts), 256):
                 part = texts[lo:lo + 256]
@@ -318,7 +320,16 @@ def train(docs: DataFrame, held_out=None, rows_per_lang: int = 600, words_per_ro
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row: its columns (or those of ``keep``) as the struct ``row``, ``lang_pred``, ``score`` and ``shares`` (language -> share)."""
-    d = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), F.col(text_col).alias("text"))
+    keep = docs.columns if keep is None else keep
+    inside = text_col if text_col in keep else None
+    row = F.struct(*keep).alias("row")
+    d = docs.select(row) if inside else docs.select(row, F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = d.schema["row"].dataType.simpleString()
-    return d.mapInArrow(_tag_batches(shared), f"row {kind}, lang_pred string, score double, shares map<string,double>")
+    return map_batches(d, _tag_batches(shared, inside), f"row {kind}, lang_pred string, score double, shares map<string,double>")
+
+
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language can be told: not ``und``, and a score of at least ``min_score``."""
+    out = predict(docs, model, text_col)
+    return out.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")

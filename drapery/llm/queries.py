@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, minhash, mixing, substring_dedup, token_counts, token_store, topk, url_lists, warc
-from .common import read
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from .common import read, tokenizer_path
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +62,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_mixing, op3_topk, op4_minhash, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_lists": url_lists.ORACLE}
