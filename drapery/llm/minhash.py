@@ -88,7 +88,7 @@ def minima(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def pack(m: np.ndarray) -> np.ndarray:
     """Low four bits of the minima, sixteen to a word."""
-    low = (m & np.uint32(15)).astype(np.uint64).reshape(len(m), -1, NIBBLES)
+    low = (m & np.uint32(15)).astype(np.uint64).reshape(len(m), HASHES // NIBBLES, NIBBLES)
     return (low << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
