@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, let, nullif_empty, strip
+from .text import col, cut, let, nullif_empty, strip
 
 SCRIPT_ID_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:id)\s*=\s*["']?[^"'>]*ProductJson[^>]*>(.*?)</(?i:script)\s*>"""
 LD_JSON = r"""(?s)<(?i:script)\b[^>]*\b(?i:type)\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</(?i:script)\s*>"""
 ANALYTICS_ASSIGN = r"(?s)ShopifyAnalytics\.meta\.product\s*=\s*(\{(?:(?!</script>).)+?\});"
 STYLES_ASSIGN = r"(?s)window\.gap\.properties\.styles\s*=\s*(\{(?:(?!</script>).)+?\});"
-HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+IMG_SRC = r"""(?i)<img\b[^>]*?\s(?:data-)?src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TAG = r"<[/!?]?[A-Za-z][^>]*>"
 
 # The named entities decoded in text (others pass through).
@@ -44,20 +45,29 @@ def html_to_text(html) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), " ")
 
 
+def _values(html, pattern: str) -> Column:
+    """Values of an attribute: double-quoted, single-quoted or bare."""
+    h = F.coalesce(col(html), F.lit(""))
+    found = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(pattern), g).alias(f"g{g}") for g in (1, 2, 3)])
+    return F.transform(found, lambda x: unescape(F.concat(x["g1"], x["g2"], x["g3"])))
+
+
 def hrefs(html) -> Column:
     """Every ``<a href>`` value in document order."""
-    h = F.coalesce(col(html), F.lit(""))
-    dq = F.regexp_extract_all(h, F.lit(HREF), 1)
-    sq = F.regexp_extract_all(h, F.lit(HREF), 2)
-    return F.transform(dq, lambda x, i: unescape(F.when(x != "", x).otherwise(F.get(sq, i))))
+    return _values(html, HREF)
+
+
+def img_urls(html) -> Column:
+    """Every ``<img>``'s ``src`` (or ``data-src``) in document order."""
+    return _values(html, IMG_SRC)
 
 
 def meta_content(html, prop: str) -> Column:
     """``content`` of ``<meta property="prop">`` (either attribute order)."""
     h = F.coalesce(col(html), F.lit(""))
     p = prop.replace(".", r"\.")
-    a = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']{p}["'][^>]*\bcontent\s*=\s*["']([^"']*)["']""", 1)
-    b = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\bcontent\s*=\s*["']([^"']*)["'][^>]*\bproperty\s*=\s*["']{p}["']""", 1)
+    a = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\sproperty\s*=\s*["']{p}["'][^>]*\scontent\s*=\s*["']([^"']*)["']""", 1)
+    b = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\scontent\s*=\s*["']([^"']*)["'][^>]*\sproperty\s*=\s*["']{p}["']""", 1)
     return F.coalesce(nullif_empty(unescape(a)), nullif_empty(unescape(b)))
 
 
@@ -106,11 +116,11 @@ def waist_sizes(tokens, subcategory, mode: str = "intended") -> Column:
 CARE_SENTENCE = r"(machine wash|hand wash|dry clean|iron|tumble dry|do not bleach)[^.]*\."
 
 
-def care_instructions(care_texts, materials) -> Column:
-    """Texts of care elements + the first care sentence of the materials, max 500."""
+def care_instructions(care_texts, materials, limit: int | None = None) -> Column:
+    """Texts of care elements + the first care sentence of the materials."""
     joined = F.array_join(F.transform(col(care_texts), lambda t: F.concat(t, F.lit(" "))), "")
     sentence = F.regexp_extract(F.lower(F.coalesce(col(materials), F.lit(""))), CARE_SENTENCE, 0)
-    return F.substring(strip(F.concat(joined, sentence)), 1, 500)
+    return cut(strip(F.concat(joined, sentence)), limit)
 
 
 def first_pct_or_fibre_text(texts, fibre_regex: str) -> Column:

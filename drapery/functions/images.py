@@ -38,17 +38,21 @@ def is_product_image_v1(url, slug) -> Column:
             & ((F.instr(low, "/products/") > 0) | ((s != "") & (F.instr(low, s) > 0))))
 
 
-def keep_images(urls, slug, base, limit: int = 10) -> Column:
-    """Normalise, drop empties and non-product images, first-seen distinct, cap."""
+def first(urls, limit: int | None) -> Column:
+    return urls if limit is None else F.slice(urls, 1, limit)
+
+
+def keep_images(urls, slug, base, limit: int | None = None) -> Column:
+    """Normalise, drop empties and non-product images, first-seen distinct."""
     norm = F.transform(col(urls), lambda u: normalize_image_url(u, base))
     kept = F.filter(norm, lambda u: (u != "") & is_product_image(u, slug))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return first(F.array_distinct(kept), limit)
 
 
-def clean_gallery(urls, slug, limit: int = 5) -> Column:
-    """v1: product images only, distinct, at most 5."""
+def clean_gallery(urls, slug, limit: int | None = None) -> Column:
+    """v1: product images only, distinct."""
     kept = F.filter(col(urls), lambda u: F.coalesce(is_product_image_v1(u, slug), F.lit(False)))
-    return F.slice(F.array_distinct(kept), 1, limit)
+    return first(F.array_distinct(kept), limit)
 
 
 def rank_images_by_handle(candidates, url) -> Column:

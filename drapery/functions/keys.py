@@ -46,14 +46,14 @@ def normalize_image_url(url, base, keep_query: bool = False) -> Column:
     return let(col(url), body)
 
 
-def parse_srcset(srcset, limit: int = 5, distinct: bool = False) -> Column:
-    """First token of each comma part, empties dropped, at most ``limit``."""
+def parse_srcset(srcset, limit: int | None = None, distinct: bool = False) -> Column:
+    """First token of each comma part, empties dropped."""
     toks = F.transform(F.split(F.coalesce(col(srcset), F.lit("")), ","),
                        lambda x: F.get(F.split(strip(x), r"\s+"), 0))
     toks = F.filter(toks, lambda x: x != "")
     if distinct:
         toks = F.array_distinct(toks)
-    return F.slice(toks, 1, limit)
+    return toks if limit is None else F.slice(toks, 1, limit)
 
 
 def style_slug(url) -> Column:

@@ -24,6 +24,11 @@ def let(value, fn) -> Column:
     return F.get(F.transform(F.array(col(value)), fn), 0)
 
 
+def cut(c: Column, limit: int | None) -> Column:
+    """The first ``limit`` characters; all of them when no limit is given."""
+    return c if limit is None else F.substring(c, 1, limit)
+
+
 def strip(c) -> Column:
     """Python ``str.strip()``: trim Unicode whitespace at both ends."""
     return F.regexp_replace(col(c), f"^{PY_WS}+|{PY_WS}+$", "")
@@ -58,10 +63,10 @@ def slugify(c) -> Column:
     return F.regexp_replace(s, "^-+|-+$", "")
 
 
-def slugify_short(c) -> Column:
-    """The shadowed v1 slug: non-alphanumerics -> '-', trim '-', max 30."""
+def slugify_short(c, limit: int | None = None) -> Column:
+    """The shadowed v1 slug: non-alphanumerics -> '-', trim '-'."""
     s = F.regexp_replace(strip(F.lower(col(c))), "[^a-z0-9]+", "-")
-    return F.substring(F.regexp_replace(s, "^-+|-+$", ""), 1, 30)
+    return cut(F.regexp_replace(s, "^-+|-+$", ""), limit)
 
 
 def nullif_empty(c) -> Column:
@@ -104,9 +109,9 @@ def format_price(c) -> Column:
     return F.when(p.isNotNull() & (p != 0), F.format_string("$%.2f", p)).otherwise(F.lit(""))
 
 
-def materials_snippet(c) -> Column:
-    """Current path: the first 200 characters."""
-    return F.coalesce(F.substring(col(c), 1, 200), F.lit(""))
+def materials_snippet(c, limit: int | None = None) -> Column:
+    """Current path: the materials text (its first ``limit`` characters, if given)."""
+    return F.coalesce(cut(col(c), limit), F.lit(""))
 
 
 # Fixed value: v1 fibre words used to pick a materials sentence.
@@ -115,18 +120,18 @@ V1_FIBER_WORDS = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp
 
 
 def materials_snippet_v1(c) -> Column:
-    """v1: first sentence (>= 5 chars) holding a fibre word and '%' or 'organic',
-    cut to 300 characters; else the first 180 characters."""
+    """v1: first sentence (>= 5 chars) holding a fibre word and '%' or 'organic';
+    else the whole text."""
     fibre = "|".join(V1_FIBER_WORDS)
     lines = F.transform(F.split(col(c), r"[.\n]"), lambda x: strip(x))
     good = F.filter(lines, lambda x: (F.length(x) >= 5) & F.lower(x).rlike(fibre)
                     & ((F.instr(x, "%") > 0) | (F.instr(F.lower(x), "organic") > 0)))
     return F.when(col(c).isNull() | (col(c) == ""), F.lit("")).otherwise(
-        F.coalesce(strip(F.substring(F.get(good, 0), 1, 300)), strip(F.substring(col(c), 1, 180))))
+        F.coalesce(strip(F.get(good, 0)), strip(col(c))))
 
 
-def generate_description(title, snippet, category) -> Column:
-    """"{title}." + first sentence of a >20-char snippet + category sentence, max 500."""
+def generate_description(title, snippet, category, limit: int | None = None) -> Column:
+    """"{title}." + first sentence of a >20-char snippet + category sentence."""
     t, s, cat = col(title), col(snippet), col(category)
     first = strip(F.get(F.split(s, r"\.", 2), 0))
     body = F.concat(
@@ -135,7 +140,7 @@ def generate_description(title, snippet, category) -> Column:
         F.when(F.coalesce(cat, F.lit("")) != "",
                F.concat(F.lit(" Perfect addition to your "), F.lower(cat), F.lit(" collection."))).otherwise(F.lit("")),
     )
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(F.substring(body, 1, 500))
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit("")).otherwise(cut(body, limit))
 
 
 def country_of_origin(html) -> Column:

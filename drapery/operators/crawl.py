@@ -8,7 +8,7 @@ pages (a handful of rows per group) or over one row per collection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import resolve_url
@@ -24,10 +24,11 @@ def first_seen(links: DataFrame, by, url: str = "product_url") -> DataFrame:
     return links.groupBy(url).agg(F.min(F.struct(*by)).alias("_first")).select(url, *[F.col(f"_first.{c}").alias(c) for c in by])
 
 
-def frontier_limit(links: DataFrame, limit: int = 100, url: str = "product_url", coll: str = "coll_idx",
+def frontier_limit(links: DataFrame, limit: int, url: str = "product_url", coll: str = "coll_idx",
                    site: str | None = None) -> DataFrame:
     """URLs of the collections taken before the distinct-URL total reached
-    ``limit`` (checked after each collection, so it may overshoot).
+    ``limit`` (checked after each collection, so it may overshoot). The
+    limit is the operator: there is no default.
 
     New URLs per collection come from a partial aggregation (first-seen
     collection per URL); the running total runs over one row per
@@ -38,6 +39,9 @@ def frontier_limit(links: DataFrame, limit: int = 100, url: str = "product_url",
     # collections without a new URL add nothing to the total and contribute no
     # URL, so the running sum only needs collections that appear in ``fs``
     per_coll = fs.groupBy(*keys, coll).agg(F.count(F.lit(1)).alias("n_new"))
+    if not keys:
+        # each of them adds a URL, so none beyond the first ``limit`` can be taken
+        per_coll = per_coll.orderBy(coll).limit(limit)
     w = Window.partitionBy(*keys).orderBy(coll).rowsBetween(Window.unboundedPreceding, -1)
     per_coll = per_coll.withColumn("before", F.coalesce(F.sum("n_new").over(w), F.lit(0)))
     taken = per_coll.filter(F.col("before") < limit).select(*keys, coll)
@@ -54,7 +58,7 @@ def with_global_index(df: DataFrame, order: str, partitions: int | None = None)
     order); each partition's offset comes from one count per partition, a
     table bounded by the partition count and therefore broadcast.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright("_mid", 33)))
@@ -72,7 +76,7 @@ def sorted_urls(urls: DataFrame, url: str = "product_url") -> DataFrame:
     return with_global_index(urls.select(url).distinct(), url).select(url, "i", "total")
 
 
-def expand_collection(collections: DataFrame, url: str = "collection_url", max_pages: int = 10,
+def expand_collection(collections: DataFrame, max_pages: int, url: str = "collection_url",
                       query_page_hosts=("shop.example.com",)) -> DataFrame:
     """Candidate page URLs 2..max_pages per collection URL.
 
@@ -102,25 +106,29 @@ def expand_collection(collections: DataFrame, url: str = "collection_url", max_p
             .withColumns({"page_url": expanded, "page_url_v1": v1}))
 
 
-def pagination_prefix(pages: DataFrame, coll: str = "coll_idx", max_pages: int = 10) -> DataFrame:
+def pagination_prefix(pages: DataFrame, max_pages: int, coll: str = "coll_idx") -> DataFrame:
     """Pages 2..max_pages kept until the first one that fails (status 200,
-    body > 500 chars, holds a product link); page 1 is the collection itself.
+    body > 500 chars, holds a product link) or was never fetched; page 1 is
+    the collection itself.
 
-    Pages beyond ``max_pages`` can never be kept, so they are dropped before
-    the window: each window partition holds at most ``max_pages`` rows, even
-    for a collection with a huge share of the links.
+    ``max_pages`` is the rule's own bound: pages beyond it can never be kept,
+    so each window partition holds at most ``max_pages`` rows.
     """
     ok = ((F.col("status") == 200) & (F.col("body_len") > 500)
           & F.coalesce(F.instr("product_url", "/products/") > 0, F.lit(False))).cast("int")
     per_page = pages.filter(F.col("page_no") <= max_pages).groupBy(coll, "page_no").agg(F.max(ok).alias("ok"))
     w = Window.partitionBy(coll).orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
-    per_page = per_page.withColumn("all_ok", F.min(F.when(F.col("page_no") >= 2, F.col("ok")).otherwise(F.lit(1))).over(w))
+    # the k-th page from 2 on must be page k + 1: a gap ends the prefix
+    seen = F.count(F.when(F.col("page_no") >= 2, 1)).over(w)
+    per_page = per_page.withColumn("ok", F.when((F.col("page_no") >= 2) & (seen + 1 == F.col("page_no")), F.col("ok"))
+                                   .when(F.col("page_no") < 2, F.lit(1)).otherwise(F.lit(0)))
+    per_page = per_page.withColumn("all_ok", F.min("ok").over(w))
     return per_page.filter((F.col("page_no") == 1) | (F.col("all_ok") == 1)).select(coll, "page_no")
 
 
-def pagination_two_empty(pages: DataFrame, coll: str = "coll_idx", max_pages: int = 20) -> DataFrame:
-    """v1 pagination: stop at a failed fetch, or after two consecutive pages
-    adding no new product URL; at most ``max_pages`` pages.
+def pagination_two_empty(pages: DataFrame, max_pages: int, coll: str = "coll_idx") -> DataFrame:
+    """v1 pagination: stop at a failed or missing fetch, or after two consecutive
+    pages adding no new product URL; at most ``max_pages`` pages (the rule's bound).
 
     Later pages cannot change which of the first ``max_pages`` are kept, so
     they are dropped first; windows then see at most ``max_pages`` rows per
@@ -132,6 +140,8 @@ def pagination_two_empty(pages: DataFrame, coll: str = "coll_idx", max_pages: in
     per_page = (pages.groupBy(coll, "page_no").agg(F.max((F.col("status") == 200).cast("int")).alias("ok"))
                 .join(new_per_page, [coll, "page_no"], "left").fillna(0, ["n_new"]))
     w = Window.partitionBy(coll).orderBy("page_no")
+    # page k must be the k-th: after a page that was never fetched nothing follows
+    per_page = per_page.withColumn("ok", F.when(F.row_number().over(w) == F.col("page_no"), F.col("ok")).otherwise(F.lit(0)))
     wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_page = per_page.withColumn("two_empty", (F.col("n_new") == 0) & (F.lag("n_new").over(w) == 0))
     per_page = per_page.withColumn("stop_at", F.min(F.when(F.col("two_empty"), F.col("page_no"))).over(wall))
@@ -145,11 +155,10 @@ def pagination_two_empty(pages: DataFrame, coll: str = "coll_idx", max_pages: in
 def is_product_url(urls: DataFrame, sites: DataFrame, url: str = "url") -> DataFrame:
     """Flag URLs containing any product pattern of their site.
 
-    ``sites`` is the site table (one row per configured site - bounded by
-    configuration, not by data), so it is broadcast.
+    ``sites`` has one row per configured site; the planner sees its size.
     """
     host = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    s = F.broadcast(sites.select(F.col("source_site").alias("_host"), "product_url_patterns"))
+    s = sites.select(F.col("source_site").alias("_host"), "product_url_patterns")
     j = urls.withColumn("_host", host).join(s, "_host", "left")
     flag = F.coalesce(F.exists("product_url_patterns", lambda p: F.instr(F.col(url), p) > 0), F.lit(False))
     return j.withColumn("is_product", flag).drop("_host", "product_url_patterns")
@@ -162,32 +171,63 @@ def first_nonempty_source(records: DataFrame, priority: str = "strategy", site:
     return records.join(best, keys + [priority], "left_semi")
 
 
+RULES = "array<struct<allow:boolean,path:string>>"
+
+
+def unquoted(c) -> Column:
+    """Percent-decoded text ('+' stays; text that can't be decoded stays whole)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
 def robots_rules(robots: DataFrame, host: str = "host", text: str = "robots_txt") -> DataFrame:
-    """``(host, line_no, allow, path)`` of the ``User-agent: *`` group."""
-    lines = robots.select(host, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
-    k = F.lower(F.trim(F.substring_index("line", ":", 1)))
-    v = F.trim(F.regexp_replace("line", r"^[^:]*:", ""))
-    lines = lines.withColumn("k", k).withColumn("v", v).filter(F.instr("line", ":") > 0)
-    w = Window.partitionBy(host).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("agent", F.last(F.when(F.col("k") == "user-agent", F.col("v")), ignorenulls=True).over(w))
-    rules = lines.filter(F.col("k").isin("allow", "disallow") & (F.col("agent") == "*"))
-    return rules.select(host, "line_no", (F.col("k") == "allow").alias("allow"), F.col("v").alias("path"))
+    """``(host, rules)``: the ordered rules that hold for any agent.
+
+    One fold over a file's lines: consecutive ``User-agent`` lines share a
+    group, the next ``User-agent`` line after a rule or a blank line after
+    anything ends it, and a group whose agents have no rules yet at a blank
+    line is dropped. The first group that names ``*`` counts. An empty
+    ``Disallow`` allows everything.
+    """
+    lines = F.transform(F.split(F.col(text), r"\r\n|\r|\n"), lambda x: F.struct(
+        (x == "").alias("blank"), F.trim(F.regexp_replace(x, "#.*$", "")).alias("line")))
+    lines = F.transform(lines, lambda x: F.struct(
+        x["blank"].alias("blank"), F.lower(F.trim(F.substring_index(x["line"], ":", 1))).alias("key"),
+        F.when(F.instr(x["line"], ":") > 0, unquoted(F.trim(F.regexp_replace(x["line"], r"^[^:]*:", "")))).alias("value")))
+    none = F.array().cast(RULES)
+
+    def state(stage, star, rules, found, kept):
+        return F.struct(stage.alias("stage"), star.alias("star"), rules.alias("rules"), found.alias("found"), kept.alias("kept"))
+
+    def closed(s):  # what is kept once the group ends
+        keep = (s["stage"] == 2) & s["star"] & ~s["found"]
+        return s["found"] | keep, F.when(keep, s["rules"]).otherwise(s["kept"])
+
+    def step(s, x):
+        found, kept = closed(s)
+        agent, rule = x["key"] == "user-agent", x["key"].isin("allow", "disallow")
+        star = F.coalesce(x["value"] == "*", F.lit(False))
+        one = F.array(F.struct(((x["key"] == "allow") | (x["value"] == "")).alias("allow"), x["value"].alias("path"))).cast(RULES)
+        return (F.when(x["blank"], state(F.lit(0), F.lit(False), none, found, kept))
+                .when(x["value"].isNull(), s)
+                .when(agent & (s["stage"] == 2), state(F.lit(1), star, none, found, kept))
+                .when(agent, state(F.lit(1), s["star"] | star, s["rules"], s["found"], s["kept"]))
+                .when(rule & (s["stage"] > 0), state(F.lit(2), s["star"], F.concat(s["rules"], one), s["found"], s["kept"]))
+                .otherwise(s))
+
+    start = state(F.lit(0), F.lit(False), none, F.lit(False), none)
+    return robots.select(host, F.aggregate(lines, start, step, lambda s: closed(s)[1]).alias("rules"))
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Keep URLs their host's robots rules allow. The first rule (in file
-    order) whose path prefixes the URL path decides; an empty Disallow allows
-    everything; hosts without rules allow everything."""
-    path = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    u = urls.select(url, F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("host"),
-                    path.alias("_path"))
-    r = rules.withColumn("allow", F.col("allow") | (F.col("path") == ""))
-    hits = (u.join(r, "host").filter((F.col("path") == "*") | F.col("_path").startswith(F.col("path")))
-            .groupBy(url).agg(F.min_by("allow", "line_no").alias("allowed")))
-    out = u.join(hits, url, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
-    return out.select(url, "host", "allowed")
+    """Flag URLs by their host's rules: the first rule (in file order) whose path
+    prefixes the URL's decides; hosts without rules allow everything. One join
+    on the host, one row per host; the rules are tested inside the URL's row."""
+    host = F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    path = F.regexp_replace(unquoted(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
+    u = urls.select(url, host.alias("host"), F.when(path == "", F.lit("/")).otherwise(path).alias("_path"))
+    hit = F.get(F.filter("rules", lambda r: (r["path"] == "*") | F.col("_path").startswith(r["path"])), 0)
+    return u.join(rules.select("host", "rules"), "host", "left").select(url, "host", F.coalesce(hit["allow"], F.lit(True)).alias("allowed"))
 
 
 def resolve_links(hrefs: DataFrame, href: str, base) -> DataFrame:

@@ -1,12 +1,12 @@
 """HTML pages -> element arrays, and CSS-subset selection over them.
 
-``html_elements`` is the only Python step of the catalog plans: one Arrow
-batch job (``mapInArrow``) that tokenises each page with the standard-library
-HTML parser and attaches its elements as an ``array<struct>`` column. All
-selection and per-page aggregation afterwards are higher-order functions
-over that array, so they stay in the JVM and need no shuffle: a page's
-elements never leave the row they came from. ``explode_elements`` gives
-the one-row-per-element form.
+``html_elements`` is the only Python step of the catalog plans: an Arrow
+function of the HTML column alone (the row's other columns stay in the JVM)
+that tokenises each page and attaches its elements as an ``array<struct>``
+column. All selection and per-page aggregation afterwards are higher-order
+functions over that array, so they need no shuffle: a page's elements never
+leave the row they came from. ``explode_elements`` gives the
+one-row-per-element form.
 """
 
 from __future__ import annotations
@@ -37,19 +37,36 @@ ELEMENT_TYPE = T.StructType([
     T.StructField("own_text", T.StringType()),
     T.StructField("t0", T.IntegerType()),
     T.StructField("t1", T.IntegerType()),
-    T.StructField("ancestors", T.ArrayType(T.IntegerType())),
+    T.StructField("last_id", T.IntegerType()),
 ])
 
+PAGE_TYPE = T.StructType([T.StructField("elements", T.ArrayType(ELEMENT_TYPE)), T.StructField("text_nodes", T.ArrayType(T.StringType())),
+                          T.StructField("page_text", T.StringType())])
+
 _PA_ELEMENT = pa.struct([
     ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
     ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-    ("own_text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()), ("ancestors", pa.list_(pa.int32())),
+    ("own_text", pa.string()), ("t0", pa.int32()), ("t1", pa.int32()), ("last_id", pa.int32()),
 ])
 
 # Fixed value: HTML void elements (never hold children).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
         "wbr", "keygen", "command"}
 RAW_TEXT = {"script", "style", "template"}
+# Implied end tags: a start tag closes open elements of these kinds, up to the
+# nearest element that contains such a group.
+_CELLS, _ROWS = {"td", "th"}, {"td", "th", "tr"}
+_SECTIONS = _ROWS | {"thead", "tbody", "tfoot"}
+IMPLIED_END = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": (_CELLS, {"tr", "table"}), "th": (_CELLS, {"tr", "table"}), "tr": (_ROWS, {"table"}),
+    "thead": (_SECTIONS, {"table"}), "tbody": (_SECTIONS, {"table"}), "tfoot": (_SECTIONS, {"table"}),
+    "body": ({"head"}, set()),
+} | dict.fromkeys(
+    ("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+     "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"), ({"p"}, {"button", "caption", "td", "th"}))
 _WS = re.compile(r"^\s+|\s+$")
 
 
@@ -64,7 +81,35 @@ class _Tree(HTMLParser):
         self.raw = []          # unstripped text nodes (``get_text()`` with no separator)
         self.raw_depth = 0
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` outside CDATA is a comment up to the next '>'."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    def _close(self, pos):
+        """Close the open elements from ``pos`` of the stack on."""
+        for nid in self.stack[pos:]:
+            self.nodes[nid]["t1"] = len(self.texts)
+            self.nodes[nid]["last_id"] = len(self.nodes) - 1
+            if self.nodes[nid]["tag"] in RAW_TEXT:
+                self.raw_depth -= 1
+        del self.stack[pos:]
+
+    def _imply_end(self, tag):
+        closes, within = IMPLIED_END[tag]
+        outermost = None
+        for pos in range(len(self.stack) - 1, -1, -1):
+            name = self.nodes[self.stack[pos]]["tag"]
+            if name in within:
+                break
+            if name in closes:
+                outermost = pos
+        if outermost is not None:
+            self._close(outermost)
+
     def handle_starttag(self, tag, attrs):
+        if tag in IMPLIED_END:
+            self._imply_end(tag)
         parent = self.stack[-1] if self.stack else -1
         amap = {}
         for k, v in attrs:
@@ -75,7 +120,7 @@ class _Tree(HTMLParser):
             "node_id": nid, "parent_id": parent, "depth": len(self.stack), "tag": tag,
             "id": amap.get("id"), "classes": amap.get("class", "").split() if "class" in amap else [],
             "attrs": list(amap.items()), "own": [], "t0": len(self.texts), "t1": None,
-            "ancestors": list(self.stack),
+            "last_id": nid,
         })
         if tag in VOID:
             self.nodes[nid]["t1"] = len(self.texts)
@@ -92,11 +137,7 @@ class _Tree(HTMLParser):
     def handle_endtag(self, tag):
         for pos in range(len(self.stack) - 1, -1, -1):
             if self.nodes[self.stack[pos]]["tag"] == tag:
-                for nid in self.stack[pos:]:
-                    self.nodes[nid]["t1"] = len(self.texts)
-                    if self.nodes[nid]["tag"] in RAW_TEXT:
-                        self.raw_depth -= 1
-                del self.stack[pos:]
+                self._close(pos)
                 return
 
     def handle_data(self, data):
@@ -110,16 +151,9 @@ class _Tree(HTMLParser):
 
     def finish(self):
         self.close()
-        end = len(self.texts)
-        out = []
-        for n in self.nodes:
-            t1 = end if n["t1"] is None else n["t1"]
-            out.append({
-                "node_id": n["node_id"], "parent_id": n["parent_id"], "depth": n["depth"], "tag": n["tag"],
-                "id": n["id"], "classes": n["classes"], "attrs": n["attrs"], "own_text": " ".join(n["own"]),
-                "t0": n["t0"], "t1": t1, "ancestors": n["ancestors"],
-            })
-        return out
+        self._close(0)
+        return [{k: n[k] for k in ("node_id", "parent_id", "depth", "tag", "id", "classes", "attrs", "t0", "t1", "last_id")}
+                | {"own_text": " ".join(n["own"])} for n in self.nodes]
 
 
 def parse_page(html: str | None):
@@ -127,10 +161,7 @@ def parse_page(html: str | None):
     if not html:
         return [], [], ""
     tree = _Tree()
-    try:
-        tree.feed(html)
-    except Exception:  # noqa: BLE001 - malformed markup yields what was parsed
-        pass
+    tree.feed(html)
     return tree.finish(), tree.texts, "".join(tree.raw)
 
 
@@ -144,26 +175,20 @@ def html_elements(pages: DataFrame, html_col: str = "html", keep_html: bool = Tr
     stripped text nodes, in order) and ``page_text`` (all text, no separator,
     scripts excluded) to every page row (one Arrow pass).
 
-    Elements carry ``[t0, t1)`` ranges into ``text_nodes`` instead of their
-    own copy of the descendant text, so the output stays linear in the page
-    size whatever the nesting depth; ``text_of`` rebuilds an element's text.
+    Elements carry ``[t0, t1)`` ranges into ``text_nodes`` and the id of their
+    last descendant instead of copies of text and ancestors, so the output is
+    linear in the page size whatever the nesting; ``text_of`` rebuilds an
+    element's text and ``is_inside`` tells descendants.
     """
-    out_schema = T.StructType(list(pages.schema.fields) + [T.StructField("elements", T.ArrayType(ELEMENT_TYPE)),
-                                                           T.StructField("text_nodes", T.ArrayType(T.StringType())),
-                                                           T.StructField("page_text", T.StringType())])
-    names = pages.columns
-    idx = names.index(html_col)
-
-    def run(batches):
-        for rb in batches:
-            parsed = [parse_page(h) for h in rb.column(idx).to_pylist()]
-            elems = pa.array([p[0] for p in parsed], type=pa.list_(_PA_ELEMENT))
-            nodes = pa.array([p[1] for p in parsed], type=pa.list_(pa.string()))
-            text = pa.array([p[2] for p in parsed], type=pa.string())
-            yield pa.RecordBatch.from_arrays(list(rb.columns) + [elems, nodes, text],
-                                             names=names + ["elements", "text_nodes", "page_text"])
-
-    out = pages.mapInArrow(run, out_schema)
+    @F.arrow_udf(PAGE_TYPE)
+    def parsed(html: pa.Array) -> pa.Array:
+        found = [parse_page(h) for h in html.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([p[0] for p in found], type=pa.list_(_PA_ELEMENT)), pa.array([p[1] for p in found], type=pa.list_(pa.string())),
+             pa.array([p[2] for p in found], type=pa.string())], names=["elements", "text_nodes", "page_text"])
+
+    out = pages.withColumn("_page", parsed(F.col(html_col)))
+    out = out.select(*pages.columns, "_page.elements", "_page.text_nodes", "_page.page_text")
     return out if keep_html else out.drop(html_col)
 
 
@@ -229,32 +254,42 @@ def _simple_pred(sel: str, e: Column) -> Column:
     return out
 
 
-def _ancestor_pred(step: str, elements: Column):
-    return lambda a: _simple_pred(step, F.get(elements, a))
-
+def is_inside(e: Column, outer: Column) -> Column:
+    """``e`` is a descendant of ``outer``."""
+    return (e["node_id"] > outer["node_id"]) & (e["node_id"] <= outer["last_id"])
 
-def selector_predicate(selector: str, elements: Column):
-    """``e -> Column`` predicate for a CSS subset: tag, .cls, [attr], [attr*=v],
-    [attr=v], descendant combinator (space) and comma lists."""
-    alternatives = [s.strip() for s in selector.split(",") if s.strip()]
 
-    def pred(e):
-        out = None
-        for alt in alternatives:
-            steps = alt.split()
-            cond = _simple_pred(steps[-1], e)
-            # each earlier step must match some ancestor (deeper steps nearer the node)
-            for step in reversed(steps[:-1]):
-                cond = cond & F.exists(e["ancestors"], _ancestor_pred(step, elements))
-            out = cond if out is None else (out | cond)
-        return out
-    return pred
+def _select_steps(elements: Column, steps: list[str]) -> Column:
+    """Descendant chain: each step's matches must lie inside one of the step before."""
+    from ..functions.text import let
+    if len(steps) == 1:
+        return F.filter(elements, lambda e: _simple_pred(steps[0], e))
+    return let(_select_steps(elements, steps[:-1]), lambda outer: F.filter(
+        elements, lambda e: _simple_pred(steps[-1], e) & F.exists(outer, lambda o: is_inside(e, o))))
 
 
 def select(elements, selector: str) -> Column:
-    """Matching elements in document order (``soup.select``)."""
+    """Matching elements in document order (``soup.select``) for a CSS subset: tag,
+    .cls, #id, [attr], [attr*=v], [attr^=v], [attr$=v], [attr=v], descendant
+    combinator (space) and comma lists."""
     arr = F.col(elements) if isinstance(elements, str) else elements
-    return F.filter(arr, selector_predicate(selector, arr))
+    alternatives = [s.split() for s in selector.split(",") if s.strip()]
+    if all(len(steps) == 1 for steps in alternatives):
+        def any_of(e):
+            out = F.lit(False)
+            for steps in alternatives:
+                out = out | _simple_pred(steps[0], e)
+            return out
+        return F.filter(arr, any_of)
+    found = F.array_distinct(F.transform(F.concat(*[_select_steps(arr, steps) for steps in alternatives]), lambda e: e["node_id"]))
+    return F.transform(F.array_sort(found), lambda i: F.get(arr, i))
+
+
+def size_tokens_of(elements) -> Column:
+    """Size tokens in the texts of size elements (class holds "size"; select or div)."""
+    from ..functions.html import size_tokens
+    texts = F.transform(class_contains(elements, "size", ["select", "div"]), lambda e: text_of(e))
+    return size_tokens(F.array_join(texts, " "))
 
 
 def first_selector_wins(elements, selectors, keep=None) -> Column:

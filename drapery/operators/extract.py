@@ -11,6 +11,7 @@ from ..functions.text import col, let, nullif_empty, strip
 
 SHOP_SCHEMA = ("id string, title string, type string, description string, price_currency_code string, "
                "variants array<struct<id:string, title:string, option1:string, price:string, featured_image:string>>")
+DAMAGED = "_damaged"
 LD_SCHEMA = "`@type` string, name string, description string, sku string, image string, offers string"
 OFFER_SCHEMA = "price string, priceCurrency string, name string, url string"
 STYLE_SCHEMA = "map<string, struct<displayName:string, images:array<struct<url:string>>, copy_headers:string>>"
@@ -22,10 +23,15 @@ VARIANT_TYPE = ("array<struct<vid:string, vtitle:string, option1:string, price:d
 PLACEHOLDER_COLORS = ["select color", "choose color", "color", "default title", "default"]
 
 
-def _first_parsed(texts: Column, schema: str, keep=None) -> Column:
-    parsed = F.transform(texts, lambda t: F.from_json(t, schema))
-    ok = F.filter(parsed, (lambda p: p.isNotNull() & keep(p)) if keep else (lambda p: p.isNotNull()))
-    return F.get(ok, 0)
+def is_full_object(text: Column) -> Column:
+    """JSON text of an object with something in it. ``from_json`` alone gives a
+    struct of nulls for broken text, so damage is asked for explicitly."""
+    intact = F.from_json(text, f"{DAMAGED} string", {"columnNameOfCorruptRecord": DAMAGED})[DAMAGED].isNull()
+    return F.coalesce(intact & text.rlike(r"^\s*\{") & ~text.rlike(r"^\s*\{\s*\}\s*$"), F.lit(False))
+
+
+def _first_parsed(texts: Column, schema: str) -> Column:
+    return F.from_json(F.get(F.filter(texts, is_full_object), 0), schema)
 
 
 def _truthy_json(raw: Column) -> Column:
@@ -103,11 +109,11 @@ def json_script_by_id(html) -> Column:
 
 def json_assign_extract(html, pattern: str = H.ANALYTICS_ASSIGN, schema: str = SHOP_SCHEMA) -> Column:
     """Method 2: JSON assigned in a script (``name = {...};``)."""
-    return F.from_json(H.assigned_json(html, pattern), schema)
+    return let(H.assigned_json(html, pattern), lambda t: F.when(is_full_object(t), F.from_json(t, schema)))
 
 
 def ldjson_objects(html) -> Column:
-    return F.transform(H.scripts(html, H.LD_JSON), lambda t: F.from_json(t, LD_SCHEMA))
+    return F.transform(F.filter(H.scripts(html, H.LD_JSON), is_full_object), lambda t: F.from_json(t, LD_SCHEMA))
 
 
 def first_ld_product(html) -> Column:

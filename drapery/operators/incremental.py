@@ -17,6 +17,13 @@ def _wall_clock(now: dt.datetime):
     return F.to_timestamp_ntz(F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
 
 
+def latest_state(state: DataFrame) -> DataFrame:
+    """One row per URL: its latest ``(checksum, last_scraped)``."""
+    at = F.col("last_scraped").cast("timestamp_ntz")
+    return state.groupBy("url").agg(F.max(F.struct(at.alias("last_scraped"), "checksum")).alias("s")).select(
+        "url", "s.checksum", "s.last_scraped")
+
+
 def changed_pages(pages: DataFrame, state: DataFrame, now: dt.datetime) -> DataFrame:
     """Classify pages as new / changed / same and give the upserted state.
 
@@ -24,9 +31,12 @@ def changed_pages(pages: DataFrame, state: DataFrame, now: dt.datetime) -> DataF
     dropped, so the shuffle carries two short strings per page. Times are
     wall-clock (``timestamp_ntz``); ``now`` is a parameter for determinism.
     """
-    cur = pages.select("url", F.md5("html").alias("checksum"))
-    prev = state.select("url", F.col("checksum").alias("prev_checksum"),
-                        F.col("last_scraped").cast("timestamp_ntz").alias("prev_scraped"))
+    cur = pages.select("url", F.md5("html").alias("checksum"), *[c for c in ("page_id",) if c in pages.columns])
+    if "page_id" in pages.columns:  # one row per URL: its last fetch
+        cur = cur.groupBy("url").agg(F.max_by("checksum", F.struct("page_id", "checksum")).alias("checksum"))
+    else:
+        cur = cur.groupBy("url").agg(F.max("checksum").alias("checksum"))
+    prev = latest_state(state).select("url", F.col("checksum").alias("prev_checksum"), F.col("last_scraped").alias("prev_scraped"))
     j = cur.join(prev, "url", "left")
     status = (F.when(F.col("prev_checksum").isNull(), F.lit("new"))
               .when(F.col("prev_checksum") != F.col("checksum"), F.lit("changed")).otherwise(F.lit("same")))
@@ -39,15 +49,13 @@ def upsert_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     """New state: the latest row per url (changed rows replace old ones)."""
     keep_old = state.join(changes.filter("is_changed").select("url"), "url", "left_anti")
     fresh = changes.filter("is_changed").select("url", "checksum", "last_scraped")
-    return keep_old.select("url", "checksum", F.col("last_scraped").cast("timestamp_ntz").alias("last_scraped")) \
-        .unionByName(fresh)
+    return latest_state(keep_old).unionByName(fresh)
 
 
 def stale_pages(urls: DataFrame, state: DataFrame, now: dt.datetime, max_age_days: int = 7) -> DataFrame:
     """Unknown urls, or last scraped more than ``max_age_days`` before ``now``."""
     cutoff = _wall_clock(now) - F.make_interval(days=F.lit(max_age_days))
-    j = urls.select("url").join(state.select("url", F.col("last_scraped").cast("timestamp_ntz").alias("last_scraped")),
-                                "url", "left")
+    j = urls.select("url").join(latest_state(state).select("url", "last_scraped"), "url", "left")
     return j.select("url", (F.col("last_scraped").isNull() | (F.col("last_scraped") < cutoff)).alias("is_stale"))
 
 

@@ -107,17 +107,17 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumn("validation_errors", errs)
 
 
-def validation_report(df: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """Number of invalid rows and the first ``limit`` messages (by key).
-
-    The count is one global aggregate; the messages a distributed top-k,
-    so no step gathers all bad rows in one place.
-    """
+def validation_report(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """One row per invalid row with its message, and a summary row (null key)
+    with their number; with a ``limit``, the messages of the first rows by key."""
     bad = validate(df).filter(F.size("validation_errors") > 0)
     msg = F.concat(F.lit("Row "), F.col(key).cast("string"), F.lit(": "), F.array_join("validation_errors", ", "))
-    top = bad.select(F.col(key).alias("row_key"), msg.alias("message")).orderBy("row_key").limit(limit)
-    n = bad.agg(F.count(F.lit(1)).alias("n_invalid")).withColumn("_j", F.lit(1))
-    return top.withColumn("_j", F.lit(1)).join(n, "_j").drop("_j")
+    rows = bad.select(F.col(key).alias("row_key"), msg.alias("message"))
+    if limit is not None:
+        rows = rows.orderBy("row_key").limit(limit)
+    n = bad.agg(F.count(F.lit(1)).alias("n_invalid"))
+    return rows.withColumn("n_invalid", F.lit(None).cast("bigint")).unionByName(
+        n.select(F.lit(None).cast(dict(rows.dtypes)["row_key"]).alias("row_key"), F.lit(None).cast("string").alias("message"), "n_invalid"))
 
 
 def dedup_first(df: DataFrame, keys, order) -> DataFrame:

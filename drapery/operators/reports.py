@@ -26,21 +26,29 @@ def report_counts(df: DataFrame, columns=("category", "scrape_status")) -> DataF
 
 
 def failed_pages(pages: DataFrame, records: DataFrame, key: str = "url", record_key: str = "product_url") -> DataFrame:
-    """Pages that produced no record (left anti join; only keys are shuffled)."""
+    """Pages that produced no record, before any de-duplication (left anti join on the key)."""
     done = records.select(F.col(record_key).alias(key)).distinct()
     return pages.select("page_id", key).join(done, key, "left_anti")
 
 
-def run_summary(pages: DataFrame, records: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """One row: variants written, unique products, failed products, skipped."""
-    rec = records.agg(F.count(F.lit(1)).alias("total_variants"),
-                      F.count_distinct("product_url").alias("unique_products"))
-    failed = failed_pages(pages, records).agg(F.count(F.lit(1)).alias("failed_products"))
-    skip = (skipped.agg(F.count(F.lit(1)).alias("skipped")) if skipped is not None
-            else rec.select(F.lit(0).cast("bigint").alias("skipped")))
-    j = F.lit(1)
-    return (rec.withColumn("_j", j).join(failed.withColumn("_j", j), "_j")
-            .join(skip.withColumn("_j", j), "_j").drop("_j"))
+def run_summary(pages: DataFrame, records: DataFrame, rows: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """One row: variants written, unique products, failed products, skipped.
+
+    ``rows`` are the records before de-duplication: a page whose rows lose to
+    an earlier page's has not failed."""
+    zero = F.lit(0).cast("bigint")
+    parts = [records.agg(F.count(F.lit(1)).alias("total_variants"), F.count_distinct("product_url").alias("unique_products"))
+             .withColumns({"failed_products": zero, "skipped": zero}),
+             failed_pages(pages, rows).agg(F.count(F.lit(1)).alias("failed_products"))
+             .withColumns({"total_variants": zero, "unique_products": zero, "skipped": zero})]
+    if skipped is not None:
+        parts.append(skipped.agg(F.count(F.lit(1)).alias("skipped"))
+                     .withColumns({"total_variants": zero, "unique_products": zero, "failed_products": zero}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    names = ["total_variants", "unique_products", "failed_products", "skipped"]
+    return out.agg(*[F.sum(c).alias(c) for c in names])
 
 
 def image_reuse_audit(images: DataFrame, image: str = "image_url", product: str = "product_url") -> DataFrame:

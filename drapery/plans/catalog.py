@@ -22,7 +22,6 @@ from ..operators import elements as E
 from ..operators.extract import explode_variants, ldjson_objects, ldjson_offer_price, product_json
 from ..operators.fabric import with_fabric
 from ..operators.records import CATALOG_COLUMNS, dedup_first, scrape_status, standardize
-from ..session import spread
 from ..sources.sites import Site
 
 GENERIC_GALLERY = '[class*="product"] img, [class*="gallery"] img, [class*="media"] img'
@@ -32,14 +31,14 @@ def _img_src(e):
     return F.coalesce(nullif_empty(E.attr(e, "src")), nullif_empty(E.attr(e, "data-src")), F.lit(""))
 
 
-def gallery_images(elements, selector: str, slug, base, limit: int = 10):
-    """Selector images (src / data-src, else the first 5 srcset entries), then
-    generic product / gallery / media images; normalised, product-only,
-    first-seen distinct, at most ``limit``."""
+def gallery_images(elements, selector: str, slug, base, limit: int | None = None):
+    """Selector images (src / data-src, else the srcset entries), then generic
+    product / gallery / media images; normalised, product-only, first-seen
+    distinct; all of them unless a ``limit`` is given."""
     def sel_urls(e):
         src = _img_src(e)
         srcset = F.coalesce(nullif_empty(E.attr(e, "srcset")), nullif_empty(E.attr(e, "data-srcset")), F.lit(""))
-        return (F.when((srcset != "") & (src == ""), K.parse_srcset(srcset, 5))
+        return (F.when((srcset != "") & (src == ""), K.parse_srcset(srcset))
                 .when(src != "", F.array(src)).otherwise(F.array().cast("array<string>")))
     first = F.flatten(F.transform(E.select(elements, selector), sel_urls)) if selector else F.array().cast("array<string>")
     generic = F.transform(E.select(elements, GENERIC_GALLERY), _img_src)
@@ -69,7 +68,7 @@ def _rule_columns(df: DataFrame, html: str = "html") -> DataFrame:
     })
     return df.withColumns({
         "sizes_available": H.sizes("size_tokens"),
-        "waist_sizes": H.waist_sizes("size_tokens", "subcategory"),
+        "waist_sizes": H.waist_sizes(E.size_tokens_of("elements"), "subcategory"),
         "occasion_tag": R.occasion("title", "category", "subcategory"),
     })
 
@@ -77,7 +76,7 @@ def _rule_columns(df: DataFrame, html: str = "html") -> DataFrame:
 def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of embedded-JSON product pages (failed pages dropped)."""
     from ..functions.text import country_of_origin
-    p = spread(pages).withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
+    p = pages.withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
     p = E.html_elements(p)
     p = p.withColumns({
         "title": F.col("product.title"),
@@ -162,7 +161,7 @@ def _catalog_inputs(df: DataFrame):
 def styles_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of style-map product pages."""
     from ..operators.extract import json_assign_extract, STYLE_SCHEMA
-    p = spread(pages).withColumn("styles", json_assign_extract("html", H.STYLES_ASSIGN, STYLE_SCHEMA))
+    p = pages.withColumn("styles", json_assign_extract("html", H.STYLES_ASSIGN, STYLE_SCHEMA))
     p = p.filter(F.col("styles").isNotNull() & (F.size("styles") > 0))
     p = E.html_elements(p)
     title_el = F.get(E.select("elements", site.selectors.get("product_title", "h1.product-name")), 0)
@@ -198,7 +197,7 @@ def catalog_styles(pages: DataFrame, site: Site, dedupe: bool = True) -> DataFra
     s = (p.select("*", F.posexplode("styles").alias("pos", "style_key", "style")).drop("styles")
          .withColumn("color_name", F.coalesce(F.col("style.displayName"), F.lit("Default"))))
     base = F.lit(site.base_url)
-    page_gallery = I.keep_images(F.concat("sel_images", "generic_images"), "style_key", base, 10)
+    page_gallery = I.keep_images(F.concat("sel_images", "generic_images"), "style_key", base)
     style_imgs = F.array_distinct(F.filter(F.transform(F.coalesce(F.col("style.images"), F.array()),
                                                        lambda i: K.normalize_image_url(i["url"], base)),
                                            lambda u: u != ""))

@@ -19,7 +19,6 @@ from ..functions.color import infer_color_from_slug
 from ..functions.text import clean_text, let, nullif_empty
 from ..operators import elements as E
 from ..operators.records import dedup_first
-from ..session import spread
 from ..sources.sites import Site
 
 # The v1 site selectors (comma-separated, tried in this order).
@@ -113,8 +112,8 @@ def info_list_materials(elements) -> Column:
 
 
 def focused_materials(elements, page_text, materials_sel: str, description_sel: str) -> Column:
-    """Texts of the materials selectors with a fibre word or '%', joined (max
-    2000); else the first description text; else the whole page text."""
+    """Texts of the materials selectors with a fibre word or '%', joined; else
+    the first description text; else the whole page text."""
     fibre = "|".join(T.V1_FIBER_WORDS)
     per_sel = [F.filter(F.transform(E.select(elements, s), _text),
                         lambda t: (F.length(t) >= 10) & (F.lower(t).rlike(fibre) | (F.instr(t, "%") > 0)) & (F.length(t) > 5))
@@ -122,8 +121,7 @@ def focused_materials(elements, page_text, materials_sel: str, description_sel:
     lines = F.concat(*per_sel)
     desc = E.first_of_selectors(elements, description_sel, lambda e: _text(e))
     whole = clean_text(F.col(page_text) if isinstance(page_text, str) else page_text)
-    return F.substring(F.when(F.size(lines) > 0, F.array_join(lines, " ")).otherwise(
-        F.coalesce(desc, nullif_empty(whole), F.lit(""))), 1, 2000)
+    return F.when(F.size(lines) > 0, F.array_join(lines, " ")).otherwise(F.coalesce(desc, nullif_empty(whole), F.lit("")))
 
 
 def main_image_v1(elements, html, slug, base, selectors: str) -> Column:
@@ -134,7 +132,7 @@ def main_image_v1(elements, html, slug, base, selectors: str) -> Column:
     def raw(e):
         src = F.coalesce(nullif_empty(E.attr(e, "src")), nullif_empty(E.attr(e, "data-src")), F.lit(""))
         srcset = F.coalesce(E.attr(e, "srcset"), F.lit(""))
-        return F.when((srcset != "") & (src == ""), F.get(K.parse_srcset(srcset, 1), 0)).when(src != "", src)
+        return F.when((srcset != "") & (src == ""), F.get(K.parse_srcset(srcset), 0)).when(src != "", src)
     # one candidate per selector (first element each); normalise and test them in one lambda
     cands = F.array(*[let(E.select_one(elements, s), raw) for s in selectors.split(", ")])
     checked = F.transform(F.filter(cands, lambda u: u.isNotNull()),
@@ -170,7 +168,7 @@ def _fabric_v1(snippet, materials) -> dict:
 
 def _snippet(materials: str) -> Column:
     sn = T.materials_snippet_v1(materials)
-    return F.when(sn != "", sn).when(F.col(materials) != "", F.substring(materials, 1, 180)).otherwise(
+    return F.when(sn != "", sn).when(F.col(materials) != "", F.col(materials)).otherwise(
         F.lit("No materials info found"))
 
 
@@ -186,7 +184,7 @@ def catalog_v1(pages: DataFrame, site: Site = V1_SHOP) -> DataFrame:
     per (style_id, color_name) in page order."""
     sel = site.selectors
     base = F.lit(site.base_url)
-    p = E.html_elements(spread(pages))
+    p = E.html_elements(pages)
     p = p.withColumns({
         "style_slug": K.style_slug_v1("url"),
         "product_title": E.first_of_selectors("elements", sel["product_title"], lambda e: _text(e)),
@@ -208,7 +206,7 @@ def catalog_v1(pages: DataFrame, site: Site = V1_SHOP) -> DataFrame:
     v = p.drop("elements", "text_nodes", "page_text").select("*", F.posexplode(variants).alias("pos", "vv"))
     imgs = F.when(F.size("vv.images") > 0, F.col("vv.images")).when(F.col("main_image") != "", F.array("main_image")) \
         .otherwise(F.array().cast("array<string>"))
-    gal = I.clean_gallery(imgs, "style_slug", 5)
+    gal = I.clean_gallery(imgs, "style_slug")
     gal = F.when(F.size(gal) > 0, gal).when(F.col("main_image") != "", F.array("main_image")).otherwise(gal)
     v = v.withColumns({
         "color_raw": F.col("vv.color_name"),
@@ -236,23 +234,28 @@ def catalog_v1(pages: DataFrame, site: Site = V1_SHOP) -> DataFrame:
     return dedup_first(out, ["style_id", "color_name"], ["page_id", "pos"]).select(*V1_OUTPUT)
 
 
+def gallery_attr_images(elements: str, base: Column) -> Column:
+    """Photo blocks' images: a non-empty ``data-imageurl``, else the first image
+    anywhere inside the block; absolute, first-seen distinct."""
+    def photo(d):
+        inside = F.get(F.filter(elements, lambda e: (e["tag"] == "img") & E.is_inside(e, d)), 0)
+        u = F.coalesce(nullif_empty(E.attr(d, "data-imageurl")), nullif_empty(E.attr(inside, "src")))
+        return F.when(u.startswith("/") & ~u.startswith("//"), F.concat(F.regexp_replace(base, "/+$", ""), u)).when(
+            u.startswith("http"), u).otherwise(K.resolve_url(u, base))
+    return F.array_distinct(F.filter(F.transform(E.select(elements, "div.pdp-photo-single-column-image"), photo), lambda u: u.isNotNull()))
+
+
 def catalog_dom(pages: DataFrame, site: Site = V1_STORE) -> DataFrame:
     """v1 DOM-only pipeline: one row per page from h1, price element,
     information list, photo divs and the displayed colour name."""
     base = F.lit(site.base_url)
-    p = E.html_elements(spread(pages))
-    divs = E.select("elements", "div.pdp-photo-single-column-image")
+    p = E.html_elements(pages)
 
-    def photo(d):
-        child = F.get(F.filter("elements", lambda e: (e["tag"] == "img") & F.array_contains(e["ancestors"], d["node_id"])), 0)
-        u = F.coalesce(nullif_empty(E.attr(d, "data-imageurl")), nullif_empty(E.attr(child, "src")))
-        return F.when(u.startswith("/"), F.concat(F.regexp_replace(base, "/+$", ""), u)).when(
-            u.startswith("http"), u).otherwise(K.resolve_url(u, base))
     p = p.withColumns({
         "product_title": F.coalesce(_text(E.select_one("elements", "h1")), F.lit("")),
         "_price": price_from_elements("elements"),
         "materials_raw_or_page_text": info_list_materials("elements"),
-        "gallery": F.array_distinct(F.filter(F.transform(divs, photo), lambda u: u.isNotNull())),
+        "gallery": gallery_attr_images("elements", base),
         "color_raw": page_color_name("elements"),
     })
     p = p.withColumns({

@@ -19,17 +19,23 @@ oracle("site_dim", """SELECT url, CASE host WHEN 'shop.example.com' THEN 'shop'
 FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM (SELECT url FROM pp UNION ALL SELECT url FROM sp))
 WHERE host IN ('shop.example.com', 'store.example.org')""", "pt", "pp", "sp")
 
+_TEXT_CELLS = ", ".join(f"CASE WHEN {c} THEN 'True' ELSE 'False' END AS {c}" for c in ("is_apparel", "is_100pct_natural", "is_natural_approved"))
 oracle("write_catalog", f"""{CATALOG}
-SELECT style_id, color_name, price_raw, fabric_breakdown_pretty, CASE WHEN is_apparel THEN 'True' ELSE 'False' END AS is_apparel FROM cat""",
+SELECT * REPLACE ({_TEXT_CELLS}, CAST(schema_version AS VARCHAR) AS schema_version, CAST(price AS VARCHAR) AS price,
+  CAST(natural_fiber_percent AS VARCHAR) AS natural_fiber_percent, CAST(synthetic_fiber_percent AS VARCHAR) AS synthetic_fiber_percent) FROM cat""",
        "pt", "pp")
 
+oracle("upsert_catalog", f"""{CATALOG}
+SELECT style_id, color_name, product_url, price FROM cat""", "pt", "pp")
+
 oracle("read_catalog", f"""{CATALOG}
 SELECT * REPLACE (CAST(schema_version AS INTEGER) AS schema_version) FROM cat""", "pt", "pp")
 
 oracle("write_sorted_dedup", f"""{SHOP_PIPELINE}
 SELECT 'Example Shop' AS brand_name, style_slug,
   CASE WHEN color_name <> '' THEN {__import__('drapery.plans.oracle_text', fromlist=['x']).title_case_sql('color_name')} ELSE '' END AS color_name,
-  color_id, CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw
+  color_id, CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw, style_id, image_url, url AS product_url,
+  'shop.example.com' AS source_site, currency, scrape_status, materials_text AS materials_raw_or_page_text, title AS product_title
 FROM rec QUALIFY row_number() OVER (PARTITION BY style_id, color_name ORDER BY page_id, pos) = 1""", "pt", "pp")
 
 # ---- reports ------------------------------------------------------------------------
@@ -42,15 +48,15 @@ SELECT 'category' AS dimension, coalesce(nullif(category, ''), 'unknown') AS val
 UNION ALL
 SELECT 'scrape_status', coalesce(nullif(scrape_status, ''), 'unknown'), count(*) FROM cat GROUP BY 2""", "pt", "pp")
 oracle("failed_pages", f"""{CATALOG}
-SELECT page_id, url FROM pp WHERE url NOT IN (SELECT product_url FROM cat)""", "pt", "pp")
+SELECT page_id, url FROM pp WHERE url NOT IN (SELECT url FROM rec)""", "pt", "pp")
 oracle("run_summary", f"""{CATALOG}
 SELECT (SELECT count(*) FROM cat) AS total_variants, (SELECT count(DISTINCT product_url) FROM cat) AS unique_products,
-  (SELECT count(*) FROM pp WHERE url NOT IN (SELECT product_url FROM cat)) AS failed_products,
+  (SELECT count(*) FROM pp WHERE url NOT IN (SELECT url FROM rec)) AS failed_products,
   (SELECT count(*) FROM pp WHERE url IN (SELECT url FROM st)) AS skipped""", "pt", "pp", "st")
 
 oracle("image_reuse_audit", f"""SELECT image_url, count(DISTINCT product_url) AS n_products FROM (
   SELECT url AS product_url, {norm_img('src', SHOP_BASE)} AS image_url
-  FROM (SELECT url, unnest(regexp_extract_all(html, '<img [a-z-]*src="([^"]*)"', 1)) AS src FROM pp))
+  FROM (SELECT url, unnest(regexp_extract_all(html, '<img\\b[^>]*?\\s(?:data-)?src\\s*=\\s*"([^"]*)"', 1)) AS src FROM pp))
 WHERE image_url <> '' GROUP BY image_url HAVING count(DISTINCT product_url) > 1""", "pt", "pp")
 
 # ---- incremental --------------------------------------------------------------------
@@ -59,9 +65,12 @@ oracle("changed_pages", """SELECT p.url,
   CASE WHEN s.checksum IS NULL THEN 'new' WHEN s.checksum <> md5(p.html) THEN 'changed' ELSE 'same' END AS status,
   s.checksum IS NULL OR s.checksum <> md5(p.html) AS is_changed, md5(p.html) AS checksum,
   CASE WHEN s.checksum IS NULL OR s.checksum <> md5(p.html) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE s.last_scraped END AS last_scraped
-FROM pages p LEFT JOIN st s ON s.url = p.url""", "st")
+FROM pages p LEFT JOIN (SELECT url, arg_max(checksum, last_scraped) AS checksum, max(last_scraped) AS last_scraped FROM st GROUP BY url) s ON s.url = p.url""", "st")
+oracle("upsert_state", """SELECT p.url, md5(p.html) AS checksum,
+  CASE WHEN s.checksum IS NULL OR s.checksum <> md5(p.html) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE s.last_scraped END AS last_scraped
+FROM pages p LEFT JOIN (SELECT url, arg_max(checksum, last_scraped) AS checksum, max(last_scraped) AS last_scraped FROM st GROUP BY url) s ON s.url = p.url""", "st")
 oracle("stale_pages", """SELECT p.url, s.last_scraped IS NULL OR s.last_scraped < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AS is_stale
-FROM pages p LEFT JOIN st s ON s.url = p.url""", "st")
+FROM pages p LEFT JOIN (SELECT url, max(last_scraped) AS last_scraped FROM st GROUP BY url) s ON s.url = p.url""", "st")
 oracle("skip_existing", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM st)", "st")
 
 # ---- crawl ---------------------------------------------------------------------------
@@ -80,22 +89,20 @@ SELECT coll_idx, CAST(n AS INTEGER) AS page_no,
   CASE WHEN regexp_matches(u, '\\?page=[0-9]+') THEN regexp_replace(u, '\\?page=[0-9]+', '?page=' || n) ELSE u || '?page=' || n END AS page_url_v1
 FROM colls, range(2, 11) t(n)""", "cl")
 
-oracle("pagination_prefix", """SELECT coll_idx, page_no FROM (
-  SELECT coll_idx, page_no, min(CASE WHEN page_no >= 2 THEN ok ELSE 1 END) OVER (PARTITION BY coll_idx ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS all_ok
-  FROM (SELECT coll_idx, page_no, max(CASE WHEN status = 200 AND body_len > 500 AND contains(product_url, '/products/') THEN 1 ELSE 0 END) AS ok
-        FROM cl GROUP BY 1, 2))
-WHERE page_no = 1 OR all_ok = 1""", "cl")
-
-oracle("pagination_two_empty", """SELECT coll_idx, page_no, n_new FROM (
-  SELECT *, min(CASE WHEN two_empty THEN page_no END) OVER (PARTITION BY coll_idx) AS stop_at,
-            min(CASE WHEN ok = 0 THEN page_no END) OVER (PARTITION BY coll_idx) AS fail_at
-  FROM (SELECT *, n_new = 0 AND lag(n_new) OVER (PARTITION BY coll_idx ORDER BY page_no) = 0 AS two_empty
-    FROM (SELECT p.coll_idx, p.page_no, p.ok, coalesce(f.n_new, 0) AS n_new
-      FROM (SELECT coll_idx, page_no, max(CASE WHEN status = 200 THEN 1 ELSE 0 END) AS ok FROM cl GROUP BY 1, 2) p
-      LEFT JOIN (SELECT coll_idx, first_page AS page_no, count(*) AS n_new
-                 FROM (SELECT coll_idx, product_url, min(page_no) AS first_page FROM cl GROUP BY 1, 2) GROUP BY 1, 2) f
-      USING (coll_idx, page_no))))
-WHERE (fail_at IS NULL OR page_no < fail_at) AND (stop_at IS NULL OR page_no <= stop_at) AND page_no <= 20""", "cl")
+oracle("pagination_prefix", """, pg AS (
+  SELECT coll_idx, page_no, bool_or(status = 200 AND body_len > 500 AND contains(product_url, '/products/')) AS ok
+  FROM cl WHERE page_no <= 10 GROUP BY 1, 2)
+SELECT coll_idx, page_no FROM pg a
+WHERE page_no = 1 OR (SELECT count(*) FROM pg b WHERE b.coll_idx = a.coll_idx AND b.ok AND b.page_no BETWEEN 2 AND a.page_no) = a.page_no - 1""", "cl")
+
+oracle("pagination_two_empty", """, pg AS (
+  SELECT coll_idx, page_no, bool_or(status = 200) AS ok FROM cl WHERE page_no <= 20 GROUP BY 1, 2),
+nw AS (SELECT coll_idx, page_no, count(*) AS n FROM (SELECT coll_idx, product_url, min(page_no) AS page_no FROM cl WHERE page_no <= 20 GROUP BY 1, 2) GROUP BY 1, 2),
+p2 AS (SELECT pg.coll_idx, pg.page_no, pg.ok, coalesce(nw.n, 0) AS n_new FROM pg LEFT JOIN nw USING (coll_idx, page_no))
+SELECT coll_idx, page_no, n_new FROM p2 a
+WHERE (SELECT count(*) FROM p2 b WHERE b.coll_idx = a.coll_idx AND b.ok AND b.page_no <= a.page_no) = a.page_no
+  AND NOT EXISTS (SELECT 1 FROM p2 b JOIN p2 c ON c.coll_idx = b.coll_idx AND c.page_no = b.page_no + 1
+                  WHERE b.coll_idx = a.coll_idx AND b.n_new = 0 AND c.n_new = 0 AND c.page_no < a.page_no)""", "cl")
 
 oracle("frontier_limit", """SELECT product_url, coll_idx FROM (SELECT product_url, min(coll_idx) AS coll_idx FROM cl GROUP BY 1)
 WHERE coll_idx IN (
@@ -120,16 +127,18 @@ WHERE status = 200 AND body_len > 500
   AND coll_idx % 2 = (SELECT min(coll_idx % 2) FROM cl WHERE status = 200 AND body_len > 500)""", "cl")
 
 oracle("robots_filter", """SELECT url, host, CASE
-    WHEN length(host) % 3 = 1 THEN NOT starts_with(path, '/fr/')
-    WHEN length(host) % 3 = 2 THEN starts_with(path, '/en/')
+    WHEN length(host) % 5 = 1 THEN NOT starts_with(path, '/fr/')
+    WHEN length(host) % 5 = 2 THEN starts_with(path, '/en/')
+    WHEN length(host) % 5 = 4 THEN NOT starts_with(path, '/en/')
     ELSE true END AS allowed
 FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
         coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages)""")
 
 # ---- pages --------------------------------------------------------------------------------
-HREFS = "regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1)"
-oracle("extract_links", f"""SELECT DISTINCT CASE WHEN starts_with(h, '/') THEN '{SHOP_BASE}' || h ELSE h END AS product_url
-FROM (SELECT unnest({HREFS}) AS h FROM pp) WHERE contains(h, '/products/')""", "pt", "pp")
+HREFS = "regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref\\s*=\\s*\"([^\"]*)\"', 1)"
+# from the columns that the pages are made of, not from their markup
+oracle("extract_links", f"""SELECT DISTINCT '{SHOP_BASE}/products/' || replace(replace(lower(title), chr(39), ''), ' ', '-') || '-' || product_id || '-alt' AS product_url FROM pt
+UNION SELECT 'https://store.example.org/browse/product.do?pid=' || (700000 + product_id) FROM pt""", "pt")
 
 
 def resolve(h: str, b: str) -> str:
@@ -205,9 +214,9 @@ oracle("validate", f"""{VALID_IN}
 SELECT product_id, array_to_string(errs, ', ') AS errors FROM verr""", "pt")
 
 oracle("validation_report", f"""{VALID_IN}
-SELECT product_id AS row_key, 'Row ' || product_id || ': ' || array_to_string(errs, ', ') AS message,
-  (SELECT count(*) FROM verr WHERE len(errs) > 0) AS n_invalid
-FROM verr WHERE len(errs) > 0 ORDER BY product_id LIMIT 10""", "pt")
+SELECT product_id AS row_key, 'Row ' || product_id || ': ' || array_to_string(errs, ', ') AS message, CAST(NULL AS BIGINT) AS n_invalid
+FROM verr WHERE len(errs) > 0
+UNION ALL SELECT NULL, NULL, count(*) FROM verr WHERE len(errs) > 0""", "pt")
 
 oracle("stream_catalog", ORACLE_CATALOG := __import__("drapery.plans.oracle", fromlist=["ORACLE"]).ORACLE["catalog_shopify"])
 ORACLE_CHECKPOINT = oracle("checkpoint_append", ORACLE_CATALOG)

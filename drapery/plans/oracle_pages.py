@@ -16,7 +16,7 @@ STORE_BASE = "https://store.example.org"
 
 
 def obj_ok(s: str) -> str:
-    return f"CASE WHEN json_valid({s}) THEN json_type({s}) = 'OBJECT' ELSE false END"
+    return f"CASE WHEN json_valid({s}) THEN json_type({s}) = 'OBJECT' AND len(json_keys({s})) > 0 ELSE false END"
 
 
 def unescape(x: str) -> str:
@@ -78,7 +78,7 @@ pg1 AS (
 pg2 AS (
   SELECT *, left(md5(style_slug), 12) AS style_id, {CAT} AS category, {html2text('descr')} AS materials_raw FROM pg1),
 pgf AS (
-  SELECT *, left(materials_raw, 200) AS materials_snippet,
+  SELECT *, materials_raw AS materials_snippet,
     CASE WHEN materials_raw <> '' THEN materials_raw
       WHEN contains(lower(title), '100% organic cotton') OR contains(lower(title), '100% cotton') THEN '100% Organic Cotton'
       WHEN contains(lower(title), 'cotton') AND contains(lower(title), 'linen') THEN 'Cotton/Linen blend'
@@ -86,6 +86,9 @@ pgf AS (
     regexp_extract_all(html, '(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1) AS tokens
   FROM pg2)"""
 
+SIZE_EL_TOKENS = ("regexp_extract_all(regexp_replace(regexp_extract(html, '(?s)<select class=\"size-picker\">(.*?)</select>', 1), '<[^>]*>', ' ', 'g'), "
+                  "'(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1)")
+
 PAGE_FIELDS = """
 pr AS (
   SELECT pgf.*, f.natural_fiber_percent, f.synthetic_fiber_percent, f.is_100pct_natural, f.is_natural_approved,
@@ -111,13 +114,13 @@ pr3 AS (
   FROM pr2),
 pr4 AS (
   SELECT *, {OCC} AS occasion_tag, {FIT} AS fit_type, {SEASON} AS season,
-    CASE WHEN title = '' THEN '' ELSE left(title || '.' ||
+    CASE WHEN title = '' THEN '' ELSE (title || '.' ||
       CASE WHEN length(materials_snippet) > 20 THEN ' ' || {FIRST_SENT} || '.' ELSE '' END ||
-      CASE WHEN category <> '' THEN ' Perfect addition to your ' || lower(category) || ' collection.' ELSE '' END, 500) END AS description
+      CASE WHEN category <> '' THEN ' Perfect addition to your ' || lower(category) || ' collection.' ELSE '' END) END AS description
   FROM pr3)""".format(
     AUD=AUD_WORD, SUB=SUBCAT, FTAG=FABRIC_TAG_SQL, OCC=OCC, FIT=FIT, SEASON=SEASON,
     FIRST_SENT=strip("split_part(materials_snippet, '.', 1)"),
-    WAIST=ordered_distinct("list_filter(tokens, lambda t: regexp_matches(t, '^[0-9]{1,6}$') AND TRY_CAST(t AS INTEGER) BETWEEN 24 AND 50)"))
+    WAIST=ordered_distinct(f"list_filter({SIZE_EL_TOKENS}, lambda t: regexp_matches(t, '^[0-9]{{1,6}}$') AND TRY_CAST(t AS INTEGER) BETWEEN 24 AND 50)"))
 
 _MEDIA_IMGS = ("list_transform(regexp_extract_all(regexp_extract(html, '(?s)<div class=\"product__media\">(.*?)</div>', 1), "
                "'<img\\b[^>]*>', 0), lambda tag: coalesce(" + img_attr("tag", "src") + ", " + img_attr("tag", "data-src")
@@ -130,7 +133,7 @@ _GENERIC_IMGS = ("flatten(list_transform(regexp_extract_all(html, '(?s)<div clas
 def gallery_sql(base: str, slug: str = "style_slug") -> str:
     cands = f"list_transform({_MEDIA_IMGS} || {_GENERIC_IMGS}, lambda u: {norm_img('u', base)})"
     kept = f"list_filter({cands}, lambda u: u <> '' AND {is_prod_img('u', slug)})"
-    return f"{ordered_distinct(kept)}[1:10]"
+    return ordered_distinct(kept)
 
 
 _SKU = ["sku[\"\\s:]+([A-Z0-9-]+)", "product[_\\s]?code[\"\\s:]+([A-Z0-9-]+)", "style[\"\\s:]+([A-Z0-9-]+)",
@@ -139,7 +142,7 @@ SKU_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(html, '(?i){p}', 1), '
 
 _CARE_CLS = "regexp_extract_all(html, '(?s)<(?:div|p|span)\\b[^>]*\\bclass=\"([^\"]*)\"[^>]*>(.*?)</(?:div|p|span)>', 1)"
 _CARE_TXT = "regexp_extract_all(html, '(?s)<(?:div|p|span)\\b[^>]*\\bclass=\"([^\"]*)\"[^>]*>(.*?)</(?:div|p|span)>', 2)"
-CARE_SQL = (f"left({strip('array_to_string(list_transform(list_filter(list_transform(' + _CARE_CLS + ', lambda c, i: CASE WHEN contains(lower(c), ' + chr(39) + 'care' + chr(39) + ') THEN i END), lambda i: i IS NOT NULL), lambda i: ' + html2text(_CARE_TXT + '[i]') + ' || ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + chr(39) + ') || regexp_extract(lower(materials_text), ' + chr(39) + '(machine wash|hand wash|dry clean|iron|tumble dry|do not bleach)[^.]*\\.' + chr(39) + ', 0)')}, 500)")
+CARE_SQL = (f"({strip('array_to_string(list_transform(list_filter(list_transform(' + _CARE_CLS + ', lambda c, i: CASE WHEN contains(lower(c), ' + chr(39) + 'care' + chr(39) + ') THEN i END), lambda i: i IS NOT NULL), lambda i: ' + html2text(_CARE_TXT + '[i]') + ' || ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + chr(39) + ') || regexp_extract(lower(materials_text), ' + chr(39) + '(machine wash|hand wash|dry clean|iron|tumble dry|do not bleach)[^.]*\\.' + chr(39) + ', 0)')})")
 
 _MARKERS = ["organic", "gots certified", "fair trade", "sustainable", "eco-friendly", "recycled", "carbon neutral",
             "b corp", "oeko-tex", "bluesign"]
@@ -219,8 +222,8 @@ oracle("standardize", f"""{SHOP_PIPELINE}
 {CATALOG_SELECT}""", "pt", "pp")
 
 oracle("dedup_first", f"""{SHOP_PIPELINE}
-SELECT CAST(count(*) AS BIGINT) AS rows_in, CAST(count(DISTINCT (style_id, color_name)) AS BIGINT) AS rows_out,
-  CAST(count(*) - count(DISTINCT (style_id, color_name)) AS BIGINT) AS duplicates_removed FROM rec""", "pt", "pp")
+SELECT style_id, color_name, page_id, pos, color_code FROM rec
+QUALIFY row_number() OVER (PARTITION BY style_id, color_name ORDER BY page_id, pos) = 1""", "pt", "pp")
 
 oracle("scrape_status", f"""{SHOP_PIPELINE}
 SELECT page_id, pos, scrape_status FROM rec""", "pt", "pp")
@@ -278,7 +281,9 @@ oracle("sizes", """SELECT page_id, array_to_string(
 FROM (SELECT page_id, regexp_extract_all(html, '(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1) AS tokens FROM pp)""", "pt", "pp")
 
 oracle("waist_sizes", f"""SELECT page_id, array_to_string({ordered_distinct("list_filter(tokens, lambda t: regexp_matches(t, '^[0-9]{1,6}$') AND TRY_CAST(t AS INTEGER) BETWEEN 24 AND 50)")}, '|') AS waist_sizes
-FROM (SELECT page_id, regexp_extract_all(html, '(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1) AS tokens FROM pp)""", "pt", "pp")
+FROM (SELECT page_id, {SIZE_EL_TOKENS} AS tokens FROM pp)""", "pt", "pp")
+
+oracle("sizes_of_elements", """SELECT page_id, 'S|XL' AS sizes_available FROM pp""", "pt", "pp")
 
 oracle("sku", f""", pg0 AS (
   SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '{LD}', 1),
@@ -286,7 +291,7 @@ oracle("sku", f""", pg0 AS (
   FROM pp)
 SELECT page_id, {SKU_SQL} AS sku FROM pg0""", "pt", "pp")
 
-_IMG_SRC = "regexp_extract_all(html, '<img [a-z-]*src=\"([^\"]*)\"', 1)"
+_IMG_SRC = "regexp_extract_all(html, '<img\\b[^>]*?\\s(?:data-)?src=\"([^\"]*)\"', 1)"
 oracle("normalize_image_url", f"""SELECT page_id, src, {norm_img('src', SHOP_BASE)} AS image_url,
   {norm_img('src', SHOP_BASE, True)} AS image_url_v1 FROM (SELECT page_id, unnest({_IMG_SRC}) AS src FROM pp)""", "pt", "pp")
 
@@ -307,7 +312,7 @@ FROM (SELECT *, {norm_img('src', SHOP_BASE)} AS u FROM (
 oracle("gallery_images", f"""SELECT page_id, array_to_string({gallery_sql(SHOP_BASE)}, '|') AS gallery_image_urls
 FROM (SELECT *, split_part(string_split(url, '/products/')[-1], '?', 1) AS style_slug FROM pp)""", "pt", "pp")
 
-oracle("clean_gallery", f"""SELECT page_id, array_to_string({ordered_distinct(f"list_filter(cands, lambda u: {is_prod_img_v1('u', 'slug')})")}[1:5], '|') AS gallery_image_urls
+oracle("clean_gallery", f"""SELECT page_id, array_to_string({ordered_distinct(f"list_filter(cands, lambda u: {is_prod_img_v1('u', 'slug')})")}, '|') AS gallery_image_urls
 FROM (SELECT page_id, split_part(string_split(url, '/products/')[-1], '?', 1) AS slug,
         list_transform({_IMG_SRC}, lambda s: {norm_img('s', SHOP_BASE, True)}) AS cands FROM pp)""", "pt", "pp")
 
@@ -377,7 +382,7 @@ pg1 AS (
     coalesce(nullif(regexp_extract(html, '<a class="breadcrumbs__crumb" href="[^"]*/browse/womens-clothing[^"]*">([^<]*)</a>', 1), ''), 'Sweaters') AS category
   FROM pg0 WHERE js <> '' AND json_valid(js) AND len(json_keys(js)) > 0),
 pgf AS (
-  SELECT *, left(materials_text, 200) AS materials_snippet,
+  SELECT *, materials_text AS materials_snippet,
     regexp_extract_all(html, '(?i)\\b(XXS|XS|S|M|L|XL|XXL|XXXL|\\d+)\\b', 1) AS tokens
   FROM pg1)"""
 
@@ -393,7 +398,7 @@ vr AS (
   FROM pr4, range(1, CAST(len(keys) + 1 AS BIGINT)) t(i)),
 rec AS (
   SELECT *, CASE WHEN len(page_gal) > 0 THEN page_gal ELSE {ordered_distinct(f"list_filter(list_transform(style_imgs, lambda u: {norm_img('u', STORE_BASE)}), lambda u: u <> '')")} END AS gallery
-  FROM (SELECT *, {ordered_distinct(f"list_filter(list_transform({_SP_SEL_IMGS} || {_GENERIC_IMGS}, lambda u: {norm_img('u', STORE_BASE)}), lambda u: u <> '' AND {is_prod_img('u', 'style_key')})")}[1:10] AS page_gal FROM vr)),
+  FROM (SELECT *, {ordered_distinct(f"list_filter(list_transform({_SP_SEL_IMGS} || {_GENERIC_IMGS}, lambda u: {norm_img('u', STORE_BASE)}), lambda u: u <> '' AND {is_prod_img('u', 'style_key')})")} AS page_gal FROM vr)),
 rec2 AS (
   SELECT *, left(md5(style_key), 12) AS style_id, left(md5(style_key), 12) || '-' || left(md5(color_name), 12) AS color_id,
     coalesce(gallery[1], '') AS image_url,

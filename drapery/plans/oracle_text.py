@@ -174,7 +174,7 @@ oracle("sustainability_tags", f"""SELECT product_id,
 FROM pt""", "pt")
 
 oracle("slugify", f"""SELECT product_id, {slug_sql('title')} AS slug,
-  left(regexp_replace(regexp_replace({strip('lower(title)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 30) AS slug_short FROM pt""", "pt")
+  regexp_replace(regexp_replace({strip('lower(title)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug_short FROM pt""", "pt")
 
 oracle("color_id", f"""SELECT product_id, sid AS style_id, sid || '-' || left(md5(color_name), 12) AS color_id,
   CASE WHEN color_name = '' OR lower(color_name) = 'default' THEN sid ELSE sid || '-' || {slug_sql('color_name')} END AS color_id_v1
@@ -182,10 +182,10 @@ FROM (SELECT *, left(md5({slug_sql('title')}), 12) AS sid FROM pt)""", "pt")
 
 _V1F = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp", "bamboo", "viscose", "spandex", "nylon",
         "acrylic", "elastane", "lycra", "cashmere"]
-oracle("materials_snippet", f"""SELECT product_id, left(materials, 200) AS materials_snippet,
+oracle("materials_snippet", f"""SELECT product_id, materials AS materials_snippet,
   CASE WHEN materials = '' THEN '' ELSE coalesce(
-    {strip(f"left(list_filter(list_transform(string_split_regex(materials, '[.\\n]'), lambda x: {strip('x')}), lambda x: length(x) >= 5 AND regexp_matches(lower(x), '{'|'.join(_V1F)}') AND (contains(x, '%') OR contains(lower(x), 'organic')))[1], 300)")},
-    {strip('left(materials, 180)')}) END AS materials_snippet_v1
+    {strip(f"list_filter(list_transform(string_split_regex(materials, '[.\\n]'), lambda x: {strip('x')}), lambda x: length(x) >= 5 AND regexp_matches(lower(x), '{'|'.join(_V1F)}') AND (contains(x, '%') OR contains(lower(x), 'organic')))[1]")},
+    {strip('materials')}) END AS materials_snippet_v1
 FROM pt""", "pt")
 
 _W = "([A-Za-z][A-Za-z]+(?:\\s[A-Za-z][A-Za-z]+)?)"
@@ -195,9 +195,9 @@ oracle("country_of_origin", f"""SELECT product_id, coalesce(
   nullif({title_case_sql(f"regexp_extract(materials, '(?i)country of origin[:\\s]+{_W}', 1)")}, ''), '') AS country_of_origin
 FROM pt""", "pt")
 
-oracle("generate_description", f"""SELECT product_id, CASE WHEN title = '' THEN '' ELSE left(title || '.' ||
-  CASE WHEN length(left(materials, 200)) > 20 THEN ' ' || {strip("split_part(left(materials, 200), '.', 1)")} || '.' ELSE '' END ||
-  CASE WHEN category <> '' THEN ' Perfect addition to your ' || lower(category) || ' collection.' ELSE '' END, 500) END AS description
+oracle("generate_description", f"""SELECT product_id, CASE WHEN title = '' THEN '' ELSE (title || '.' ||
+  CASE WHEN length(materials) > 20 THEN ' ' || {strip("split_part(materials, '.', 1)")} || '.' ELSE '' END ||
+  CASE WHEN category <> '' THEN ' Perfect addition to your ' || lower(category) || ' collection.' ELSE '' END) END AS description
 FROM {PT_CAT}""", "pt")
 
 oracle("title_case", f"""SELECT product_id, {title_case_sql('color_name')} AS color_title, {title_case_sql('title')} AS title_title,

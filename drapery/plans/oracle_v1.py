@@ -103,21 +103,21 @@ _V1F = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp", "bamboo
 PAGE_TEXT = clean(unescape("regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '<[^>]*>', '', 'g')"))
 FOCUSED = f"""
 fm0 AS (SELECT page_id, html, {clean(unescape("regexp_extract(html, '<div class=\"product__description\">([^<]*)</div>', 1)"))} AS d FROM pv),
-fmat AS (SELECT page_id, left(CASE WHEN length(d) >= 10 AND (regexp_matches(lower(d), '{'|'.join(_V1F)}') OR contains(d, '%')) AND length(d) > 5 THEN d
-                                 WHEN d <> '' THEN d ELSE {PAGE_TEXT} END, 2000) AS materials FROM fm0)"""
+fmat AS (SELECT page_id, (CASE WHEN length(d) >= 10 AND (regexp_matches(lower(d), '{'|'.join(_V1F)}') OR contains(d, '%')) AND length(d) > 5 THEN d
+                                 WHEN d <> '' THEN d ELSE {PAGE_TEXT} END) AS materials FROM fm0)"""
 oracle("focused_materials", f""", {FOCUSED.strip()}
 SELECT page_id, materials FROM fmat""", "pt", "pv")
 
 oracle("parse_srcset", f"""SELECT page_id, coalesce(array_to_string(flatten(list_transform(regexp_extract_all(html, '<img srcset="([^"]*)"', 1),
-  lambda ss: list_filter(list_transform(string_split(ss, ','), lambda p: string_split_regex({strip('p')}, '\\s+')[1]), lambda u: u <> '')[1:5])), '|'), '') AS srcset_urls
+  lambda ss: list_filter(list_transform(string_split(ss, ','), lambda p: string_split_regex({strip('p')}, '\\s+')[1]), lambda u: u <> ''))), '|'), '') AS srcset_urls
 FROM pv""", "pt", "pv")
 
 
 def snippet(m: str) -> str:
     first = (f"list_filter(list_transform(string_split_regex({m}, '[.\\n]'), lambda x: {strip('x')}), lambda x: length(x) >= 5 "
              f"AND regexp_matches(lower(x), '{'|'.join(_V1F)}') AND (contains(x, '%') OR contains(lower(x), 'organic')))[1]")
-    v1 = f"CASE WHEN {m} = '' THEN '' ELSE coalesce({strip(f'left({first}, 300)')}, {strip(f'left({m}, 180)')}) END"
-    return f"CASE WHEN ({v1}) <> '' THEN ({v1}) WHEN {m} <> '' THEN left({m}, 180) ELSE 'No materials info found' END"
+    v1 = f"CASE WHEN {m} = '' THEN '' ELSE coalesce({strip(first)}, {strip(m)}) END"
+    return f"CASE WHEN ({v1}) <> '' THEN ({v1}) WHEN {m} <> '' THEN {m} ELSE 'No materials info found' END"
 
 
 _SCORE = {"w": ["work", "office", "blazer", "trouser", "meeting", "suit"],
@@ -185,7 +185,7 @@ f_src AS (SELECT page_id, materials_snippet FROM p1)"""
 oracle("catalog_v1", f"""{V1_PAGES}, {fabric_ctes('f_src', 'page_id', 'materials_snippet')},{_FABRIC_TAIL},
 r0 AS (
   SELECT p1.*, v.pos, v.color_raw,
-    {ordered_distinct(f"list_filter(CASE WHEN len(v.images) > 0 THEN v.images WHEN p1.main_image <> '' THEN [p1.main_image] ELSE [] END, lambda u: {is_prod_v1('u', 'p1.style_slug')})")}[1:5] AS g0
+    {ordered_distinct(f"list_filter(CASE WHEN len(v.images) > 0 THEN v.images WHEN p1.main_image <> '' THEN [p1.main_image] ELSE [] END, lambda u: {is_prod_v1('u', 'p1.style_slug')})")} AS g0
   FROM p1 JOIN vrows v USING (page_id)),
 r1 AS (SELECT *, CASE WHEN len(g0) > 0 THEN g0 WHEN main_image <> '' THEN [main_image] ELSE g0 END AS gallery FROM r0)
 SELECT 1 AS schema_version, style_id, style_slug,

@@ -15,8 +15,8 @@ from ..operators import crawl as CR
 from ..operators import elements as E
 from ..operators import incremental as INC
 from ..operators import reports as REP
-from ..operators.records import validate, validation_report
-from ..plans.catalog import catalog_shopify, catalog_styles
+from ..operators.records import dedup_first, standardize, validate, validation_report
+from ..plans.catalog import catalog_rows, catalog_shopify, catalog_styles
 from ..sources import catalog_io as IO
 from ..sources.sites import SITES, site_dim
 from ..sources.tables import table, view
@@ -30,6 +30,13 @@ def _catalog(spark, sf):
     return catalog_shopify(view(spark, sf, "pp"), SHOP)
 
 
+def _catalog_of(spark, sf, columns):
+    """Some columns of the catalog: they alone go through the de-duplication."""
+    rows = catalog_rows(view(spark, sf, "pp"), SHOP).select("style_id", "color_name", "page_id", "pos", *columns)
+    kept = dedup_first(rows, ["style_id", "color_name"], ["page_id", "pos"])
+    return standardize(kept, columns)
+
+
 # ---- 2.1 sources / sinks -------------------------------------------------------
 @query("read_pages")
 def q_read_pages(spark, sf):
@@ -41,7 +48,7 @@ def q_read_pages(spark, sf):
 def q_site_dim(spark, sf):
     urls = view(spark, sf, "pp").select("url").unionByName(view(spark, sf, "sp").select("url"))
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    sites = F.broadcast(site_dim(spark).select("key", "brand_name", "source_site"))
+    sites = site_dim(spark).select("key", "brand_name", "source_site")
     return urls.withColumn("host", host).join(sites, F.col("host") == F.col("source_site")).select(
         "url", "key", "brand_name", "source_site")
 
@@ -49,15 +56,24 @@ def q_site_dim(spark, sf):
 @query("write_catalog")
 def q_write_catalog(spark, sf):
     path = IO.scratch_path(spark, "catalog-csv")
-    IO.write_catalog(_catalog(spark, sf), path)
-    back = IO.read_csv_text(spark, path)
-    return back.select("style_id", "color_name", "price_raw", "fabric_breakdown_pretty", "is_apparel")
+    IO.write_catalog(_catalog(spark, sf), path, fmt="csv")
+    return IO.read_csv_text(spark, path)
+
+
+@query("upsert_catalog")
+def q_upsert_catalog(spark, sf):
+    """Two saves into one catalog: odd pages first, then all; saved rows stay."""
+    path = IO.scratch_path(spark, "catalog")
+    pages = view(spark, sf, "pp")
+    IO.upsert_catalog(catalog_shopify(pages.filter("page_id % 2 = 1"), SHOP), path)
+    IO.upsert_catalog(_catalog(spark, sf), path)
+    return IO.read_catalog(spark, path, fmt="parquet").select("style_id", "color_name", "product_url", "price")
 
 
 @query("read_catalog")
 def q_read_catalog(spark, sf):
     path = IO.scratch_path(spark, "catalog-csv")
-    IO.write_catalog(_catalog(spark, sf), path)
+    IO.write_catalog(_catalog(spark, sf), path, fmt="csv")
     missing = IO.read_catalog(spark, path + "-absent")
     return IO.read_catalog(spark, path).unionByName(missing)
 
@@ -68,7 +84,8 @@ def q_write_sorted_dedup(spark, sf):
     path = IO.scratch_path(spark, "catalog-v1")
     IO.write_sorted_dedup(shopify_variants(view(spark, sf, "pp"), SHOP), path)
     back = IO.read_csv_text(spark, path)
-    return back.select("brand_name", "style_slug", "color_name", "color_id", "price_raw")
+    return back.select("brand_name", "style_slug", "color_name", "color_id", "price_raw", "style_id", "image_url", "product_url",
+                       "source_site", "currency", "scrape_status", "materials_raw_or_page_text", "product_title")
 
 
 @query("union_sites")
@@ -81,22 +98,23 @@ def q_union_sites(spark, sf):
 # ---- 2.10 reports --------------------------------------------------------------
 @query("category_counts")
 def q_category_counts(spark, sf):
-    return REP.group_counts(_catalog(spark, sf), "category")
+    return REP.group_counts(_catalog_of(spark, sf, ["category"]), "category")
 
 
 @query("status_counts")
 def q_status_counts(spark, sf):
-    return REP.group_counts(_catalog(spark, sf), "scrape_status")
+    return REP.group_counts(_catalog_of(spark, sf, ["scrape_status"]), "scrape_status")
 
 
 @query("report_counts")
 def q_report_counts(spark, sf):
-    return REP.report_counts(_catalog(spark, sf))
+    return REP.report_counts(_catalog_of(spark, sf, ["category", "scrape_status"]))
 
 
 @query("failed_pages")
 def q_failed_pages(spark, sf):
-    return REP.failed_pages(view(spark, sf, "pp"), _catalog(spark, sf))
+    pp = view(spark, sf, "pp")
+    return REP.failed_pages(pp, catalog_rows(pp, SHOP))
 
 
 @query("run_summary")
@@ -104,14 +122,14 @@ def q_run_summary(spark, sf):
     pp = view(spark, sf, "pp")
     skipped = INC.skip_existing(pp.select("url"), view(spark, sf, "st"))
     done = pp.select("url").join(skipped, "url", "left_anti")
-    return REP.run_summary(pp, _catalog(spark, sf), done)
+    return REP.run_summary(pp, _catalog_of(spark, sf, ["product_url"]), catalog_rows(pp, SHOP), done)
 
 
 @query("image_reuse_audit")
 def q_image_reuse_audit(spark, sf):
     pp = view(spark, sf, "pp")
     imgs = pp.select(F.col("url").alias("product_url"),
-                     F.explode(F.regexp_extract_all("html", F.lit(r'<img [a-z-]*src="([^"]*)"'), 1)).alias("src"))
+                     F.explode(H.img_urls("html")).alias("src"))
     imgs = imgs.select("product_url", K.normalize_image_url("src", F.lit(SHOP.base_url)).alias("image_url"))
     return REP.image_reuse_audit(imgs)
 
@@ -122,6 +140,12 @@ def q_page_checksum(spark, sf):
     return INC.page_checksum(table(spark, sf, "pages")).select("page_id", "checksum")
 
 
+@query("upsert_state")
+def q_upsert_state(spark, sf):
+    changes = INC.changed_pages(table(spark, sf, "pages"), view(spark, sf, "st"), NOW)
+    return INC.upsert_state(view(spark, sf, "st"), changes)
+
+
 @query("changed_pages")
 def q_changed_pages(spark, sf):
     return INC.changed_pages(table(spark, sf, "pages"), view(spark, sf, "st"), NOW)
@@ -151,17 +175,17 @@ def _collections(spark, sf):
 
 @query("expand_collection")
 def q_expand_collection(spark, sf):
-    return CR.expand_collection(_collections(spark, sf)).select("coll_idx", "page_no", "page_url", "page_url_v1")
+    return CR.expand_collection(_collections(spark, sf), 10).select("coll_idx", "page_no", "page_url", "page_url_v1")
 
 
 @query("pagination_prefix")
 def q_pagination_prefix(spark, sf):
-    return CR.pagination_prefix(view(spark, sf, "cl"))
+    return CR.pagination_prefix(view(spark, sf, "cl"), 10)
 
 
 @query("pagination_two_empty")
 def q_pagination_two_empty(spark, sf):
-    return CR.pagination_two_empty(view(spark, sf, "cl"))
+    return CR.pagination_two_empty(view(spark, sf, "cl"), 20)
 
 
 @query("frontier_limit")
@@ -199,8 +223,10 @@ def robots_table(spark, sf):
     pages = table(spark, sf, "pages")
     host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     hosts = pages.select(host.alias("host")).distinct()
-    txt = (F.when(F.length("host") % 3 == 1, F.lit("User-agent: *\nDisallow: /fr/\nAllow: /"))
-           .when(F.length("host") % 3 == 2, F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/\nDisallow: /\n")))
+    txt = (F.when(F.length("host") % 5 == 1, F.lit("User-agent: *\nUser-agent: foo\nDisallow: /fr/\nAllow: /"))
+           .when(F.length("host") % 5 == 2, F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /en/\nDisallow: /\n"))
+           .when(F.length("host") % 5 == 3, F.lit("User-agent: *\n\nDisallow: /"))
+           .when(F.length("host") % 5 == 4, F.lit("User-agent: *\nDisallow: /%65n/ # note\n\nUser-agent: *\nDisallow: /")))
     return hosts.withColumn("robots_txt", txt).filter(F.col("robots_txt").isNotNull())
 
 
@@ -213,9 +239,14 @@ def q_robots_filter(spark, sf):
 # ---- 2.2 / 2.3 pages ----------------------------------------------------------------
 @query("extract_links")
 def q_extract_links(spark, sf):
-    pp = view(spark, sf, "pp")
-    links = pp.select(F.explode(H.hrefs("html")).alias("href")).filter(F.instr("href", "/products/") > 0)
-    return links.select(K.resolve_url("href", F.lit(SHOP.base_url)).alias("product_url")).distinct()
+    """Product links by each site's own selectors."""
+    out = None
+    for name, site in (("pp", SHOP), ("sp", STORE)):
+        el = E.html_elements(view(spark, sf, name), keep_html=False)
+        links = el.select(F.explode(E.select("elements", site.selectors["product_links"])).alias("e"))
+        links = links.select(K.resolve_url(E.attr(F.col("e"), "href"), F.lit(site.base_url)).alias("product_url"))
+        out = links if out is None else out.unionByName(links)
+    return out.distinct()
 
 
 @query("resolve_url")
@@ -230,12 +261,6 @@ def q_source_site(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.source_site("url").alias("source_site"))
 
 
-@query("html_elements")
-def q_html_elements(spark, sf):
-    el = E.html_elements(table(spark, sf, "pages"), keep_html=False)
-    return E.explode_elements(el).select("page_id", "node_id", "parent_id", "depth", "tag")
-
-
 @query("select_elements")
 def q_select_elements(spark, sf):
     el = E.html_elements(table(spark, sf, "pages"), keep_html=False)

@@ -9,10 +9,11 @@ from ..functions import images as I
 from ..functions import keys as K
 from ..operators import elements as E
 from ..operators import extract as X
-from ..operators.records import dedup_report, standardize
+from ..operators.records import dedup_first, standardize
 from ..plans.catalog import (catalog_output, catalog_shopify, catalog_styles, gallery_images, shopify_pages,
                              shopify_variants, styles_pages)
 from ..sources.sites import SITES
+from .catalog_v1 import gallery_attr_images
 from ..sources.tables import view
 from .registry import query
 
@@ -100,8 +101,8 @@ def q_sizes(spark, sf):
 
 @query("waist_sizes")
 def q_waist_sizes(spark, sf):
-    return pp(spark, sf).select("page_id", F.array_join(H.waist_sizes(H.size_tokens("html"), F.lit("Bottoms")), "|")
-                                .alias("waist_sizes"))
+    el = E.html_elements(pp(spark, sf), keep_html=False)
+    return el.select("page_id", F.array_join(H.waist_sizes(E.size_tokens_of("elements"), F.lit("Bottoms")), "|").alias("waist_sizes"))
 
 
 @query("sku")
@@ -144,7 +145,7 @@ def q_first_selector_wins(spark, sf):
 
 @query("normalize_image_url")
 def q_normalize_image_url(spark, sf):
-    df = pp(spark, sf).select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<img [a-z-]*src="([^"]*)"'), 1))
+    df = pp(spark, sf).select("page_id", F.explode(H.img_urls("html"))
                               .alias("src"))
     return df.select("page_id", "src", K.normalize_image_url("src", F.lit(SHOP.base_url)).alias("image_url"),
                      K.normalize_image_url("src", F.lit(SHOP.base_url), keep_query=True).alias("image_url_v1"))
@@ -153,7 +154,7 @@ def q_normalize_image_url(spark, sf):
 @query("is_product_image")
 def q_is_product_image(spark, sf):
     df = pp(spark, sf).select("page_id", K.style_slug("url").alias("slug"),
-                              F.explode(F.regexp_extract_all("html", F.lit(r'<img [a-z-]*src="([^"]*)"'), 1)).alias("src"))
+                              F.explode(H.img_urls("html")).alias("src"))
     u = K.normalize_image_url("src", F.lit(SHOP.base_url))
     return df.select("page_id", "src", I.is_product_image(u, "slug").alias("is_product"),
                      I.is_product_image_v1(u, "slug").alias("is_product_v1"))
@@ -169,7 +170,7 @@ def q_gallery_images(spark, sf):
 @query("clean_gallery")
 def q_clean_gallery(spark, sf):
     df = pp(spark, sf).select("page_id", K.style_slug("url").alias("slug"),
-                              F.transform(F.regexp_extract_all("html", F.lit(r'<img [a-z-]*src="([^"]*)"'), 1),
+                              F.transform(H.img_urls("html"),
                                           lambda s: K.normalize_image_url(s, F.lit(SHOP.base_url), keep_query=True))
                               .alias("cands"))
     return df.select("page_id", F.array_join(I.clean_gallery("cands", "slug"), "|").alias("gallery_image_urls"))
@@ -178,7 +179,7 @@ def q_clean_gallery(spark, sf):
 @query("rank_images_by_handle")
 def q_rank_images_by_handle(spark, sf):
     df = pp(spark, sf).select("page_id", "url", F.array_distinct(F.transform(
-        F.regexp_extract_all("html", F.lit(r'<img [a-z-]*src="([^"]*)"'), 1),
+        H.img_urls("html"),
         lambda s: F.when(s.startswith("//"), F.concat(F.lit("https:"), s))
         .when(s.startswith("/"), F.concat(F.lit(SHOP.base_url), s)).otherwise(s))).alias("cands"))
     return df.select("page_id", F.array_join(I.rank_images_by_handle("cands", "url"), "|").alias("images"))
@@ -213,7 +214,8 @@ def q_catalog_shopify(spark, sf):
 @query("dedup_first")
 def q_dedup_first(spark, sf):
     v = shopify_variants(pp(spark, sf), SHOP)
-    return dedup_report(v, ["style_id", "color_name"])
+    v = v.select("style_id", "color_name", "page_id", "pos", "color_code")
+    return dedup_first(v, ["style_id", "color_name"], ["page_id", "pos"])
 
 
 @query("explode_styles")
@@ -243,15 +245,14 @@ def q_breadcrumb_category(spark, sf):
 @query("gallery_attr_images")
 def q_gallery_attr_images(spark, sf):
     el = E.html_elements(sp(spark, sf), keep_html=False)
-    divs = E.select("elements", "div.pdp-photo-single-column-image")
-
-    def pick(d):
-        child = F.get(F.filter("elements", lambda e: (e["tag"] == "img") & (e["parent_id"] == d["node_id"])), 0)
-        return F.coalesce(E.attr(d, "data-imageurl"), E.attr(child, "src"))
-    urls = F.array_distinct(F.filter(F.transform(divs, pick), lambda u: u.isNotNull()))
-    return el.select("page_id", F.array_join(F.transform(urls, lambda u: K.normalize_image_url(u, F.lit(STORE.base_url),
-                                                                                             keep_query=True)), "|")
-                     .alias("gallery_image_urls"))
+    return el.select("page_id", F.array_join(gallery_attr_images("elements", F.lit(STORE.base_url)), "|").alias("gallery_image_urls"))
+
+
+@query("sizes_of_elements")
+def q_sizes_of_elements(spark, sf):
+    """Sizes read from size elements only (scope of the notes' clean sizes)."""
+    el = E.html_elements(pp(spark, sf), keep_html=False)
+    return el.select("page_id", F.array_join(H.sizes(E.size_tokens_of("elements")), "|").alias("sizes_available"))
 
 
 @query("catalog_styles")

@@ -60,7 +60,7 @@ def q_focused_materials(spark, sf):
 def q_parse_srcset(spark, sf):
     el = pve(spark, sf)
     imgs = E.select("elements", "img[srcset]")
-    return el.select("page_id", F.array_join(F.flatten(F.transform(imgs, lambda e: K.parse_srcset(E.attr(e, "srcset"), 5))),
+    return el.select("page_id", F.array_join(F.flatten(F.transform(imgs, lambda e: K.parse_srcset(E.attr(e, "srcset")))),
                                              "|").alias("srcset_urls"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,44 +19,36 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "drapery") -> SparkSession:
-    """Build (or reuse) a session with the settings our plans are tuned for."""
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "drapery",
+              driver_memory: str | None = None) -> SparkSession:
+    """Build (or reuse) a session with the settings our plans assume.
+
+    Shuffle partitions and memory are the submitter's; tests and the bench pass
+    their own."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("DRAPERY_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and we only
-    read it. Only when it is unset (local tests) do we pick a scratch folder.
+    A cluster must set it: a machine-local folder would leave every executor
+    with its own part files. Only a local session gets a folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="drapery-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a small input over the cluster before heavy per-row work.
-
-    Inputs that already have at least ``min_partitions`` partitions (any
-    real page table) are returned unchanged, so large jobs add no shuffle.
-    """
-    if df.isStreaming:
-        return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)

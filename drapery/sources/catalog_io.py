@@ -3,9 +3,10 @@ checkpoint folder."""
 
 from __future__ import annotations
 
+import logging
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +40,26 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def read_catalog(spark: SparkSession, path: str, columns=CATALOG_COLUMNS) -> DataFrame:
-    """Earlier CSV output (header, quoted newlines); empty frame when absent."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_catalog(spark: SparkSession, path: str, columns=CATALOG_COLUMNS, fmt: str = "csv") -> DataFrame:
+    """Earlier output by column name (an older layout's missing columns are
+    empty, its others ignored); empty frame when absent."""
     schema = catalog_schema(columns)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
-    return no_nulls(df)
+    df = read_csv_text(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    out = []
+    for f in schema.fields:
+        if f.name not in df.columns:
+            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+        else:
+            c = F.col(f.name)
+            out.append((c.try_cast(f.dataType) if dict(df.dtypes)[f.name] == "string" else c.cast(f.dataType)).alias(f.name))
+    return no_nulls(df.select(*out))
 
 
 def no_nulls(df: DataFrame) -> DataFrame:
@@ -63,34 +73,58 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return no_nulls(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path))
 
 
-def write_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, mode: str = "overwrite",
-                  fmt: str = "csv", skip_empty: bool = True) -> DataFrame:
-    """Standardise -> validate -> write in fixed column order.
+def write_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, mode: str = "overwrite", fmt: str = "parquet") -> dict:
+    """Standardise -> validate -> write in fixed column order, in one pass.
 
-    Returns the invalid rows (lazily) so callers can report them without
-    collecting the catalog. With ``skip_empty`` an empty input writes nothing
-    and logs a warning (a one-row probe, not a count).
+    The rows are written beside ``path`` first and counted on the way; an empty
+    input leaves what was saved before and logs a warning. Returns
+    ``{"rows", "invalid"}``.
     """
-    std = validate(standardize(df, columns))
-    if skip_empty and std.isEmpty():
-        import logging
-        logging.getLogger(__name__).warning("No records to save: %s not written", path)
-        return std
-    out = to_csv_frame(std, columns)
-    w = out.write.mode(mode)
+    spark, seen = df.sparkSession, Observation()
+    std = validate(standardize(df, columns)).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("validation_errors") > 0).alias("invalid"))
+    beside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex[:8]}"
+    w = to_csv_frame(std, columns).write
     if fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.option("header", True).option("escape", '"').csv(beside)
     else:
-        w.parquet(path)
-    return std.filter(F.size("validation_errors") > 0)
+        w.parquet(beside)
+    found = seen.get
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    if not found["rows"]:
+        logging.getLogger(__name__).warning("No records to save: %s not written", path)
+        fs.delete(src, True)
+    elif mode == "append" and fs.exists(dst):
+        for f in fs.listStatus(src):
+            if f.getPath().getName().startswith("part-"):
+                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(dst, f.getPath().getName()))
+        fs.delete(src, True)
+    else:
+        if fs.exists(dst):
+            fs.delete(dst, True)
+        fs.rename(src, dst)
+    return found
+
+
+def upsert_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS) -> dict:
+    """Merge rows into a saved Parquet catalog: a saved row is replaced when its
+    (style_id, color_name) comes again; all others stay."""
+    spark, keys = df.sparkSession, ["style_id", "color_name"]
+    new = standardize(df, columns)
+    if _exists(spark, path):
+        old = read_catalog(spark, path, columns, "parquet").join(new.select(*keys).distinct(), keys, "left_anti")
+        new = new.unionByName(standardize(old, columns))
+    return write_catalog(new, path, columns)
 
 
 def write_sorted_dedup(df: DataFrame, path: str, columns=CATALOG_COLUMNS_V1) -> None:
     """v1 sink: keep the first row per (style_id, color_name), then write
     sorted by (brand_name, style_slug, color_name) - a range-partitioned
     global sort, so part files are in order."""
-    order = [c for c in ("page_id", "pos") if c in df.columns]
-    d = dedup_first(df, ["style_id", "color_name"], order) if order else df.dropDuplicates(["style_id", "color_name"])
+    order = [c for c in ("page_id", "pos") if c in df.columns] or [c for c in df.columns if c not in ("style_id", "color_name")]
+    d = dedup_first(df, ["style_id", "color_name"], order)
     std = standardize(d, columns).orderBy("brand_name", "style_slug", "color_name")
     to_csv_frame(std, columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

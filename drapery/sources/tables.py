@@ -35,27 +35,29 @@ PP_SQL = """SELECT product_id AS page_id,
   concat('<html><head><title>', title, '</title><meta property="og:image" content="//cdn.example.com/products/', slug, '-1.jpg?v=9">',
     CASE WHEN product_id % 5 < 3 THEN concat('<script id="ProductJson-main" type="application/json">{"id":', CAST(product_id AS STRING), ',"title":"', title, '","type":"', product_type,
         '","description":"<p>', materials, '</p>","variants":[{"id":1,"option1":"black","price":', CAST(CAST(round(price * 100) AS BIGINT) AS STRING), ',"featured_image":{"src":"//cdn.example.com/products/', slug, '-1.jpg?v=9"}},{"id":2,"option1":"Striped Navy","price":0},{"id":3,"option1":"black","price":100},{"id":4,"title":"Default Title","price":100}]}</script>')
-      WHEN product_id % 5 = 3 THEN concat('<script type="application/ld+json">{"@type":"Product","name":"', title, '","sku":"SKU-', CAST(product_id AS STRING), '","description":"', materials, '","image":"https://cdn.example.com/products/', slug, '.jpg","offers":{"price":"19.99","priceCurrency":"EUR"}}</script>')
+      WHEN product_id % 5 = 3 OR product_id % 25 IN (4, 9) THEN concat(CASE product_id % 25 WHEN 4 THEN '<script id="ProductJson-x" type="application/json">{"id":1,"title":"Broken","variants":[{"id":</script>' WHEN 9 THEN '<script id="ProductJson-x" type="application/json"> {} </script>' ELSE '' END, '<script type="application/ld+json">{"@type":"Product","name":"', title, '","sku":"SKU-', CAST(product_id AS STRING), '","description":"', materials, '","image":"https://cdn.example.com/products/', slug, '.jpg","offers":{"price":"19.99","priceCurrency":"EUR"}}</script>')
       ELSE '' END,
-    '</head><body><h1 class="product__title">', title, '</h1><div class="product__media"><img src="//cdn.example.com/products/', slug, '-1.jpg?v=9"><img src="/assets/logo.png"><img data-src="/products/', slug, '-2.jpg"></div><select class="size-picker"><option>XL</option><option>S</option><option>30</option></select><div class="care-notes">Machine wash cold.</div><div class="product__description">', materials,
+    '</head><body><h1 class="product__title">', title, '</h1><div class="product__media"><img src="//cdn.example.com/products/', slug, '-1.jpg?v=9"><img src="/assets/logo.png"><img data-src="/products/', slug, '-2.jpg"></div><p class="more"><img class="z" src="/products/', slug, '-3.jpg"></p><select class="size-picker"><option>XL</option><option>S</option><option>30</option></select><div class="care-notes">Machine wash cold.</div><div class="product__description">', materials,
     '</div><a href="/products/', slug, '-alt">more</a><a href="/pages/about">about</a></body></html>') AS html
 FROM (SELECT *, concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt0) s"""
 
 SP_SQL = """SELECT product_id AS page_id,
   concat('https://store.example.org/browse/product.do?pid=', CAST(500000 + product_id AS STRING), '&cid=5032') AS url,
-  concat('<html><head><script>window.gap.properties.styles = {"', CAST(product_id AS STRING), '":{"displayName":"', color_name, '","images":[{"url":"/img/a', CAST(product_id AS STRING), '.jpg?x=1"}]},"z9":{"displayName":"navy"}};</script><script type="application/ld+json">{"@type":"Product","offers":{"price":"', CAST(product_id % 90 AS STRING), '.50","priceCurrency":"USD"}}</script></head><body><a class="breadcrumbs__crumb" href="/browse/womens-clothing/x">Sweaters</a><h1 class="product-name">', title, '</h1><div class="product-details__description">', materials, '</div><div class="pdp-photo-single-column-image" data-imageurl="/img/h.jpg"><img src="/img/i.jpg"></div></body></html>') AS html
-FROM ({pt}) pt1 WHERE product_id % 2 = 0"""
+  concat('<html><head><script>window.gap.properties.styles = {"', CAST(product_id AS STRING), '":{"displayName":"', color_name, '","images":[{"url":"/img/a', CAST(product_id AS STRING), '.jpg?x=1"}]},"z9":{"displayName":"navy"}};</script><script type="application/ld+json">{"@type":"Product","offers":{"price":"', CAST(product_id % 90 AS STRING), '.50","priceCurrency":"USD"}}</script></head><body><a class="breadcrumbs__crumb" href="/browse/womens-clothing/x">Sweaters</a><a data-href="/track" class="product-card__link" href="/browse/product.do?pid=', CAST(700000 + product_id AS STRING), '">next</a><h1 class="product-name">', title, '</h1><div class="product-details__description">', materials, '</div><div class="pdp-photo-single-column-image" data-imageurl="/img/h.jpg"><img src="/img/i.jpg"></div></body></html>') AS html
+FROM ({pt}) pt1"""
 
-PX_SQL = """SELECT l_partkey % 200 AS image_id, CAST((l_orderkey * 37 + l_linenumber) % 256 AS INT) AS r,
+PX_SQL = """SELECT l_partkey AS image_id, CAST((l_orderkey * 37 + l_linenumber) % 256 AS INT) AS r,
   CAST((l_partkey * 11) % 256 AS INT) AS g, CAST((l_orderkey + l_partkey) % 256 AS INT) AS b FROM {lineitem}"""
 
 ST_SQL = """SELECT url, CASE WHEN page_id % 7 = 0 THEN md5('old') ELSE md5(html) END AS checksum,
   CASE page_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-08 00:00:00' ELSE TIMESTAMP '2024-01-14 00:00:00' END AS last_scraped
-FROM {pages} WHERE page_id % 5 <> 0"""
+FROM {pages} WHERE page_id % 5 <> 0
+UNION ALL SELECT url, md5('older') AS checksum, TIMESTAMP '2023-12-01 00:00:00' AS last_scraped FROM {pages} WHERE page_id % 10 = 1"""
 
 CL_SQL = """SELECT CAST(floor(p_partkey / 10) AS BIGINT) AS coll_idx, p_partkey % 10 + 1 AS page_no,
   CASE WHEN p_partkey % 17 = 3 THEN 404 ELSE 200 END AS status, CASE WHEN p_partkey % 23 = 5 THEN 120 ELSE 900 END AS body_len,
-  concat('https://shop.example.com/products/item-', CAST(p_partkey % 160 AS STRING)) AS product_url FROM {part}"""
+  concat('https://shop.example.com/products/item-', CAST(CAST(floor(p_partkey / 25) AS BIGINT) * 20 + p_partkey % 20 AS STRING)) AS product_url
+FROM {part} WHERE p_partkey % 41 <> 13"""
 
 VIEW_SQL = {"pt": PT_SQL, "pp": PP_SQL, "sp": SP_SQL, "px": PX_SQL, "st": ST_SQL, "cl": CL_SQL}
 VIEW_DEPS = {"pp": ["pt"], "sp": ["pt"]}
@@ -78,15 +80,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived fixture view read straight from the parquet files.
-
-    The driver tables are single small files (one input partition); the
-    view is spread over the cluster's parallelism so that it behaves like
-    the multi-file page tables the plans are written for.
-    """
-    from ..session import spread
+    """A derived fixture view read straight from the parquet files."""
     base = sf_dir.rstrip("/")
-    return spread(spark.sql(_render(name, lambda t: f"parquet.`{base}/{t}.parquet`")))
+    return spark.sql(_render(name, lambda t: f"parquet.`{base}/{t}.parquet`"))
 
 
 def duckdb_view_sql(name: str) -> str:

@@ -3,16 +3,20 @@
 Pages land as files in a folder. The stream applies the stateless catalog
 transforms once (JSON, elements, rules - all narrow), drops URLs it has
 already seen (``dropDuplicates`` on the URL, state kept in the checkpoint),
-and hands each micro-batch to ``foreachBatch``, which skips URLs already in
-the sink from earlier runs (URL-only anti join), keeps the first row per
-(style_id, color_name), and writes the batch to its own ``batch_id=``
-partition. A replayed batch overwrites its partition, so the sink is
-exactly-once; reading it merges batches with the batch plan's rule, so
-stream output equals batch output.
+and hands each micro-batch to ``foreachBatch``, which skips URLs saved by
+other runs, keeps the first row per (style_id, color_name) and writes the
+batch to its own ``run_id=/batch_id=`` partition. The run id is kept beside
+the checkpoint, so a replayed batch overwrites exactly its own partition and
+a new run never touches an earlier one's rows. Saved URLs are kept in a
+narrow table of their own beside the sink; no batch reads the sink again.
+Reading the sink merges all parts with the batch plan's rule, so stream
+output equals batch output.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +27,30 @@ from ..sources.sites import Site
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the runs that share a checkpoint: a marker beside it, made once."""
+    folder, fs = _hadoop(spark, checkpoint.rstrip("/") + ".run")
+    if fs.exists(folder):
+        return fs.listStatus(folder)[0].getPath().getName()
+    new = uuid.uuid4().hex
+    marker, fs = _hadoop(spark, f"{checkpoint.rstrip('/')}.run/{new}")
+    fs.create(marker).close()
+    return new
+
+
+def keys_path(sink: str) -> str:
+    """Where the URLs saved in ``sink`` are listed."""
+    return sink.rstrip("/") + ".urls"
 
 
 def land_pages(pages: DataFrame, landing: str, pages_per_file: int = 25) -> None:
@@ -54,14 +78,21 @@ def stream_catalog(spark: SparkSession, landing: str, sink: str, checkpoint: str
         pages = pages.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
     rows = catalog_rows(pages, site)
 
+    own = run_id(spark, checkpoint)
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        todo = batch
-        if skip_done and _exists(batch.sparkSession, sink):
-            done = batch.sparkSession.read.parquet(sink).select("product_url").distinct()
-            todo = todo.join(done, "product_url", "left_anti")
-        out = finish_catalog(todo, keep_order=True).withColumn("batch_id", F.lit(batch_id))
+        session, todo = batch.sparkSession, batch
+        if skip_done and _exists(session, keys_path(sink)):
+            # within a run the stream itself drops repeats, and a replayed batch must find its own URLs unsaved
+            done = session.read.schema("product_url string, run_id string, batch_id bigint").parquet(keys_path(sink))
+            todo = todo.join(done.filter(F.col("run_id") != own).select("product_url").distinct(), "product_url", "left_anti")
+        part = {"run_id": F.lit(own), "batch_id": F.lit(batch_id)}
+        out = finish_catalog(todo, keep_order=True).withColumns(part)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(sink))
+         .partitionBy("run_id", "batch_id").parquet(sink))
+        # listed last: a URL is only skipped once its rows are saved
+        (todo.select("product_url").distinct().withColumns(part).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(keys_path(sink)))
 
     return (rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
@@ -75,5 +106,5 @@ def read_sink(spark: SparkSession, sink: str) -> DataFrame:
 
 def batch_progress(spark: SparkSession, sink: str) -> DataFrame:
     """Rows saved per micro-batch (the incremental-save log)."""
-    return spark.read.parquet(sink).groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"),
+    return spark.read.parquet(sink).groupBy("run_id", "batch_id").agg(F.count(F.lit(1)).alias("rows"),
                                                             F.count_distinct("page_id").alias("pages"))

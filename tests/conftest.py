@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from drapery.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=4)
+    s = get_spark("local[4]", shuffle_partitions=4, driver_memory="4g")
     yield s
 
 
