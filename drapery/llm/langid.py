@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, words
+from .common import map_batches, up_to, words
 
 CHAIN = 64
 MEMO = 400_000
@@ -93,9 +93,14 @@ def sample_rows(docs: DataFrame, held_out, rows_per_lang: int, words_per_row: in
     """The bounded training sample: ``lang, words``."""
     pick = F.xxhash64(F.lit("train"), F.col(id_col))
     d = docs.filter(~held_out & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    ranked = (d.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), pick.alias("pick"))
-               .withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("pick", "id", "text")))
-               .filter(F.col("n") <= rows_per_lang))
+    d = d.select(F.col(label_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), pick.alias("pick"))
+    # hashes are spread evenly, so the smallest ``rows_per_lang`` of a language lie below a bound that follows from
+    # its number of rows; only a few times that many rows are ranked
+    counts = up_to(d.groupBy("lang").agg(F.count("*").alias("rows")), 10_000)
+    share = F.least(F.lit(1.0), 4.0 * rows_per_lang / F.col("rows"))
+    few = d.join(counts, "lang").filter(F.col("pick").cast("double") <= F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)).drop("rows")
+    ranked = (few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("pick", "id", "text")))
+              .filter(F.col("n") <= rows_per_lang))
     all_words = words(F.col("text"))
     place = F.pmod(F.col("pick"), F.greatest(F.size("w") - words_per_row, F.lit(1))) + 1
     return (ranked.withColumn("w", all_words).filter(F.size("w") > 0)
