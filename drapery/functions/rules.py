@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col, let
@@ -42,6 +42,16 @@ def classify_by_rules(text, rules, default, match: str = "substring") -> Column:
     return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+def classify_by_table(df: DataFrame, text: str, rules: DataFrame, default: str, name: str) -> DataFrame:
+    """The same rule for a user's table ``(rank, label, keyword)``: column ``name`` is
+    the label of the first row, by rank, whose keyword occurs in ``text``. The
+    table is configuration; it becomes one array through a scalar subquery."""
+    ordered = rules.agg(F.array_sort(F.collect_list(F.struct("rank", "label", F.lower("keyword").alias("keyword")))).alias("rules")).scalar()
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hit = F.get(F.filter("_rules", lambda r: F.instr(t, r["keyword"]) > 0), 0)
+    return df.withColumn("_rules", ordered).withColumn(name, F.coalesce(hit["label"], F.lit(default))).drop("_rules")
+
+
 def joined(*cols) -> Column:
     """Space-joined text of several columns, nulls as ''."""
     return F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in cols])

@@ -11,6 +11,7 @@ from ..functions import color as C
 from ..functions import fabric as fb
 from ..functions import html as H
 from ..functions import keys as K
+from ..functions import rules as R
 from ..operators import crawl as CR
 from ..operators import elements as E
 from ..operators import incremental as INC
@@ -213,9 +214,11 @@ def q_is_product_url(spark, sf):
 @query("first_nonempty_source")
 def q_first_nonempty_source(spark, sf):
     cl = view(spark, sf, "cl")
-    recs = cl.filter((F.col("status") == 200) & (F.col("body_len") > 500)).withColumn(
-        "strategy", (F.col("coll_idx") % 2).cast("int"))
-    return CR.first_nonempty_source(recs).select("coll_idx", "page_no", "product_url", "strategy")
+    # rows of two sites by three strategies; the second site's first strategy finds nothing
+    site = F.when(F.col("coll_idx") % 2 == 0, "shop").otherwise("store")
+    recs = (cl.filter((F.col("status") == 200) & (F.col("body_len") > 500)).withColumn("site", site)
+            .withColumn("strategy", (F.col("page_no") % 3).cast("int")).filter("site = 'shop' OR strategy > 0"))
+    return CR.first_nonempty_source(recs, site="site").select("site", "coll_idx", "page_no", "product_url", "strategy")
 
 
 def robots_table(spark, sf):
@@ -277,6 +280,17 @@ def q_element_text(spark, sf):
                      E.text_of(F.get(E.select("elements", "div.ad"), 0)).alias("ad_text"))
 
 
+@query("rules_on_documents")
+def q_rules_on_documents(spark, sf):
+    """Keyword rules on real-length texts, compiled and from a rule table."""
+    rules = spark.createDataFrame([(i, label, w) for i, (label, words) in enumerate(R.PATTERN_RULES) for w in words],
+                                  "rank int, label string, keyword string")
+    docs = R.classify_by_table(table(spark, sf, "documents"), "text", rules, "Solid", "pattern")
+    return docs.select(
+        "doc_id", "pattern", R.classify_by_rules("text", R.SEASON_RULES, "All Season").alias("season"),
+        R.classify_by_rules("text", R.AUDIENCE_RULES, "Women", "word").alias("audience"))
+
+
 # ---- 2.7 colour -------------------------------------------------------------------
 @query("rgb_to_hex")
 def q_rgb_to_hex(spark, sf):

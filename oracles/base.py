@@ -1,13 +1,9 @@
-"""DuckDB oracle SQL for every registered query.
-
-Written independently of the Spark code: the rule lists below are the
-oracle's own copy, and the SQL uses DuckDB idioms (UNNEST + GROUP BY,
-list lambdas, string_agg) rather than the Spark expressions.
-"""
+"""Registry, helpers and the fabric queries."""
 
 from __future__ import annotations
 
-from ..sources.tables import with_views
+from drapery.functions import fabric as fb
+from drapery.sources.tables import with_views
 
 ORACLE: dict[str, str] = {}
 
@@ -30,11 +26,7 @@ def oracle(name: str, sql: str, *views: str):
 # ---------------------------------------------------------------------------
 # 2.6 fabric
 # ---------------------------------------------------------------------------
-FIBERS = ["cotton", "organic cotton", "linen", "flax", "wool", "merino", "cashmere", "alpaca", "silk", "hemp",
-          "bamboo", "viscose", "rayon", "modal", "polyester", "nylon", "spandex", "elastane", "acrylic"]
-JOIN_WORDS = [" with ", " that ", " which ", " featuring ", " crafted", " inspired", " perfect", " easily "]
-GARMENTS = ["hoodie", "jogger", "pant", "pants", "dress", "jumpsuit", "skirt", "shorts", "top", "tee", "t-shirt",
-            "shirt", "sweater", "cardigan"]
+FIBERS, JOIN_WORDS, GARMENTS = fb.FIBER_KEYWORDS, fb.JOINERS, fb.GARMENT_WORDS
 
 
 def family_case(x: str, acrylic: bool = True) -> str:
@@ -117,8 +109,8 @@ SELECT k AS product_id, pos, label AS fiber_clean FROM f_c4""", "pt")
 oracle("fiber_family", f""", {fabric_ctes()}
 SELECT k AS product_id, pos, {family_case('label')} AS family FROM f_c4""", "pt")
 
-NATURAL = ["COTTON", "LINEN", "MERINO_WOOL", "WOOL", "CASHMERE", "ALPACA", "SILK", "HEMP", "BAMBOO"]
-SYNTHETIC = ["REGENERATED_CELLULOSE", "POLYESTER", "NYLON", "ELASTANE", "ACRYLIC"]
+NATURAL, SYNTHETIC = fb.NATURAL_FAMILIES, fb.SYNTHETIC_FAMILIES
+
 
 def fiber_split_ctes(src: str = "pt", key: str = "product_id", text: str = "materials") -> str:
     """CTEs ending in f_split_all(key, shares, families, breakdown fb, tags ft, n_fam) for every src row."""

@@ -3,8 +3,8 @@ elements, colour tables and validation."""
 
 from __future__ import annotations
 
-from .oracle import oracle, strip
-from .oracle_pages import CATALOG_SELECT, SHOP_PIPELINE, norm_img, unescape
+from .base import oracle, strip
+from .pages import CATALOG_SELECT, SHOP_PIPELINE, norm_img, unescape
 
 SHOP_BASE = "https://shop.example.com"
 CATALOG = f"""{SHOP_PIPELINE},
@@ -33,7 +33,7 @@ SELECT * REPLACE (CAST(schema_version AS INTEGER) AS schema_version) FROM cat"""
 
 oracle("write_sorted_dedup", f"""{SHOP_PIPELINE}
 SELECT 'Example Shop' AS brand_name, style_slug,
-  CASE WHEN color_name <> '' THEN {__import__('drapery.plans.oracle_text', fromlist=['x']).title_case_sql('color_name')} ELSE '' END AS color_name,
+  CASE WHEN color_name <> '' THEN {__import__('oracles.text', fromlist=['x']).title_case_sql('color_name')} ELSE '' END AS color_name,
   color_id, CASE WHEN price <> 0 THEN printf('$%.2f', price) ELSE '' END AS price_raw, style_id, image_url, url AS product_url,
   'shop.example.com' AS source_site, currency, scrape_status, materials_text AS materials_raw_or_page_text, title AS product_title
 FROM rec QUALIFY row_number() OVER (PARTITION BY style_id, color_name ORDER BY page_id, pos) = 1""", "pt", "pp")
@@ -122,9 +122,17 @@ oracle("is_product_url", """SELECT url, CASE WHEN host = 'shop.example.com' THEN
 FROM (SELECT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host
       FROM (SELECT product_url AS url FROM cl UNION ALL SELECT url FROM sp UNION ALL SELECT url FROM pages))""", "pt", "sp", "cl")
 
-oracle("first_nonempty_source", """SELECT coll_idx, page_no, product_url, CAST(coll_idx % 2 AS INTEGER) AS strategy FROM cl
-WHERE status = 200 AND body_len > 500
-  AND coll_idx % 2 = (SELECT min(coll_idx % 2) FROM cl WHERE status = 200 AND body_len > 500)""", "cl")
+oracle("first_nonempty_source", """, r AS (SELECT CASE WHEN coll_idx % 2 = 0 THEN 'shop' ELSE 'store' END AS site, coll_idx, page_no, product_url,
+    CAST(page_no % 3 AS INTEGER) AS strategy FROM cl WHERE status = 200 AND body_len > 500)
+SELECT * FROM r WHERE strategy = CASE site WHEN 'shop' THEN 0 ELSE 1 END""", "cl")
+
+from drapery.functions import rules as _R  # noqa: E402
+
+from .text import has_word, rules_case  # noqa: E402
+
+oracle("rules_on_documents", f"""SELECT doc_id, {rules_case('t', _R.SEASON_RULES, 'All Season')} AS season,
+  {rules_case('t', _R.AUDIENCE_RULES, 'Women', has_word)} AS audience, {rules_case('t', _R.PATTERN_RULES, 'Solid')} AS pattern
+FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)""")
 
 oracle("robots_filter", """SELECT url, host, CASE
     WHEN length(host) % 5 = 1 THEN NOT starts_with(path, '/fr/')
@@ -194,7 +202,7 @@ FROM (SELECT hex, CASE WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN h
                               UNION ALL SELECT hex FROM pt))))""", "pt", "px")
 
 # ---- validation ---------------------------------------------------------------------------
-from .oracle import fabric_ctes  # noqa: E402
+from .base import fabric_ctes  # noqa: E402
 
 VALID_IN = f""", {fabric_ctes()},
 f_tot AS (SELECT k, CAST(sum(pct) AS DOUBLE) AS tot FROM f_item GROUP BY k),
@@ -218,5 +226,5 @@ SELECT product_id AS row_key, 'Row ' || product_id || ': ' || array_to_string(er
 FROM verr WHERE len(errs) > 0
 UNION ALL SELECT NULL, NULL, count(*) FROM verr WHERE len(errs) > 0""", "pt")
 
-oracle("stream_catalog", ORACLE_CATALOG := __import__("drapery.plans.oracle", fromlist=["ORACLE"]).ORACLE["catalog_shopify"])
+oracle("stream_catalog", ORACLE_CATALOG := __import__("oracles.base", fromlist=["ORACLE"]).ORACLE["catalog_shopify"])
 ORACLE_CHECKPOINT = oracle("checkpoint_append", ORACLE_CATALOG)

@@ -6,8 +6,11 @@ markup, no nested containers); the JSON side uses DuckDB's JSON functions.
 
 from __future__ import annotations
 
-from .oracle import FABRIC_TAG_SQL, fiber_split_ctes, oracle, sql_list, strip
-from .oracle_text import (AUD_WORD, CAT, FIT, NORM_COLOR, OCC, PATTERN, SEASON, SUBCAT, title_case_sql)
+from drapery.functions import images as I
+from drapery.functions import rules as R
+
+from .base import FABRIC_TAG_SQL, fiber_split_ctes, oracle, sql_list, strip
+from .text import (AUD_WORD, CAT, FIT, NORM_COLOR, OCC, PATTERN, SEASON, SUBCAT, title_case_sql)
 
 M1 = r"""(?s)<(?i:script)\b[^>]*\b(?i:id)\s*=\s*["'']?[^"''>]*ProductJson[^>]*>(.*?)</(?i:script)\s*>"""
 LD = r"""(?s)<(?i:script)\b[^>]*\b(?i:type)\s*=\s*["'']application/ld\+json["''][^>]*>(.*?)</(?i:script)\s*>"""
@@ -43,7 +46,7 @@ def ordered_distinct(lst: str) -> str:
     return f"list_filter({lst}, lambda x, i: list_position({lst}, x) = i)"
 
 
-_EXCL = ["logo", "icon", "swatch", "cart", "payment", "badge", "social"]
+_EXCL = I.IMAGE_EXCLUDES
 
 
 def is_prod_img(u: str, slug: str) -> str:
@@ -144,8 +147,7 @@ _CARE_CLS = "regexp_extract_all(html, '(?s)<(?:div|p|span)\\b[^>]*\\bclass=\"([^
 _CARE_TXT = "regexp_extract_all(html, '(?s)<(?:div|p|span)\\b[^>]*\\bclass=\"([^\"]*)\"[^>]*>(.*?)</(?:div|p|span)>', 2)"
 CARE_SQL = (f"({strip('array_to_string(list_transform(list_filter(list_transform(' + _CARE_CLS + ', lambda c, i: CASE WHEN contains(lower(c), ' + chr(39) + 'care' + chr(39) + ') THEN i END), lambda i: i IS NOT NULL), lambda i: ' + html2text(_CARE_TXT + '[i]') + ' || ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) + chr(39) + ') || regexp_extract(lower(materials_text), ' + chr(39) + '(machine wash|hand wash|dry clean|iron|tumble dry|do not bleach)[^.]*\\.' + chr(39) + ', 0)')})")
 
-_MARKERS = ["organic", "gots certified", "fair trade", "sustainable", "eco-friendly", "recycled", "carbon neutral",
-            "b corp", "oeko-tex", "bluesign"]
+_MARKERS = R.SUSTAINABILITY_MARKERS
 _W = "([A-Za-z][A-Za-z]+(?:\\s[A-Za-z][A-Za-z]+)?)"
 COUNTRY_SQL = ("coalesce(" + ", ".join(
     f"nullif({title_case_sql(f'regexp_extract(html, {chr(39)}(?i){p}{chr(39)}, 1)')}, '')"
@@ -295,8 +297,7 @@ _IMG_SRC = "regexp_extract_all(html, '<img\\b[^>]*?\\s(?:data-)?src=\"([^\"]*)\"
 oracle("normalize_image_url", f"""SELECT page_id, src, {norm_img('src', SHOP_BASE)} AS image_url,
   {norm_img('src', SHOP_BASE, True)} AS image_url_v1 FROM (SELECT page_id, unnest({_IMG_SRC}) AS src FROM pp)""", "pt", "pp")
 
-_EX1 = ["/assets/", "/cdn/shop/t/", "/cdn/shop/c/", "logo", "icon", "badge", "star", "trustpilot", "placeholder",
-        "avatar", "why-shop-icons", "generic", "default", "button", "arrow", "chevron"]
+_EX1 = I.IMAGE_EXCLUDES_V1
 
 
 def is_prod_img_v1(u: str, slug: str) -> str:
@@ -316,8 +317,7 @@ oracle("clean_gallery", f"""SELECT page_id, array_to_string({ordered_distinct(f"
 FROM (SELECT page_id, split_part(string_split(url, '/products/')[-1], '?', 1) AS slug,
         list_transform({_IMG_SRC}, lambda s: {norm_img('s', SHOP_BASE, True)}) AS cands FROM pp)""", "pt", "pp")
 
-_GEN1 = ["why-shop-icons", "icon", "logo", "sprite", "/collections/", "badge", "trustpilot", "placeholder", "avatar",
-         "generic"]
+_GEN1 = I.GENERIC_IMAGES_V1
 _GEN_EX = " OR ".join(f"contains(lower(u), '{w}')" for w in _GEN1)
 oracle("rank_images_by_handle", f"""SELECT page_id, array_to_string(CASE WHEN len(pref) > 0 THEN pref WHEN len(filt) > 0 THEN filt[1:1] ELSE [] END, '|') AS images
 FROM (SELECT *, list_filter(filt, lambda u: contains(lower(replace(u, '-', '')), handle)) AS pref

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .oracle import FIBER_SPLIT_CTES, WS, oracle, sql_list, strip
+from drapery.functions import rules as R
+from drapery.functions.text import V1_FIBER_WORDS as _V1F
+
+from .base import FIBER_SPLIT_CTES, WS, oracle, sql_list, strip
 
 
 def has_any(t: str, words) -> str:
@@ -15,55 +18,29 @@ def has_word(t: str, words) -> str:
     return f"regexp_matches({t}, '(^|[^\\pL])({alt})([^\\pL]|$)')"
 
 
+def rules_case(t: str, rules, default: str, test=has_any) -> str:
+    """First label whose words occur in ``t``."""
+    return "CASE " + " ".join(f"WHEN {test(t, words)} THEN '{label}'" for label, words in rules) + f" ELSE '{default}' END"
+
+
 def title_case_sql(x: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all(lower({x}), '(\\pL+|[^\\pL]+)', 1), "
             f"lambda w: upper(left(w, 1)) || substr(w, 2)), '')")
 
 
-CAT = """CASE WHEN contains(lower(title), 'journal') OR contains(lower(title), 'notebook') OR contains(lower(title), 'notes')
-      OR contains(lower(title), 'sticker') OR contains(lower(title), 'paper') OR contains(lower(title), 'bag')
-      OR contains(lower(title), 'purse') OR contains(lower(title), 'fanny') OR contains(lower(title), 'clutch')
-      OR contains(lower(title), 'pouch') OR contains(lower(title), 'scarf') OR contains(lower(title), 'lanyard')
-      OR contains(lower(title), 'keychain') THEN 'Accessories'
-    WHEN product_type <> '' THEN product_type ELSE 'Apparel' END"""
-
-TITLE_ACC = """(contains(lower(title), 'journal') OR contains(lower(title), 'notebook') OR contains(lower(title), 'notes')
-      OR contains(lower(title), 'sticker') OR contains(lower(title), 'paper') OR contains(lower(title), 'bag')
-      OR contains(lower(title), 'purse') OR contains(lower(title), 'fanny') OR contains(lower(title), 'clutch')
-      OR contains(lower(title), 'pouch') OR contains(lower(title), 'scarf') OR contains(lower(title), 'lanyard')
-      OR contains(lower(title), 'keychain'))"""
-
-SUBCAT = """CASE WHEN {acc} THEN 'Accessories' WHEN {bot} THEN 'Bottoms' WHEN {top} THEN 'Tops' WHEN {dr} THEN 'Dresses'
-  WHEN {sw} THEN 'Sweaters' WHEN {ow} THEN 'Outerwear' WHEN {ow2} THEN 'Outerwear' WHEN {sl} THEN 'Sleepwear'
-  WHEN {ho} THEN 'Tops' ELSE 'Tops' END""".format(
-    acc=has_any("st", ["journal", "notebook", "notes", "sticker", "accessory", "scarf", "hat", "bag", "belt", "purse",
-                       "fanny", "clutch", "lanyard"]),
-    bot=has_any("st", ["pant", "trouser", "jean", "short", "legging", "jogger", "harem"]),
-    top=has_any("st", ["top", "shirt", "blouse", "tee", "tank", "tunic"]),
-    dr=has_any("st", ["dress", "gown", "frock"]),
-    sw=has_any("st", ["sweater", "cardigan", "pullover", "knit"]),
-    ow=has_any("st", ["jacket", "coat", "blazer", "parka", "vest"]),
-    ow2=has_any("st", ["jumpsuit", "romper", "overall"]),
-    sl=has_any("st", ["pajama", "sleepwear", "nightgown", "loungewear"]),
-    ho=has_any("st", ["hoodie"]))
+_ACCESSORY = [w for words in R.TITLE_ACCESSORY_WORDS for w in words]
+TITLE_ACC = has_any("lower(title)", _ACCESSORY)
+CAT = f"CASE WHEN {TITLE_ACC} THEN 'Accessories' WHEN product_type <> '' THEN product_type ELSE 'Apparel' END"
+
+SUBCAT = rules_case("st", R.SUBCATEGORY_RULES, "Tops")
 
 PT_CAT = f"(SELECT *, {CAT} AS category FROM pt)"
 PT_SUB = f"(SELECT *, {SUBCAT} AS subcategory FROM (SELECT *, lower(category || ' ' || title) AS st FROM {PT_CAT}))"
 
-AUD_WORD = f"""CASE WHEN {has_word('aud_t', ["women's", "women", "female", "ladies"])} THEN 'Women'
-  WHEN {has_word('aud_t', ["men's", "men", "male"])} THEN 'Men'
-  WHEN {has_word('aud_t', ["kids", "children", "child"])} THEN 'Kids'
-  WHEN {has_word('aud_t', ["girls", "girl's"])} THEN 'Girls'
-  WHEN {has_word('aud_t', ["boys", "boy's"])} THEN 'Boys'
-  WHEN {has_word('aud_t', ["baby", "infant", "toddler"])} THEN 'Baby'
-  WHEN {has_word('aud_t', ["unisex", "gender neutral"])} THEN 'Unisex' ELSE 'Women' END"""
-AUD_SUB = f"""CASE WHEN {has_any('aud_t', ["men's", "men", "male"])} THEN 'Men'
-  WHEN {has_any('aud_t', ["women's", "women", "female", "ladies"])} THEN 'Women'
-  WHEN {has_any('aud_t', ["kids", "children", "child"])} THEN 'Kids'
-  WHEN {has_any('aud_t', ["girls", "girl's"])} THEN 'Girls'
-  WHEN {has_any('aud_t', ["boys", "boy's"])} THEN 'Boys'
-  WHEN {has_any('aud_t', ["baby", "infant", "toddler"])} THEN 'Baby'
-  WHEN {has_any('aud_t', ["unisex", "gender neutral"])} THEN 'Unisex' ELSE 'Women' END"""
+# word match looks for women first, the literal rule for men
+_WOMEN_FIRST = sorted(R.AUDIENCE_RULES, key=lambda r: {"Women": 0, "Men": 1}.get(r[0], 2))
+AUD_WORD = rules_case("aud_t", _WOMEN_FIRST, "Women", has_word)
+AUD_SUB = rules_case("aud_t", R.AUDIENCE_RULES, "Women")
 
 oracle("audience", f"""
 SELECT product_id, {AUD_WORD} AS audience, {AUD_SUB} AS audience_literal
@@ -71,14 +48,7 @@ FROM (SELECT product_id, lower(title || ' ' || product_type) AS aud_t FROM pt)""
 
 oracle("subcategory", f"SELECT product_id, subcategory FROM {PT_SUB}", "pt")
 
-OCC = f"""CASE WHEN {has_any('ot', ["journal", "notebook", "notes", "sticker"])} THEN 'Work & Meetings'
-  WHEN {has_any('ot', ["bag", "purse", "fanny", "clutch"])} THEN 'Off-Duty & Travel'
-  WHEN {has_any('ot', ["yoga", "lounge", "jogger", "casual", "relax", "comfort", "harem"])} THEN 'Off-Duty & Travel'
-  WHEN {has_any('ot', ["formal", "office", "professional", "work", "business", "blazer"])} THEN 'Work & Meetings'
-  WHEN {has_any('ot', ["party", "evening", "gown", "cocktail", "special", "elegant"])} THEN 'Parties & Events'
-  WHEN {has_any('ot', ["beach", "vacation", "resort", "summer", "swim", "romper"])} THEN 'Vacation & Leisure'
-  WHEN {has_any('ot', ["active", "sport", "athletic", "gym", "workout", "hoodie"])} THEN 'Active & Fitness'
-  ELSE 'Off-Duty & Travel' END"""
+OCC = rules_case("ot", R.OCCASION_RULES, "Off-Duty & Travel")
 oracle("occasion", f"""SELECT product_id, {OCC} AS occasion_tag
 FROM (SELECT *, lower(title || ' ' || category || ' ' || subcategory) AS ot FROM {PT_SUB})""", "pt")
 
@@ -90,61 +60,35 @@ def _score(words):
 oracle("occasion_scored", f"""
 SELECT product_id, CASE WHEN sw >= se AND sw >= so AND sw > 0 THEN 'Work & Meetings'
   WHEN se >= sw AND se >= so AND se > 0 THEN 'Events & Dinners' ELSE 'Off-Duty & Travel' END AS occasion_tag
-FROM (SELECT product_id, {_score(["work", "office", "blazer", "trouser", "meeting", "suit"])} AS sw,
-        {_score(["party", "event", "evening", "wedding", "gala", "cocktail"])} AS se,
-        {_score(["weekend", "relaxed", "lounge", "travel", "vacation", "casual", "yoga"])} AS so
+FROM (SELECT product_id, {_score(R.OCCASION_SCORE_WORDS["work"])} AS sw,
+        {_score(R.OCCASION_SCORE_WORDS["event"])} AS se,
+        {_score(R.OCCASION_SCORE_WORDS["off"])} AS so
       FROM (SELECT product_id, lower(title || ' ' || product_type) AS ot FROM pt))""", "pt")
 
-FIT = f"""CASE WHEN {has_any('ft', ["slim fit", "slim-fit", "fitted"])} THEN 'Slim'
-  WHEN {has_any('ft', ["regular fit", "classic fit", "standard fit"])} THEN 'Regular'
-  WHEN {has_any('ft', ["relaxed fit", "loose fit", "easy fit"])} THEN 'Relaxed'
-  WHEN {has_any('ft', ["oversized", "loose", "boyfriend"])} THEN 'Oversized'
-  WHEN {has_any('ft', ["tailored", "structured"])} THEN 'Tailored'
-  WHEN {has_any('ft', ["athletic fit", "performance fit"])} THEN 'Athletic' ELSE 'Regular' END"""
+FIT = rules_case("ft", R.FIT_RULES, "Regular")
 oracle("fit_type", f"""SELECT product_id, {FIT} AS fit_type
 FROM (SELECT product_id, lower(title || ' ' || materials || ' ' || category) AS ft FROM {PT_CAT})""", "pt")
 
-SEASON = f"""CASE WHEN {has_any('se', ["spring", "summer", "ss"])} THEN 'Spring/Summer'
-  WHEN {has_any('se', ["fall", "autumn", "winter", "fw"])} THEN 'Fall/Winter'
-  WHEN contains(se, 'resort') THEN 'Resort' WHEN contains(se, 'holiday') THEN 'Holiday' ELSE 'All Season' END"""
+SEASON = rules_case("se", R.SEASON_RULES, "All Season")
 oracle("season", f"""SELECT product_id, {SEASON} AS season
 FROM (SELECT product_id, lower(title || ' ' || category || ' ' || materials) AS se FROM {PT_CAT})""", "pt")
 
 oracle("length_option", """SELECT product_id, CASE WHEN contains(lt, 'petite') THEN 'Petite' WHEN contains(lt, 'tall') THEN 'Tall'
   ELSE 'Standard' END AS length FROM (SELECT product_id, lower(title || ' ' || materials) AS lt FROM pt)""", "pt")
 
-PATTERN = f"""CASE WHEN {has_any('pt_', ["stripe", "striped", "pinstripe"])} THEN 'Stripe'
-  WHEN {has_any('pt_', ["floral", "flower", "botanical", "bloom"])} THEN 'Floral'
-  WHEN {has_any('pt_', ["geometric", "chevron", "diamond", "grid"])} THEN 'Geometric'
-  WHEN {has_any('pt_', ["abstract", "marble", "swirl", "tie-dye", "tie dye"])} THEN 'Abstract'
-  WHEN {has_any('pt_', ["leopard", "zebra", "snake", "cheetah"])} THEN 'Animal'
-  WHEN {has_any('pt_', ["plaid", "check", "checkered", "gingham"])} THEN 'Plaid'
-  WHEN {has_any('pt_', ["polka", "dot", "dotted"])} THEN 'Polka Dot' ELSE 'Solid' END"""
+PATTERN = rules_case("pt_", R.PATTERN_RULES, "Solid")
 oracle("pattern_type", f"""SELECT product_id, {PATTERN} AS pattern_type
 FROM (SELECT product_id, lower(color_name || ' ' || title) AS pt_ FROM pt)""", "pt")
 
 oracle("care_level", f"""{FIBER_SPLIT_CTES}
-SELECT product_id, CASE WHEN {has_any('fiber_families', ['cashmere', 'silk'])} THEN 'Delicate'
-  WHEN {has_any('fiber_families', ['wool', 'alpaca', 'mohair'])} THEN 'Gentle' ELSE 'Easy Care' END AS care_level
+SELECT product_id, {rules_case('fiber_families', R.CARE_RULES, 'Easy Care')} AS care_level
 FROM f_split_all""", "pt")
 
 oracle("title_category", f"SELECT product_id, category FROM {PT_CAT}", "pt")
 
-V1CAT = f"""CASE WHEN {has_any('ct', ["jumpsuit", "jumper", "romper", "onesie", "catsuit"])} THEN 'jumpsuits'
-  WHEN {has_any('ct', ["dress", "gown"])} THEN 'dresses'
-  WHEN {has_any('ct', ["bag", "purse", "fanny", "clutch", "scarf", "sticker", "journal", "notes", "hat", "lanyard"])} THEN 'accessories'
-  WHEN {has_any('ct', ["top", "shirt", "blouse", "tee", "tank", "hoodie", "sweater"])} THEN 'tops'
-  WHEN {has_any('ct', ["short", "capri"])} THEN 'shorts'
-  WHEN {has_any('ct', ["pant", "harem", "yoga-pant", "trouser", "jogger"])} THEN 'pants'
-  WHEN contains(ct, 'skirt') THEN 'skirts' ELSE '' END"""
-V1CAT_STORE = f"""CASE WHEN contains(u, '/women/sweaters') OR contains(u, 'cid=5032') THEN 'sweaters'
-  WHEN {has_any('tt', ["jumpsuit", "romper"])} THEN 'jumpsuits'
-  WHEN {has_any('tt', ["dress", "gown"])} THEN 'dresses'
-  WHEN {has_any('tt', ["bag", "purse", "scarf", "hat", "shoe", "belt", "glove", "sock"])} THEN 'accessories'
-  WHEN {has_any('tt', ["top", "shirt", "blouse", "tee", "tank", "sweater", "cardigan", "jacket", "blazer"])} THEN 'tops'
-  WHEN {has_any('tt', ["short", "capri"])} THEN 'shorts'
-  WHEN {has_any('tt', ["pant", "trouser", "jean", "jogger", "legging", "chino"])} THEN 'pants'
-  WHEN contains(tt, 'skirt') THEN 'skirts' ELSE 'sweaters' END"""
+V1CAT = rules_case("ct", R.V1_CATEGORY_KEYWORDS["shop"], "")
+V1CAT_STORE = ("CASE WHEN contains(u, '/women/sweaters') OR contains(u, 'cid=5032') THEN 'sweaters' ELSE "
+               + rules_case("tt", R.V1_CATEGORY_KEYWORDS["store"], "sweaters") + " END")
 
 SLUG = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({strip('lower({x})')}, '[^a-z0-9{WS[1:-1]}-]', '', 'g'),
   '{WS}+', '-', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g')"""
@@ -167,8 +111,7 @@ oracle("is_apparel", f"""SELECT product_id, lower(category) NOT IN ('accessories
   {V1CAT} IN ('sweaters', 'tops', 'dresses', 'pants', 'skirts', 'shorts', 'jumpsuits', 'top', 'dress', 'short', 'skirt', 'jumpsuit') AS is_apparel_v1
 FROM (SELECT *, lower(base_url || ' ' || title) AS ct FROM {PT_CAT})""", "pt")
 
-_MARKERS = ["organic", "gots certified", "fair trade", "sustainable", "eco-friendly", "recycled", "carbon neutral",
-            "b corp", "oeko-tex", "bluesign"]
+_MARKERS = R.SUSTAINABILITY_MARKERS
 oracle("sustainability_tags", f"""SELECT product_id,
   array_to_string(list_filter({sql_list(_MARKERS)}, lambda m: contains(lower(title || ' ' || materials), m)), '|') AS sustainability_tags
 FROM pt""", "pt")
@@ -180,8 +123,6 @@ oracle("color_id", f"""SELECT product_id, sid AS style_id, sid || '-' || left(md
   CASE WHEN color_name = '' OR lower(color_name) = 'default' THEN sid ELSE sid || '-' || {slug_sql('color_name')} END AS color_id_v1
 FROM (SELECT *, left(md5({slug_sql('title')}), 12) AS sid FROM pt)""", "pt")
 
-_V1F = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp", "bamboo", "viscose", "spandex", "nylon",
-        "acrylic", "elastane", "lycra", "cashmere"]
 oracle("materials_snippet", f"""SELECT product_id, materials AS materials_snippet,
   CASE WHEN materials = '' THEN '' ELSE coalesce(
     {strip(f"list_filter(list_transform(string_split_regex(materials, '[.\\n]'), lambda x: {strip('x')}), lambda x: length(x) >= 5 AND regexp_matches(lower(x), '{'|'.join(_V1F)}') AND (contains(x, '%') OR contains(lower(x), 'organic')))[1]")},

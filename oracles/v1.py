@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from .oracle import WS, fabric_ctes, oracle, sql_list, strip
-from .oracle_pages import norm_img, ordered_distinct, unescape
+from drapery.functions import rules as R
+from drapery.functions.color import SLUG_COLOR_WORDS as _COLORS
+from drapery.functions.text import V1_FIBER_WORDS as _V1F
+
+from .base import WS, fabric_ctes, oracle, sql_list, strip
+from .pages import norm_img, ordered_distinct, unescape
 
 SHOP = "https://shop.example.com"
 STORE = "https://store.example.org"
@@ -33,7 +37,7 @@ def norm_v1(u: str, base: str) -> str:
 
 
 def is_prod_v1(u: str, slug: str) -> str:
-    from .oracle_pages import is_prod_img_v1
+    from .pages import is_prod_img_v1
     return is_prod_img_v1(u, slug)
 
 
@@ -98,8 +102,6 @@ ilm AS (SELECT page_id, CASE WHEN len(items) > 0 THEN array_to_string(items, ' '
 oracle("info_list_materials", f""", {INFO.strip()}
 SELECT page_id, materials FROM ilm""", "pt", "pv")
 
-_V1F = ["cotton", "polyester", "rayon", "linen", "silk", "wool", "hemp", "bamboo", "viscose", "spandex", "nylon",
-        "acrylic", "elastane", "lycra", "cashmere"]
 PAGE_TEXT = clean(unescape("regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '<[^>]*>', '', 'g')"))
 FOCUSED = f"""
 fm0 AS (SELECT page_id, html, {clean(unescape("regexp_extract(html, '<div class=\"product__description\">([^<]*)</div>', 1)"))} AS d FROM pv),
@@ -120,9 +122,7 @@ def snippet(m: str) -> str:
     return f"CASE WHEN ({v1}) <> '' THEN ({v1}) WHEN {m} <> '' THEN {m} ELSE 'No materials info found' END"
 
 
-_SCORE = {"w": ["work", "office", "blazer", "trouser", "meeting", "suit"],
-          "e": ["party", "event", "evening", "wedding", "gala", "cocktail"],
-          "o": ["weekend", "relaxed", "lounge", "travel", "vacation", "casual", "yoga"]}
+_SCORE = {k[0]: v for k, v in R.OCCASION_SCORE_WORDS.items()}
 
 
 def occ_scored(title: str, cat: str) -> str:
@@ -144,13 +144,8 @@ fb_agg AS (SELECT k, max(pct) AS pct, arg_min(label, pos) AS label, min(pos) AS
 fb_out AS (SELECT k, string_agg(CAST(pct AS VARCHAR) || '% ' || label, ', ' ORDER BY pct DESC, first_pos) AS b,
              string_agg(family, ' + ' ORDER BY family) AS tg FROM fb_agg GROUP BY k)"""
 
-from .oracle_text import V1CAT, V1CAT_STORE  # noqa: E402
+from .text import V1CAT, V1CAT_STORE  # noqa: E402
 
-_COLORS = ["black", "white", "red", "blue", "green", "navy", "olive", "pink", "grey", "gray", "brown", "beige", "tan",
-           "orange", "yellow", "purple", "maroon", "burgundy", "cream", "ivory", "charcoal", "teal", "coral", "mint",
-           "sage", "lavender", "plum", "indigo", "khaki", "mustard", "rust", "wine", "blush", "nude", "taupe", "slate",
-           "mauve", "turquoise", "fuchsia", "magenta", "silver", "gold", "rose", "sand", "camel", "mocha", "espresso",
-           "chocolate", "midnight", "pewter"]
 META = """nullif(regexp_extract(html, '<meta property="{p}" content="([^"]*)"', 1), '')"""
 
 V1_PAGES = f""", {VARIANTS.strip()}, {FOCUSED.strip()},
@@ -219,7 +214,7 @@ SELECT 1 AS schema_version,
   coalesce(fb_out.b, '') AS fabric_breakdown_pretty, coalesce(fb_out.tg, '') AS fabric_tags, {occ_scored('product_title', 'category')} AS occasion_tag
 FROM d1 LEFT JOIN fb_out ON fb_out.k = d1.page_id""", "pt", "pv")
 
-from .oracle_pages import STYLES_RE as _STYLES  # noqa: E402
+from .pages import STYLES_RE as _STYLES  # noqa: E402
 oracle("fabric_header_bullets", f"""SELECT page_id, keys[i] AS style_key,
   coalesce(array_to_string(list_filter(
     from_json(json_extract(js, '$."' || keys[i] || '".copy_headers'), '[{{"id":"VARCHAR","label":"VARCHAR","bullets":["VARCHAR"]}}]'),
