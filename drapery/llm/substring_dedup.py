@@ -215,6 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         raise ValueError("a window has at least one word")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    d = d.filter("digest IS NOT NULL")  # always so; said here, inner and outer joins use one exchange of the texts
     kind = d.schema["row"].dataType.simpleString()
     place = "g bigint, digest binary, p int, lo int, hi int"
     rows = d.mapInArrow(_seed_rows(window), place)
@@ -227,6 +228,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     spans = listed.mapInArrow(_span_rows(window, length), "g bigint, s1 bigint, s2 bigint, digest binary, lo int, hi int")
     key = ["g", "s1", "s2"]
     distinct = spans.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("digest", "lo", "hi")).alias("at"))
+    distinct = distinct.filter("at IS NOT NULL")  # keeps the column in all uses, which then share one exchange
     settled = spans.join(distinct.filter("times > 1").select(*key), key, "left_semi").select("digest", "lo", "hi")
     open_grams = distinct.groupBy("g").agg(F.min("times").alias("least")).filter("least = 1").select("g")
     to_compare = (distinct.join(open_grams, "g", "left_semi")
