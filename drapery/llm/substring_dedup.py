@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 
 from .textscan import Grams, Words, blocks
 
-RANGES = "array<struct<p:int,lo:int,hi:int>>"
+#: A candidate is one long: its place, how far its first window starts before it, and how many windows follow that one.
+PLACE, BEFORE = 32, 16
+MOST = 1 << 16
 
 
 def first_length(window: int) -> int:
@@ -56,6 +58,10 @@ def _leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _packed(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    return pa.array((p << PLACE) | ((p - lo) << BEFORE) | (hi - lo), pa.int64())
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -89,18 +95,16 @@ def _seed_rows(window: int) -> Callable:
                 own, of = own[new], of[new]
                 base = w.first[of]
                 digest = batch.column("digest").take(pa.array(of + a))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(gram[own]), digest] + [pa.array((x - base).astype(np.int32)) for x in (own, lo, hi)],
-                    names=["g", "digest", "p", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([_signed(gram[own]), digest, _packed(own - base, lo - base, hi - base)], names=["g", "digest", "place"])
     return run
 
 
 def _candidates(batch: pa.RecordBatch, a: int, b: int) -> tuple[np.ndarray, ...]:
-    """Fields of the candidate lists of rows a..b: row, p, lo, hi."""
-    lists = batch.column("ranges").slice(a, b - a)
-    flat = lists.flatten()
+    """The candidates of rows a..b: row, place, windows before it, windows after the first."""
+    lists = batch.column("places").slice(a, b - a)
+    x = lists.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy(zero_copy_only=False))
-    return (row, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("p", "lo", "hi")))
+    return row, x >> PLACE, (x >> BEFORE) & (MOST - 1), x & (MOST - 1)
 
 
 def _doubled_rows(window: int, length: int) -> Callable:
@@ -115,7 +119,8 @@ def _doubled_rows(window: int, length: int) -> Callable:
             for a, b in blocks(texts):
                 w = Words(texts[a:b])
                 grams = Grams(w.hash)
-                row, p, lo, hi = _candidates(batch, a, b)
+                row, p, before, more = _candidates(batch, a, b)
+                lo, hi = p - before, p - before + more
                 from_right = np.maximum(lo, p + two - window)
                 sides = [(row, p, from_right, hi), (row, p - length, lo, np.minimum(hi, from_right - 1))]
                 row, p, lo, hi = (np.concatenate(x) for x in zip(*sides))
@@ -123,9 +128,7 @@ def _doubled_rows(window: int, length: int) -> Callable:
                 row, p, lo, hi = row[keep], p[keep], lo[keep], hi[keep]
                 base = w.first[row]
                 digest = batch.column("digest").take(pa.array(row + a))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(grams.at(base + p, base + p + two)), digest] + [pa.array(x.astype(np.int32)) for x in (p, lo, hi)],
-                    names=["g", "digest", "p", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([_signed(grams.at(base + p, base + p + two)), digest, _packed(p, lo, hi)], names=["g", "digest", "place"])
     return run
 
 
@@ -137,7 +140,8 @@ def _span_rows(window: int, length: int) -> Callable:
             for a, b in blocks(texts):
                 w = Words(texts[a:b])
                 grams, one, two = Grams(w.hash), Grams(w.hash, 1), Grams(w.hash, 2)
-                row, p, lo, hi = _candidates(batch, a, b)
+                row, p, before, more = _candidates(batch, a, b)
+                lo, hi = p - before, p - before + more
                 base = w.first[row]
                 begin, stop = base + lo, base + hi + window
                 digest = batch.column("digest").take(pa.array(row + a))
@@ -148,15 +152,15 @@ def _span_rows(window: int, length: int) -> Callable:
 
 
 def _window_rows(window: int) -> Callable:
-    """Spans (``p`` holds how often they occur) to their windows."""
+    """Spans (their first window is the place; how often they occur stands for the windows before it) to their windows."""
     def run(batches):
         for batch in batches:
             texts = _texts(batch)
             for a, b in blocks(texts, 1 << 19):
                 w = Words(texts[a:b])
                 one, two = Grams(w.hash, 1), Grams(w.hash, 2)
-                row, n, lo, hi = _candidates(batch, a, b)
-                count = hi - lo + 1
+                row, lo, n, more = _candidates(batch, a, b)
+                count = more + 1
                 s = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
                 row, n = np.repeat(row, count), np.repeat(n, count)
                 begin = w.first[row] + s
@@ -206,18 +210,18 @@ def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _by_text(rows: DataFrame) -> DataFrame:
     """Candidate lists per text; bounded by the text's own length."""
-    return rows.groupBy("digest").agg(F.collect_set(F.struct("p", "lo", "hi")).alias("ranges"))
+    return rows.groupBy("digest").agg(F.collect_set("place").alias("places"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``n_words``, ``n_removed``, ``spans`` (start and words of each removed run), ``kept`` text."""
-    if window < 1:
-        raise ValueError("a window has at least one word")
+    if not 1 <= window < MOST:
+        raise ValueError(f"a window has 1 to {MOST - 1} words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     d = d.filter("digest IS NOT NULL")  # always so; said here, inner and outer joins use one exchange of the texts
     kind = d.schema["row"].dataType.simpleString()
-    place = "g bigint, digest binary, p int, lo int, hi int"
+    place = "g bigint, digest binary, place bigint"
     rows = d.mapInArrow(_seed_rows(window), place)
     length = first_length(window)
     while 2 * length < window:
@@ -226,13 +230,15 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
         length *= 2
     listed = d.join(_by_text(_repeated(rows, "g")), "digest")
     spans = listed.mapInArrow(_span_rows(window, length), "g bigint, s1 bigint, s2 bigint, digest binary, lo int, hi int")
-    key = ["g", "s1", "s2"]
-    distinct = spans.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("digest", "lo", "hi")).alias("at"))
-    distinct = distinct.filter("at IS NOT NULL")  # keeps the column in all uses, which then share one exchange
-    settled = spans.join(distinct.filter("times > 1").select(*key), key, "left_semi").select("digest", "lo", "hi")
+    spans = spans.filter("s1 IS NOT NULL AND s2 IS NOT NULL AND g IS NOT NULL")  # always so; gives all uses one exchange
+    # equal spans have equal grams, so the gram needn't be part of the key
+    distinct = spans.groupBy("s1", "s2").agg(F.count("*").alias("times"), F.min(F.struct("digest", "lo", "hi", "g")).alias("at"))
+    distinct = distinct.filter("at IS NOT NULL").select("s1", "s2", "times", "at", F.col("at.g").alias("g"))
+    settled = spans.join(distinct.filter("times > 1").select("s1", "s2"), ["s1", "s2"], "left_semi").select("digest", "lo", "hi")
     open_grams = distinct.groupBy("g").agg(F.min("times").alias("least")).filter("least = 1").select("g")
     to_compare = (distinct.join(open_grams, "g", "left_semi")
-                  .select("at.digest", F.least("times", F.lit(2)).cast("int").alias("p"), "at.lo", "at.hi"))
+                  .select("at.digest", (F.shiftleft(F.col("at.lo").cast("long"), PLACE) + F.shiftleft(F.least("times", F.lit(2)), BEFORE)
+                                        + F.col("at.hi") - F.col("at.lo")).alias("place")))
     windows = (d.join(_by_text(to_compare), "digest")
                .mapInArrow(_window_rows(window), "w1 bigint, w2 bigint, digest binary, s int, n int"))
     often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
