@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
@@ -79,6 +79,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_copies: int = 3, carry: list[str
         F.xxhash64(text_col).alias("tie"),
     ).withColumn("class", size_class(F.col("size")))
     counts = d.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = materialize(counts, "mix-buckets")  # read three times; the texts are counted once
     classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
 
