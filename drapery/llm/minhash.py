@@ -167,8 +167,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = both.join(smallest, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = (small.select(F.col("u"), F.col("m").alias("v"))
@@ -190,6 +189,21 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.filter("comp_a <> comp_b")
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Labels after more links: only links between components are followed."""
+    if labels is not None:
+        links = _labelled(links, labels).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    links = materialize(links.select("a", "b").distinct(), "open-links")
+    if links.isEmpty():
+        return labels
+    joined = materialize(components(links), "joined")
+    if labels is None:
+        return joined
+    moved = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left")
+    return materialize(moved.select("node", F.coalesce("new", "comp").alias("comp")).unionByName(
+        joined.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels")
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``node`` (md5 of the text), ``n_shingles``, ``component_id`` (smallest id of the group) and ``kept``."""
     exact = Fraction(threshold).limit_denominator(1000)
@@ -200,10 +214,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
     meta = materialize(map_batches(d, _signatures(shingle), f"id {kind}, node binary, n_shingles bigint, sig array<bigint>, bands array<bigint>"), "signatures")
     nodes = meta.filter("n_shingles > 0").groupBy("node").agg(
         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    entries = materialize(entries.join(shared, "bucket", "left_semi").select("bucket", "node", "n"), "buckets")
-    sigs = materialize(nodes.select("node", "sig").join(entries.select("node").distinct(), "node", "left_semi"), "bucketed-signatures")
+    entries = materialize(entries.join(shared, "bucket", "left_semi").select("bucket", "band", "node", "n"), "buckets")
+    sigs = materialize(nodes.select("node", "sig", "bands").join(entries.select("node").distinct(), "node", "left_semi"), "bucketed-signatures")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -236,20 +250,24 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
         star.select(F.col("b").alias("node"), "est", F.struct("a", "b").alias("pair")))
     best = ends.groupBy("node").agg(F.max(F.struct("est", "pair")).alias("m")).select("m.pair.a", "m.pair.b").distinct()
     tested = confirmed(best, "best")
-    labels = materialize(components(tested.filter("linked")), "labels")
-    rest = _labelled(star.join(tested, ["a", "b"], "left_anti"), labels)
-    tested = tested.unionByName(confirmed(rest, "leaders"))
-    labels = materialize(components(tested.filter("linked")), "labels")
-    # what is left: pairs of a bucket in different components
-    member = (entries.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("comp", "node").alias("comp")))
+    labels = merged(None, tested.filter("linked"))
+    if labels is None:
+        labels = tested.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
+    more = confirmed(_labelled(star.join(tested, ["a", "b"], "left_anti"), labels), "leaders")
+    tested, labels = tested.unionByName(more), merged(labels, more.filter("linked"))
+    # what is left: pairs of a bucket in different components; a pair is taken in the first band it shares, if its
+    # sizes and signatures allow the threshold
+    member = entries.join(labels, "node", "left").select("bucket", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
     several = member.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    member = materialize(member.join(several, "bucket", "left_semi"), "open-buckets")
-    one = member.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    two = member.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    left = pairs_of(one.join(two, "bucket").filter("comp_a < comp_b"))
-    left = estimated(left.join(tested, ["a", "b"], "left_anti"))
-    tested = tested.unionByName(confirmed(left, "left"))
-    labels = materialize(components(tested.filter("linked")), "labels")
+    member = member.join(several, "bucket", "left_semi").join(sigs, "node")
+    one, two = (member.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("band", "node", "n", "comp", "sig", "bands")]) for side in "ab")
+    first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    fits = F.least("n_a", "n_b") * exact.denominator >= F.greatest("n_a", "n_b") * exact.numerator
+    crossing = (one.alias("l").join(two.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp_a") < F.col("comp_b")) & fits
+                                    & (estimate("sig_a", "sig_b") >= least_estimate(threshold)) & first_shared))
+    left = crossing.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    left = left.join(tested, ["a", "b"], "left_anti")
+    labels = merged(labels, confirmed(left, "left").filter("linked"))
 
     rows = meta.select("id", "node", "n_shingles").join(labels, "node", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node"))
