@@ -8,8 +8,8 @@ offsets of the files add up in a prefix sum over one row per file.
 ``read_tokens`` splits by stripes; ``lookup`` prunes files, stripes and row
 groups by the column statistics and the Bloom filter.
 
-Words are encoded once per task and remembered: the tokenizer drops white
-space and never joins across it, so a text's ids are its words' ids in order.
+Words are encoded once and remembered: the tokenizer drops white space and
+never joins across it, so a text's ids are its words' ids in order.
 
 Defined results: null text is encoded as empty (only the end id); rows with a
 null id come first; rows with equal ids are ordered by a hash of the text;
@@ -18,6 +18,8 @@ empty input gives files without rows. Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -26,50 +28,108 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import map_batches, materialize, scratch, up_to
 
-MEMO = 300_000
+MEMO = 500_000
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
            "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
+#: A byte as the character that byte-level vocabularies have for it (fixed values of that format: printable
+#: bytes stand for themselves, the others follow from U+0100 on).
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+#: Latin letters, then ASCII marks without the apostrophe: the tokenizer always splits between the two.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Ids of texts as little-endian bytes, word by word."""
+    """Ids of texts as little-endian bytes, word by word.
+
+    A word of Latin letters goes to the vocabulary's own model in the form the
+    tokenizer would give it (lower case, bytes as characters); any other word
+    goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        spec = json.loads(open(path, encoding="utf-8").read())
+        steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        pre = [x.get("type") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
+        if not self.plain:
+            raise ValueError(f"{path}: not a tokenizer that splits at white space and lower-cases")
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
+
+    def _letters(self, letters: str) -> bytes:
+        lower = letters.lower()
+        found = self.pieces.get(lower)
+        if found is None:
+            chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
+            found = self.pieces[lower] = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+        return found
+
+    def _learn(self, new: list[bytes]) -> None:
+        rest, marks = [], set()
+        for w in new:
+            m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
+            if m is None:
+                rest.append(w)
+            elif m[2] and m[2] not in self.pieces:
+                marks.add(m[2])
+        self.pieces.update(zip(marks, self._whole(list(marks))))
+        self.known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
+        for w in new:
+            if w not in self.known:
+                m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
+                self.known[w] = self._letters(m[1]) + (self.pieces[m[2]] if m[2] else b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > MEMO:
+            self.known.clear()
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
         split = [t.split() for t in texts]
         known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
-            found = self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
+        if new := list({w for ws in split for w in ws if w not in known}):
+            self._learn(new)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The Python worker's encoder: tasks that follow each other in a worker share its memory of words."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _encode_batches(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc, start = WordEncoder(path), 0
+        enc, start = encoder(path), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            for lo in range(0, len(texts), 256):
-                ids = [x + end for x in enc.encode(texts.slice(lo, 256).to_pylist())]
+            for lo in range(0, len(texts), 128):
+                ids = [x + end for x in enc.encode(texts.slice(lo, 128).to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 before = start + np.cumsum(n) - n
                 start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array(before), pa.ListArray.from_arrays(offsets, values)],
-                                                 names=["doc_id", "file_start", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, 128), pa.array(before), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+                    names=["doc_id", "file_start", "n_tokens", "ids"])
     return run
 
 
@@ -79,19 +139,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     tie = F.xxhash64("text")
     d = d.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     kind = d.schema["doc_id"].dataType.simpleString()
-    out = d.mapInArrow(_encode_batches(tokenizer_path, end_id), f"doc_id {kind}, file_start bigint, ids array<int>")
+    out = map_batches(d, _encode_batches(tokenizer_path, end_id), f"doc_id {kind}, file_start bigint, n_tokens bigint, ids array<int>")
     out.write.options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document of the store."""
     rows = spark.read.orc(path).withColumn("file", F.input_file_name())
-    n = F.size("ids").cast("long")
-    files = rows.groupBy("file").agg(F.max(F.col("file_start") + n).alias("total"))
+    files = rows.groupBy("file").agg(F.max(F.col("file_start") + F.col("n_tokens")).alias("total"))
     # files are numbered in the order of their ranges
     files = files.select(F.col("file"), F.coalesce(F.sum("total").over(
         W.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), n.alias("n_tokens"), "ids")
+    files = up_to(materialize(files, "token-files"), 200_000)  # one row per file
+    return rows.join(files, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, ids: list) -> DataFrame:
@@ -111,7 +171,7 @@ def _crc_batches(batches):
 def digests(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of rows of :func:`read_tokens`."""
     d = tokens.select(F.struct("doc_id", "start", "n_tokens").alias("key"), "ids")
-    out = d.mapInArrow(_crc_batches, f"key {d.schema['key'].dataType.simpleString()}, ids_crc32 bigint")
+    out = map_batches(d, _crc_batches, f"key {d.schema['key'].dataType.simpleString()}, ids_crc32 bigint")
     return out.select("key.*", "ids_crc32")
 
 
