@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 CHUNK = 64
 #: Characters handled at once in a task, and distinct pieces remembered.
 BLOCK_CHARS, MEMO = 1_500_000, 300_000
@@ -202,6 +204,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.struct(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes")).alias("id"), text.alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    out = d.mapInArrow(_count_batches(tokenizer_path), f"id {kind}, n_tokens bigint")
+    out = map_batches(d, _count_batches(tokenizer_path), f"id {kind}, n_tokens bigint")
     return out.select(F.col("id.id").alias(id_col), F.col("id.n_bytes").alias("n_bytes"), "n_tokens",
                       (F.col("n_tokens") > limit).alias("over_limit"))
