@@ -2,8 +2,10 @@
 
 A document's set holds its distinct shingles of ``shingle`` words (A-Z
 lower-cased). Each text gets ``HASHES`` minima; the low four bits of all are
-packed into a signature, the full minima of ``ROWS`` make a band. Texts that
-share a band are candidates. A pair's similarity is estimated from its packed
+packed into a signature, the full minima of ``ROWS`` make one of ``BANDS``
+bands. Texts that share a band are candidates; the other minima only sharpen
+the estimate, so that copies of one text that aren't near each other (0.67 at
+a twentieth of the words changed) rarely need confirming. A pair's similarity is estimated from its packed
 signatures: the share of equal nibbles, found by bit counts, corrected for the
 1/16 that agree by chance. Pairs estimated below the threshold by more than
 ``MARGIN`` standard errors are dropped; a pair at 0.8 shares no band with a
@@ -39,8 +41,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, up_to
 from .textscan import Grams, Words, blocks, mix
 
-HASHES, ROWS = 192, 5
-BANDS = HASHES // ROWS
+HASHES, BANDS, ROWS = 512, 38, 5
 NIBBLES = 16
 MARGIN = 4.6
 #: Rows of node keys (16 bytes each) that may be broadcast.
@@ -142,7 +143,7 @@ def _confirm(size: int, threshold: Fraction) -> Callable:
 
 
 def estimate(a: str, b: str) -> Column:
-    """Collision-corrected similarity of two packed signatures (columns of 12 longs)."""
+    """Collision-corrected similarity of two packed signatures (columns of 32 longs)."""
     words = HASHES // NIBBLES
     differ = None
     for i in range(words):

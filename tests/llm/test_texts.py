@@ -111,9 +111,9 @@ def test_groups_odd(odd, none):
 
 
 def test_estimate_is_corrected(spark):
-    a, b = ([7] * 12, [7] * 11 + [0x7777777777777777])
+    a, b = ([7] * 32, [7] * 31 + [0x7777777777777777])
     r = spark.createDataFrame([(a, a), (a, b)], "x array<long>, y array<long>").select(minhash.estimate("x", "y").alias("e")).collect()
-    assert r[0].e == 1.0 and abs(r[1].e - ((177 / 192) - 1 / 16) / (15 / 16)) < 1e-9
+    assert r[0].e == 1.0 and abs(r[1].e - ((497 / 512) - 1 / 16) / (15 / 16)) < 1e-9
 
 
 def test_decontamination(spark, tables):
