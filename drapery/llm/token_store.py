@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, scratch, up_to
 
-MEMO = 500_000
+#: Words and pieces of words remembered per worker; a word made of a known piece is cheap to learn again.
+MEMO, PIECES = 400_000, 900_000
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
            "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -94,7 +95,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > MEMO:
             self.known.clear()
-        if len(self.pieces) > MEMO:
+        if len(self.pieces) > PIECES:
             self.pieces.clear()
         split = [t.split() for t in texts]
         known = self.known
