@@ -1,33 +1,42 @@
 """Benchmark decontamination by spaced-seed hashing (built-in functions only).
 
-A seed is a fixed mask over ``span`` consecutive words; words at ignored
-places don't enter its hash, so a substituted word there doesn't hide a match.
-The hashes of all masks at all places of the test items are joined with those
-at all places of the training texts. Every hit names a document, an item and
-the shift between them; each such alignment is verified word by word: the
-document is contaminated by the item if a stretch of ``overlap`` aligned words
-around the hits (the whole item, where it is shorter) has at least
+A seed is a fixed mask over consecutive words; words at ignored places don't
+enter its hash, so a substituted word there doesn't hide a match. The hashes of
+all masks at all places of the test items are joined with those at all places
+of the training texts. Every hit names a document, an item and the shift
+between them; hits are grouped by these three, and each such alignment is
+verified word by word: the document is contaminated by the item if a stretch of
+``overlap`` aligned words (the whole item, where it is shorter) has at least
 ``min_match`` of its words equal, so substitutions are tolerated.
 
+No such stretch goes without a hit: ``MASKS`` are chosen so that, whichever
+quarter of 11 to 16 aligned words is substituted, one mask fits between the
+substituted words. For another overlap or a lower share the mask is the run of
+equal words that any accepted stretch must have (``masks_for``).
+
 Only digests, places and hashes are exploded; the texts with hits are joined
 back by digest.
 
 Words are compared with A-Z lower-cased and punctuation at their ends kept.
 Defined results: null and blank texts have no words and are clean; items
-shorter than a mask (11 words) are too short to tell from chance and match
+shorter than ``SHORT`` (11 words) are too short to tell from chance and match
 nothing; repeated rows get equal results, repeated items count once per item; empty tables leave every document clean. An input
 column named as an output column gives way to it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words
 
 #: 1 = the word counts, 0 = it may differ.
-MASKS = ("11011001101", "10110110011")
+MASKS = ("11111", "1101011", "11010011", "1100100011")
+#: Words from which an item is matched with substitutions.
+SHORT = 11
 ADDED = ("contaminated", "n_items", "worst_item", "best_share", "hits")
 
 
@@ -35,49 +44,53 @@ def folded_words(text: Column) -> Column:
     return words(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def seeds(w: str, masks=MASKS) -> Column:
-    """Hashes of every mask at every place of the words in column ``w``: array of (place, hashes)."""
-    span = max(map(len, masks))
+def masks_for(overlap: int, min_match: float) -> tuple[str, ...]:
+    """Masks one of which hits any stretch of up to ``overlap`` words with a share of ``min_match`` equal."""
+    if overlap == 16 and min_match >= 0.75:
+        return MASKS
+    runs = []
+    for n in range(min(SHORT, overlap), overlap + 1):
+        equal = max(1, math.ceil(min_match * n - 1e-9))
+        runs.append(-(-equal // (n - equal + 1)))  # the others part the equal words into so many runs
+    return ("1" * min(runs),)
 
-    def at(i: Column) -> Column:
-        return F.array(*[
-            F.xxhash64(F.lit(k), *[F.get(F.col(w), i + j) for j, use in enumerate(m) if use == "1"])
-            for k, m in enumerate(masks)])
 
-    last = F.size(w) - span
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), at(i).alias("hashes"))))
+def seeds(rows: DataFrame, key: str, masks) -> DataFrame:
+    """``key, at, h``: one row per mask and place of the words ``w``. The words are hashed once, the masks over their
+    hashes. (The outer forms keep the optimizer from evaluating an array a second time to filter by its size.)"""
+    hashed = rows.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    placed = hashed.select(key, "w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("at"))
 
+    def at(mask: str) -> Column:
+        used = [F.get(F.col("w"), F.col("at") + j) for j, use in enumerate(mask) if use == "1"]
+        return F.when(F.col("at") + len(mask) <= F.size("w"), F.xxhash64(F.lit(mask), *used))
 
-def _exploded(rows: DataFrame, key: str, masks) -> DataFrame:
-    """``key, at, h``: one row per mask and place. (The outer form keeps the optimizer from
-    evaluating the array a second time to filter by its size.)"""
-    placed = rows.select(key, F.explode_outer(seeds("w", masks)).alias("s"))
-    return placed.select(key, F.col("s.at").alias("at"), F.explode_outer("s.hashes").alias("h")).filter(F.col("h").isNotNull())
+    return placed.select(key, "at", F.explode_outer(F.array(*map(at, masks))).alias("h")).filter(F.col("h").isNotNull())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 16, min_match: float = 0.75, masks=MASKS,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 16, min_match: float = 0.75, masks=None,
                   carry: list[str] | None = None, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The ``carry`` columns (all by default) of every row, with ``contaminated``, ``n_items``, ``worst_item`` (smallest
     id among the best matches), ``best_share`` and ``hits`` (seed hits of its verified alignments).
 
-    The seeds of the items are counted first: up to ``broadcast_rows`` (24 bytes each) they are broadcast, beyond
+    ``masks`` of one's own may miss stretches that :func:`masks_for` finds. The seeds of the items are counted first: up to ``broadcast_rows`` (24 bytes each) they are broadcast, beyond
     that both sides are shuffled by hash.
     """
-    span = max(map(len, masks))
-    if any(len(m) != span for m in masks) or overlap < span:
-        raise ValueError("masks have one length, at most the overlap")
+    masks = masks_for(overlap, min_match) if masks is None else masks
+    if max(map(len, masks)) > min(overlap, SHORT):
+        raise ValueError(f"masks are at most as long as the overlap and {SHORT} words")
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ADDED]
     text = F.coalesce(F.col(text_col), F.lit(""))
     # equal texts have equal results, so texts are known by their digests
     d = docs.select(F.struct(*carry).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     items = (benchmark.select(F.col(item_col).alias("item"), folded_words(F.col(item_text)).alias("w"))
-             .filter(F.size("w") >= span).distinct())
-    item_seeds = _exploded(items, "item", masks).select("item", F.col("at").alias("item_at"), "h").distinct()
+             .filter(F.size("w") >= SHORT).distinct())
+    item_seeds = seeds(items, "item", masks).select("item", F.col("at").alias("item_at"), "h").distinct()
     if item_seeds.count() <= broadcast_rows:
         item_seeds = F.broadcast(item_seeds)
     texts = d.select("key", folded_words(F.col("text")).alias("w"))
-    found = (_exploded(texts, "key", masks).join(item_seeds, "h")
+    found = (seeds(texts, "key", masks).join(item_seeds, "h")
              .groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n")))
     found = materialize(found, "decontam-hits")  # read twice; the texts are hashed once
     doc_words = (d.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -152,6 +153,46 @@ def test_decontamination_substitutions(spark):
     assert decontam.clean(d, b.limit(0)).count() == 6
 
 
+def test_masks_hit_every_accepted_pattern():
+    """Whichever quarter of 11 to 16 words is substituted, a mask fits between the substituted words."""
+    used = [[j for j, x in enumerate(m) if x == "1"] for m in decontam.masks_for(16, 0.75)]
+    for n in range(11, 17):
+        for gone in itertools.combinations(range(n), n // 4):
+            assert any(not any(p + j in gone for j in m) for m in used for p in range(n - m[-1]))
+    for n, share in ((8, 0.75), (12, 0.5), (20, 0.9)):
+        (run,) = decontam.masks_for(n, share)
+        assert all("1" * len(run) in f"{x:0{n}b}" for x in range(1 << n) if x.bit_count() >= share * n)
+
+
+def brute_matches(text, item, overlap=16, min_match=0.75):
+    """The largest share of an accepted alignment, places beyond the text being different; 0 without one."""
+    d, w = (text or "").lower().split(), item.lower().split()
+    n, best = min(overlap, len(w)), 0
+    for shift in range(-len(w), len(d)):
+        same = [0 <= shift + k < len(d) and d[shift + k] == x for k, x in enumerate(w)]
+        best = max(best, *(sum(same[p:p + n]) for p in range(len(w) - n + 1)))
+    return best / n if best >= min_match * n else 0
+
+
+def test_decontamination_finds_all(spark):
+    """Every 4th, every 5th and random words substituted, against brute force without seeds."""
+    rng, items, docs = random.Random(5), [], []
+    for i in range(12):
+        item = [f"q{i}x{k}" for k in range(rng.choice((11, 12, 14, 15, 16, 20, 30)))]
+        items.append((i, " ".join(item)))
+        hurts = [{k for k in range(len(item)) if k % every == first} for every in (4, 5) for first in range(every)]
+        hurts += [set(rng.sample(range(len(item)), round(len(item) * rng.choice((0.1, 0.2, 0.25, 0.3))))) for _ in range(12)]
+        for hurt in hurts:
+            passage = ["zz" if k in hurt else x for k, x in enumerate(item)]
+            docs.append((len(docs), " ".join(["f"] * rng.randint(0, 9) + passage + ["g"] * rng.randint(0, 9))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontam.decontaminate(d, b).select("doc_id", "contaminated", "n_items", "best_share"))
+    shares = [[brute_matches(t, w) for _, w in items] for _, t in docs]
+    assert got == [(i, any(x), sum(s > 0 for s in x), max(x)) for i, x in enumerate(shares)]
+    assert 0 < sum(x[1] for x in got) < len(got)
+
+
 def test_language(spark, tables):
     truth = dict(tables.sql("SELECT doc_id, lang FROM documents").fetchall())
     got = queries.op7_langid(spark, SF).collect()
