@@ -17,11 +17,16 @@ equal words that any accepted stretch must have (``masks_for``).
 Only digests, places and hashes are exploded; the texts with hits are joined
 back by digest.
 
+Items under ``SHORT`` (11) words match only whole and unchanged: all their words
+make one hash, joined with the documents' grams of each short length that occurs.
+
 Words are compared with A-Z lower-cased and punctuation at their ends kept.
-Defined results: null and blank texts have no words and are clean; items
-shorter than ``SHORT`` (11 words) are too short to tell from chance and match
-nothing; repeated rows get equal results, repeated items count once per item; empty tables leave every document clean. An input
-column named as an output column gives way to it.
+Defined results: null and blank texts have no words and are clean, null and
+blank items match nothing; items are known by a digest of their words, so a null
+id loses no item: each text with a null id counts as an item of its own, and a
+null id is never the worst item beside another; repeated rows get equal results,
+repeated items count once per id; empty tables leave every document clean. An
+input column named as an output column gives way to it.
 """
 
 from __future__ import annotations
@@ -84,13 +89,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 16, min_
     text = F.coalesce(F.col(text_col), F.lit(""))
     # equal texts have equal results, so texts are known by their digests
     d = docs.select(F.struct(*carry).alias("row"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
-    items = (benchmark.select(F.col(item_col).alias("item"), folded_words(F.col(item_text)).alias("w"))
-             .filter(F.size("w") >= SHORT).distinct())
-    item_seeds = seeds(items, "item", masks).select("item", F.col("at").alias("item_at"), "h").distinct()
+    listed = benchmark.select(F.col(item_col).alias("id"), folded_words(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
+    listed = listed.select("id", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("item"), "w")
+    items = listed.dropDuplicates(["item"]).select("item", "w")
+    n_words = F.size("w")
+    short = [r.n for r in items.filter(n_words < SHORT).select(n_words.alias("n")).distinct().collect()]
+    item_seeds = seeds(items.filter(n_words >= SHORT), "item", masks)
+    for n in short:
+        item_seeds = item_seeds.unionByName(seeds(items.filter(n_words == n), "item", ["1" * n]))
+    item_seeds = item_seeds.select("item", F.col("at").alias("item_at"), "h").distinct()
+    doc_masks = sorted({*masks, *("1" * n for n in short)})
     if item_seeds.count() <= broadcast_rows:
         item_seeds = F.broadcast(item_seeds)
     texts = d.select("key", folded_words(F.col("text")).alias("w"))
-    found = (seeds(texts, "key", masks).join(item_seeds, "h")
+    found = (seeds(texts, "key", doc_masks).join(item_seeds, "h")
              .groupBy("key", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("n")))
     found = materialize(found, "decontam-hits")  # read twice; the texts are hashed once
     doc_words = (d.join(found.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
@@ -102,10 +114,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: int = 16, min_
         F.slice(F.col("equal"), i + 1, F.col("stretch")), F.lit(0), lambda total, x: total + x)))
     verified = (found.join(items.select("item", F.col("w").alias("item_words")), "item").join(doc_words, "key")
                 .select("key", "item", "n", stretch.alias("stretch"), equal.alias("equal"))
-                .withColumn("share", best / F.col("stretch")).filter(F.col("share") >= min_match))
+                .withColumn("share", best / F.col("stretch"))
+                .filter(F.col("share") >= F.when(F.size("equal") < SHORT, 1.0).otherwise(min_match)))
+    # from texts of items to ids; each text with a null id is an item of its own
+    ids = listed.select("item", "id", F.when(F.col("id").isNull(), F.col("item")).alias("own")).distinct()
     per_text = (verified.groupBy("key", "item").agg(F.max("share").alias("share"), F.sum("n").alias("n"))
+                .join(ids, "item").groupBy("key", "id", "own").agg(F.max("share").alias("share"), F.sum("n").alias("n"))
                 .groupBy("key").agg(F.count("*").alias("n_items"), F.max("share").alias("best_share"), F.sum("n").alias("hits"),
-                                    F.min(F.struct((-F.col("share")).alias("s"), F.col("item").alias("item"))).getField("item").alias("worst_item")))
+                                    F.min(F.struct((-F.col("share")).alias("s"), F.col("id").isNull().alias("no_id"), "id")).getField("id").alias("worst_item")))
     out = d.select("row", "key").join(per_text, "key", "left")
     return out.select("row.*", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
                       "worst_item", F.coalesce("best_share", F.lit(0.0)).alias("best_share"), F.coalesce("hits", F.lit(0)).alias("hits"))

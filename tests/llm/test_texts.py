@@ -193,6 +193,21 @@ def test_decontamination_finds_all(spark):
     assert 0 < sum(x[1] for x in got) < len(got)
 
 
+def test_decontamination_short_and_null_ids(spark):
+    """Items of one to ten words are found whole; items without an id and equal texts of several ids aren't lost."""
+    f = " ".join(f"f{k}" for k in range(20))
+    item = {n: " ".join(f"s{n}x{k}" for k in range(n)) for n in (1, 5, 10, 11, 14)}
+    items = [(1, item[1]), (5, item[5].upper()), (6, item[5]), (None, item[10]), (None, item[14]), (11, item[11]), (None, item[11]), (0, None), (9, " ")]
+    docs = [f"{f} {item[1]}", f"{item[5]} {f} {item[5]}", f"{f} {item[5].replace('x2', 'y')}", f"{item[10]}\n{f} {item[14]}", item[10][:-1],
+            f"{f} {item[11].replace('x6', 'y')}", item[14].replace("x3", "y"), item[14].replace("x3", "y") + f" {item[11]}", None, f, item[10]]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontam.decontaminate(d, b)
+    assert {r.doc_id: (r.n_items, r.worst_item) for r in out.filter("contaminated").collect()} == {
+        0: (1, 1), 1: (2, 5), 3: (2, None), 5: (2, 11), 6: (1, None), 7: (3, 11), 10: (1, None)}
+    assert rows_of(decontam.decontaminate(d, b, broadcast_rows=0)) == rows_of(out)
+
+
 def test_language(spark, tables):
     truth = dict(tables.sql("SELECT doc_id, lang FROM documents").fetchall())
     got = queries.op7_langid(spark, SF).collect()
