@@ -206,7 +206,8 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, ``node`` (md5 of the text), ``n_shingles``, ``component_id`` (smallest id of the group) and ``kept``."""
+    """Per row: the id, ``node`` (md5 of the text), ``n_shingles``, ``component`` (node key of the group; null without
+    shingles), ``component_id`` (smallest id of the group) and ``kept``."""
     exact = Fraction(threshold).limit_denominator(1000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.unhex(F.md5(text.cast("binary")))
@@ -276,17 +277,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
     smallest = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("smallest"))
     out = rows.join(smallest, "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("smallest"))
-    return out.select(F.col("id").alias(id_col), "node", "n_shingles", component.alias("component_id"),
+    return out.select(F.col("id").alias(id_col), "node", "n_shingles", F.col("comp").alias("component"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def dedup_near(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the smallest id (of repeated ids one text), and rows without words."""
+    """The rows of ``docs`` that stay: of each group the row with the smallest id (of repeated or null ids, the smallest
+    text digest), whatever ids other groups have, and every row without words."""
     node = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    groups = near_groups(docs, shingle, threshold, id_col, text_col).filter("kept")
-    one = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min("node").alias("k_node"))
-    keys = one.select(F.col("component_id").alias("k_id"), "k_node").unionByName(
-        groups.filter("n_shingles = 0").select(F.col(id_col).alias("k_id"), F.col("node").alias("k_node")).distinct())
+    groups = near_groups(docs, shingle, threshold, id_col, text_col)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("k_id"), F.col("node").alias("k_node")))
+    one = groups.filter("n_shingles > 0").groupBy("component").agg(first.alias("m"))
+    keys = one.select("m.k_id", "m.k_node", F.lit(False).alias("blank")).unionByName(groups.filter("n_shingles = 0").select(
+        F.col(id_col).alias("k_id"), F.col("node").alias("k_node"), F.lit(True).alias("blank")).distinct())
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), node.alias("node"))
-    rows = rows.join(keys, rows["id"].eqNullSafe(keys["k_id"]) & (rows["node"] == keys["k_node"]), "left_semi")
-    return rows.dropDuplicates(["id", "node"]).select("row.*")
+    rows = rows.join(keys, rows["id"].eqNullSafe(keys["k_id"]) & (rows["node"] == keys["k_node"]))
+    own = F.when(F.col("blank"), F.monotonically_increasing_id())  # no copies of one another
+    return rows.withColumn("own", own).dropDuplicates(["id", "node", "own"]).select("row.*")

@@ -111,6 +111,18 @@ def test_groups_odd(odd, none):
     assert groups_of(none, 5) == []
 
 
+def test_dedup_null_and_repeated_ids(spark):
+    """Unrelated texts stay though they share an id or have none; of each group one row stays."""
+    text = [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(6)]
+    near = text[0] + " more"
+    rows = [(None, text[0]), (None, near), (None, text[1]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]),
+            (7, text[4]), (9, text[2]), (None, text[5]), (None, ""), (None, None), (7, " "), (7, " ")]
+    got = collections.Counter(tuple(r) for r in minhash.dedup_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    smaller = min(text[0], near, key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == {(None, smaller): 1, (None, text[1]): 1, (9, text[2]): 1, (7, text[3]): 1, (7, text[4]): 1, (None, text[5]): 1,
+                   (None, ""): 1, (None, None): 1, (7, " "): 2}
+
+
 def test_estimate_is_corrected(spark):
     a, b = ([7] * 32, [7] * 31 + [0x7777777777777777])
     r = spark.createDataFrame([(a, a), (a, b)], "x array<long>, y array<long>").select(minhash.estimate("x", "y").alias("e")).collect()
