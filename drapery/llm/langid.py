@@ -4,7 +4,9 @@ Labels are the languages of the training rows. A word's features are its
 affixes, letter n-grams and its place in per-language lexicons; transitions
 between the labels of neighbouring words are learned too. Marginals come from
 forward-backward over chains of ``CHAIN`` consecutive words, all chains of a
-block of texts in lockstep. A text's language is the label with the largest
+block of texts in lockstep. A word of more than ``PIECE`` characters, as texts
+without white space are, is taken as consecutive words of ``PIECE``
+characters each, in training too. A text's language is the label with the largest
 mean marginal over its words with letters, its score that mean; per-language
 shares describe code-switched text.
 
@@ -31,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, up_to, words
+from .common import map_batches, up_to
 
 CHAIN = 64
+PIECE = 64
 MEMO = 400_000
+#: Words whose features are made at once.
+LEARN = 50_000
 BLOCK_WORDS = 200_000
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -50,15 +55,22 @@ class Model:
     bits: int
 
 
+def pieces(words_: list[str]) -> list[str]:
+    """The words, those of more than ``PIECE`` characters cut into consecutive pieces."""
+    if max(map(len, words_), default=0) <= PIECE:
+        return words_
+    return [w[k:k + PIECE] for w in words_ for k in range(0, len(w), PIECE)]
+
+
 def word_features(words_: list[str], lexicon: dict, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed features of distinct words: feature ids, the word each belongs to, and which words have letters.
 
     Features are the letter pairs and triples (with the word's ends marked),
     the first and last one to four letters, and the lexicons' languages;
-    words without a letter have none. Long words are read to 64 letters here.
+    words without a letter have none.
     """
     letters = np.fromiter((LETTER.search(w) is not None for w in words_), bool, len(words_))
-    stripped = [w.lower().strip(MARKS)[:64] for w in words_]
+    stripped = [w.lower().strip(MARKS) for w in words_]
     codes = np.frombuffer("".join(f"^{w}$" for w in stripped).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = np.fromiter(map(len, stripped), np.int64, len(words_))
     first = np.cumsum(size + 2) - (size + 2)
@@ -101,7 +113,7 @@ def sample_rows(docs: DataFrame, held_out, rows_per_lang: int, words_per_row: in
     few = d.join(counts, "lang").filter(F.col("pick").cast("double") <= F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64)).drop("rows")
     ranked = (few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("pick", "id", "text")))
               .filter(F.col("n") <= rows_per_lang))
-    all_words = words(F.col("text"))
+    all_words = F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))  # in pieces
     place = F.pmod(F.col("pick"), F.greatest(F.size("w") - words_per_row, F.lit(1))) + 1
     return (ranked.withColumn("w", all_words).filter(F.size("w") > 0)
                   .select("lang", "n", F.slice("w", place.cast("int"), F.lit(words_per_row)).alias("words")))
@@ -141,6 +153,7 @@ def _marginals(scores: np.ndarray, trans: np.ndarray, live: np.ndarray) -> tuple
 
 def fit(rows: list[tuple[str, list[str]]], bits: int = 15, epochs: int = 6, lexicon_words: int = 200, seed: int = 7) -> Model:
     """Train on (language, words) pairs by Adagrad on the chain likelihood."""
+    rows = [(lang, pieces(ws)) for lang, ws in rows]
     labels = sorted({lang for lang, _ in rows})
     index = {lang: k for k, lang in enumerate(labels)}
     K = len(labels)
@@ -215,6 +228,10 @@ class Tagger:
         self.letters = np.zeros(0, bool)
 
     def _learn(self, new: list[str]) -> None:
+        for k in range(0, len(new), LEARN):
+            self._learn_part(new[k:k + LEARN])
+
+    def _learn_part(self, new: list[str]) -> None:
         ids, of, letters = word_features(new, self.m.lexicon, self.m.bits)
         scores = np.stack([np.bincount(of, self.m.weights[ids, k], len(new)) for k in range(len(self.m.labels))], axis=1)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
@@ -225,7 +242,7 @@ class Tagger:
         """Mean marginals (texts, labels) over words with letters, and the number of those words."""
         if len(self.place) > MEMO:
             self._reset()
-        split = [t.split() for t in texts]
+        split = [pieces(t.split()) for t in texts]
         place = self.place
         if new := list({w for ws in split for w in ws if w not in place}):
             self._learn(new)

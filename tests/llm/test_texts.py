@@ -242,3 +242,19 @@ def test_language_odd(spark, odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, None, 5, 6, 8}
     empty = langid.train(none)
     assert [r.lang_pred for r in langid.predict(odd.limit(2), empty).collect()] == ["und", "und"]
+
+
+def test_language_without_spaces(spark):
+    """Texts that are one long word are read to their end, in training too."""
+    rng = random.Random(4)
+    alphabet = {"xx": "天地玄黄宇宙洪荒", "yy": "กขคงจฉชซ"}
+    joined = {lang: lambda n, c=c: "".join(rng.choice(c) for _ in range(n)) for lang, c in alphabet.items()}
+    train = spark.createDataFrame([(i, joined[lang](500), lang) for i in range(20) for lang in alphabet], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    sample = langid.sample_rows(train, F.lit(False), 600, 60, "doc_id", "text", "lang").collect()
+    assert all("".join(r.words) in {t.text for t in train.collect()} and len(r.words) == 8 for r in sample)
+    docs = [(1, joined["xx"](64) + joined["yy"](64 * 9)), (2, joined["yy"](70) + joined["xx"](64 * 20)), (3, joined["xx"](10))]
+    got = {r["row"].doc_id: r for r in langid.predict(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["yy", "xx", "xx"]
+    assert 0.05 < got[1].shares["xx"] < 0.2
+    assert langid.pieces(["a" * 130, "b"]) == ["a" * 64, "a" * 64, "aa", "b"]
