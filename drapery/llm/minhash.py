@@ -1,8 +1,8 @@
 """Near-duplicate groups by b-bit MinHash.
 
 A document's set holds its distinct shingles of ``shingle`` words (A-Z
-lower-cased). Each text gets ``HASHES`` minima; the low four bits of all are
-packed into a signature, the full minima of ``ROWS`` make one of ``BANDS``
+lower-cased). Each text gets ``HASHES`` minima; four bits of each, taken after
+all its bits are mixed, are packed into a signature, the full minima of ``ROWS`` make one of ``BANDS``
 bands. Texts that share a band are candidates; the other minima only sharpen
 the estimate, so that copies of one text that aren't near each other (0.67 at
 a twentieth of the words changed) rarely need confirming. A pair's similarity is estimated from its packed
@@ -88,7 +88,15 @@ def minima(h: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def pack(m: np.ndarray) -> np.ndarray:
-    """Low four bits of the minima, sixteen to a word."""
+    """Four bits of each minimum, sixteen to a word.
+
+    The low bits of a minimum follow from those of its shingle alone, so the bits are mixed first; otherwise two
+    shingles alike in them would agree under every hash.
+    """
+    m = m ^ (m >> np.uint32(16))
+    for by, shift in ((0x85EBCA6B, 13), (0xC2B2AE35, 16)):
+        m = m * np.uint32(by)
+        m ^= m >> np.uint32(shift)
     low = (m & np.uint32(15)).astype(np.uint64).reshape(len(m), HASHES // NIBBLES, NIBBLES)
     return (low << (np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from drapery.llm import decontam, langid, minhash, queries, substring_dedup
@@ -129,6 +130,19 @@ def test_estimate_is_corrected(spark):
     assert r[0].e == 1.0 and abs(r[1].e - ((497 / 512) - 1 / 16) / (15 / 16)) < 1e-9
 
 
+def test_estimate_of_small_sets():
+    """The estimate of sets of 4 and 5 shingles spreads as far as 512 independent hashes let it."""
+    rng, n = np.random.default_rng(8), 4000
+    large = rng.integers(0, 2**64, (n, 5), dtype=np.uint64)
+    packed = [minhash.pack(minhash.minima(x.ravel(), np.full(n, x.shape[1]))) for x in (large, large[:, :4])]
+    differ = packed[0] ^ packed[1]
+    differ |= differ >> np.uint64(1)
+    differ |= differ >> np.uint64(2)
+    match = 1 - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(axis=1) / minhash.HASHES
+    estimates = (match - 1 / 16) / (15 / 16)
+    assert abs(estimates.mean() - 0.8) < 0.002 and estimates.std() < 0.02
+
+
 def test_decontamination(spark, tables):
     items = {i: t.lower().split() for i, t in tables.sql("SELECT item_id, text FROM benchmark").fetchall()}
     text = dict(tables.sql("SELECT doc_id, text FROM documents").fetchall())
