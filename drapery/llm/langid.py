@@ -238,8 +238,8 @@ class Tagger:
         self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
         self.letters = np.concatenate([self.letters, letters])
 
-    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean marginals (texts, labels) over words with letters, and the number of those words."""
+    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean marginals (texts, labels) over words with letters, the mean of these words' largest, and their number."""
         if len(self.place) > MEMO:
             self._reset()
         split = [pieces(t.split()) for t in texts]
@@ -249,10 +249,10 @@ class Tagger:
         ids = [k for ws in split for k in map(place.__getitem__, ws)]
         lengths = [len(ws) for ws in split]
         K, lengths = len(self.m.labels), np.array(lengths, np.int64)
-        total, n_letters = np.zeros((len(texts), K)), np.zeros(len(texts), np.int64)
+        total, sure, n_letters = np.zeros((len(texts), K)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         chains = -(-lengths // CHAIN)
         if not chains.sum():
-            return total, n_letters
+            return total, sure, n_letters
         flat = np.array(ids, np.int64)
         first, begin = (np.cumsum(chains) - chains) * CHAIN, np.cumsum(lengths) - lengths
         at = np.arange(len(flat)) + np.repeat(first - begin, lengths)
@@ -267,8 +267,10 @@ class Tagger:
         counted = self.letters[flat]
         for k in range(K):
             total[:, k] = np.bincount(of[counted], marginal[counted, k], len(texts))
+        sure = np.bincount(of[counted], marginal[counted].max(axis=1), len(texts))
         n_letters = np.bincount(of[counted], minlength=len(texts))
-        return total / np.maximum(n_letters, 1)[:, None], n_letters
+        words_ = np.maximum(n_letters, 1)
+        return total / words_[:, None], sure / words_, n_letters
 
 
 def _marginals_only(scores: np.ndarray, trans: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -301,7 +303,7 @@ def _tag_batches(shared, text_field: str | None):
         for batch in batches:
             column = batch.column(1) if text_field is None else batch.column(0).field(text_field)
             texts = [x or "" for x in column.to_pylist()]
-            lang, score, spread = [], [], []
+            lang, score, spread, certainty, lettered = [], [], [], [], []
             for lo in range(0, len(texts), 256):
                 part = texts[lo:lo + 256]
                 cut, size = [0], 0
@@ -316,16 +318,21 @@ def _tag_batches(shared, text_field: str | None):
                         lang += [UND] * (b - a)
                         score += [0.0] * (b - a)
                         spread += [[]] * (b - a)
+                        certainty += [0.0] * (b - a)
+                        lettered += [LETTER.search(t) is not None for t in part[a:b]]
                         continue
-                    share, n = tagger.shares(part[a:b])
+                    share, sure, n = tagger.shares(part[a:b])
+                    certainty += [min(1.0, float(x)) for x in sure]
+                    lettered += [bool(x) for x in n]
                     best = share.argmax(axis=1)
                     for r in range(b - a):
                         lang.append(model.labels[best[r]] if n[r] else UND)
                         score.append(min(1.0, float(share[r, best[r]])) if n[r] else 0.0)
                         spread.append([(x, float(v)) for x, v in zip(model.labels, share[r]) if v >= 0.01] if n[r] else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spread, pa.map_(pa.string(), pa.float64()))],
-                names=["row", "lang_pred", "score", "shares"])
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spread, pa.map_(pa.string(), pa.float64())),
+                 pa.array(certainty, pa.float64()), pa.array(lettered, pa.bool_())],
+                names=["row", "lang_pred", "score", "shares", "certainty", "lettered"])
     return run
 
 
@@ -341,17 +348,20 @@ def train(docs: DataFrame, held_out=None, rows_per_lang: int = 600, words_per_ro
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per row: its columns (or those of ``keep``) as the struct ``row``, ``lang_pred``, ``score`` and ``shares`` (language -> share)."""
+    """Per row: its columns (or those of ``keep``) as the struct ``row``, ``lang_pred``, ``score``, ``shares`` (language -> share),
+    ``certainty`` (mean over the words with letters of each one's largest marginal) and ``lettered`` (has such words)."""
     keep = docs.columns if keep is None else keep
     inside = text_col if text_col in keep else None
     row = F.struct(*keep).alias("row")
     d = docs.select(row) if inside else docs.select(row, F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = d.schema["row"].dataType.simpleString()
-    return map_batches(d, _tag_batches(shared, inside), f"row {kind}, lang_pred string, score double, shares map<string,double>")
+    return map_batches(d, _tag_batches(shared, inside), f"row {kind}, lang_pred string, score double, shares map<string,double>, certainty double, lettered boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language can be told: not ``und``, and a score of at least ``min_score``."""
+    """The rows of ``docs`` whose words' languages can be told: with letters, and a certainty of at least ``min_score``, so
+    that texts switching between many languages stay. Where no label could be learned, all rows with letters stay."""
     out = predict(docs, model, text_col)
-    return out.filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select("row.*")
+    told = F.col("lettered") & (F.col("certainty") >= min_score) if model.labels else F.col("lettered")
+    return out.filter(told).select("row.*")

@@ -272,3 +272,16 @@ def test_language_without_spaces(spark):
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["yy", "xx", "xx"]
     assert 0.05 < got[1].shares["xx"] < 0.2
     assert langid.pieces(["a" * 130, "b"]) == ["a" * 64, "a" * 64, "aa", "b"]
+
+
+def test_identified_switching_and_unlabelled(spark):
+    """A text of many languages stays if its words are certain; without labels every text with letters stays."""
+    lists = {k: [f"{k}{x}{k}" for x in "abcdefgh"] for k in ("qu", "wi", "zo", "ky", "ju")}
+    rows = [(i, " ".join(w[(i + j) % 8] for j in range(20)), k) for i in range(20) for k, w in lists.items()]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [(1, " ".join(" ".join(w * 2) for w in lists.values())), (2, "12 34"), (3, None), (4, rows[0][1])]
+    docs = spark.createDataFrame([(*t, None) for t in texts], "doc_id long, text string, lang string")
+    mixed = langid.predict(docs, model).filter("row.doc_id = 1").first()
+    assert mixed.score < 0.3 < 0.5 < mixed.certainty
+    assert [r.doc_id for r in langid.keep_identified(docs, model).orderBy("doc_id").collect()] == [1, 4]
+    assert [r.doc_id for r in langid.keep_identified(docs, langid.train(docs)).orderBy("doc_id").collect()] == [1, 4]
