@@ -6,7 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, minhash, mixing, substring_dedup, token_counts, token_store, topk, url_lists, warc
+from . import (decontam, divergence, langid, licenses, merkle, minhash, mixing, substring_dedup, token_counts, token_store, topk, url_lists,
+               warc)
 from .common import read, tokenizer_path
 
 
@@ -60,7 +61,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_df=10, top=10)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(read(spark, sf_dir, "documents"), modulus=7)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), percent=80).drop("matches")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_mixing, op3_topk, op4_minhash, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts)}
+    op1_substring_dedup, op2_mixing, op3_topk, op4_minhash, op5_decontamination, op6_warc, op7_langid, op8_url_lists, op9_token_store, op10_token_counts,
+    op11_divergence, op12_merkle, op13_licenses)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_lists": url_lists.ORACLE}
+ORACLE = {"op2_mixing": mixing.ORACLE, "op3_topk": topk.ORACLE, "op6_warc": warc.ORACLE, "op8_url_lists": url_lists.ORACLE,
+          "op11_divergence": divergence.ORACLE, "op12_merkle": merkle.ORACLE, "op13_licenses": licenses.ORACLE}
