@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +17,16 @@ HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 IMG_SRC = r"""(?i)<img\b[^>]*?\s(?:data-)?src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 TAG = r"<[/!?]?[A-Za-z][^>]*>"
 
-# The named entities decoded in text (others pass through).
-ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&amp;", "&")]
+# Character references by the rules of HTML5. The names come from the standard
+# library's table: those that need their ';', and the few that may lack it.
+NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+BARE_REFERENCE = "^(?:" + "|".join(BARE) + ")"
+# Numbers 128 to 159 mean the characters of Windows-1252.
+CP1252 = [bytes([i]).decode("cp1252") if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(i) for i in range(128, 160)]
+# Names met most, tried before the whole table.
+COMMON = ["nbsp", "amp", "lt", "gt", "quot", "apos"]
 
 
 def scripts(html, pattern: str) -> Column:
@@ -30,11 +39,61 @@ def assigned_json(html, pattern: str) -> Column:
     return nullif_empty(F.regexp_extract(F.coalesce(col(html), F.lit("")), pattern, 1))
 
 
-def unescape(c) -> Column:
-    out = col(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+def _joined(items) -> Column:
+    """A list of strings as one foldable expression."""
+    return F.split(F.lit("\x1e".join(items)), "\x1e")
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named reference, null if there is none."""
+    table = F.map_from_arrays(_joined(NAMED), _joined(NAMED.values()))
+    hit = F.when(name == COMMON[0], NAMED[COMMON[0]])
+    for n in COMMON[1:]:
+        hit = hit.when(name == n, NAMED[n])
+    return hit.otherwise(F.element_at(table, name))
+
+
+def code_point(n) -> Column:
+    """The character that a numeric reference gives (an empty string for those that HTML leaves out)."""
+    n = col(n)
+    left_out = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | ((n % 65536) >= 0xFFFE))
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd")
+            .when(n.between(128, 159), F.get(_joined(CP1252), (n - 128).cast("int")))
+            .when(left_out, "").otherwise(plain))
+
+
+def _number(ref: Column) -> Column:
+    """The number of ``#..`` or ``#x..``; anything too long is beyond Unicode."""
+    ten, hexa = F.regexp_extract(ref, "^#0*([0-9]+);?$", 1), F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]+);?$", 1)
+    over = F.lit(0x110000).cast("long")
+    return (F.when(ten != "", F.when(F.length(ten) > 9, over).otherwise(ten.try_cast("long")))
+            .otherwise(F.when(F.length(hexa) > 8, over).otherwise(F.conv(hexa, 16, 10).try_cast("long"))))
+
+
+def _dereferenced(part: Column, attribute: bool) -> Column:
+    """A text that followed ``&``, with the reference at its start replaced."""
+    def body(ref: Column) -> Column:
+        rest = F.substring(part, F.length(ref) + 1, F.length(part))
+        name = F.when(ref.endswith(";") & ~ref.startswith("#"), F.substring(ref, F.lit(1), F.length(ref) - 1))
+        # without its ';' a name is a reference too; in an attribute only if the name ends there and no '=' follows
+        bare = let(F.regexp_extract(part, BARE_REFERENCE + ("(?![A-Za-z0-9=;])" if attribute else ""), 0), lambda b: F.when(
+            b != "", F.concat(_named(b), F.substring(part, F.length(b) + 1, F.length(part)))))
+        return F.when(ref.startswith("#"), F.concat(code_point(_number(ref)), rest)).otherwise(
+            F.coalesce(F.concat(_named(name), rest), bare, F.concat(F.lit("&"), part)))
+
+    return let(F.regexp_extract(part, REFERENCE, 0), body)
+
+
+def unescape(c, attribute: bool = False) -> Column:
+    """Decode named, decimal and hexadecimal character references, in one pass
+    (what a reference gives is not read again). ``attribute`` follows the rule
+    for attribute values, where ``&copy=1`` is no reference."""
+    def body(s: Column) -> Column:
+        parts = F.transform(F.split(s, "&"), lambda p, i: F.when(i == 0, p).otherwise(_dereferenced(p, attribute)))
+        return F.when(F.instr(s, "&") == 0, s).otherwise(F.array_join(parts, ""))
+
+    return let(col(c), body)
 
 
 def html_to_text(html) -> Column:
@@ -49,7 +108,7 @@ def _values(html, pattern: str) -> Column:
     """Values of an attribute: double-quoted, single-quoted or bare."""
     h = F.coalesce(col(html), F.lit(""))
     found = F.arrays_zip(*[F.regexp_extract_all(h, F.lit(pattern), g).alias(f"g{g}") for g in (1, 2, 3)])
-    return F.transform(found, lambda x: unescape(F.concat(x["g1"], x["g2"], x["g3"])))
+    return F.transform(found, lambda x: unescape(F.concat(x["g1"], x["g2"], x["g3"]), attribute=True))
 
 
 def hrefs(html) -> Column:
@@ -68,7 +127,7 @@ def meta_content(html, prop: str) -> Column:
     p = prop.replace(".", r"\.")
     a = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\sproperty\s*=\s*["']{p}["'][^>]*\scontent\s*=\s*["']([^"']*)["']""", 1)
     b = F.regexp_extract(h, rf"""(?is)<meta\b[^>]*\scontent\s*=\s*["']([^"']*)["'][^>]*\sproperty\s*=\s*["']{p}["']""", 1)
-    return F.coalesce(nullif_empty(unescape(a)), nullif_empty(unescape(b)))
+    return F.coalesce(nullif_empty(unescape(a, attribute=True)), nullif_empty(unescape(b, attribute=True)))
 
 
 # SKU patterns tried in order (case-insensitive).

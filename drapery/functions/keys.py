@@ -13,26 +13,48 @@ def md5_12(c) -> Column:
 
 
 def resolve_url(href, base) -> Column:
-    """``urljoin(base, href)`` for the forms found in pages:
-    ``//host/x`` -> scheme of base, absolute http(s) as is, ``/x`` -> base host
-    root, ``''`` -> base, else relative to the base directory."""
-    return let(strip(col(href)), lambda h: _resolve(h, col(base)))
+    """``urljoin(base, href)`` for hierarchical bases: absolute URLs and
+    ``//host/x`` as they are (the latter with the base's scheme), ``''`` gives
+    the base, ``?q`` and ``#f`` keep its path, anything else is a path from the
+    host's root or from the base's folder with ``.`` and ``..`` removed."""
+    return let(strip(col(href)), lambda h: let(col(base), lambda b: _resolve(h, b)))
+
+
+def remove_dots(segments: Column) -> Column:
+    """The path of ``/``-separated segments, folded over a stack: ``..`` takes
+    the last segment off (at the root there is none), ``.`` adds nothing; after
+    either of them at the end the path ends in ``/``."""
+    def step(stack: Column, seg: Column) -> Column:
+        return (F.when(seg == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+                .when(seg == ".", stack).otherwise(F.concat(stack, F.array(seg))))
+
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return let(F.array_join(kept, "/"), lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
 
 
 def _resolve(h: Column, b: Column) -> Column:
     scheme = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     root = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    base_dir = F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder))
+    folder = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*/)?", 1)
+
+    def joined(path: Column) -> Column:
+        tail = F.substring(h, F.length(path) + 1, F.length(h))
+        parts = F.split(path, "/")
+        # a path from the root stays as written but for dots; in a relative one empty segments inside go too
+        merged = let(F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/"), lambda a: F.concat(
+            F.slice(a, 1, 1), F.filter(F.slice(a, F.lit(2), F.size(a) - 2), lambda x: x != ""), F.slice(a, -1, 1)))
+        whole = F.when(~path.rlike(r"(^|/)\.\.?(/|$)"), path).otherwise(remove_dots(parts))
+        return F.concat(root, F.when(path.startswith("/"), whole).otherwise(remove_dots(merged)), tail)
+
     return (F.when(h.isNull(), F.lit(None))
             .when(h == "", b)
             .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(root, h))
             .when(h.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), h))
             .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
-            .otherwise(F.concat(base_dir, h)))
+            .otherwise(let(F.regexp_extract(h, "^[^?#]*", 0), joined)))
 
 
 def normalize_image_url(url, base, keep_query: bool = False) -> Column:

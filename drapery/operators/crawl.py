@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import resolve_url
+from ..session import scratch_path
 
 
 def url_union(links: DataFrame, url: str = "product_url") -> DataFrame:
@@ -48,27 +49,31 @@ def frontier_limit(links: DataFrame, limit: int, url: str = "product_url", coll:
     return fs.join(taken, keys + [coll], "left_semi")
 
 
-def with_global_index(df: DataFrame, order: str, partitions: int | None = None) -> DataFrame:
-    """Dense 1-based position in ``order`` plus the total, without a
-    single-partition window.
+def with_global_index(df: DataFrame, order, partitions: int | None = None) -> DataFrame:
+    """Dense 1-based position ``i`` in ``order`` (one column or several) plus
+    the ``total``, without a single-partition window.
 
-    Range-partition and sort inside each partition; the row's rank inside its
-    partition comes from ``monotonically_increasing_id`` (partition id in the
-    upper bits, running row number in the lower bits, assigned in sorted
-    order); each partition's offset comes from one count per partition, a
-    table bounded by the partition count and therefore broadcast.
+    The sorted ranges are written once, to the shared folder, and everything
+    after reads what was written: borders of a range exchange are sampled anew
+    whenever it runs, so counting one run and numbering another would not fit.
+    ``monotonically_increasing_id`` holds the written partition in its upper
+    bits and the row's place in the lower ones; each partition's offset comes
+    from one count per partition, a table bounded by their number and
+    therefore broadcast. Rows equal in ``order`` are dealt over ranges as well.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, order).sortWithinPartitions(order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33)))
-    ranged = ranged.withColumn("_rn", F.col("_mid") - F.shiftleft("_pid", 33) + 1)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    spark, order = df.sparkSession, [order] if isinstance(order, str) else list(order)
+    keys = [*order, "_tie"]
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(partitions, *keys) if partitions else tied.repartitionByRange(*keys)
+    path = scratch_path(spark, "ranges")
+    ranged.sortWithinPartitions(*keys).withColumn("_mid", F.monotonically_increasing_id()).drop("_tie").write.parquet(path)
+    ranged = spark.read.parquet(path).withColumn("_pid", F.shiftright("_mid", 33))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
+    offsets = counts.select("_pid", (F.coalesce(F.sum("_n").over(wo), F.lit(0)) - F.col("_first")).alias("_off"),
                             F.sum("_n").over(Window.partitionBy()).alias("total"))
     out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn("i", (F.col("_off") + F.col("_rn")).cast("bigint")).drop("_pid", "_rn", "_off", "_mid")
+    return out.withColumn("i", (F.col("_mid") + F.col("_off") + 1).cast("bigint")).drop("_pid", "_off", "_mid")
 
 
 def sorted_urls(urls: DataFrame, url: str = "product_url") -> DataFrame:

@@ -24,6 +24,13 @@ def latest_state(state: DataFrame) -> DataFrame:
         "url", "s.checksum", "s.last_scraped")
 
 
+def current_checksums(pages: DataFrame) -> DataFrame:
+    """``(url, checksum)``, one row per URL: its last fetch."""
+    cur = pages.select("url", F.md5("html").alias("checksum"), *[c for c in ("page_id",) if c in pages.columns])
+    last = F.max_by("checksum", F.struct("page_id", "checksum")) if "page_id" in pages.columns else F.max("checksum")
+    return cur.groupBy("url").agg(last.alias("checksum"))
+
+
 def changed_pages(pages: DataFrame, state: DataFrame, now: dt.datetime) -> DataFrame:
     """Classify pages as new / changed / same and give the upserted state.
 
@@ -31,11 +38,7 @@ def changed_pages(pages: DataFrame, state: DataFrame, now: dt.datetime) -> DataF
     dropped, so the shuffle carries two short strings per page. Times are
     wall-clock (``timestamp_ntz``); ``now`` is a parameter for determinism.
     """
-    cur = pages.select("url", F.md5("html").alias("checksum"), *[c for c in ("page_id",) if c in pages.columns])
-    if "page_id" in pages.columns:  # one row per URL: its last fetch
-        cur = cur.groupBy("url").agg(F.max_by("checksum", F.struct("page_id", "checksum")).alias("checksum"))
-    else:
-        cur = cur.groupBy("url").agg(F.max("checksum").alias("checksum"))
+    cur = current_checksums(pages)
     prev = latest_state(state).select("url", F.col("checksum").alias("prev_checksum"), F.col("last_scraped").alias("prev_scraped"))
     j = cur.join(prev, "url", "left")
     status = (F.when(F.col("prev_checksum").isNull(), F.lit("new"))

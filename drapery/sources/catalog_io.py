@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from ..operators.records import (BOOL_COLS, CATALOG_COLUMNS, CATALOG_COLUMNS_V1, DOUBLE_COLS, dedup_first,
                                  standardize, to_csv_frame, validate)
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path  # noqa: F401  (used by the registered queries)
+from . import catalog_store
+from .files import Folder
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+#: What a catalog that is being replaced is called for a moment.
+PREVIOUS = ".previous"
 
 
 def catalog_schema(columns=CATALOG_COLUMNS) -> T.StructType:
@@ -40,18 +40,17 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_catalog(spark: SparkSession, path: str, columns=CATALOG_COLUMNS, fmt: str = "csv") -> DataFrame:
     """Earlier output by column name (an older layout's missing columns are
     empty, its others ignored); empty frame when absent."""
     schema = catalog_schema(columns)
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    df = read_csv_text(spark, path) if fmt == "csv" else spark.read.parquet(path)
+    if catalog_store.is_store(spark, path):
+        df = catalog_store.read_store(spark, path)
+    else:
+        path = _readable(spark, path)
+        if path is None:
+            return spark.createDataFrame([], schema)
+        df = read_csv_text(spark, path) if fmt == "csv" else spark.read.parquet(path)
     out = []
     for f in schema.fields:
         if f.name not in df.columns:
@@ -89,34 +88,57 @@ def write_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, mode: str =
         w.option("header", True).option("escape", '"').csv(beside)
     else:
         w.parquet(beside)
-    found = seen.get
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(conf)
+    found, files = seen.get, Folder(spark, "/".join(beside.split("/")[:-1]))
+    src, dst = beside.split("/")[-1], path.rstrip("/").split("/")[-1]
+    if not files.exists(dst) and files.exists(dst + PREVIOUS):  # a writer was lost between its renames
+        files.rename(dst + PREVIOUS, dst)
     if not found["rows"]:
         logging.getLogger(__name__).warning("No records to save: %s not written", path)
-        fs.delete(src, True)
-    elif mode == "append" and fs.exists(dst):
-        for f in fs.listStatus(src):
-            if f.getPath().getName().startswith("part-"):
-                fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(dst, f.getPath().getName()))
-        fs.delete(src, True)
+        files.delete(src)
+    elif mode == "append" and files.exists(dst):
+        for f in files.names(src):
+            if f.startswith("part-"):
+                files.rename(f"{src}/{f}", f"{dst}/{f}")
+        files.delete(src)
     else:
-        if fs.exists(dst):
-            fs.delete(dst, True)
-        fs.rename(src, dst)
+        _replace(files, src, dst)
     return found
 
 
-def upsert_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS) -> dict:
-    """Merge rows into a saved Parquet catalog: a saved row is replaced when its
-    (style_id, color_name) comes again; all others stay."""
-    spark, keys = df.sparkSession, ["style_id", "color_name"]
-    new = standardize(df, columns)
-    if _exists(spark, path):
-        old = read_catalog(spark, path, columns, "parquet").join(new.select(*keys).distinct(), keys, "left_anti")
-        new = new.unionByName(standardize(old, columns))
-    return write_catalog(new, path, columns)
+def _replace(files: Folder, src: str, dst: str) -> None:
+    """Put ``src`` in the place of ``dst``. Between the two renames the saved
+    rows are under ``dst.previous``, where ``read_catalog`` looks as well."""
+    before = dst + PREVIOUS
+    if files.exists(dst):
+        files.delete(before)  # left by a writer that was lost after its second rename
+        if not files.rename(dst, before):
+            raise OSError(f"{files.at(dst)}: can't be moved")
+    if not files.rename(src, dst):
+        raise OSError(f"{files.at(src)}: can't be moved to {files.at(dst)}")
+    files.delete(before)
+
+
+def _readable(spark: SparkSession, path: str) -> str | None:
+    """``path``, or where a writer that was lost between its renames left the saved rows."""
+    return next((p for p in (path, path.rstrip("/") + PREVIOUS) if Folder(spark, p).exists()), None)
+
+
+def upsert_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, buckets: int = 64) -> dict:
+    """Merge rows into a saved catalog: a saved row is replaced when its
+    (style_id, color_name) comes again; all others stay. Only the buckets the
+    rows fall into are read and written (see ``catalog_store``). A catalog that
+    ``write_catalog`` has saved at ``path`` is taken over with the first upsert."""
+    spark = df.sparkSession
+    if not catalog_store.is_store(spark, path) and (plain := _readable(spark, path)):
+        saved, kept = standardize(read_catalog(spark, path, columns, "parquet"), columns), path.rstrip("/") + PREVIOUS
+        store = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex[:8]}"
+        catalog_store.upsert(saved, store, columns, buckets)
+        files, name = Folder(spark, "/".join(path.rstrip("/").split("/")[:-1])), path.rstrip("/").split("/")[-1]
+        if catalog_store.is_store(spark, store):
+            if plain == kept:
+                files.rename(name + PREVIOUS, name)
+            _replace(files, store.split("/")[-1], name)
+    return catalog_store.upsert(df, path, columns, buckets)
 
 
 def write_sorted_dedup(df: DataFrame, path: str, columns=CATALOG_COLUMNS_V1) -> None:
