@@ -28,7 +28,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,20 +43,19 @@ ALL = 2**31 - 1
 UNIT = 1_000_000_000
 #: One of so many hashed terms is counted to size the slices.
 PROBE = 256
+#: Terms of a task at most, when small ones are put together.
+TASK_TERMS = 8_000_000
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lang, source, text = batch.columns
+        lang, group, text = batch.columns
         found, counts = split_terms(text, LETTERS)
-        start = 0
         # a lang's name goes before each of its terms; terms hold no NUL, so the last one divides the two
-        values = []
-        for name, n in zip(lang.to_pylist(), counts.tolist()):
-            values += [name + "\0" + t for t in found.slice(start, n).to_pylist()]
-            start += n
-        offsets = pa.array([0, *counts.cumsum().tolist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([lang, source, pa.ListArray.from_arrays(offsets, pa.array(values, pa.string()))], names=["lang", "source", "terms"])
+        names = lang.take(pa.array(np.repeat(np.arange(len(lang)), counts)))
+        values = pc.binary_join_element_wise(names, found.cast(pa.string()), "\0")
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([group, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["group", "size", "terms"])
 
 
 def _vocabulary(model, spark, slice_: int) -> DataFrame:
@@ -67,27 +68,32 @@ def _vocabulary(model, spark, slice_: int) -> DataFrame:
 
 
 def group_counts(docs: DataFrame, min_df: int = 10, max_vocab: int = 4_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(lang, source, slice, idx, n)`` for terms that occur, ``(slice, idx, term)`` and all ``(lang, source)``."""
+    """``(group, slice, idx, n)`` for terms that occur, ``(slice, idx, term)`` and all ``(group, lang, source)``."""
     spark = docs.sparkSession
-    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    bags = materialize(map_batches(docs.select(*blank), _split, "lang string, source string, terms array<string>"), "divergence-terms")
-    groups = materialize(bags.select("lang", "source").distinct(), "divergence-groups")
-
-    probe = F.explode(F.array_distinct(F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(PROBE)) == 0))).alias("t")
-    kept = bags.select(probe).groupBy("t").count().filter(F.col("count") >= min_df).count()
+    blank = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    groups = blank.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id())
+    groups = materialize(groups, "divergence-groups")  # numbers instead of names in the sums
+    numbered = blank.join(up_to(groups, 100_000), ["lang", "source"]).select("lang", "group", "text")
+    bags = materialize(map_batches(numbered, _split, "group long, size long, terms array<string>"), "divergence-terms")
+
+    # kept terms occur min_df times at least, so this estimates their number from above
+    probe = bags.select(F.explode("terms").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(PROBE)) == 0)
+    kept = probe.groupBy("t").count().filter(F.col("count") >= min_df).count()
     slices = 1 + kept * PROBE // max_vocab
 
+    # small scan tasks are put together: the more of a lang a task sees, the more its sums combine
+    tasks = max(2 * spark.sparkContext.defaultParallelism, (bags.agg(F.sum("size")).first()[0] or 0) // TASK_TERMS)
     # a term of its own that is always kept, as a fit without any term is refused
-    ever = spark.range(min_df).select(F.lit("").alias("lang"), F.lit("").alias("source"), F.array(F.lit("")).alias("terms"))
+    ever = spark.range(min_df).select(F.lit(-1).cast("long").alias("group"), F.array(F.lit("")).alias("terms"))
     counts, terms = [], []
     for s in range(slices):
-        part = bags
+        part = bags.select("group", "terms").coalesce(tasks)
         if slices > 1:
-            part = bags.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(slices)) == s))
+            part = part.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(slices)) == s))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(part.unionByName(ever))
         vector = F.unwrap_udt("vector")
         entry = F.explode(F.arrays_zip(vector["indices"].alias("indices"), vector["values"].alias("values"))).alias("x")
-        sums = (model.transform(part).select("lang", "source", entry).groupBy("lang", "source", F.col("x.indices").alias("idx"))
+        sums = (model.transform(part).select("group", entry).groupBy("group", F.col("x.indices").alias("idx"))
                 .agg(F.sum(F.col("x.values").cast("long")).alias("n")))
         counts.append(materialize(sums.withColumn("slice", F.lit(s)), "divergence-counts"))
         terms.append(_vocabulary(model, spark, s).filter("term != ''"))
@@ -113,6 +119,8 @@ def audit(docs: DataFrame, min_df: int = 10, top: int = 10, max_vocab: int = 4_0
     sources of its language by distance (part ``pair``) and the ``top`` terms it
     has more of than its language (part ``term``)."""
     counts, names, groups = group_counts(docs, min_df, max_vocab)
+    counts = counts.join(up_to(groups, 100_000), "group").drop("group")
+    groups = groups.drop("group")
     term = W.partitionBy("lang", "slice", "idx")  # at most a row per source
     counts = counts.withColumn("all", F.sum("n").over(term))
     langs = (counts.groupBy("lang", "slice", "idx").agg(F.sum("n").alias("n"))
