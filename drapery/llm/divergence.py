@@ -1,15 +1,15 @@
 """Audit of how far the sources of a language differ in their words.
 
-``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize``
-turns every document into an exact sparse vector. Terms carry their document's
-language, so that one fit keeps, for each language, the terms in at least
-``min_df`` of its documents. Group sums add the vectors of a (lang, source)
-group component by component; only components that occur are ever stored.
+For each language a ``CountVectorizer`` with ``minDF`` and the largest integer
+as ``vocabSize`` turns every document into an exact sparse vector; languages
+with fewer than ``min_df`` documents keep no terms and need none. Group sums
+add the vectors of a (lang, source) group component by component; only
+components that occur are ever stored.
 
-``CountVectorizer`` holds its vocabulary on the driver and broadcasts it.
-Terms are therefore dealt by hash into as many slices as keep a vocabulary
-near ``max_vocab`` terms, each with a fit of its own; the slices are disjoint,
-so the sums are the same for any number of them.
+``CountVectorizer`` holds its vocabulary on the driver and broadcasts it. The
+terms of a language are therefore dealt by hash into as many slices as keep a
+vocabulary near ``max_vocab`` terms, each with a fit of its own; slices are
+disjoint, so the sums are the same for any number of them.
 
 A pair of sources is scored from the components that occur in it: with f0 the
 value of a term that neither has, the sum over all V kept terms is V * f0,
@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,72 +40,106 @@ from .terms import LETTERS, split_terms
 
 ALL = 2**31 - 1
 UNIT = 1_000_000_000
-#: One of so many hashed terms is counted to size the slices.
-PROBE = 256
+#: One of 2**PROBE_BITS terms is counted to size the slices.
+PROBE_BITS = 8
 #: Terms of a task at most, when small ones are put together.
 TASK_TERMS = 8_000_000
 
 
+def _probed(found: pa.Array) -> np.ndarray:
+    """Whether a term is one of those counted to size the slices: a function of its length and first eight bytes."""
+    start = np.frombuffer(found.buffers()[1], np.int32 if found.type == pa.string() else np.int64)[:len(found) + 1].astype(np.int64)
+    size = np.diff(start)
+    data = np.concatenate([np.frombuffer(found.buffers()[2], np.uint8)[:start[-1]], np.zeros(8, np.uint8)])
+    head = np.lib.stride_tricks.sliding_window_view(data, 8)[start[:-1]].copy().view("<u8").ravel()
+    head &= np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+    mixed = (head ^ (size.astype(np.uint64) << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed >> np.uint64(64 - PROBE_BITS) == 0
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, group, text = batch.columns
         found, counts = split_terms(text, LETTERS)
-        # a lang's name goes before each of its terms; terms hold no NUL, so the last one divides the two
-        names = lang.take(pa.array(np.repeat(np.arange(len(lang)), counts)))
-        values = pc.binary_join_element_wise(names, found.cast(pa.string()), "\0")
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        yield pa.RecordBatch.from_arrays([group, pa.array(counts, pa.int64()), pa.ListArray.from_arrays(offsets, values)], names=["group", "size", "terms"])
+        first = np.concatenate([[0], np.cumsum(counts)])
+        hit = _probed(found) if len(found) else np.zeros(0, bool)
+        probe = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit)])[first], pa.int32()), found.filter(pa.array(hit)).cast(pa.string()))
+        terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), found.cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([lang, group, pa.array(counts, pa.int64()), probe, terms], names=["lang_no", "group", "size", "probe", "terms"])
 
 
-def _vocabulary(model, spark, slice_: int) -> DataFrame:
-    """``(slice, idx, term)``, read from the saved model and not from the driver."""
+def _vocabulary(model, spark, lang_no: int, slice_: int) -> DataFrame:
+    """``(lang_no, slice, idx, term)``, read from the saved model and not from the driver."""
     path = scratch(spark, "divergence-model")
     model.write().save(path)
-    term = F.substring_index("term", "\0", -1)
-    return (spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "term"))
-            .select(F.lit(slice_).alias("slice"), "idx", term.alias("term")))
-
-
-def group_counts(docs: DataFrame, min_df: int = 10, max_vocab: int = 4_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(group, slice, idx, n)`` for terms that occur, ``(slice, idx, term)`` and all ``(group, lang, source)``."""
+    words = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("idx", "term"))
+    return words.select(F.lit(lang_no).alias("lang_no"), F.lit(slice_).alias("slice"), "idx", "term").filter("term != ''")
+
+
+def _bags(docs: DataFrame, groups: DataFrame) -> tuple[str, DataFrame]:
+    """Writes the terms of each document, in a folder per language."""
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "divergence-terms")
+    numbered = docs.join(up_to(groups, 100_000), ["lang", "source"]).select("lang_no", "group", "text")
+    bags = map_batches(numbered, _split, "lang_no long, group long, size long, probe array<string>, terms array<string>")
+    writers = "spark.sql.maxConcurrentOutputFileWriters"  # a file per language at once instead of a sort of the terms
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "64")
+    try:
+        bags.write.partitionBy("lang_no").parquet(path)
+    finally:
+        spark.conf.set(writers, before)
+    return path, spark.read.schema("group long, size long, probe array<string>, terms array<string>, lang_no long").parquet(path)
+
+
+def group_counts(docs: DataFrame, min_df: int = 10, max_vocab: int = 4_000_000) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """``(group, lang_no, slice, idx, n)`` for terms that occur, ``(lang_no, slice,
+    idx, term)`` (null if no language keeps any) and all ``(lang_no, group, lang, source)``."""
     spark = docs.sparkSession
     blank = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    groups = blank.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id())
-    groups = materialize(groups, "divergence-groups")  # numbers instead of names in the sums
-    numbered = blank.join(up_to(groups, 100_000), ["lang", "source"]).select("lang", "group", "text")
-    bags = materialize(map_batches(numbered, _split, "group long, size long, terms array<string>"), "divergence-terms")
-
+    groups = materialize(blank.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("docs")), "divergence-sources")
+    langs = materialize(groups.groupBy("lang").agg(F.sum("docs").alias("lang_docs")).withColumn("lang_no", F.monotonically_increasing_id()), "divergence-langs")
+    groups = materialize(groups.join(langs, "lang").withColumn("group", F.monotonically_increasing_id()), "divergence-groups")  # numbers for names
+    if langs.filter(F.col("lang_docs") >= min_df).isEmpty():
+        return None, None, groups
+    path, bags = _bags(blank, groups)
     # kept terms occur min_df times at least, so this estimates their number from above
-    probe = bags.select(F.explode("terms").alias("t")).filter(F.pmod(F.xxhash64("t"), F.lit(PROBE)) == 0)
-    kept = probe.groupBy("t").count().filter(F.col("count") >= min_df).count()
-    slices = 1 + kept * PROBE // max_vocab
+    probe = bags.select("lang_no", F.explode("probe").alias("t")).groupBy("lang_no", "t").count().filter(F.col("count") >= min_df)
+    sizes = bags.groupBy("lang_no").agg(F.sum("size").alias("size")).join(probe.groupBy("lang_no").agg(F.count(F.lit(1)).alias("kept")), "lang_no", "left")
+    todo = sizes.join(langs.filter(F.col("lang_docs") >= min_df), "lang_no").orderBy("lang_no").collect()  # a row per language
 
-    # small scan tasks are put together: the more of a lang a task sees, the more its sums combine
-    tasks = max(2 * spark.sparkContext.defaultParallelism, (bags.agg(F.sum("size")).first()[0] or 0) // TASK_TERMS)
     # a term of its own that is always kept, as a fit without any term is refused
     ever = spark.range(min_df).select(F.lit(-1).cast("long").alias("group"), F.array(F.lit("")).alias("terms"))
-    counts, terms = [], []
-    for s in range(slices):
-        part = bags.select("group", "terms").coalesce(tasks)
-        if slices > 1:
-            part = part.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(slices)) == s))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(part.unionByName(ever))
-        vector = F.unwrap_udt("vector")
-        entry = F.explode(F.arrays_zip(vector["indices"].alias("indices"), vector["values"].alias("values"))).alias("x")
-        sums = (model.transform(part).select("group", entry).groupBy("group", F.col("x.indices").alias("idx"))
-                .agg(F.sum(F.col("x.values").cast("long")).alias("n")))
-        counts.append(materialize(sums.withColumn("slice", F.lit(s)), "divergence-counts"))
-        terms.append(_vocabulary(model, spark, s).filter("term != ''"))
-    out, names = counts[0], terms[0]
-    for c, t in zip(counts[1:], terms[1:]):
-        out, names = out.unionByName(c), names.unionByName(t)
-    return out, names, groups
+    counts, names = None, None
+    for row in todo:
+        # small scan tasks are put together: the more of a language a task sees, the more its sums combine
+        tasks = max(2 * spark.sparkContext.defaultParallelism, (row["size"] or 0) // TASK_TERMS)
+        slices = 1 + ((row["kept"] or 0) << PROBE_BITS) // max_vocab
+        whole = spark.read.schema("group long, terms array<string>").parquet(f"{path}/lang_no={row['lang_no']}").coalesce(tasks)
+        for s in range(slices):
+            part = whole
+            if slices > 1:
+                part = whole.withColumn("terms", _slice_of(slices, s))
+            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(part.unionByName(ever))
+            vector = F.unwrap_udt("vector")
+            entry = F.explode(F.arrays_zip(vector["indices"].alias("indices"), vector["values"].alias("values"))).alias("x")
+            sums = (model.transform(part).select("group", entry).groupBy("group", F.col("x.indices").alias("idx"))
+                    .agg(F.sum(F.col("x.values").cast("long")).alias("n")))
+            sums = materialize(sums.select("group", F.lit(row["lang_no"]).alias("lang_no"), F.lit(s).alias("slice"), "idx", "n"), "divergence-counts")
+            found = _vocabulary(model, spark, row["lang_no"], s)
+            counts, names = (sums, found) if counts is None else (counts.unionByName(sums), names.unionByName(found))
+    return counts, names, groups
+
+
+def _slice_of(slices: int, s: int) -> Column:
+    return F.filter("terms", lambda t: F.pmod(F.hash(t), F.lit(slices)) == s)
 
 
 def share(n: Column, total: Column, size: Column) -> Column:
-    """1 + floor(UNIT * (n + 2) / (total + 2 * size)), exactly."""
-    top = F.lit(UNIT).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
-    return F.call_function("div", top, F.nullif(total + 2 * size, F.lit(0)).cast("decimal(20,0)")) + 1
+    """1 + floor(UNIT * (n + 2) / (total + 2 * size)), exactly; null if that divides by 0."""
+    below = F.nullif(total + 2 * size, F.lit(0).cast("long"))
+    wide = F.call_function("div", F.lit(UNIT).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)"), below.cast("decimal(20,0)"))
+    return F.when(n < 2**63 // UNIT - 2, F.call_function("div", (n + 2) * UNIT, below)).otherwise(wide) + 1
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -119,40 +152,42 @@ def audit(docs: DataFrame, min_df: int = 10, top: int = 10, max_vocab: int = 4_0
     sources of its language by distance (part ``pair``) and the ``top`` terms it
     has more of than its language (part ``term``)."""
     counts, names, groups = group_counts(docs, min_df, max_vocab)
-    counts = counts.join(up_to(groups, 100_000), "group").drop("group")
-    groups = groups.drop("group")
-    term = W.partitionBy("lang", "slice", "idx")  # at most a row per source
-    counts = counts.withColumn("all", F.sum("n").over(term))
-    langs = (counts.groupBy("lang", "slice", "idx").agg(F.sum("n").alias("n"))
-             .groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("lang_total")))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "size", "lang_total"])
-    groups = materialize(groups.withColumn("p0", F.coalesce(share(F.lit(0), F.col("total"), F.col("size")), F.lit(1))), "divergence-totals")
-    near = up_to(groups, 100_000)
+    spark, key = docs.sparkSession, ["lang_no", "slice", "idx"]
+    if counts is None:
+        counts = spark.createDataFrame([], "group long, lang_no long, slice int, idx int, n long")
+        names = spark.createDataFrame([], "lang_no long, slice int, idx int, term string")
+    counts = counts.withColumn("all", F.sum("n").over(W.partitionBy(*key)))  # at most a row per source
+    langs = (counts.groupBy(*key).agg(F.sum("n").alias("n"))
+             .groupBy("lang_no").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("lang_total")))
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
+    groups = groups.join(totals, "group", "left").join(langs, "lang_no", "left").fillna(0, ["total", "size", "lang_total"])
+    p0 = F.coalesce(share(F.lit(0).cast("long"), F.col("total"), F.col("size")), F.lit(1))
+    groups = materialize(groups.withColumn("p0", p0).drop("docs", "lang_docs"), "divergence-totals")
+    near = up_to(groups.select("group", "lang_no", "total", "size", "lang_total", "p0"), 100_000)
     p, q = share(F.col("n"), F.col("total"), F.col("size")), share(F.col("all"), F.col("lang_total"), F.col("size"))
-    cells = materialize(counts.join(near, ["lang", "source"]).select("lang", "source", "slice", "idx", "p0", p.alias("p"), q.alias("q")), "divergence-cells")
+    cells = materialize(counts.join(near, ["group", "lang_no"]).select("group", *key, "p0", p.alias("p"), q.alias("q")), "divergence-cells")
 
-    a, b = groups.alias("a"), near.alias("b")
-    f00 = distance(F.col("a.p0"), F.col("b.p0"))
-    pairs = (a.join(b, F.col("a.lang") == F.col("b.lang")).filter(F.col("a.source") != F.col("b.source"))
-             .select("a.lang", "a.source", F.col("b.source").alias("item"), (f00 * F.col("a.size")).alias("v")))
-    alike = cells.groupBy("lang", "source", "p0", "p").agg(F.count(F.lit(1)).alias("m")).alias("a")
+    a, b = near.alias("a"), near.alias("b")
+    f00, ends = distance(F.col("a.p0"), F.col("b.p0")), [F.col("a.group").alias("x"), F.col("b.group").alias("y")]
+    others = (F.col("a.lang_no") == F.col("b.lang_no")) & (F.col("a.group") != F.col("b.group"))
+    pairs = a.join(b, others).select(*ends, (f00 * F.col("a.size")).alias("v"))
+    alike = cells.groupBy("lang_no", "group", "p0", "p").agg(F.count(F.lit(1)).alias("m")).alias("a")
     change = (distance(F.col("a.p"), F.col("b.p0")) - f00) * F.col("a.m")
-    one = (alike.join(b, F.col("a.lang") == F.col("b.lang")).filter(F.col("a.source") != F.col("b.source"))
-           .groupBy("a.lang", "a.source", F.col("b.source").alias("item")).agg(F.sum(change).alias("v")))
+    one = alike.join(b, others).groupBy(*ends).agg(F.sum(change).alias("v"))
     a, b = cells.alias("a"), cells.alias("b")
     both = distance(F.col("a.p"), F.col("b.p")) - distance(F.col("a.p"), F.col("b.p0")) - distance(F.col("a.p0"), F.col("b.p")) + f00
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("lang", "slice", "idx")]
-    two = (a.join(b, [*same, F.col("a.source") < F.col("b.source")])
-           .groupBy("a.lang", "a.source", F.col("b.source").alias("item")).agg(F.sum(both).alias("v")))
-    turned = [F.col("lang"), F.col("item").alias("source"), F.col("source").alias("item"), F.col("v")]
+    two = a.join(b, [*[F.col(f"a.{c}") == F.col(f"b.{c}") for c in key], F.col("a.group") < F.col("b.group")]).groupBy(*ends).agg(F.sum(both).alias("v"))
+    turned = [F.col("y").alias("x"), F.col("x").alias("y"), F.col("v")]
     parts = pairs.unionByName(one).unionByName(one.select(*turned)).unionByName(two).unionByName(two.select(*turned))
+    named = groups.select(F.col("group").alias("x"), "lang", "source")
+    item = groups.select(F.col("group").alias("y"), F.col("source").alias("item"))
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
-    ranked = parts.groupBy("lang", "source", "item").agg(F.sum("v").alias("value")).withColumn("rank", F.row_number().over(order))
+    ranked = parts.groupBy("x", "y").agg(F.sum("v").alias("value")).join(named, "x").join(item, "y").withColumn("rank", F.row_number().over(order))
 
     more = cells.filter("p > q").withColumn("value", distance(F.col("p"), F.col("q")))
-    best = more.withColumn("r", F.rank().over(W.partitionBy("lang", "source").orderBy(F.desc("value")))).filter(F.col("r") <= top)
-    best = best.join(names, ["slice", "idx"]).withColumnRenamed("term", "item").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best = more.withColumn("r", F.rank().over(W.partitionBy("group").orderBy(F.desc("value")))).filter(F.col("r") <= top)
+    best = best.join(names, key).withColumnRenamed("term", "item").join(named, F.col("group") == F.col("x"))
+    best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     pick = lambda part: ["lang", "source", F.lit(part).alias("part"), "item", "value", "rank"]
     return ranked.select(*pick("pair")).unionByName(best.select(*pick("term")))
 

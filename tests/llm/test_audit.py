@@ -152,7 +152,7 @@ def test_divergence_odd(spark, odd, none):
 
 def test_share_is_exact_beyond_doubles(spark):
     n, total, size = 9_007_199_254_740_993, 2**62, 123_456_789
-    got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(size)).alias("p")).first().p
+    got = spark.range(1).select(divergence.share(F.lit(n).cast("long"), F.lit(total).cast("long"), F.lit(size).cast("long")).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * size)
 
 
