@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,6 +134,46 @@ CSS3_COLORS = [
 ]
 
 
+#: Cells of the lookup cube along a channel, and their width.
+CUBE, WIDE = 8, 32
+
+
+def _palette() -> list[tuple[str, tuple[int, int, int]]]:
+    """Names and values, one name a value (the later one in the list)."""
+    return [(name, tuple(int(hx[i:i + 2], 16) for i in (1, 3, 5))) for hx, name in {hx: name for name, hx in CSS3_COLORS}.items()]
+
+
+def _cube() -> list[list[int]]:
+    """For each cell of the colour cube the palette entries that can be nearest
+    to a colour in it: those not farther from its closest point than some entry
+    is from its farthest one."""
+    values, out = [v for _, v in _palette()], []
+    for cell in range(CUBE ** 3):
+        lo = [WIDE * (cell // CUBE ** k % CUBE) for k in (2, 1, 0)]
+        near = [sum(max(a - x, 0, x - a - WIDE + 1) ** 2 for a, x in zip(lo, v)) for v in values]
+        far = min(sum(max(abs(x - a), abs(x - a - WIDE + 1)) ** 2 for a, x in zip(lo, v)) for v in values)
+        out.append([i for i, d in enumerate(near) if d <= far])
+    return out
+
+
+def css_color_nearest(hex_code) -> Column:
+    """Name of the CSS3 colour at the smallest distance (squares of channel
+    differences), the first in the list of those equally near; bad input ->
+    'Default'. A row compares itself with its cell's few entries; no join."""
+    palette = F.from_json(F.lit(json.dumps([{"n": n, "r": r, "g": g, "b": b} for n, (r, g, b) in _palette()])), "array<struct<n:string,r:int,g:int,b:int>>")
+    cube = F.from_json(F.lit(json.dumps(_cube())), "array<array<int>>")
+
+    def body(c: Column) -> Column:
+        def scored(i: Column) -> Column:
+            return let(F.get(palette, i), lambda p: F.struct(
+                ((p["r"] - c["r"]) * (p["r"] - c["r"]) + (p["g"] - c["g"]) * (p["g"] - c["g"]) + (p["b"] - c["b"]) * (p["b"] - c["b"])).alias("d"), i.alias("i"), p["n"].alias("n")))
+
+        cell = F.floor(c["r"] / WIDE) * CUBE ** 2 + F.floor(c["g"] / WIDE) * CUBE + F.floor(c["b"] / WIDE)
+        return F.when(c.isNull(), "Default").otherwise(F.array_min(F.transform(F.get(cube, cell.cast("int")), scored))["n"])
+
+    return let(hex_rgb(F.coalesce(col(hex_code), F.lit(""))), body)
+
+
 def css_color_name(hex_code) -> Column:
     """Exact CSS3 name of a hex colour (``#`` optional, 3 or 6 digits), else
     'Default'. Where two names share a value the later one in the list wins."""

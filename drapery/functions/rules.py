@@ -8,7 +8,9 @@ codegen'd ``rlike`` calls. The first matching label (list order) wins.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,47 @@ def classify_by_table(df: DataFrame, text: str, rules: DataFrame, default: str,
     return df.withColumn("_rules", ordered).withColumn(name, F.coalesce(hit["label"], F.lit(default))).drop("_rules")
 
 
+def classify_by_index(df: DataFrame, text: str, rules: DataFrame, default: str, name: str, max_rules: int = 500_000) -> DataFrame:
+    """``classify_by_table`` for large tables: the keywords become one automaton a
+    task builds for itself, and a text is read once whatever their number.
+
+    Tables beyond ``max_rules`` keywords go in slices of that many, in rank
+    order; a text keeps the first hit of any slice. Ties in rank go by label,
+    then by keyword, and an empty keyword occurs in every text, as in the other
+    form. Needs ``pyahocorasick``.
+    """
+    rows = rules.select("rank", "label", F.lower("keyword").alias("keyword")).filter(F.col("keyword").isNotNull())
+    first = rows.groupBy("keyword").agg(F.min(F.struct("rank", "label")).alias("r"))  # a keyword counts where it comes first
+    first = first.select("r.rank", "r.label", "keyword")
+    slices, done = -(-first.count() // max_rules), df.withColumn("_label", F.lit(None).cast("string"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    ordered = first.orderBy("rank", "label", "keyword")
+    for s in range(slices):
+        part = ordered.offset(s * max_rules).limit(max_rules).collect()  # bounded by max_rules
+        done = done.withColumn("_label", F.coalesce("_label", _first_keyword([r.keyword for r in part], [r.label for r in part])(low)))
+    return done.withColumn(name, F.coalesce("_label", F.lit(default))).drop("_label")
+
+
+def _first_keyword(keywords: list[str], labels: list[str]):
+    """The label of the first keyword, in list order, that occurs in a text."""
+    always = keywords.index("") if "" in keywords else len(keywords)
+
+    def run(batches):
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for i, k in enumerate(keywords):
+            if k:
+                found.add_word(k, i)
+        found.make_automaton()
+        for texts in batches:
+            best = [min((i for _, i in found.iter(t)), default=always) if len(found) else always for t in texts]
+            yield pd.Series([labels[i] if i < len(labels) else None for i in best], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")
+
+
 def joined(*cols) -> Column:
     """Space-joined text of several columns, nulls as ''."""
     return F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in cols])

@@ -132,12 +132,29 @@ def product_json(html, url) -> Column:
         ldjson_product(html, url))))
 
 
+def with_product(pages: DataFrame) -> DataFrame:
+    """Adds ``product``, null where a page has none. The one-element explode keeps
+    the cascade a step of its own: as a plain expression the optimizer would
+    copy it into every column and filter that reads a field of it."""
+    return pages.drop("product").select("*", F.explode_outer(F.array(product_json("html", "url"))).alias("product"))
+
+
+def variant_color(v: Column) -> Column:
+    return F.coalesce(nullif_empty(v["option1"]), v["vtitle"], F.lit("Default"))
+
+
+def variant_keys(product: Column) -> Column:
+    """``array<struct<pos, color_name>>`` of the variants that ``explode_variants`` keeps."""
+    named = F.transform(product["variants"], lambda v, i: F.struct(i.alias("pos"), variant_color(v).alias("color_name")))
+    return F.filter(named, lambda x: ~F.lower(x["color_name"]).isin(PLACEHOLDER_COLORS))
+
+
 def explode_variants(df: DataFrame, product: str = "product", keep_placeholders: bool = False) -> DataFrame:
     """One row per variant with ``pos``, ``color_name``, ``variant_id``, price and
     image source; placeholder variants are dropped (they always are in the
     reference: its title substitution ends in ``continue``)."""
     out = df.select("*", F.posexplode(F.col(f"{product}.variants")).alias("pos", "v"))
-    out = out.withColumn("color_name", F.coalesce(nullif_empty(F.col("v.option1")), F.col("v.vtitle"), F.lit("Default")))
+    out = out.withColumn("color_name", variant_color(F.col("v")))
     if not keep_placeholders:
         out = out.filter(~F.lower("color_name").isin(PLACEHOLDER_COLORS))
     return out.withColumn("variant_id", F.col("v.vid")).withColumn("variant_price", F.col("v.price"))

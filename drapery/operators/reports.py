@@ -51,6 +51,31 @@ def run_summary(pages: DataFrame, records: DataFrame, rows: DataFrame, skipped:
     return out.agg(*[F.sum(c).alias(c) for c in names])
 
 
+def page_summary(keys: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """The figures of ``run_summary`` from one pass over the pages.
+
+    ``keys`` is ``catalog.page_keys``. Every narrow row counts twice, for its
+    (style, colour) and for its URL, in one aggregation with map-side combine:
+    the first row of a key tells which page it stays with, a URL without rows
+    has failed, and one that ``existing`` knows was skipped.
+    """
+    nothing = F.lit(None).cast("string")
+    by = F.explode(F.array(F.struct(F.lit("row").alias("kind"), "style_id", "color_name", nothing.alias("url")),
+                           F.struct(F.lit("page").alias("kind"), nothing.alias("style_id"), nothing.alias("color_name"), F.col("url").alias("url"))))
+    rows = keys.select(by.alias("by"), F.col("url").alias("product_url"), F.struct("page_id", "pos").alias("at"), "first", F.col("style_id").isNotNull().alias("made"))
+    groups = rows.groupBy("by").agg(F.min_by("product_url", "at").alias("product_url"), F.count_if("made").alias("made"), F.count_if("first").alias("pages"))
+    groups = groups.select("by.kind", "by.url", "product_url", "made", "pages")
+    if existing is not None:
+        groups = groups.join(existing.select("url", F.lit(True).alias("known")).distinct(), "url", "left")
+    else:
+        groups = groups.withColumn("known", F.lit(None).cast("boolean"))
+    kept, page = (F.col("kind") == "row") & (F.col("made") > 0), F.col("kind") == "page"
+    zero = F.lit(0).cast("bigint")
+    return groups.agg(F.count_if(kept).alias("total_variants"), F.count_distinct(F.when(kept, F.col("product_url"))).alias("unique_products"),
+                      F.coalesce(F.sum(F.when(page & (F.col("made") == 0), F.col("pages"))), zero).alias("failed_products"),
+                      F.coalesce(F.sum(F.when(page & F.col("known"), F.col("pages"))), zero).alias("skipped"))
+
+
 def image_reuse_audit(images: DataFrame, image: str = "image_url", product: str = "product_url") -> DataFrame:
     """Images used by more than one product.
 

@@ -19,7 +19,7 @@ from ..functions import rules as R
 from ..functions.color import normalize_color
 from ..functions.text import format_price, materials_snippet, nullif_empty
 from ..operators import elements as E
-from ..operators.extract import explode_variants, ldjson_objects, ldjson_offer_price, product_json
+from ..operators.extract import explode_variants, ldjson_objects, ldjson_offer_price, variant_keys, with_product
 from ..operators.fabric import with_fabric
 from ..operators.records import CATALOG_COLUMNS, dedup_first, scrape_status, standardize
 from ..sources.sites import Site
@@ -76,7 +76,7 @@ def _rule_columns(df: DataFrame, html: str = "html") -> DataFrame:
 def shopify_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Page-level columns of embedded-JSON product pages (failed pages dropped)."""
     from ..functions.text import country_of_origin
-    p = pages.withColumn("product", product_json("html", "url")).filter(F.col("product").isNotNull())
+    p = with_product(pages).filter(F.col("product").isNotNull())
     p = E.html_elements(p)
     p = p.withColumns({
         "title": F.col("product.title"),
@@ -138,6 +138,16 @@ def catalog_rows(pages: DataFrame, site: Site) -> DataFrame:
     return v.select(*_catalog_inputs(v), "page_id", "pos")
 
 
+def page_keys(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, style_id, color_name, pos, first)``: the keys of a page's
+    variant rows, and one row without a style for a page that gives none;
+    ``first`` is true once a page. Reports need no more of the catalog."""
+    p = with_product(pages)
+    p = p.select("page_id", "url", K.style_id(K.style_slug("url")).alias("style"), F.posexplode_outer(variant_keys(F.col("product"))).alias("nth", "v"))
+    return p.select("page_id", "url", F.when(F.col("v").isNotNull(), F.col("style")).alias("style_id"), "v.color_name", "v.pos",
+                    (F.coalesce("nth", F.lit(0)) == 0).alias("first"))
+
+
 def finish_catalog(rows: DataFrame, dedupe: bool = True, keep_order: bool = False) -> DataFrame:
     """First row per (style_id, color_name) in page order, then standardise.
 

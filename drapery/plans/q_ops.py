@@ -16,9 +16,11 @@ from ..operators import crawl as CR
 from ..operators import elements as E
 from ..operators import incremental as INC
 from ..operators import reports as REP
-from ..operators.records import dedup_first, standardize, validate, validation_report
-from ..plans.catalog import catalog_rows, catalog_shopify, catalog_styles
+from ..operators.records import dedup_first, dedup_report, standardize, validate, validation_report
+from ..plans.catalog import catalog_output, catalog_rows, catalog_shopify, catalog_styles, page_keys
+from ..plans.catalog_mixed import catalog_mixed
 from ..sources import catalog_io as IO
+from ..sources import page_state as PS
 from ..sources.sites import SITES, site_dim
 from ..sources.tables import table, view
 from .registry import query
@@ -96,6 +98,14 @@ def q_union_sites(spark, sf):
     return IO.union_sites(a, b).select("brand_name", "style_id", "color_name", "product_url", "sku", "season")
 
 
+@query("catalog_mixed")
+def q_catalog_mixed(spark, sf):
+    """Both sites' pages in one table, in one pass."""
+    pages = view(spark, sf, "pp").select((F.col("page_id") * 2).alias("page_id"), "url", "html").unionByName(
+        view(spark, sf, "sp").select((F.col("page_id") * 2 + 1).alias("page_id"), "url", "html"))
+    return catalog_output(catalog_mixed(pages))
+
+
 # ---- 2.10 reports --------------------------------------------------------------
 @query("category_counts")
 def q_category_counts(spark, sf):
@@ -120,10 +130,13 @@ def q_failed_pages(spark, sf):
 
 @query("run_summary")
 def q_run_summary(spark, sf):
-    pp = view(spark, sf, "pp")
-    skipped = INC.skip_existing(pp.select("url"), view(spark, sf, "st"))
-    done = pp.select("url").join(skipped, "url", "left_anti")
-    return REP.run_summary(pp, _catalog_of(spark, sf, ["product_url"]), catalog_rows(pp, SHOP), done)
+    return REP.page_summary(page_keys(view(spark, sf, "pp")), view(spark, sf, "st"))
+
+
+@query("dedup_report")
+def q_dedup_report(spark, sf):
+    keys = page_keys(view(spark, sf, "pp")).filter("style_id IS NOT NULL")
+    return dedup_report(keys, ["style_id", "color_name"])
 
 
 @query("image_reuse_audit")
@@ -162,6 +175,31 @@ def q_skip_existing(spark, sf):
     return INC.skip_existing(table(spark, sf, "pages").select("page_id", "url"), view(spark, sf, "st"))
 
 
+@query("skipped_count")
+def q_skipped_count(spark, sf):
+    return INC.skipped_count(table(spark, sf, "pages").select("url"), view(spark, sf, "st"))
+
+
+def _bucketed_state(spark, sf):
+    path = IO.scratch_path(spark, "page-state")
+    PS.write_state(view(spark, sf, "st"), path, buckets=8)
+    return path
+
+
+@query("advance_state")
+def q_advance_state(spark, sf):
+    """Changed pages against a state that is bucketed by URL."""
+    return PS.advance_state(table(spark, sf, "pages"), _bucketed_state(spark, sf), NOW)
+
+
+@query("bucketed_state")
+def q_bucketed_state(spark, sf):
+    """The state that the advance has written."""
+    path = _bucketed_state(spark, sf)
+    PS.advance_state(table(spark, sf, "pages"), path, NOW)
+    return PS.read_state(spark, path).select("url", "checksum", "last_scraped")
+
+
 # ---- 2.11 / 2.10 crawl -------------------------------------------------------------
 def _collections(spark, sf):
     cl = view(spark, sf, "cl")
@@ -259,6 +297,14 @@ def q_resolve_url(spark, sf):
         "page_id", "pos", "href", K.resolve_url("href", "url").alias("abs_url"))
 
 
+@query("resolve_dots")
+def q_resolve_dots(spark, sf):
+    """Links of product pages, with dot segments and character references in them."""
+    p = view(spark, sf, "pp")
+    return p.select("page_id", "url", F.posexplode(H.hrefs("html")).alias("pos", "href")).select(
+        "page_id", "pos", "href", K.resolve_url("href", "url").alias("abs_url"))
+
+
 @query("source_site")
 def q_source_site(spark, sf):
     return table(spark, sf, "pages").select("page_id", K.source_site("url").alias("source_site"))
@@ -291,6 +337,15 @@ def q_rules_on_documents(spark, sf):
         R.classify_by_rules("text", R.AUDIENCE_RULES, "Women", "word").alias("audience"))
 
 
+@query("rules_by_index")
+def q_rules_by_index(spark, sf):
+    """A large rule table, every word of the benchmark, on all documents."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).filter("keyword != ''").distinct()
+    rules = words.select((-F.length("keyword")).alias("rank"), F.substring("keyword", 1, 2).alias("label"), "keyword")
+    docs = R.classify_by_index(table(spark, sf, "documents").select("doc_id", "text"), "text", rules, "none", "label")
+    return docs.select("doc_id", "label")
+
+
 # ---- 2.7 colour -------------------------------------------------------------------
 @query("rgb_to_hex")
 def q_rgb_to_hex(spark, sf):
@@ -332,3 +387,9 @@ def q_validate(spark, sf):
 def q_validation_report(spark, sf):
     return validation_report(_validation_input(spark, sf), "product_id")
 
+
+
+@query("css_color_nearest")
+def q_css_color_nearest(spark, sf):
+    px = view(spark, sf, "px")
+    return px.select(C.rgb_to_hex("r", "g", "b").alias("hex")).distinct().select("hex", C.css_color_nearest("hex").alias("name"))

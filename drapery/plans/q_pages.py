@@ -64,7 +64,7 @@ def q_product_json(spark, sf):
 
 @query("explode_variants")
 def q_explode_variants(spark, sf):
-    df = pp(spark, sf).withColumn("product", X.product_json("html", "url"))
+    df = X.with_product(pp(spark, sf))
     v = X.explode_variants(df, keep_placeholders=True)
     return v.select("page_id", "pos", "color_name", "variant_id", F.col("variant_price").alias("price"),
                     F.col("v.fi_truthy").alias("has_image"), F.col("v.fi_src").alias("image_src"))
@@ -72,7 +72,7 @@ def q_explode_variants(spark, sf):
 
 @query("drop_placeholder_variants")
 def q_drop_placeholder_variants(spark, sf):
-    df = pp(spark, sf).withColumn("product", X.product_json("html", "url"))
+    df = X.with_product(pp(spark, sf))
     return X.explode_variants(df).select("page_id", "pos", "color_name")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -21,10 +23,12 @@ PT_SQL = """SELECT p_partkey AS product_id,
     WHEN 8 THEN 'Kids Merino Cardigan' ELSE 'Tie-Dye Romper' END) AS title,
   CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'Pants' ELSE 'Accessories' END AS product_type,
   CASE p_partkey % 7 WHEN 0 THEN 'black' WHEN 1 THEN 'Striped Navy' WHEN 2 THEN 'tie-dye rainbow' WHEN 3 THEN 'Floral' WHEN 4 THEN 'Zzyx' WHEN 5 THEN '' ELSE 'forest green' END AS color_name,
-  CASE p_partkey % 9 WHEN 0 THEN '80% cotton, 20% linen' WHEN 1 THEN '100% Organic Cotton – Your new favorite hoodie'
+  CASE p_partkey % 18 WHEN 0 THEN '80% cotton, 20% linen' WHEN 1 THEN '100% Organic Cotton – Your new favorite hoodie'
     WHEN 2 THEN 'Wildflower/Marble: 80% cotton, 20% linenSolids: 100% cottonEasily worn' WHEN 3 THEN '40% OFF EVERY HAREM PANT'
     WHEN 4 THEN '95% Merino Wool, 5% elastane. Hand wash cold only.' WHEN 5 THEN 'Made in Nepal. 60% polyester; 40% viscose'
-    WHEN 6 THEN '' WHEN 7 THEN '100% silk with a soft drape. Dry clean only.' ELSE '55% hemp, 45% organic cotton, GOTS certified' END AS materials,
+    WHEN 6 THEN '' WHEN 7 THEN '100% silk with a soft drape. Dry clean only.' WHEN 8 THEN '55% hemp, 45% organic cotton, GOTS certified'
+    WHEN 9 THEN '100% Alpaca' WHEN 10 THEN '70% bamboo, 30% nylon' WHEN 11 THEN '100% lambswool' WHEN 12 THEN '100% Cashmere. Hand wash' WHEN 13 THEN '60% acrylic, 40% rayon'
+    WHEN 14 THEN '100% European flax' WHEN 15 THEN '50% wool, 50% silk' WHEN 16 THEN '92% Modal, 8% Spandex' ELSE '100% Café cotton – “soft” & light' END AS materials,
   CASE WHEN p_partkey % 11 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice END AS price,
   CASE p_partkey % 6 WHEN 0 THEN '#0A0A0A' WHEN 1 THEN '#F5F5F0' WHEN 2 THEN '#FF8800' WHEN 3 THEN '2030C0' WHEN 4 THEN 'xyz' ELSE '#C0C020' END AS hex,
   'https://shop.example.com' AS base_url
@@ -34,12 +38,13 @@ PP_SQL = """SELECT product_id AS page_id,
   concat('https://shop.example.com/products/', slug, CASE WHEN product_id % 4 = 0 THEN '?variant=1' ELSE '' END) AS url,
   concat('<html><head><title>', title, '</title><meta property="og:image" content="//cdn.example.com/products/', slug, '-1.jpg?v=9">',
     CASE WHEN product_id % 5 < 3 THEN concat('<script id="ProductJson-main" type="application/json">{"id":', CAST(product_id AS STRING), ',"title":"', title, '","type":"', product_type,
-        '","description":"<p>', materials, '</p>","variants":[{"id":1,"option1":"black","price":', CAST(CAST(round(price * 100) AS BIGINT) AS STRING), ',"featured_image":{"src":"//cdn.example.com/products/', slug, '-1.jpg?v=9"}},{"id":2,"option1":"Striped Navy","price":0},{"id":3,"option1":"black","price":100},{"id":4,"title":"Default Title","price":100}]}</script>')
-      WHEN product_id % 5 = 3 OR product_id % 25 IN (4, 9) THEN concat(CASE product_id % 25 WHEN 4 THEN '<script id="ProductJson-x" type="application/json">{"id":1,"title":"Broken","variants":[{"id":</script>' WHEN 9 THEN '<script id="ProductJson-x" type="application/json"> {} </script>' ELSE '' END, '<script type="application/ld+json">{"@type":"Product","name":"', title, '","sku":"SKU-', CAST(product_id AS STRING), '","description":"', materials, '","image":"https://cdn.example.com/products/', slug, '.jpg","offers":{"price":"19.99","priceCurrency":"EUR"}}</script>')
+        '","description":"<p>', markup, '</p>","variants":[{"id":1,"option1":"black","price":', CAST(CAST(round(price * 100) AS BIGINT) AS STRING), ',"featured_image":{"src":"//cdn.example.com/products/', slug, '-1.jpg?v=9"}},{"id":2,"option1":"Striped Navy","price":0},{"id":3,"option1":"black","price":100},{"id":4,"title":"Default Title","price":100}]}</script>')
+      WHEN product_id % 5 = 3 OR product_id % 25 IN (4, 9) THEN concat(CASE product_id % 25 WHEN 4 THEN '<script id="ProductJson-x" type="application/json">{"id":1,"title":"Broken","variants":[{"id":</script>' WHEN 9 THEN '<script id="ProductJson-x" type="application/json"> {} </script>' ELSE '' END, '<script type="application/ld+json">{"@type":"Product","name":"', title, '","sku":"SKU-', CAST(product_id AS STRING), '","description":"', markup, '","image":"https://cdn.example.com/products/', slug, '.jpg","offers":{"price":"19.99","priceCurrency":"EUR"}}</script>')
       ELSE '' END,
-    '</head><body><h1 class="product__title">', title, '</h1><div class="product__media"><img src="//cdn.example.com/products/', slug, '-1.jpg?v=9"><img src="/assets/logo.png"><img data-src="/products/', slug, '-2.jpg"></div><p class="more"><img class="z" src="/products/', slug, '-3.jpg"></p><select class="size-picker"><option>XL</option><option>S</option><option>30</option></select><div class="care-notes">Machine wash cold.</div><div class="product__description">', materials,
-    '</div><a href="/products/', slug, '-alt">more</a><a href="/pages/about">about</a></body></html>') AS html
-FROM (SELECT *, concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt0) s"""
+    '</head><body><h1 class="product__title">', title, '</h1><div class="product__media"><img src="//cdn.example.com/products/', slug, '-1.jpg?v=9"><img src="/assets/logo.png"><img data-src="/products/', slug, '-2.jpg"></div><p class="more"><img class="z" src="/products/', slug, '-3.jpg"></p><select class="size-picker"><option>XL</option><option>S</option><option>30</option></select><div class="care-notes">Machine wash cold.</div><div class="product__description">', markup,
+    '</div><a href="/products/', slug, '-alt">more</a><a href="/pages/about">about</a><a href="../pages/./about?x=1&amp;y=2&copy=3">caf&eacute;</a><a href="//cdn.example.com/a/../b">cdn</a></body></html>') AS html
+FROM (SELECT *, replace(replace(replace(replace(materials, '–', CASE product_id % 4 WHEN 0 THEN '&#8211;' WHEN 1 THEN '&ndash;' WHEN 2 THEN '&#x2013;' ELSE '–' END), ' & ', ' &amp; '), 'é', '&eacute;'), '“', '&ldquo;') AS markup,
+  concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt0) s"""
 
 SP_SQL = """SELECT product_id AS page_id,
   concat('https://store.example.org/browse/product.do?pid=', CAST(500000 + product_id AS STRING), '&cid=5032') AS url,
@@ -79,9 +84,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Views that ``write_views`` has written, by folder and name.
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def write_views(spark: SparkSession, sf_dir: str, names=("pp", "sp", "pv"), files: int = 32) -> None:
+    """Write views as tables of ``files`` files, which ``view`` reads from then on.
+
+    The driver tables have one file and one row group each, so that a view over
+    them is a single task; pages in a store come in many files."""
+    for name in names:
+        path = scratch_path(spark, f"view-{name}")
+        view(spark, sf_dir, name).repartition(files).write.parquet(path)
+        WRITTEN[sf_dir.rstrip("/"), name] = path
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived fixture view read straight from the parquet files."""
+    """A derived fixture view: over the parquet files, or as written before."""
     base = sf_dir.rstrip("/")
+    if (base, name) in WRITTEN:
+        return spark.read.parquet(WRITTEN[base, name])
     return spark.sql(_render(name, lambda t: f"parquet.`{base}/{t}.parquet`"))
 
 
@@ -112,9 +134,10 @@ PV_SQL = """SELECT product_id AS page_id,
          WHEN 2 THEN '<button data-colorname="Olive">o</button><button data-colorname="Rust Red">r</button><button data-colorname="Olive">o</button>' ELSE '' END,
     '<div class="product__media"><img srcset="/products/', slug, '-s1.jpg 1x, /products/', slug, '-s2.jpg 2x"><img src="/assets/logo.png"></div>',
     '<div class="pdp-photo-single-column-image" data-imageurl="/img/', CAST(product_id AS STRING), '-1.jpg"><img src="/img/x.jpg"></div><div class="pdp-photo-single-column-image"><img src="/img/', CAST(product_id AS STRING), '-2.jpg"></div>',
-    CASE WHEN product_id % 2 = 1 THEN concat('<ul class="product-information-item__list"><li>', materials, '</li><li>ab</li><li>Imported</li></ul>') ELSE '' END,
-    '<div class="product__description">', materials, '</div></body></html>') AS html
-FROM (SELECT *, concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt2) s"""
+    CASE WHEN product_id % 2 = 1 THEN concat('<ul class="product-information-item__list"><li>', markup, '</li><li>ab</li><li>Imported</li></ul>') ELSE '' END,
+    '<div class="product__description">', markup, '</div></body></html>') AS html
+FROM (SELECT *, replace(replace(replace(replace(materials, '–', CASE product_id % 4 WHEN 0 THEN '&#8211;' WHEN 1 THEN '&ndash;' WHEN 2 THEN '&#x2013;' ELSE '–' END), ' & ', ' &amp; '), 'é', '&eacute;'), '“', '&ldquo;') AS markup,
+  concat(replace(replace(lower(title), '''', ''), ' ', '-'), '-', CAST(product_id AS STRING)) AS slug FROM ({pt}) pt2) s"""
 
 VIEW_SQL["pv"] = PV_SQL
 VIEW_DEPS["pv"] = ["pt"]

@@ -11,14 +11,22 @@ a new run never touches an earlier one's rows. Saved URLs are kept in a
 narrow table of their own beside the sink; no batch reads the sink again.
 Reading the sink merges all parts with the batch plan's rule, so stream
 output equals batch output.
+
+With ``dedupe="changes"`` the state of a URL is the checksum of its last
+fetch: a page that was fetched again passes if its content has changed and is
+dropped if not, as ``changed_pages`` would decide. The sink then holds every
+content of a page, and ``read_sink(latest=True)`` takes the last one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.records import CATALOG_COLUMNS, dedup_first
 from ..plans.catalog import catalog_rows, finish_catalog
@@ -59,19 +67,55 @@ def land_pages(pages: DataFrame, landing: str, pages_per_file: int = 25) -> None
     pages.select("page_id", "url", "html").write.mode("append").option("maxRecordsPerFile", pages_per_file).parquet(landing)
 
 
+def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last fetch of a URL in this batch, if its checksum is not the one in the state."""
+    last = None
+    for frame in frames:
+        row = frame.sort_values(["page_id", "checksum"], na_position="first").iloc[[-1]]
+        if last is None or _later(row, last):
+            last = row
+    checksum = last["checksum"].iloc[0]
+    if not state.exists or state.get[0] != checksum:
+        state.update((checksum,))
+        yield last.drop(columns="checksum")
+
+
+def _later(a: pd.DataFrame, b: pd.DataFrame) -> bool:
+    def place(x):
+        return (not pd.isna(x["page_id"].iloc[0]), 0 if pd.isna(x["page_id"].iloc[0]) else x["page_id"].iloc[0], x["checksum"].iloc[0] or "")
+
+    return place(a) > place(b)
+
+
+def changed_stream(pages: DataFrame) -> DataFrame:
+    """Pages whose content is new or differs from the last fetch of their URL.
+
+    Keyed state holds one checksum a URL (checkpointed; use the RocksDB state
+    store for large URL sets), so it grows with the URLs and not with the
+    fetches. Of several fetches in one batch the one with the largest
+    ``page_id`` counts. A replayed batch finds the state as it was before it.
+    Works on a batch frame too, where nothing has been fetched before.
+    """
+    hashed = pages.withColumn("checksum", F.md5(F.coalesce("html", F.lit(""))))
+    return hashed.groupBy("url").applyInPandasWithState(_changed, pages.schema, "checksum string", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_catalog(spark: SparkSession, landing: str, sink: str, checkpoint: str, site: Site,
                    files_per_trigger: int = 1, skip_done: bool = True, dedupe: str = "state",
                    schema: str = PAGES_SCHEMA, event_time: str | None = None, delay: str = "7 days"):
     """Start the stream (``availableNow``: drain what has landed, then stop).
 
     ``dedupe``: ``"state"`` keeps every URL seen in the checkpointed state
-    (exact; use the RocksDB state store for large URL sets), ``"watermark"``
-    drops repeats within ``delay`` of ``event_time`` (bounded state), ``"none"``
+    (exact; use the RocksDB state store for large URL sets), ``"changes"`` keeps
+    the checksum of each URL's last fetch and lets changed pages pass (one
+    checkpoint a sink), ``"watermark"`` drops repeats within ``delay`` of ``event_time`` (bounded state), ``"none"``
     relies on the sink anti join only.
     """
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landing)
     if dedupe == "state":
         pages = pages.dropDuplicates(["url"])
+    elif dedupe == "changes":
+        pages, skip_done = changed_stream(pages), False  # a saved URL comes again when it has changed
     elif dedupe == "watermark":
         if not event_time:
             raise ValueError("dedupe='watermark' needs event_time")
@@ -98,9 +142,16 @@ def stream_catalog(spark: SparkSession, landing: str, sink: str, checkpoint: str
             .trigger(availableNow=True).start())
 
 
-def read_sink(spark: SparkSession, sink: str) -> DataFrame:
-    """All appended rows merged: first row per (style_id, color_name) in page order."""
+def read_sink(spark: SparkSession, sink: str, latest: bool = False) -> DataFrame:
+    """All appended rows merged: first row per (style_id, color_name) in page
+    order; with ``latest`` only rows of the last content of each page take part."""
     df = spark.read.parquet(sink)
+    if latest:
+        runs = [r.run_id for r in df.select("run_id").distinct().limit(2).collect()]
+        if len(runs) > 1:
+            raise ValueError(f"{sink}: batches of several checkpoints have no common order")
+        last = df.groupBy(F.col("product_url").alias("_url")).agg(F.max(F.struct("batch_id", "page_id")).alias("_last"))
+        df = df.join(last, F.col("product_url").eqNullSafe(F.col("_url")) & (F.struct("batch_id", "page_id") == F.col("_last")), "left_semi")
     return dedup_first(df, ["style_id", "color_name"], ["page_id", "pos"]).select(*CATALOG_COLUMNS)
 
 

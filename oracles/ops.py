@@ -3,7 +3,7 @@ elements, colour tables and validation."""
 
 from __future__ import annotations
 
-from .base import oracle, strip
+from .base import ORACLE, oracle, strip
 from .pages import CATALOG_SELECT, SHOP_PIPELINE, norm_img, unescape
 
 SHOP_BASE = "https://shop.example.com"
@@ -54,6 +54,9 @@ SELECT (SELECT count(*) FROM cat) AS total_variants, (SELECT count(DISTINCT prod
   (SELECT count(*) FROM pp WHERE url NOT IN (SELECT url FROM rec)) AS failed_products,
   (SELECT count(*) FROM pp WHERE url IN (SELECT url FROM st)) AS skipped""", "pt", "pp", "st")
 
+oracle("dedup_report", f"""{CATALOG}
+SELECT count(*) AS rows_in, count(DISTINCT (style_id, color_name)) AS rows_out, count(*) - count(DISTINCT (style_id, color_name)) AS duplicates_removed FROM rec""", "pt", "pp")
+
 oracle("image_reuse_audit", f"""SELECT image_url, count(DISTINCT product_url) AS n_products FROM (
   SELECT url AS product_url, {norm_img('src', SHOP_BASE)} AS image_url
   FROM (SELECT url, unnest(regexp_extract_all(html, '<img\\b[^>]*?\\s(?:data-)?src\\s*=\\s*"([^"]*)"', 1)) AS src FROM pp))
@@ -71,6 +74,8 @@ oracle("upsert_state", """SELECT p.url, md5(p.html) AS checksum,
 FROM pages p LEFT JOIN (SELECT url, arg_max(checksum, last_scraped) AS checksum, max(last_scraped) AS last_scraped FROM st GROUP BY url) s ON s.url = p.url""", "st")
 oracle("stale_pages", """SELECT p.url, s.last_scraped IS NULL OR s.last_scraped < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AS is_stale
 FROM pages p LEFT JOIN (SELECT url, max(last_scraped) AS last_scraped FROM st GROUP BY url) s ON s.url = p.url""", "st")
+ORACLE["advance_state"], ORACLE["bucketed_state"] = ORACLE["changed_pages"], ORACLE["upsert_state"]
+oracle("skipped_count", "SELECT count(*) AS skipped FROM pages WHERE url IN (SELECT url FROM st)", "st")
 oracle("skip_existing", "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM st)", "st")
 
 # ---- crawl ---------------------------------------------------------------------------
@@ -164,6 +169,20 @@ oracle("resolve_url", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href, {
   SELECT page_id, url, i, {unescape('hs[i]')} AS href FROM (
     SELECT page_id, url, hs, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT page_id, url, {HREFS} AS hs FROM pages)))""")
 
+def no_dots(path: str) -> str:
+    """``.`` and ``..`` of a path that begins with ``/``, folded from the left."""
+    segs = f"string_split({path}, '/')"
+    kept = (f"list_reduce(list_transform({segs}, lambda s: [s]), lambda a, s: CASE WHEN s[1] = '..' THEN a[1 : len(a) - 1] WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END)")
+    return f"array_to_string(CASE WHEN {segs}[-1] IN ('.', '..') THEN list_concat({kept}, ['']) ELSE {kept} END, '/')"
+
+
+oracle("resolve_dots", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href,
+  CASE WHEN starts_with(href, '//') THEN 'https:' || href WHEN starts_with(href, '/') THEN root || href
+       ELSE root || {no_dots("folder || split_part(href, '?', 1)")} || regexp_extract(href, '[?].*$', 0) END AS abs_url FROM (
+  SELECT page_id, i, {unescape('hs[i]')} AS href, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS root,
+    regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM (
+    SELECT page_id, url, hs, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT page_id, url, {HREFS} AS hs FROM pp)))""", "pt", "pp")
+
 oracle("source_site", "SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS source_site FROM pages")
 
 oracle("select_elements", """SELECT page_id,
@@ -194,6 +213,18 @@ WHERE rk = 1""", "px")
 
 _CSS = __import__("drapery.functions.color", fromlist=["CSS3_COLORS"]).CSS3_COLORS
 _CSS_VALUES = ", ".join(f"('{h}', '{n}')" for n, h in _CSS)
+oracle("css_color_nearest", f"""SELECT hex, arg_min(name, (d, ord)) AS name FROM (
+  SELECT hex, name, ord, (('0x' || hex[2:3])::INTEGER - ('0x' || h[2:3])::INTEGER) ** 2 + (('0x' || hex[4:5])::INTEGER - ('0x' || h[4:5])::INTEGER) ** 2
+    + (('0x' || hex[6:7])::INTEGER - ('0x' || h[6:7])::INTEGER) ** 2 AS d
+  FROM (SELECT DISTINCT '#' || upper(printf('%02x%02x%02x', r, g, b)) AS hex FROM px),
+    (SELECT h, last(name ORDER BY ord) AS name, min(ord) AS ord FROM (SELECT *, row_number() OVER () AS ord FROM (VALUES {_CSS_VALUES}) v(h, name)) GROUP BY h))
+GROUP BY hex""", "px")
+
+oracle("rules_by_index", """SELECT d.doc_id, coalesce(arg_min(r.label, (r.rank, r.label, r.keyword)), 'none') AS label FROM documents d LEFT JOIN (
+  SELECT DISTINCT -length(keyword) AS rank, keyword[1:2] AS label, keyword FROM (
+    SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark) WHERE keyword <> '') r ON contains(lower(d.text), r.keyword)
+GROUP BY d.doc_id""")
+
 oracle("css_color_name", f"""SELECT hex, coalesce((SELECT last(name ORDER BY ord) FROM (SELECT *, row_number() OVER () AS ord FROM (VALUES {_CSS_VALUES}) v(h, name)) WHERE h = '#' || six), 'Default') AS css_name
 FROM (SELECT hex, CASE WHEN regexp_matches(h, '^[0-9a-f]{{6}}$') THEN h
     WHEN regexp_matches(h, '^[0-9a-f]{{3}}$') THEN repeat(h[1], 2) || repeat(h[2], 2) || repeat(h[3], 2) END AS six

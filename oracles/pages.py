@@ -22,9 +22,18 @@ def obj_ok(s: str) -> str:
     return f"CASE WHEN json_valid({s}) THEN json_type({s}) = 'OBJECT' AND len(json_keys({s})) > 0 ELSE false END"
 
 
+# Names of character references that the fixtures use.
+REFS = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "ndash": "–", "eacute": "é", "ldquo": "“"}
+
+
 def unescape(x: str) -> str:
-    return (f"replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', chr(160)), '&lt;', '<'), "
-            f"'&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')")
+    """Decimal, hexadecimal and named references, each read once."""
+    names = "MAP {" + ", ".join(f"'{n}': '{c.replace(chr(39), chr(39) * 2)}'" for n, c in REFS.items()) + "}"
+    return (f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p "
+            f"WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+)', 1)::INTEGER) || regexp_replace(p, '^#[0-9]+;', '') "
+            f"WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+;') THEN chr(('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+)', 1))::INTEGER) || regexp_replace(p, '^#[^;]*;', '') "
+            f"WHEN {names}[regexp_extract(p, '^([A-Za-z]+);', 1)] IS NOT NULL THEN {names}[regexp_extract(p, '^([A-Za-z]+);', 1)] || regexp_replace(p, '^[A-Za-z]+;', '') "
+            f"ELSE '&' || p END), '')")
 
 
 def html2text(x: str) -> str:
@@ -443,3 +452,8 @@ oracle("union_sites", f"""{SHOP_PIPELINE}, shop_cat AS ({CATALOG_SELECT.strip().
 {_rename(SP_PIPELINE, 's_')}, style_cat AS ({_rename(SP_SELECT, 's_')})
 SELECT brand_name, style_id, color_name, product_url, sku, season FROM shop_cat
 UNION ALL SELECT brand_name, style_id, color_name, product_url, NULL, NULL FROM style_cat""", "pt", "pp", "sp")
+
+oracle("catalog_mixed", f"""{SHOP_PIPELINE}, shop_cat AS ({CATALOG_SELECT.strip().replace('FROM (SELECT *, ', 'FROM (SELECT *, color_name AS rec_color, ', 1)}
+  QUALIFY row_number() OVER (PARTITION BY style_id, rec_color ORDER BY page_id, pos) = 1)
+{_rename(SP_PIPELINE, 's_')}, style_cat AS ({_rename(SP_SELECT, 's_')})
+SELECT * FROM shop_cat UNION ALL BY NAME SELECT * FROM style_cat""", "pt", "pp", "sp")
