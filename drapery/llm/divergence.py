@@ -86,7 +86,7 @@ def _bags(docs: DataFrame, groups: DataFrame) -> tuple[str, DataFrame]:
     before = spark.conf.get(writers)
     spark.conf.set(writers, "64")
     try:
-        bags.write.partitionBy("lang_no").parquet(path)
+        bags.write.partitionBy("lang_no").option("parquet.enable.dictionary", "false").parquet(path)  # terms are mostly rare ones
     finally:
         spark.conf.set(writers, before)
     return path, spark.read.schema("group long, size long, probe array<string>, terms array<string>, lang_no long").parquet(path)
