@@ -94,7 +94,7 @@ def changed_stream(pages: DataFrame) -> DataFrame:
     store for large URL sets), so it grows with the URLs and not with the
     fetches. Of several fetches in one batch the one with the largest
     ``page_id`` counts. A replayed batch finds the state as it was before it.
-    Works on a batch frame too, where nothing has been fetched before.
+    Frames must be streaming ones; ``changed_pages`` is the batch form.
     """
     hashed = pages.withColumn("checksum", F.md5(F.coalesce("html", F.lit(""))))
     return hashed.groupBy("url").applyInPandasWithState(_changed, pages.schema, "checksum string", "append", GroupStateTimeout.NoTimeout)

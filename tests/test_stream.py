@@ -2,9 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from drapery.operators import incremental as INC
 from drapery.sources.sites import SITES
 from drapery.streaming import stream_catalog as S
 
@@ -49,17 +46,6 @@ def test_changed_pages_pass_and_unchanged_ones_do_not(spark, tmp_path):
     assert {r.batch_id: r.pages for r in S.batch_progress(spark, sink).collect()} == {0: 3, 1: 2, 2: 2}
 
 
-def test_stream_of_changes_agrees_with_the_batch_rule(spark):
-    rows = [(i, f"u{i % 7}" if i % 11 else None, f"html {i % 3}" if i % 5 else None) for i in range(60)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {(r.url, r.html) for r in S.changed_stream(pages).collect()}
-    want = INC.changed_pages(pages.withColumn("html", F.coalesce("html", F.lit(""))), spark.createDataFrame([], "url string, checksum string, last_scraped timestamp"), dt.datetime(2024, 1, 1))
-    last = {}
-    for i, url, html in rows:
-        last[url] = html
-    assert got == set(last.items()) and {r.url for r in want.collect()} == set(last)
-
-
 def test_watermark_drops_repeats_within_the_delay(spark, tmp_path):
     landing, sink, ckpt = (f"file://{tmp_path}/{x}" for x in ("landing", "sink", "checkpoint"))
     schema = S.PAGES_SCHEMA + ", fetched timestamp"
