@@ -127,7 +127,8 @@ def upsert_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, buckets: i
     """Merge rows into a saved catalog: a saved row is replaced when its
     (style_id, color_name) comes again; all others stay. Only the buckets the
     rows fall into are read and written (see ``catalog_store``). A catalog that
-    ``write_catalog`` has saved at ``path`` is taken over with the first upsert."""
+    ``write_catalog`` has saved at ``path`` is taken over with the first upsert.
+    Returns ``{"rows", "invalid"}`` of the new rows."""
     spark = df.sparkSession
     if not catalog_store.is_store(spark, path) and (plain := _readable(spark, path)):
         saved, kept = standardize(read_catalog(spark, path, columns, "parquet"), columns), path.rstrip("/") + PREVIOUS
@@ -138,7 +139,8 @@ def upsert_catalog(df: DataFrame, path: str, columns=CATALOG_COLUMNS, buckets: i
             if plain == kept:
                 files.rename(name + PREVIOUS, name)
             _replace(files, store.split("/")[-1], name)
-    return catalog_store.upsert(df, path, columns, buckets)
+    found = catalog_store.upsert(df, path, columns, buckets)
+    return {"rows": found["rows"], "invalid": found["invalid"]}
 
 
 def write_sorted_dedup(df: DataFrame, path: str, columns=CATALOG_COLUMNS_V1) -> None:
