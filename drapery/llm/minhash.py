@@ -13,12 +13,14 @@ probability of 3e-7 and is estimated too low with one of 2e-6. All others are
 confirmed on their full sets.
 
 Copies of a text are one node (keyed by md5). Groups are found without pairing
-all members: first every node meets, for each band, one leader of its bucket
-(the smallest under a hash of the bucket, so buckets of one group have
-different leaders); its best candidate is confirmed, links are contracted to
-components, then the other leaders in different components are confirmed. Only
-pairs of a bucket whose ends are still in different components remain; all of
-them are estimated and confirmed, so no link between components is lost.
+all members: a bucket's leader is its smallest node under one hash for all
+bands, so the buckets of a group share few leaders. In each of ``ROUNDS`` turns
+a node meets one leader, the one it shares most bands with of those it has not
+met and is still apart from; the pair is estimated and confirmed, and links are
+contracted to components. A turn joins one pair a node with signatures and
+texts. Only pairs of a bucket whose ends are still in different components
+remain; all of them are estimated and confirmed, so no link between components
+is lost.
 Components come from alternating large-star and small-star steps on tables in
 the shared folder; links, labels and hashes never leave the executors.
 
@@ -46,6 +48,8 @@ NIBBLES = 16
 MARGIN = 4.6
 #: Rows of node keys (16 bytes each) that may be broadcast.
 SMALL = 400_000
+#: Leaders that a node meets one after the other while it is apart from them.
+ROUNDS = 3
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _MUL = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -234,15 +238,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
             pairs = pairs.join(sigs.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
         return pairs.withColumn("est", estimate("sig_a", "sig_b")).filter(F.col("est") >= least_estimate(threshold)).select("a", "b", "est")
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        """Distinct unordered pairs whose sizes allow the threshold."""
-        fits = F.least("n_a", "n_b") * exact.denominator >= F.greatest("n_a", "n_b") * exact.numerator
-        return rows.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    leaders = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n")).alias("l"))
-    met = (entries.join(leaders, "bucket").filter("node <> l.node")
-           .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("l.node").alias("b"), F.col("l.n").alias("n_b")))
-    star = materialize(estimated(pairs_of(met)), "leader-pairs")
+    # one hash of a node for all bands, so that the buckets of a near copy mostly have the same leader
+    leaders = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"))
+    fits = F.least("n", "l.n") * exact.denominator >= F.greatest("n", "l.n") * exact.numerator
+    met = entries.join(leaders, "bucket").filter("node <> l.node").filter(fits)
+    met = met.groupBy("node", F.col("l.node").alias("lead")).agg(F.count("*").alias("shared"))
+    star = materialize(met.select("node", "shared", F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), "leader-pairs")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -256,15 +257,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
         pairs = materialize(pairs.select("a", "b"), f"{name}-pairs")
         return materialize(map_batches(with_texts(pairs), _confirm(shingle, exact), "a binary, b binary, linked boolean"), f"{name}-confirmed")
 
-    ends = star.select(F.col("a").alias("node"), "est", F.struct("a", "b").alias("pair")).unionByName(
-        star.select(F.col("b").alias("node"), "est", F.struct("a", "b").alias("pair")))
-    best = ends.groupBy("node").agg(F.max(F.struct("est", "pair")).alias("m")).select("m.pair.a", "m.pair.b").distinct()
-    tested = confirmed(best, "best")
-    labels = merged(None, tested.filter("linked"))
+    # a node meets one leader a round, the one it shares most bands with of those it is still apart from
+    labels, tried, tested = None, None, None
+    for turn in range(ROUNDS):
+        apart = star if labels is None else _labelled(star, labels)
+        if tried is not None:
+            apart = apart.join(tried, ["a", "b"], "left_anti")
+        best = apart.groupBy("node").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        best = materialize(best, f"best-{turn}")
+        done = confirmed(estimated(best), f"leaders-{turn}")
+        tried, tested = (best, done) if turn == 0 else (tried.unionByName(best), tested.unionByName(done))
+        labels = merged(labels, done.filter("linked"))
     if labels is None:
         labels = tested.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
-    more = confirmed(_labelled(star.join(tested, ["a", "b"], "left_anti"), labels), "leaders")
-    tested, labels = tested.unionByName(more), merged(labels, more.filter("linked"))
     # what is left: pairs of a bucket in different components; a pair is taken in the first band it shares, if its
     # sizes and signatures allow the threshold
     member = entries.join(labels, "node", "left").select("bucket", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
