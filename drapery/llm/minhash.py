@@ -13,12 +13,25 @@ probability of 3e-7 and is estimated too low with one of 2e-6. All others are
 confirmed on their full sets.
 
 Copies of a text are one node (keyed by md5). Groups are found without pairing
-all members: first every node meets, for each band, one leader of its bucket
-(the smallest under a hash of the bucket, so buckets of one group have
-different leaders); its best candidate is confirmed, links are contracted to
-components, then the other leaders in different components are confirmed. Only
-pairs of a bucket whose ends are still in different components remain; all of
-them are estimated and confirmed, so no link between components is lost.
+all members: first every node meets, for each band, the leader of its bucket,
+the most central member: the one whose buckets have the most members in all.
+Among near copies of one text that is the text itself or the copy nearest to
+it, the same in nearly all bands, so a node meets a few leaders and links with
+one of them. Its best candidate is confirmed, links are contracted to
+components, then the other leaders in different components are confirmed.
+
+Pairs of a bucket whose ends are still in different components are not all
+looked at: ``_beside`` writes each member as its differences from a pivot P, the
+most central node in the component of the bucket's leader. With c = t / (1 + t)
+for the threshold t, sets x and y are linked if they have c (|x| + |y|) shingles
+in common, and they have |P| - |out x| - |out y| of them plus the differences
+they share. Ends both linked with P are in one component; so one end is not,
+|P| - |out| < c (|own| + |P|) for it, and it follows that the other end shares
+more than |out| + c (|own| - |P|) of its differences, and the unlinked one at
+least c (|own| + |P|) - |P| + |out|. A pair that shares k differences shares one
+among all but the k - 1 commonest of either's, and after the first one it
+shares both have k - 1 left; so rare differences are joined, few pairs are
+estimated and confirmed, and no link between components is lost.
 Components come from alternating large-star and small-star steps on tables in
 the shared folder; links, labels and hashes never leave the executors.
 
@@ -36,6 +49,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, up_to
@@ -150,6 +164,39 @@ def _confirm(size: int, threshold: Fraction) -> Callable:
     return run
 
 
+def _beside(size: int, threshold: Fraction) -> Callable:
+    """Members ``a`` beside their pivot ``b``: whether they are linked, their differences, and among how many of these,
+    the rarest first, is one that a partner in another component shares: ``narrow`` if the partner isn't linked with
+    the pivot, ``wide`` if it is (then the member isn't). ``need`` of both, over 2 (p + q) for the threshold p / q, is how
+    many differences a linked pair shares."""
+    p, q = threshold.numerator, threshold.numerator + threshold.denominator
+
+    def run(batches):
+        for batch in batches:
+            left, right = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
+            linked, narrow, wide, need, differences = [], [], [], [], []
+            for i, j in blocks([x + y for x, y in zip(left, right)]):
+                sets = []
+                for side in (left, right):
+                    h, count = distinct(*shingles(side[i:j], size))
+                    sets.append(np.split(h, np.cumsum(count)[:-1]))
+                for own, pivot in zip(*sets):
+                    d = np.setxor1d(own, pivot, True)
+                    both = (len(own) + len(pivot) - len(d)) // 2
+                    out = len(pivot) - both
+                    near = q * both >= p * (len(own) + len(pivot))
+                    linked.append(near)
+                    narrow.append(len(d) - (q * out + p * (len(own) - len(pivot))) // q)
+                    wide.append(0 if near else len(d) + 1 + (q * both - p * (len(own) + len(pivot))) // q)
+                    need.append(2 * (p * len(own) + q * out) - q * len(pivot))
+                    differences.append(d.view(np.int64) if max(narrow[-1], wide[-1]) > 0 else d[:0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(narrow, pa.int64()),
+                                              pa.array(wide, pa.int64()), pa.array(need, pa.int64()),
+                                              pa.array(differences, pa.list_(pa.int64()))],
+                                             names=["a", "b", "linked", "narrow", "wide", "need", "differences"])
+    return run
+
+
 def estimate(a: str, b: str) -> Column:
     """Collision-corrected similarity of two packed signatures (columns of 32 longs)."""
     words = HASHES // NIBBLES
@@ -224,10 +271,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
     meta = materialize(map_batches(d, _signatures(shingle), f"id {kind}, node binary, n_shingles bigint, sig array<bigint>, bands array<bigint>"), "signatures")
     nodes = meta.filter("n_shingles > 0").groupBy("node").agg(
         F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    entries = materialize(entries.join(shared, "bucket", "left_semi").select("bucket", "band", "node", "n"), "buckets")
-    sigs = materialize(nodes.select("node", "sig", "bands").join(entries.select("node").distinct(), "node", "left_semi"), "bucketed-signatures")
+    entries = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    entries = materialize(entries.join(shared, "bucket").select("bucket", "node", "n", "members"), "buckets")
+    sigs = materialize(nodes.select("node", "sig").join(entries.select("node").distinct(), "node", "left_semi"), "bucketed-signatures")
 
     def estimated(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -239,7 +286,9 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
         fits = F.least("n_a", "n_b") * exact.denominator >= F.greatest("n_a", "n_b") * exact.numerator
         return rows.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    leaders = entries.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node", "n")).alias("l"))
+    central = entries.groupBy("node").agg(F.sum("members").alias("around"))
+    leaders = (entries.select("bucket", "node", "n").join(central, "node").groupBy("bucket")
+               .agg(F.max(F.struct("around", F.xxhash64("node").alias("h"), "node", "n")).alias("l")))
     met = (entries.join(leaders, "bucket").filter("node <> l.node")
            .select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("l.node").alias("b"), F.col("l.n").alias("n_b")))
     star = materialize(estimated(pairs_of(met)), "leader-pairs")
@@ -265,18 +314,35 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
         labels = tested.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
     more = confirmed(_labelled(star.join(tested, ["a", "b"], "left_anti"), labels), "leaders")
     tested, labels = tested.unionByName(more), merged(labels, more.filter("linked"))
-    # what is left: pairs of a bucket in different components; a pair is taken in the first band it shares, if its
-    # sizes and signatures allow the threshold
-    member = entries.join(labels, "node", "left").select("bucket", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # what is left: pairs of a bucket in different components, by what they share beside the pivot
+    member = entries.join(labels, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     several = member.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
-    member = member.join(several, "bucket", "left_semi").join(sigs, "node")
-    one, two = (member.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("band", "node", "n", "comp", "sig", "bands")]) for side in "ab")
-    first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band_a") + 1
+    centers = (central.join(labels, "node", "left").groupBy(F.coalesce("comp", "node").alias("comp"))
+               .agg(F.max(F.struct("around", F.xxhash64("node").alias("h"), "node")).alias("c")).select("comp", F.col("c.node").alias("b")))
+    pivots = (leaders.join(several, "bucket", "left_semi").select("bucket", F.col("l.node").alias("node")).join(labels, "node", "left")
+              .select("bucket", F.coalesce("comp", "node").alias("comp")).join(centers, "comp").select("bucket", "b"))
+    own = materialize(member.select("bucket", F.col("node").alias("a")).join(pivots, "bucket").select("a", "b").distinct(), "beside-pairs")
+    beside = materialize(map_batches(with_texts(own), _beside(shingle, exact), "a binary, b binary, linked boolean, narrow bigint, wide bigint, "
+                                     "need bigint, differences array<bigint>"), "beside")
+    labels = merged(labels, beside.filter("linked AND a <> b"))  # those that an estimate has dropped, if any
+    spread = beside.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "linked", "narrow", "wide", "need",
+                           F.size("differences").alias("all"), F.explode("differences").alias("token"))
+    common = spread.groupBy("pivot", "token").agg(F.count("*").alias("times"))
+    rarest = F.row_number().over(W.partitionBy("pivot", "node").orderBy("times", "token"))
+    rows = (spread.join(common, ["pivot", "token"]).withColumn("at", rarest).filter("times > 1 AND at <= greatest(narrow, wide)")
+            .join(labels, "node", "left").join(nodes.select("node", "n"), "node")
+            .select("pivot", "token", "node", "n", F.coalesce("comp", "node").alias("comp"), "linked", "need",
+                    (F.col("all") - F.col("at") + 1).alias("rest"), F.expr("at <= narrow").alias("narrow")))
+    rows = materialize(rows, "differences")
+    columns = ("node", "n", "comp", "linked", "need", "rest", "narrow")
+    one, two = (rows.select("pivot", "token", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
     fits = F.least("n_a", "n_b") * exact.denominator >= F.greatest("n_a", "n_b") * exact.numerator
-    crossing = (one.alias("l").join(two.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("comp_a") < F.col("comp_b")) & fits
-                                    & (estimate("sig_a", "sig_b") >= least_estimate(threshold)) & first_shared))
-    left = crossing.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    left = left.join(tested, ["a", "b"], "left_anti")
+    enough = F.col("need_a") + F.col("need_b") <= 2 * (exact.numerator + exact.denominator) * F.least("rest_a", "rest_b")
+    crossing = (one.filter("NOT linked_a").join(two.filter("narrow_b"), ["pivot", "token"])
+                .filter((F.col("comp_a") != F.col("comp_b")) & fits & enough
+                        & (F.col("linked_b") | (F.col("narrow_a") & (F.col("node_a") < F.col("node_b"))))))
+    left = crossing.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    left = estimated(left.join(tested, ["a", "b"], "left_anti"))
     labels = merged(labels, confirmed(left, "left").filter("linked"))
 
     rows = meta.select("id", "node", "n_shingles").join(labels, "node", "left")

@@ -98,6 +98,21 @@ def test_groups_chain(spark):
     assert groups_of(docs, 2) == sorted(brute_groups(rows, 2))
 
 
+def test_groups_at_the_threshold(spark):
+    """Copies around the threshold, of several lengths and with families inside the family: no link is lost."""
+    rng = random.Random(21)
+    base, rows = [f"v{i}" for i in range(120)], []
+    for family in range(4):
+        words = [f"f{family}x{i}" if family and rng.random() < 0.1 else w for i, w in enumerate(base)]
+        for _ in range(70):
+            rate, cut = rng.choice([0.01, 0.04, 0.07, 0.1]), rng.choice([0, 0, 5, 20])
+            copy = [f"u{rng.randint(0, 400)}" if rng.random() < rate else w for w in words[:len(words) - cut]]
+            rows.append((len(rows), " ".join(copy + [f"z{rng.randint(0, 9)}"] * rng.choice([0, 0, 6]))))
+    want = brute_groups(rows, 2)
+    assert 10 < len({x[2] for x in want}) < 150
+    assert groups_of(spark.createDataFrame(rows, "doc_id long, text string"), 2) == want
+
+
 def test_groups_documents(spark, documents):
     assert rows_of(queries.op4_minhash(spark, SF)) == brute_groups(documents, 2)
 
