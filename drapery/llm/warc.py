@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 CELLS = 4096
+#: Archive bytes (compressed) that a task reads, where there are more files than cores.
+READ_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temporary string, name string, records bigint, bytes bigint, sha256 string, first_id {id}, last_id {id}"
 _BAD = re.compile(r"[\x00-\x20\x7f]")
@@ -272,7 +274,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """One row per response or revisit of the archives that the manifest names."""
     files = spark.read.parquet(f"{path}/manifest")
     kind = files.schema["first_id"].dataType.simpleString()
-    files = files.select("name", "records").repartition("name")  # a task takes whole files
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(-(-size // READ_BYTES), spark.sparkContext.defaultParallelism)))
+    files = files.select("name", "records").repartition(tasks, "name")  # a stated number isn't coalesced; a task takes whole files
     out = files.mapInArrow(_read_files(path, payloads), "page_id string, url string, payload binary, payload_bytes bigint, "
                            "payload_digest string, record_type string, refers_to string")
     return out.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
