@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.str
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 #: Latin letters, then ASCII marks without the apostrophe: the tokenizer always splits between the two.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_PLAIN = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
 
 
 class WordEncoder:
@@ -69,28 +70,27 @@ class WordEncoder:
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
 
-    def _letters(self, letters: str) -> bytes:
-        lower = letters.lower()
-        found = self.pieces.get(lower)
-        if found is None:
-            chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
-            found = self.pieces[lower] = np.array([t.id for t in self.model.tokenize(chars)], "<u4").tobytes()
+    def _letters(self, lower: str) -> bytes:
+        chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.model.tokenize(chars)]
+        found = self.pieces[lower] = pack(f"<{len(ids)}I", *ids)
         return found
 
     def _learn(self, new: list[bytes]) -> None:
-        rest, marks = [], set()
-        for w in new:
-            m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
-            if m is None:
-                rest.append(w)
-            elif m[2] and m[2] not in self.pieces:
-                marks.add(m[2])
-        self.pieces.update(zip(marks, self._whole(list(marks))))
-        self.known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
-        for w in new:
-            if w not in self.known:
-                m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
-                self.known[w] = self._letters(m[1]) + (self.pieces[m[2]] if m[2] else b"")
+        known, pieces = self.known, self.pieces
+        # words hold no line ends: one search takes all of them apart, in order
+        parts = _PLAIN.findall(b"\n".join(new).decode("utf-8", "replace"))
+        rest = [w for w, (letters, _) in zip(new, parts) if not letters]
+        marks = list({mark for _, mark in parts if mark and mark not in pieces})
+        pieces.update(zip(marks, self._whole(marks)))
+        known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
+        for w, (letters, mark) in zip(new, parts):
+            if letters:
+                lower = letters.lower()
+                found = pieces.get(lower)
+                if found is None:
+                    found = self._letters(lower)
+                known[w] = found + pieces[mark] if mark else found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > MEMO:
@@ -99,7 +99,7 @@ class WordEncoder:
             self.pieces.clear()
         split = [t.split() for t in texts]
         known = self.known
-        if new := list({w for ws in split for w in ws if w not in known}):
+        if new := list(set().union(*split).difference(known)):
             self._learn(new)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
