@@ -9,7 +9,8 @@ offsets of the files add up in a prefix sum over one row per file.
 groups by the column statistics and the Bloom filter.
 
 Words are encoded once and remembered: the tokenizer drops white space and
-never joins across it, so a text's ids are its words' ids in order.
+never joins across it, nor between Latin letters and most marks behind them, so
+a text's ids are its pieces' ids in order.
 
 Defined results: null text is encoded as empty (only the end id); rows with a
 null id come first; rows with equal ids are ordered by a hash of the text;
@@ -21,7 +22,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from struct import pack
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, scratch, up_to
+from .textscan import blocks
 
-#: Words and pieces of words remembered per worker; a word made of a known piece is cheap to learn again.
-MEMO, PIECES = 400_000, 900_000
+#: Pieces of words remembered per worker.
+MEMO = 900_000
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
            "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -45,12 +47,44 @@ _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enu
 _PLAIN = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
 
 
+_GAP, _LETTER, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _GAP
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = _LETTER
+_CLASS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = _MARK
+
+
+def runs(data: bytes) -> np.ndarray:
+    """Where the runs of ``data`` begin and the last one ends: white space, words of letters, the marks right behind
+    those, and other words whole. ``data`` begins and ends with white space."""
+    buf = np.frombuffer(data, np.uint8)
+    kind = _CLASS[buf]
+    lead = np.flatnonzero(buf == 0xC3)  # of U+00C0 to U+00FF, letters but for two
+    sign = (buf[lead + 1] == 0x97) | (buf[lead + 1] == 0xB7)
+    kind[lead[~sign] + 1] = _LETTER
+    kind[lead[sign]] = _OTHER
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    before, after = kind[edge - 1], kind[edge]
+    cut = (before == _LETTER) & (after == _MARK)
+    cut[1:] &= before[:-1] == _GAP
+    cut[:-1] &= after[1:] == _GAP
+    return np.concatenate([[0], edge[cut | (before == _GAP) | (after == _GAP)], [len(buf)]])
+
+
+def _items(column: pa.LargeBinaryArray) -> list[bytes]:
+    """``to_pylist`` without a scalar per value."""
+    _, at, data = column.buffers()
+    at, data = np.frombuffer(at, np.int64)[: len(column) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 class WordEncoder:
-    """Ids of texts as little-endian bytes, word by word.
+    """Ids of texts, piece by piece.
 
     A word of Latin letters goes to the vocabulary's own model in the form the
-    tokenizer would give it (lower case, bytes as characters); any other word
-    goes through the whole tokenizer.
+    tokenizer would give it (lower case, bytes as characters), apart from marks
+    behind it; any other word goes through the whole tokenizer. The pieces of a
+    block of texts are told apart by Arrow, so that only distinct ones are looked up.
     """
 
     def __init__(self, path: str):
@@ -64,44 +98,76 @@ class WordEncoder:
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and pre == ["Split", "ByteLevel"]
         if not self.plain:
             raise ValueError(f"{path}: not a tokenizer that splits at white space and lower-cases")
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._reset()
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
+    def _reset(self) -> None:
+        self.known: dict[bytes, int] = {}  # piece -> its place in ``ends``
+        self.ids, self.ends = array("I"), array("q", [0])
 
-    def _letters(self, lower: str) -> bytes:
-        chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
-        ids = [t.id for t in self.model.tokenize(chars)]
-        found = self.pieces[lower] = pack(f"<{len(ids)}I", *ids)
+    def _add(self, piece: bytes, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.known[piece] = found = len(self.ends)
+        self.ends.append(len(self.ids))
         return found
 
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
+
+    def _letters(self, lower: str) -> list[int]:
+        chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(chars)]
+
     def _learn(self, new: list[bytes]) -> None:
-        known, pieces = self.known, self.pieces
-        # words hold no line ends: one search takes all of them apart, in order
+        known = self.known
+        # pieces hold no line ends: one search takes all of them apart, in order
         parts = _PLAIN.findall(b"\n".join(new).decode("utf-8", "replace"))
-        rest = [w for w, (letters, _) in zip(new, parts) if not letters]
-        marks = list({mark for _, mark in parts if mark and mark not in pieces})
-        pieces.update(zip(marks, self._whole(marks)))
-        known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])))
-        for w, (letters, mark) in zip(new, parts):
-            if letters:
-                lower = letters.lower()
-                found = pieces.get(lower)
-                if found is None:
-                    found = self._letters(lower)
-                known[w] = found + pieces[mark] if mark else found
+        rest = []
+        for piece, (letters, marks) in zip(new, parts):
+            if not letters or marks:
+                rest.append(piece)
+                continue
+            lower = letters.lower()
+            if lower == letters:
+                if piece not in known:
+                    self._add(piece, self._letters(lower))
+                continue
+            key = lower.encode()
+            found = known.get(key)
+            known[piece] = self._add(key, self._letters(lower)) if found is None else found
+        for piece, ids in zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest])):
+            self._add(piece, ids)
+
+    def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        if len(self.known) > MEMO:
+            self._reset()
+        data = b"\n" + b"\n".join(texts) + b"\n"
+        at = runs(data)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        names, known = _items(pieces.dictionary), self.known
+        found = [known.get(x, 0) for x in names]
+        if 0 in found:
+            new = [x for x, place in zip(names, found) if not place]
+            for gap in filter(bytes.isspace, new):
+                self._add(gap, [])
+            if new := [x for x in new if x not in known]:
+                self._learn(new)
+            found = [place or known[x] for x, place in zip(names, found)]
+        ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)
+        place = np.array(found, np.int64)
+        place = place[pieces.indices.to_numpy()]
+        first, n = ends[place - 1], ends[place] - ends[place - 1]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.arange(stop[-1]) + np.repeat(first - stop[:-1], n)]
+        begin = 1 + np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        return out, np.diff(stop[np.searchsorted(at[:-1], begin)], prepend=0)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > MEMO:
-            self.known.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        split = [t.split() for t in texts]
-        known = self.known
-        if new := list(set().union(*split).difference(known)):
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        """The ids of each text as little-endian bytes."""
+        if not texts:
+            return []
+        ids, n = self.block(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -115,21 +181,19 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _encode_batches(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         enc, start = encoder(path), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for lo in range(0, len(texts), 128):
-                ids = [x + end for x in enc.encode(texts.slice(lo, 128).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in blocks(texts):
+                ids, n = enc.block(texts[lo:hi])
+                values = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
+                n = n + 1
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 before = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 128), pa.array(before), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(before), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(values))],
                     names=["doc_id", "file_start", "n_tokens", "ids"])
     return run
 

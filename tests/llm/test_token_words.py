@@ -32,3 +32,21 @@ def test_words_are_taken_apart_in_one_search(monkeypatch):
     enc.encode([b"one two three", b"four, five"])
     enc.encode([b"one two three", b"four, five"])
     assert Counted.calls == 1
+
+
+def test_a_block_is_looked_up_by_its_distinct_pieces():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    enc = WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    enc.known = Counted()
+    texts = ["one two, three " * 500, "", "Café!! one× ÷! don't! ÉTÉ. <|endoftext|>! a!b ́x  y!"]
+    got = enc.encode([t.encode() for t in texts])
+    assert Counted.asked < 60
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+    assert enc.encode([]) == [] and enc.encode([b"", b""]) == [b"", b""]
