@@ -49,11 +49,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Files per core of a table of keys, however many partitions its shuffle has.
+KEY_FILES = 4
+
+
+def materialize(df: DataFrame, name: str, keys_only: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
+    survives lost executors. Tables of keys go into a few files per core: where
+    Hadoop has no native library, each file starts processes that set its mode."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if keys_only:
+        df = df.coalesce(KEY_FILES * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -218,7 +218,7 @@ def least_estimate(threshold: float) -> float:
 
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` (smallest node key reachable) of every node that is in a link ``a, b``."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -228,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = (small.select(F.col("u"), F.col("m").alias("v"))
                  .unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        edges = materialize(edges, "links")
+        edges = materialize(edges, "links", True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -249,15 +249,15 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """Labels after more links: only links between components are followed."""
     if labels is not None:
         links = _labelled(links, labels).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-    links = materialize(links.select("a", "b").distinct(), "open-links")
+    links = materialize(links.select("a", "b").distinct(), "open-links", True)
     if links.isEmpty():
         return labels
-    joined = materialize(components(links), "joined")
+    joined = materialize(components(links), "joined", True)
     if labels is None:
         return joined
     moved = labels.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left")
     return materialize(moved.select("node", F.coalesce("new", "comp").alias("comp")).unionByName(
-        joined.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels")
+        joined.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "labels", True)
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +302,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """``a, b, linked`` of the pairs, in the shared folder."""
-        pairs = materialize(pairs.select("a", "b"), f"{name}-pairs")
+        pairs = materialize(pairs.select("a", "b"), f"{name}-pairs", True)
         return materialize(map_batches(with_texts(pairs), _confirm(shingle, exact), "a binary, b binary, linked boolean"), f"{name}-confirmed")
 
     ends = star.select(F.col("a").alias("node"), "est", F.struct("a", "b").alias("pair")).unionByName(
@@ -321,7 +321,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, id_co
                .agg(F.max(F.struct("around", F.xxhash64("node").alias("h"), "node")).alias("c")).select("comp", F.col("c.node").alias("b")))
     pivots = (leaders.join(several, "bucket", "left_semi").select("bucket", F.col("l.node").alias("node")).join(labels, "node", "left")
               .select("bucket", F.coalesce("comp", "node").alias("comp")).join(centers, "comp").select("bucket", "b"))
-    own = materialize(member.select("bucket", F.col("node").alias("a")).join(pivots, "bucket").select("a", "b").distinct(), "beside-pairs")
+    own = materialize(member.select("bucket", F.col("node").alias("a")).join(pivots, "bucket").select("a", "b").distinct(), "beside-pairs", True)
     beside = materialize(map_batches(with_texts(own), _beside(shingle, exact), "a binary, b binary, linked boolean, narrow bigint, wide bigint, "
                                      "need bigint, differences array<bigint>"), "beside")
     labels = merged(labels, beside.filter("linked AND a <> b"))  # those that an estimate has dropped, if any
