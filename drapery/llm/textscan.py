@@ -13,7 +13,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32  # A-Z
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15 | 1)
-SLICE = 1 << 20
+_BACK = pow(int(_BASE), -1, 2**64)
+_BYTE[_GAP] = 0  # what separates words adds nothing to them
+SLICE = 1 << 17
+KEEP = 1 << 20
 BLOCK_BYTES = 2 << 20
 
 
@@ -24,6 +27,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_kept: dict[int, np.ndarray] = {}
+
+
+def kept_powers(base: int, n: int) -> np.ndarray:
+    """:func:`powers`, remembered up to ``KEEP`` of them."""
+    if n > KEEP:
+        return powers(base, n)
+    if base not in _kept or len(_kept[base]) < n:
+        _kept[base] = powers(base, min(KEEP, 1 << max(0, n - 1).bit_length()))
+    return _kept[base][:max(n, 1)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -49,19 +64,19 @@ class Words:
         self.hash = self._hash(buf)
 
     def _hash(self, buf: np.ndarray) -> np.ndarray:
+        """Per word the sum of its bytes' values times powers that count from the word's begin: summed over
+        the slice's powers, then taken back by the power at the begin."""
         n = len(self.start)
         out = np.empty(n, np.uint64)
-        length = self.end - self.start
         i = 0
         while i < n:
             j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + SLICE)))
-            begin, size = self.start[i:j], length[i:j]
-            at = np.concatenate([[0], np.cumsum(size)])
-            inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
-            value = _BYTE[buf[np.repeat(begin, size) + inside]] * powers(int(_BASE), int(size.max()))[inside]
-            out[i:j] = np.add.reduceat(value, at[:-1]) + size.astype(np.uint64)
+            begin = self.start[i:j] - self.start[i]
+            value = _BYTE[buf[self.start[i]:self.end[j - 1]]]
+            value *= kept_powers(int(_BASE), len(value))
+            out[i:j] = np.add.reduceat(value, begin) * kept_powers(_BACK, int(begin[-1]) + 1)[begin]
             i = j
-        return mix(out)
+        return mix(out + (self.end - self.start).astype(np.uint64))
 
     def text_of(self) -> np.ndarray:
         """The text that each word belongs to."""
@@ -78,8 +93,8 @@ class Grams:
         base = (0xD1342543DE82EF95 + 2 * 0x632BE59BD9B4E019 * salt) | 1
         h = mix(hashes + U((0x9E3779B97F4A7C15 * (salt + 1)) % 2**64))
         n = len(h)
-        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, n)[:n], dtype=np.uint64)])
-        self.back = powers(pow(base, -1, 2**64), n + 1)
+        self.sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * kept_powers(base, n)[:n], dtype=np.uint64)])
+        self.back = kept_powers(pow(base, -1, 2**64), n + 1)
 
     def at(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.sum[stop] - self.sum[start]) * self.back[start])
