@@ -20,6 +20,7 @@ empty input gives files without rows. Other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, scratch, up_to
 from .textscan import blocks
 
-#: Pieces of words remembered per worker.
-MEMO = 900_000
+#: Pieces of words remembered per worker, and bytes of them and their ids; a piece may be as long as its text.
+MEMO, HELD_BYTES = 300_000, 16 << 20
+#: Bytes of text handled at once: a block's arrays of numbers take about thirty times that.
+BLOCK_BYTES = 1 << 20
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "1000",
            "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -103,11 +106,13 @@ class WordEncoder:
     def _reset(self) -> None:
         self.known: dict[bytes, int] = {}  # piece -> its place in ``ends``
         self.ids, self.ends = array("I"), array("q", [0])
+        self.held = 0
 
     def _add(self, piece: bytes, ids: list[int]) -> int:
         self.ids.extend(ids)
         self.known[piece] = found = len(self.ends)
         self.ends.append(len(self.ids))
+        self.held += len(piece) + 4 * len(ids)
         return found
 
     def _whole(self, words: list[str]) -> list[list[int]]:
@@ -139,7 +144,7 @@ class WordEncoder:
 
     def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
-        if len(self.known) > MEMO:
+        if len(self.known) > MEMO or self.held > HELD_BYTES:
             self._reset()
         data = b"\n" + b"\n".join(texts) + b"\n"
         at = runs(data)
@@ -176,6 +181,7 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     """The Python worker's encoder: tasks that follow each other in a worker share its memory of words."""
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the cores; the library's threads take memory each
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
@@ -185,7 +191,7 @@ def _encode_batches(path: str, end_id: int):
         enc, start = encoder(path), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, BLOCK_BYTES):
                 ids, n = enc.block(texts[lo:hi])
                 values = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
                 n = n + 1
