@@ -4,11 +4,13 @@
 pre-tokenizer: its states say what piece is open, its transitions are
 annotated with the places where a piece begins (before the current character,
 or before the one in front of it), and every piece carries the number of
-tokens it emits, taken from the library once per distinct piece. Texts are
-cut into chunks of ``CHUNK`` characters; all chunks advance in lockstep from
+tokens it emits, taken from the library's model once per distinct piece of a
+block and remembered. Texts are joined, each with an end mark, and cut into
+chunks of ``CHUNK`` characters; all chunks advance in lockstep from
 every state, which gives each chunk's state map; the maps compose by a
 parallel prefix scan, and a second pass with known entry states emits. The
-scan works on arrays, so one very long text costs no more than many short.
+scan works on arrays, so one very long text costs no more than many short;
+chunks whose map is constant, nearly all in common texts, need no scan.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); strings of
 special tokens inside a text count as the library's default has them, one
@@ -28,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
+from .token_store import BYTE_CHARS, items
 
 CHUNK = 64
 #: Characters handled at once in a task, and distinct pieces remembered.
 BLOCK_CHARS, MEMO = 1_500_000, 300_000
+#: Bytes of pieces remembered; one may be as long as its text.
+HELD_BYTES = 16 << 20
 
 # character classes: letters that may end a contraction have their own
 (C_ST, C_R, C_V, C_E, C_L, C_LETTER, C_NUMBER, C_OTHER, C_QUOTE, C_SPACE, C_BLANK, C_END, C_PAD) = range(13)
@@ -75,8 +80,19 @@ def _step(q: int, c: int) -> tuple[int, int]:
     return _fresh(c), HERE
 
 
-NEXT = np.array([[_step(q, c)[0] for c in range(N_CLASSES)] for q in range(N_STATES)], np.uint8)
-CUTS = np.array([[_step(q, c)[1] for c in range(N_CLASSES)] for q in range(N_STATES)], np.uint8)
+# one byte holds N_CLASSES * state + class, so a step of all chunks is an addition and a translation of bytes
+def _table(of: int, times: int) -> bytes:
+    found = [times * _step(q, c)[of] for q in range(N_STATES) for c in range(N_CLASSES)]
+    return bytes(found + [0] * (256 - len(found)))
+
+
+NEXT, CUTS = _table(0, N_CLASSES), _table(1, 1)
+
+
+def _advance(table: bytes, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """``table`` at each state (times N_CLASSES) and class."""
+    at = state + classes
+    return np.frombuffer(at.tobytes().translate(table), np.uint8).reshape(at.shape)
 
 
 class Transducer:
@@ -86,6 +102,7 @@ class Transducer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         spec = json.loads(open(path, encoding="utf-8").read())
         pre = spec["pre_tokenizer"] or {}
         added = spec["added_tokens"]
@@ -94,8 +111,9 @@ class Transducer:
             raise ValueError(f"{path}: only byte-level BPE without a normalizer is compiled")
         special = sorted((a["content"] for a in added), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.held = 0
         self.classes = np.full(0x110000, 255, np.uint8)
-        self.counts: dict[str, int] = {}
+        self.counts: dict[bytes, int] = {}
 
     def _classify(self, cp: int) -> int:
         """Class of a character, as the library's own splitter has it."""
@@ -117,37 +135,43 @@ class Transducer:
             out = self.classes[cps]
         return out
 
-    def piece_starts(self, text: str, lengths: np.ndarray) -> np.ndarray:
-        """Places where pieces begin in ``text``, the segments of ``lengths`` joined."""
-        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        chunks = lengths // CHUNK + 1  # room for the end mark
-        first = np.cumsum(chunks) - chunks
-        begin = np.cumsum(lengths) - lengths
-        at = np.arange(len(cps)) + np.repeat(first * CHUNK - begin, lengths)
-        grid = np.full(int(chunks.sum()) * CHUNK, C_PAD, np.uint8)
-        grid[at] = self._class_of(cps)
-        grid[first * CHUNK + lengths] = C_END
+    def piece_starts(self, cps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places where pieces begin among the code points ``cps``; there is an end mark at ``ends``, a piece of its own."""
+        n = len(cps)
+        grid = np.full(-(-n // CHUNK) * CHUNK, C_PAD, np.uint8)
+        grid[:n] = self._class_of(cps)
+        grid[ends] = C_END
         grid = np.ascontiguousarray(grid.reshape(-1, CHUNK).T)
         # state maps: where each state ends after the chunk
-        maps = np.tile(np.arange(N_STATES, dtype=np.uint8), (grid.shape[1], 1))
-        for j in range(CHUNK):
-            maps = NEXT[maps, grid[j][:, None]]
-        maps[first] = maps[first, START][:, None]  # a segment begins anew: a constant map
+        maps = np.repeat(np.arange(0, N_STATES * N_CLASSES, N_CLASSES, dtype=np.uint8)[:, None], grid.shape[1], axis=1)
+        for row in grid:
+            maps = _advance(NEXT, maps, row)
+        maps = maps.copy()
+        maps[:, 0] = maps[START, 0]  # the first chunk is entered from the start: a constant map
         step = 1
-        while step < len(maps):  # inclusive scan under composition
-            maps[step:] = np.take_along_axis(maps[step:], maps[:-step], axis=1)
+        # inclusive scan under composition; constant maps stay as they are
+        while len(left := np.flatnonzero((maps != maps[0]).any(axis=0))):
+            maps[:, left] = np.take_along_axis(maps[:, left], (maps[:, left - step] // N_CLASSES).astype(np.intp), axis=0)
             step *= 2
-        state = np.empty(len(maps), np.uint8)
-        state[1:] = maps[:-1, 0]
-        state[first] = START
+        state = np.empty(grid.shape[1], np.uint8)
+        state[0], state[1:] = START * N_CLASSES, maps[0, :-1]
         cuts = np.empty_like(grid)
-        for j in range(CHUNK):
-            cuts[j] = CUTS[state, grid[j]]
-            state = NEXT[state, grid[j]]
-        cuts = cuts.T.reshape(-1)
+        for j, row in enumerate(grid):
+            cuts[j] = _advance(CUTS, state, row)
+            state = _advance(NEXT, state, row)
+        cuts = cuts.T.reshape(-1)[:n]
         begins = (cuts & HERE).astype(bool)
         begins[:-1] |= (cuts[1:] & BACK).astype(bool)
-        return np.flatnonzero(begins[at])
+        begins[ends] = True
+        return np.flatnonzero(begins)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Counts of pieces, in the form the model has them: bytes as characters."""
+        chars, at = b"".join(new).decode("latin-1").translate(BYTE_CHARS), 0
+        for piece in new:
+            self.counts[piece] = len(self.model.tokenize(chars[at:at + len(piece)]))
+            self.held += len(piece)
+            at += len(piece)
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text."""
@@ -161,19 +185,24 @@ class Transducer:
                     owner.append(i)
         if not segments:
             return extra
-        lengths = np.array([len(s) for s in segments])
-        text = "".join(segments)
-        starts = self.piece_starts(text, lengths)
-        bounds = starts.tolist() + [len(text)]
-        pieces = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-        if len(self.counts) > MEMO:
-            self.counts.clear()
-        known = self.counts
-        if new := list({p for p in pieces if p not in known}):
-            known.update(zip(new, (len(e.ids) for e in self.tok.encode_batch(new, add_special_tokens=False))))
-        n = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        which = np.searchsorted(np.cumsum(lengths), starts, side="right")
-        return extra + np.bincount(np.array(owner)[which], weights=n, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum([len(s) + 1 for s in segments]) - 1
+        text = "\n".join(segments) + "\n"
+        data = text.encode()
+        starts = self.piece_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), ends)
+        at = starts if len(data) == len(text) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+        at = np.append(at, len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        if len(self.counts) > MEMO or self.held > HELD_BYTES:
+            self.counts, self.held = {}, 0
+        names, known = items(pieces.dictionary), self.counts
+        if new := [p for p in names if p not in known]:
+            self._learn(new)
+        n = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[pieces.indices.to_numpy()]
+        marks = np.searchsorted(starts, ends)
+        n[marks] = 0
+        of_segment = np.add.reduceat(n, np.concatenate([[0], marks[:-1] + 1]))
+        np.add.at(extra, owner, of_segment)
+        return extra
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:

@@ -45,7 +45,7 @@ OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.str
 #: A byte as the character that byte-level vocabularies have for it (fixed values of that format: printable
 #: bytes stand for themselves, the others follow from U+0100 on).
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
 #: Latin letters, then ASCII marks without the apostrophe: the tokenizer always splits between the two.
 _PLAIN = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)|.+)$", re.MULTILINE)
 
@@ -74,7 +74,7 @@ def runs(data: bytes) -> np.ndarray:
     return np.concatenate([[0], edge[cut | (before == _GAP) | (after == _GAP)], [len(buf)]])
 
 
-def _items(column: pa.LargeBinaryArray) -> list[bytes]:
+def items(column: pa.LargeBinaryArray) -> list[bytes]:
     """``to_pylist`` without a scalar per value."""
     _, at, data = column.buffers()
     at, data = np.frombuffer(at, np.int64)[: len(column) + 1].tolist(), data.to_pybytes()
@@ -119,7 +119,7 @@ class WordEncoder:
         return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
 
     def _letters(self, lower: str) -> list[int]:
-        chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTE_CHARS)
+        chars = lower if lower.isascii() else lower.encode().decode("latin-1").translate(BYTE_CHARS)
         return [t.id for t in self.model.tokenize(chars)]
 
     def _learn(self, new: list[bytes]) -> None:
@@ -149,7 +149,7 @@ class WordEncoder:
         data = b"\n" + b"\n".join(texts) + b"\n"
         at = runs(data)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
-        names, known = _items(pieces.dictionary), self.known
+        names, known = items(pieces.dictionary), self.known
         found = [known.get(x, 0) for x in names]
         if 0 in found:
             new = [x for x, place in zip(names, found) if not place]
