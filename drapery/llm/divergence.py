@@ -1,10 +1,17 @@
 """Audit of how far the sources of a language differ in their words.
 
 For each language a ``CountVectorizer`` with ``minDF`` and the largest integer
-as ``vocabSize`` turns every document into an exact sparse vector; languages
-with fewer than ``min_df`` documents keep no terms and need none. Group sums
-add the vectors of a (lang, source) group component by component; only
-components that occur are ever stored.
+as ``vocabSize`` learns the kept terms and turns bags of terms into exact sparse
+vectors; languages with fewer than ``min_df`` documents keep no terms and need
+none. Group sums add the vectors of a (lang, source) group component by
+component; only components that occur are ever stored.
+
+Terms reach the ``CountVectorizer`` combined per batch of documents, without
+loss: it learns from layers, the k-th with the terms that at least k documents
+of the batch and language hold, for k up to ``min_df``. A term is in ``min_df``
+layers of all batches exactly if it is in as many documents. The sums come from
+a group's digits: the terms whose count in the batch has the bit 2**b make a
+bag, whose vector counts 2**b times.
 
 ``CountVectorizer`` holds its vocabulary on the driver and broadcasts it. The
 terms of a language are therefore dealt by hash into as many slices as keep a
@@ -58,15 +65,54 @@ def _probed(found: pa.Array) -> np.ndarray:
     return mixed >> np.uint64(64 - PROBE_BITS) == 0
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lang, group, text = batch.columns
-        found, counts = split_terms(text, LETTERS)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        hit = _probed(found) if len(found) else np.zeros(0, bool)
-        probe = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit)])[first], pa.int32()), found.filter(pa.array(hit)).cast(pa.string()))
-        terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), found.cast(pa.string()))
-        yield pa.RecordBatch.from_arrays([lang, group, pa.array(counts, pa.int64()), probe, terms], names=["lang_no", "group", "size", "probe", "terms"])
+def _combined(lang: np.ndarray, group: np.ndarray, counts: np.ndarray, code: np.ndarray, size: int, min_df: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``(lang, group, weight, codes)`` of the bags of digits, then the layers, with group -1 and weight 0, of documents
+    that have ``counts`` of the terms ``code`` (below ``size``) each; codes of a bag or layer are distinct."""
+    pair, n = np.unique(np.repeat(np.arange(len(counts)), counts) * size + code, return_counts=True)
+    doc, code = pair // size, pair % size
+    groups, g = np.unique(group, return_inverse=True)
+    lang_of = np.zeros(len(groups), np.int64)
+    lang_of[g] = lang
+    key = g[doc] * size + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    total, docs = np.add.reduceat(n[order], first), np.diff(np.append(first, len(key)))
+    g, code = key[first] // size, key[first] % size
+    for b in range(int(total.max()).bit_length()):
+        digit = (total >> b) & 1 == 1
+        which, at = np.unique(g[digit], return_index=True)
+        for i, codes in zip(which, np.split(code[digit], at[1:])):
+            yield lang_of[i], groups[i], 1 << b, codes
+    langs, own = np.unique(lang_of, return_inverse=True)
+    key, back = np.unique(own[g] * size + code, return_inverse=True)
+    held = np.bincount(back, weights=docs).astype(np.int64)
+    own, code = key // size, key % size
+    for k in range(min(min_df, int(held.max()))):
+        layer = held > k
+        which, at = np.unique(own[layer], return_index=True)
+        for i, codes in zip(which, np.split(code[layer], at[1:])):
+            yield langs[i], -1, 0, codes
+
+
+def _split(min_df: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, group, text = batch.columns
+            found, counts = split_terms(text, LETTERS)
+            if not len(found):
+                continue
+            found = found.dictionary_encode()
+            terms = found.dictionary
+            langs, groups, weights, codes = zip(*_combined(lang.to_numpy(), group.to_numpy(), counts, found.indices.to_numpy().astype(np.int64), len(terms), min_df))
+            size = np.array([len(c) for c in codes])
+            first, code = np.concatenate([[0], np.cumsum(size)]), np.concatenate(codes)
+            hit = _probed(terms)[code] & np.repeat(np.array(groups) < 0, size)
+            words = terms.take(pa.array(code)).cast(pa.string())
+            probe = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit)])[first], pa.int32()), words.filter(pa.array(hit)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (langs, groups, weights, size)), probe, pa.ListArray.from_arrays(pa.array(first, pa.int32()), words)],
+                                             names=["lang_no", "group", "weight", "size", "probe", "terms"])
+    return run
 
 
 def _vocabulary(model, spark, lang_no: int, slice_: int) -> DataFrame:
@@ -77,11 +123,11 @@ def _vocabulary(model, spark, lang_no: int, slice_: int) -> DataFrame:
     return words.select(F.lit(lang_no).alias("lang_no"), F.lit(slice_).alias("slice"), "idx", "term").filter("term != ''")
 
 
-def _bags(docs: DataFrame, groups: DataFrame) -> tuple[str, DataFrame]:
-    """Writes the terms of each document, in a folder per language."""
+def _bags(docs: DataFrame, groups: DataFrame, min_df: int) -> tuple[str, DataFrame]:
+    """Writes the bags and layers of all documents, in a folder per language."""
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "divergence-terms")
     numbered = docs.join(up_to(groups, 100_000), ["lang", "source"]).select("lang_no", "group", "text")
-    bags = map_batches(numbered, _split, "lang_no long, group long, size long, probe array<string>, terms array<string>")
+    bags = map_batches(numbered, _split(min_df), "lang_no long, group long, weight long, size long, probe array<string>, terms array<string>")
     writers = "spark.sql.maxConcurrentOutputFileWriters"  # a file per language at once instead of a sort of the terms
     before = spark.conf.get(writers)
     spark.conf.set(writers, "64")
@@ -89,7 +135,7 @@ def _bags(docs: DataFrame, groups: DataFrame) -> tuple[str, DataFrame]:
         bags.write.partitionBy("lang_no").option("parquet.enable.dictionary", "false").parquet(path)  # terms are mostly rare ones
     finally:
         spark.conf.set(writers, before)
-    return path, spark.read.schema("group long, size long, probe array<string>, terms array<string>, lang_no long").parquet(path)
+    return path, spark.read.schema("group long, weight long, size long, probe array<string>, terms array<string>, lang_no long").parquet(path)
 
 
 def group_counts(docs: DataFrame, min_df: int = 10, max_vocab: int = 4_000_000) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
@@ -102,29 +148,29 @@ def group_counts(docs: DataFrame, min_df: int = 10, max_vocab: int = 4_000_000)
     groups = materialize(groups.join(langs, "lang").withColumn("group", F.monotonically_increasing_id()), "divergence-groups")  # numbers for names
     if langs.filter(F.col("lang_docs") >= min_df).isEmpty():
         return None, None, groups
-    path, bags = _bags(blank, groups)
-    # kept terms occur min_df times at least, so this estimates their number from above
+    path, bags = _bags(blank, groups, min_df)
+    # kept terms are in min_df layers at least
     probe = bags.select("lang_no", F.explode("probe").alias("t")).groupBy("lang_no", "t").count().filter(F.col("count") >= min_df)
     sizes = bags.groupBy("lang_no").agg(F.sum("size").alias("size")).join(probe.groupBy("lang_no").agg(F.count(F.lit(1)).alias("kept")), "lang_no", "left")
     todo = sizes.join(langs.filter(F.col("lang_docs") >= min_df), "lang_no").orderBy("lang_no").collect()  # a row per language
 
     # a term of its own that is always kept, as a fit without any term is refused
-    ever = spark.range(min_df).select(F.lit(-1).cast("long").alias("group"), F.array(F.lit("")).alias("terms"))
+    ever = spark.range(min_df).select(F.array(F.lit("")).alias("terms"))
     counts, names = None, None
     for row in todo:
         # small scan tasks are put together: the more of a language a task sees, the more its sums combine
         tasks = max(2 * spark.sparkContext.defaultParallelism, (row["size"] or 0) // TASK_TERMS)
         slices = 1 + ((row["kept"] or 0) << PROBE_BITS) // max_vocab
-        whole = spark.read.schema("group long, terms array<string>").parquet(f"{path}/lang_no={row['lang_no']}").coalesce(tasks)
+        whole = spark.read.schema("group long, weight long, terms array<string>").parquet(f"{path}/lang_no={row['lang_no']}").coalesce(tasks)
         for s in range(slices):
             part = whole
             if slices > 1:
                 part = whole.withColumn("terms", _slice_of(slices, s))
-            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(part.unionByName(ever))
+            model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=ALL).fit(part.filter("group < 0").select("terms").unionByName(ever))
             vector = F.unwrap_udt("vector")
             entry = F.explode(F.arrays_zip(vector["indices"].alias("indices"), vector["values"].alias("values"))).alias("x")
-            sums = (model.transform(part).select("group", entry).groupBy("group", F.col("x.indices").alias("idx"))
-                    .agg(F.sum(F.col("x.values").cast("long")).alias("n")))
+            sums = (model.transform(part.filter("group >= 0")).select("group", "weight", entry).groupBy("group", F.col("x.indices").alias("idx"))
+                    .agg(F.sum(F.col("weight") * F.col("x.values").cast("long")).alias("n")))
             sums = materialize(sums.select("group", F.lit(row["lang_no"]).alias("lang_no"), F.lit(s).alias("slice"), "idx", "n"), "divergence-counts")
             found = _vocabulary(model, spark, row["lang_no"], s)
             counts, names = (sums, found) if counts is None else (counts.unionByName(sums), names.unionByName(found))
